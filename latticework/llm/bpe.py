@@ -40,7 +40,7 @@ class Codec(dict):
         for token, i in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces = regex.compile(pattern).findall
 
     def merged(self, data: bytes) -> list[int]:
@@ -54,11 +54,12 @@ class Codec(dict):
         return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
-        ok = self.pairs.get((a, b))
+        key = a << 32 | b
+        ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > MEMO:
+            if len(self.pairs) > 2 * MEMO:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(self.vocab[a] + self.vocab[b]) == [a, b]
+            ok = self.pairs[key] = self.merged(self.vocab[a] + self.vocab[b]) == [a, b]
         return ok
 
     def backtrack(self, data: bytes) -> list[int]:
