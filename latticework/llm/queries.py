@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, packing, simhash, token_files
+from . import bpe, curves, language_id, line_dedup, packing, passage_dedup, simhash, suffix_dedup, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
     "op2_simhash": simhash.query,
     "op3_byte_bpe": bpe.query,
+    "op4_curves": curves.query,
+    "op5_suffix_dedup": suffix_dedup.query,
+    "op6_line_dedup": line_dedup.query,
     "op7_token_files": token_files.query,
+    "op8_topk": topk.query,
+    "op9_passage_dedup": passage_dedup.query,
     "op10_packing": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL}

@@ -171,9 +171,9 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
             two = two[np.bitwise_count(v[two] ^ v[two + 1]).sum(1, dtype=np.int64) <= plan.distance]
             src, dst = [two], [two + 1]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                if pairs := np.array(spanning_links(fp[s : s + n], plan.distance)).reshape(-1, 2).astype(np.int64):
-                    src.append(pairs[:, 0] + s)
-                    dst.append(pairs[:, 1] + s)
+                pairs = np.array(spanning_links(fp[s : s + n], plan.distance), np.int64).reshape(-1, 2)
+                src.append(pairs[:, 0] + s)
+                dst.append(pairs[:, 1] + s)
             src, dst = np.concatenate(src), np.concatenate(dst)
             if len(src):
                 yield pa.RecordBatch.from_arrays([to_binary(fp[src]), to_binary(fp[dst])], names=["src", "dst"])
