@@ -6,13 +6,12 @@ A window of that length is known by its anchor: of its k-grams the one of smalle
 have equal anchors at the same place, so only windows around k-grams that are anchors more than once can repeat. Each
 anchor's context is all that the windows with it can hold. Anchors and contexts travel as hashes, with counts that are
 combined before the shuffle: a context that occurs twice is covered whole, and an anchor whose contexts are all equal is
-settled without its bytes. For the rest, the distinct contexts of an anchor meet in a task, which sorts their suffixes
-(``suffix_sort``): windows that repeat are neighbours in that order. An anchor with more than ``LARGE`` distinct contexts
+settled without its bytes. For the rest, the distinct contexts of an anchor meet in a task, which sorts suffixes of
+them (``suffix_sort``): windows that repeat are neighbours in that order. An anchor with more than ``LARGE`` distinct contexts
 is no task's group: its windows are hashed (128 bits) and counted over the cluster instead, one row for each window.
 
-Texts are UTF-8 bytes; a null text counts as empty. What occurs is judged on the input. Rows are known by a digest of
-their text, so rows that repeat, null ids and equal ids need no special care; equal texts of at least ``LENGTH`` bytes
-cover each other whole.
+Texts are UTF-8 bytes; a null text counts as empty. What occurs is judged on the input. Rows are known by doc_id
+and a hash of the text; null ids are allowed, and rows that repeat both count as two occurrences and get one result.
 """
 
 from __future__ import annotations
@@ -25,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, column_np, group_starts, small_batches, stored, text_key, whole_groups
+from .common import add_columns, column_np, group_starts, small_batches, stored, whole_groups
 from .suffix_sort import suffix_array
 
-#: Bytes of a window and of a k-gram, distinct contexts of an anchor that one task sorts, bytes hashed at once.
-LENGTH, GRAM, LARGE, CHUNK = 200, 40, 256, 1 << 20
+#: Bytes of a window and of a k-gram, neighbouring windows of a cell, distinct contexts of an anchor that one task sorts, bytes hashed at once.
+LENGTH, GRAM, CELL, LARGE, CHUNK = 200, 32, 10, 32768, 1 << 20
+#: Stands for a null doc_id, which no id may equal.
+NO_ID = -(1 << 63)
+CORE = "\u0100"  # beyond all bytes
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64)
@@ -90,58 +92,87 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 
 def repeated(contexts: list[tuple[bytes, int, int]]) -> list[tuple[int, int] | None]:
-    """For contexts of one anchor, each (bytes, anchor's place in them, occurrences): the first and the end byte, from the anchor, that repeated windows cover."""
+    """For contexts of one anchor, each (bytes, anchor's place in them, occurrences): the first and the end byte, from the anchor, that repeated windows cover.
+
+    Windows are looked at in cells of ``CELL`` neighbours. All windows of a cell share a core, so only contexts with equal
+    cores can hold equal windows of it; where all that the cell's windows cover is equal too, each of them repeats. The rest
+    differs in a few bytes on either side of the core: the core becomes one symbol, and the suffixes of these short strings
+    are sorted.
+    """
     out: list[tuple[int, int] | None] = [(-a, len(c) - a) if n > 1 else None for c, a, n in contexts]
-    if all(n > 1 for *_, n in contexts):
-        return out
-    # a window that repeats lies in a cell of neighbouring windows, and what all of these share must repeat
-    step, viable = 10, set()
-    for lo in range(0, LENGTH - GRAM + 1, step):
-        hi = min(lo + step - 1, LENGTH - GRAM)
-        seen: dict[bytes, list[int]] = {}
+
+    def cover(i: int, most: int, least: int) -> None:
+        """Windows that begin ``least`` to ``most`` bytes before the anchor repeat."""
+        lo, hi = out[i] or (-most, LENGTH - least)
+        out[i] = (min(lo, -most), max(hi, LENGTH - least))
+
+    for lo in range(0, LENGTH - GRAM + 1, CELL):
+        hi = min(lo + CELL - 1, LENGTH - GRAM)
+        cores: dict[bytes, list[int]] = {}
         for i, (c, a, _) in enumerate(contexts):
             if a >= lo and len(c) - a >= LENGTH - hi:
-                seen.setdefault(c[a - lo : a + LENGTH - hi], []).append(i)
-        for same in seen.values():
-            if len(same) > 1:
-                viable.update(same)
-    chosen = sorted(viable)
-    if all(contexts[i][2] > 1 for i in chosen):
-        return out
+                cores.setdefault(c[a - lo : a + LENGTH - hi], []).append(i)
+        for same in cores.values():
+            open_ = [i for i in same if not (out[i] and out[i][0] <= -hi and out[i][1] >= LENGTH - lo)] if len(same) > 1 else []
+            if not open_:
+                continue
+            short: dict[tuple[bytes, bytes], list[int]] = {}
+            for i in same:
+                c, a, _ = contexts[i]
+                short.setdefault((c[max(0, a - hi) : a - lo], c[a + LENGTH - hi : a + LENGTH - lo]), []).append(i)
+            for (left, right), own in short.items():
+                if len(own) > 1:
+                    most, least = lo + len(left), hi - len(right)
+                    for i in own:
+                        cover(i, max(most, least), min(most, least)) if most >= least else None
+            if len(short) > 1 and any(len(own) == 1 and own[0] in open_ for own in short.values()):
+                for (left, right), most, least in _shared_windows(list(short), hi - lo):
+                    for i in short[left, right]:
+                        cover(i, lo + most, lo + least)
+    return out
+
+
+def _shared_windows(strings: list[tuple[bytes, bytes]], reach: int) -> Iterator[tuple[tuple[bytes, bytes], int, int]]:
+    """Of distinct (bytes before, bytes after) a common core: those that share a window (``reach`` bytes besides the core), with the most and the least bytes before the core of such windows."""
     text: list[int] = []
     owner: list[tuple[int, int]] = []
-    for j, i in enumerate(chosen):
-        c = contexts[i][0]
-        text += [x + len(chosen) for x in c]
-        owner += [(i, p) for p in range(len(c))]
-        text.append(j)  # ends a context: no two are alike
-        owner.append((i, len(c)))
-    window, run = b"", {}  # run: of the windows equal to the last one, by place from the anchor, one context that holds it there
+    full = [left.decode("latin-1") + CORE + right.decode("latin-1") for left, right in strings]
+    for j, x in enumerate(full):
+        text += [ord(ch) + len(full) for ch in x]
+        text.append(j)  # ends a string: no two are alike
+        owner += [(j, p) for p in range(len(x) + 1)]
+    found: dict[int, list[int]] = {}
+    window, first = None, (-1, 0)
     for at in suffix_array(text):
-        i, p = owner[at]
-        c, a, _ = contexts[i]
-        if p > a or len(c) - p < LENGTH:
+        j, p = owner[at]
+        before = len(strings[j][0]) - p
+        if before < 0 or len(full[j]) - p < reach + 1:
             continue
-        if c[p : p + LENGTH] != window:
-            window, run = c[p : p + LENGTH], {}
-        if p - a in run:  # elsewhere on the same text the place from the anchor differs
-            for k in (run[p - a], i):
-                lo, hi = out[k] or (p - a, p - a + LENGTH)
-                out[k] = (min(lo, p - a), max(hi, p - a + LENGTH))
-        run[p - a] = i
-    return out
+        if (w := full[j][p : p + reach + 1]) != window:
+            window, first = w, (j, before)
+            continue
+        for k in (first[0], j):
+            found.setdefault(k, []).append(before)
+    for j, places in found.items():
+        yield strings[j], max(places), min(places)
 
 
 def _texts(b: pa.RecordBatch, name: str) -> list[bytes]:
     return [(t or "").encode("utf-8", "replace") for t in b.column(b.schema.get_field_index(name)).to_pylist()]
 
 
-def _anchor_rows(docs: DataFrame, text: str) -> DataFrame:
-    """tk, pos (in bytes), room (bytes from the anchor to the text's end, at most LENGTH), akey, ctx."""
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """k1, k2, text: a row is known by its doc_id and a hash of its text; rows that repeat both are alike."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("k1"), F.xxhash64(F.col("doc_id").isNull(), t).alias("k2"), t.alias("text"))
+
+
+def _anchor_rows(keyed: DataFrame) -> DataFrame:
+    """k1, k2, pos (in bytes), room (bytes from the anchor to the text's end, at most LENGTH), akey, ctx."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, tk, at = _texts(b, "text"), b.column(b.schema.get_field_index("tk")), 0
+            texts, at = _texts(b, "text"), 0
             while at < len(texts):
                 size, end = 0, at
                 while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
@@ -151,10 +182,11 @@ def _anchor_rows(docs: DataFrame, text: str) -> DataFrame:
                 starts = ends - [len(t) for t in texts[at:end]]
                 row, place, key, ctx = anchors(np.frombuffer(b"".join(texts[at:end]), np.uint8), starts, ends)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([tk.take(pa.array(row + at)), pa.array((place - starts[row]).astype(np.int32)), pa.array(np.minimum(ends[row] - place, LENGTH).astype(np.int32)), pa.array(key), pa.array(ctx)], names=["tk", "pos", "room", "akey", "ctx"])
+                    own = pa.array(row + at)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array((place - starts[row]).astype(np.int32)), pa.array(np.minimum(ends[row] - place, LENGTH).astype(np.int32)), pa.array(key), pa.array(ctx)], names=["k1", "k2", "pos", "room", "akey", "ctx"])
                 at = end
 
-    return docs.select(text_key(F.col(text)).alias("tk"), F.col(text).alias("text")).mapInArrow(run, "tk binary, pos int, room int, akey bigint, ctx bigint")
+    return keyed.mapInArrow(run, "k1 bigint, k2 bigint, pos int, room int, akey bigint, ctx bigint")
 
 
 def _cut_contexts(rows: DataFrame) -> DataFrame:
@@ -166,12 +198,12 @@ def _cut_contexts(rows: DataFrame) -> DataFrame:
             for t, needs in zip(_texts(b, "text"), b.column(b.schema.get_field_index("needs")).to_pylist(), strict=True):
                 for x in needs:
                     lo = max(0, x["pos"] - (LENGTH - GRAM))
-                    out.append((x["akey"], x["ctx"], x["n"], x["pos"] - lo, t[lo : x["pos"] + LENGTH]))
+                    out.append((x["akey"], x["ctx"], x["n"], x["pos"] - lo, t[lo : x["pos"] + LENGTH], x["large"]))
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["akey", "ctx", "n", "a", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["akey", "ctx", "n", "a", "c", "large"])
 
-    return rows.mapInArrow(run, "akey bigint, ctx bigint, n bigint, a int, c binary")
+    return rows.mapInArrow(run, "akey bigint, ctx bigint, n bigint, a int, c binary, large boolean")
 
 
 def _sorted_spans(contexts: DataFrame) -> DataFrame:
@@ -191,7 +223,7 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
             if at:
                 yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(ctx[at]), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["akey", "ctx", "lo", "hi"])
 
-    return contexts.repartition("akey").sortWithinPartitions("akey", "ctx").mapInArrow(run, "akey bigint, ctx bigint, lo int, hi int")
+    return contexts.drop("large").repartition("akey").sortWithinPartitions("akey", "ctx").mapInArrow(run, "akey bigint, ctx bigint, lo int, hi int")
 
 
 def _counted_spans(contexts: DataFrame) -> DataFrame:
@@ -220,25 +252,21 @@ def _counted_spans(contexts: DataFrame) -> DataFrame:
     return windows.join(again, ["h1", "h2", "lo"]).groupBy("akey", "ctx").agg(F.min("lo").alias("lo"), (F.max("lo") + LENGTH).alias("hi"))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(tk, spans): for each distinct text that has any, the byte ranges (s, e) that repeated windows cover, not yet merged."""
-    small_batches(docs.sparkSession)
-    found = stored(_anchor_rows(docs, text), "anchors")
-    again = found.groupBy("akey").agg(F.count("*").alias("c"), (F.min("ctx") == F.max("ctx")).alias("same")).filter("c > 1").select("akey", "same")
-    hits = stored(found.join(again, "akey"), "hits")
+def _spans(keyed: DataFrame) -> DataFrame:
+    """(k1, k2, spans): for each row key the byte ranges (s, e) that repeated windows cover, not yet merged."""
+    again = _anchor_rows(keyed).groupBy("akey").agg(F.count("*").alias("c"), (F.min("ctx") == F.max("ctx")).alias("same")).filter("c > 1").select("akey", "same")
+    hits = stored(_anchor_rows(keyed).join(again, "akey"), "hits")
     mixed = hits.filter(~F.col("same"))
-    kinds = mixed.groupBy("akey", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tk", "pos")).alias("at"))
-    keyed = docs.select(F.col("doc_id").alias("d"), text_key(F.col(text)).alias("tk"), F.col(text).alias("text"))
-    first = keyed.groupBy("tk").agg(F.min("d").alias("d"))  # one row of each text lends its bytes
-    needs = kinds.groupBy("at.tk").agg(F.collect_list(F.struct("at.pos", "akey", "ctx", "n")).alias("needs")).join(first, "tk")
-    needs = needs.withColumnRenamed("tk", "tk2").withColumnRenamed("d", "d2")
-    lent = keyed.join(needs, (F.col("tk") == F.col("tk2")) & F.col("d").eqNullSafe(F.col("d2"))).select("text", "needs")
-    contexts = stored(_cut_contexts(lent).dropDuplicates(["akey", "ctx"]), "contexts")
-    large = contexts.groupBy("akey").count().filter(F.col("count") > LARGE).select("akey")
-    spans = _sorted_spans(contexts.join(large, "akey", "left_anti")).union(_counted_spans(contexts.join(large, "akey", "left_semi")))
-    whole = hits.filter("same").select("tk", (F.col("pos") - F.least("pos", F.lit(LENGTH - GRAM))).alias("s"), (F.col("pos") + F.col("room")).alias("e"))
-    part = mixed.join(spans, ["akey", "ctx"]).select("tk", (F.col("pos") + F.col("lo")).alias("s"), (F.col("pos") + F.col("hi")).alias("e"))
-    return whole.union(part).distinct().groupBy("tk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    kinds = mixed.groupBy("akey", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
+    large = kinds.groupBy("akey").agg((F.count("*") > LARGE).alias("large"))
+    needs = kinds.join(large, "akey").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "akey", "ctx", "n", "large")).alias("needs"))
+    contexts = _cut_contexts(keyed.join(needs, ["k1", "k2"]))
+    spans = _sorted_spans(contexts.filter(~F.col("large")))
+    if not large.filter("large").isEmpty():  # else the plan has no part for them
+        spans = spans.union(_counted_spans(contexts.filter("large")))
+    whole = hits.filter("same").select("k1", "k2", (F.col("pos") - F.least("pos", F.lit(LENGTH - GRAM))).alias("s"), (F.col("pos") + F.col("room")).alias("e"))
+    part = mixed.join(spans.distinct(), ["akey", "ctx"]).select("k1", "k2", (F.col("pos") + F.col("lo")).alias("s"), (F.col("pos") + F.col("hi")).alias("e"))
+    return whole.union(part).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -253,10 +281,17 @@ def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 def mark_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with removed: an array of the byte ranges (s, e) of ``text`` to remove, ascending and apart."""
-    rows = docs.withColumn("_tk", text_key(F.col(text))).join(repeated_spans(docs, text).withColumnRenamed("tk", "_tk"), "_tk", "left")
+    small_batches(docs.sparkSession)
+    spans = _spans(_keyed(docs, text))
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("k2", F.xxhash64(F.col("doc_id").isNull(), t)).join(spans, ["k1", "k2"], "left")
+    return _merged(rows).drop("k1", "k2")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
     make = lambda b: {"removed": pa.array([[{"s": s, "e": e} for s, e in merge(x)] for x in b.column(b.schema.get_field_index("spans")).to_pylist()], kind)}
-    return add_columns(rows, make, "removed array<struct<s: bigint, e: bigint>>", drop=["spans", "_tk"])
+    return add_columns(rows, make, "removed array<struct<s: bigint, e: bigint>>", drop=["spans"])
 
 
 def kept_bytes(data: bytes, removed: list[dict]) -> bytes:
@@ -266,7 +301,11 @@ def kept_bytes(data: bytes, removed: list[dict]) -> bytes:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: per document what goes and a digest of what stays."""
-    rows = mark_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    small_batches(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    keyed = _keyed(docs, "text")
+    # the same columns as where contexts are cut, so Spark shuffles the texts once for both joins
+    rows = _merged(keyed.join(_spans(keyed), ["k1", "k2"], "left"))
 
     def make(b: pa.RecordBatch) -> dict[str, pa.Array]:
         texts, gone = _texts(b, "text"), b.column(b.schema.get_field_index("removed")).to_pylist()
@@ -277,4 +316,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             "kept_sha256": pa.array([hashlib.sha256(kept_bytes(t, g)).hexdigest() for t, g in zip(texts, gone, strict=True)]),
         }
 
-    return add_columns(rows, make, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", drop=["text", "removed"])
+    out = add_columns(rows, make, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", drop=["text", "removed"])
+    return out.select(F.nullif("k1", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
