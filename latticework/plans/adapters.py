@@ -37,7 +37,8 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded decisions on candidate roots, from line items and their orders."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("eval_seq"), F.col("o_orderpriority").alias("collector"),
+        # line numbers repeat within an order, so more columns make the order of evaluations total
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 200 + F.round(F.col("l_discount") * 100).cast("bigint") * 2 + (F.col("l_linestatus") == "O").cast("int")).alias("eval_seq"), F.col("o_orderpriority").alias("collector"),
         F.concat(F.lit("seed-"), (F.col("o_custkey") % 25).cast("string")).alias("seed_id"), F.col("o_orderstatus").alias("scenario"),
         F.concat(F.lit("root"), (F.col("l_partkey") % 97).cast("string"), F.lit(".com")).alias("root"), (F.col("l_returnflag") == "R").alias("collect"),
         F.round(F.col("l_discount") * 10, 2).alias("confidence"), F.lower("l_linestatus").alias("kind"), (F.col("l_tax") > 0.02).alias("explicit"),
@@ -74,7 +75,7 @@ OBSERVATIONS = """obs as (select event_id as seq, concat('obs-', event_id) as id
  case when event_id % 7 = 0 then concat('Resolved from host ', user_id) else '' end as inclusion_reason, concat('enum-', event_id % 20) as enumeration_id from events),
 o as (select *, lower(trim(identifier)) as asset_key from obs)"""
 
-OUTCOMES = """oc as (select (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as eval_seq, o_orderpriority as collector, concat('seed-', o_custkey % 25) as seed_id, o_orderstatus as scenario,
+OUTCOMES = """oc as (select ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 200 + cast(round(l_discount * 100) as bigint) * 2 + (l_linestatus = 'O')::int as eval_seq, o_orderpriority as collector, concat('seed-', o_custkey % 25) as seed_id, o_orderstatus as scenario,
  concat('root', l_partkey % 97, '.com') as root, (l_returnflag = 'R') as collect, round(l_discount * 10, 2) as confidence, lower(l_linestatus) as kind, (l_tax > 0.02) as explicit
  from lineitem join orders on l_orderkey = o_orderkey)"""
 
