@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, column_np, group_starts, list_array, small_batches, stored, whole_groups
 
-SEED, WINDOW, LEAST, SIMILAR = 6, 24, 50, 0.8
+SEED, WINDOW, LEAST, SIMILAR = 6, 20, 50, 0.8
+#: Seeds of a chain at least: an unchanged passage of LEAST words has LEAST - SEED + 1 places, so two of each run of WINDOW are kept.
+CHAIN = 2
+#: Words within which another match makes a lone one count.
+NEAR = 12
 #: Cost of a word between two matches on either side; words beyond a chain's ends that alignment may add; words that one difference may span.
-GAP, MARGIN, BRIDGE = 0.1, 96, 8
+GAP, MARGIN, BRIDGE = 0.1, 64, 8
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-"
 _MEMO: dict[str, int] = {}
 
@@ -110,15 +114,16 @@ def _run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
             if len(differ):
                 break
             n, step = min(len(a) - i, len(b) - j), step * 4
-        p, q = i, j
-        for d in range(1, 2 * BRIDGE + 1):
-            hit = next(((s, d - s) for s in sorted(range(max(0, d - BRIDGE), min(d, BRIDGE) + 1), key=lambda s: abs(2 * s - d))
-                        if len(a) - p - s >= 3 and len(b) - q - d + s >= 3 and (a[p + s : p + s + 3] == b[q + d - s : q + d - s + 3]).all()), None)
-            if hit:
-                i, j = p + hit[0], q + hit[1]
-                break
-        else:
+        # the smallest shift of both sides after which three words match again
+        near, far = a[i : i + BRIDGE + 3].tolist(), b[j : j + BRIDGE + 3].tolist()
+        three: dict[tuple[int, ...], int] = {}
+        for t in range(len(far) - 3, -1, -1):
+            three[far[t], far[t + 1], far[t + 2]] = t
+        shifts = [(s + t, abs(s - t), s, t) for s in range(len(near) - 2) if (t := three.get((near[s], near[s + 1], near[s + 2]))) is not None]
+        if not shifts:
             return i, j, same
+        _, _, s, t = min(shifts)
+        i, j = i + s, j + t
 
 
 def aligned(a: np.ndarray, b: np.ndarray, at: int, on: int) -> tuple[int, int, float]:
@@ -148,16 +153,22 @@ def _chained(matches: DataFrame) -> DataFrame:
     """From matches (k, pos, k2, pos2): one row per chain, with its first match and its reach on both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["k", "k2"]):
+        for t in whole_groups(batches, ["k"]):
             starts = [*group_starts(t, ["k", "k2"]).tolist(), t.num_rows]
             x, y, out = column_np(t, "pos").tolist(), column_np(t, "pos2").tolist(), []
+            # where copies differ, neighbouring seeds can first occur in different documents: a lone match counts if others are near
+            key = (np.cumsum(np.isin(np.arange(len(x)), group_starts(t, ["k"]))) << 32) + np.array(x)
+            places = np.unique(key)
+            near = (np.searchsorted(places, key + NEAR, "right") - np.searchsorted(places, key - NEAR)) >= CHAIN
             for s, e in zip(starts, starts[1:], strict=False):
-                out += [(s + c[0], s + c[-1]) for c in chains(x[s:e], y[s:e])]
+                out += [(s + c[0], s + c[-1]) for c in chains(x[s:e], y[s:e]) if len(c) >= CHAIN or near[s + c[0]]]
+            if not out:
+                continue
             first, last = np.array(out).T
             take = lambda n, i: pa.array(column_np(t, n)[i])
             yield pa.RecordBatch.from_arrays([take("k", first), take("k2", first), take("pos", first), take("pos", last), take("pos2", first), take("pos2", last)], names=["k", "k2", "x1", "x2", "y1", "y2"])
 
-    return matches.repartition("k", "k2").sortWithinPartitions("k", "k2", "pos", "pos2").mapInArrow(run, "k bigint, k2 bigint, x1 int, x2 int, y1 int, y2 int")
+    return matches.repartition("k").sortWithinPartitions("k", "k2", "pos", "pos2").mapInArrow(run, "k bigint, k2 bigint, x1 int, x2 int, y1 int, y2 int")
 
 
 def _slices(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -167,18 +178,18 @@ def _slices(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
         for b in batches:
             k, s, e, got = [], [], [], []
             for key, text, ranges in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                w = word_hashes(text).view(np.int64)
+                w = word_hashes(text).astype(np.uint32).view(np.int32)  # half of each hash
                 for r in ranges:
                     k.append(key)
                     s.append(r["s"])
                     e.append(r["e"])
                     got.append(w[r["s"] : r["e"]])
             if k:
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), list_array(np.concatenate(got), [len(g) for g in got], pa.int64())], names=["k", "s", "e", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), list_array(np.concatenate(got), [len(g) for g in got], pa.int32())], names=["k", "s", "e", "w"])
 
     ranges = wanted.distinct().groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("r"))
-    texts = docs.select(_ident(text)[1], F.col(text).alias("t"))
-    return texts.join(ranges, "k").select("k", "t", "r").mapInArrow(run, "k bigint, s int, e int, w array<bigint>")
+    texts = docs.select(_ident(text)[1], F.col(text).alias("t")).groupBy("k").agg(F.first("t").alias("t"))  # rows that repeat lend their text once
+    return texts.join(ranges, "k").select("k", "t", "r").mapInArrow(run, "k bigint, s int, e int, w array<int>")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -186,13 +197,15 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     found = stored(_seed_rows(docs, text), "seeds")
     place = F.struct(F.col("d").isNull().alias("n"), "d", "k", "pos")
-    first = found.groupBy("seed").agg(F.count("*").alias("c"), F.min(place).alias("f")).filter("c > 1").select("seed", "f")
-    matches = found.join(first, "seed").filter(place != F.col("f")).select("k", "pos", F.col("f.k").alias("k2"), F.col("f.pos").alias("pos2")).distinct()
+    again = found.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed")
+    hits = stored(found.join(again, "seed"), "hits")
+    first = hits.groupBy("seed").agg(F.min(place).alias("f"))
+    matches = hits.join(first, "seed").filter(place != F.col("f")).select("k", "pos", F.col("f.k").alias("k2"), F.col("f.pos").alias("pos2")).distinct()
     low = lambda c: F.greatest(F.lit(0), F.col(c) - MARGIN)
     passages = _chained(matches).withColumns({"s1": low("x1"), "e1": F.col("x2") + SEED + MARGIN, "s2": low("y1"), "e2": F.col("y2") + SEED + MARGIN})
     passages = stored(passages, "chains")
     wanted = passages.select("k", F.col("s1").alias("s"), F.col("e1").alias("e")).union(passages.select("k2", "s2", "e2"))
-    words = stored(_slices(docs, wanted, text).dropDuplicates(["k", "s", "e"]), "slices")
+    words = stored(_slices(docs, wanted, text), "slices")
     mine = words.select("k", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("w").alias("w1"))
     other = words.select(F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("w").alias("w2"))
     both = passages.join(mine, ["k", "s1", "e1"]).join(other, ["k2", "s2", "e2"]).select("k", "s1", "s2", "x1", "y1", "w1", "w2", (F.col("k") == F.col("k2")).alias("own"))
