@@ -1 +1,5 @@
+"""Adapters from the star-schema tables, and the registered queries."""
 
+from . import queries, reports
+
+__all__ = ["queries", "reports"]

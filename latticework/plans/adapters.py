@@ -16,8 +16,13 @@ def text(c: str):
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sightings from events; ``seq`` is their order."""
+    return observations_of(table(spark, sf_dir, "events"))
+
+
+def observations_of(events: DataFrame) -> DataFrame:
+    """Sightings from a table or stream of events."""
     user, seq = F.col("user_id"), F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         seq.alias("seq"), F.concat(F.lit("obs-"), text("event_id")).alias("id"),
         F.when(F.col("event_type") == "view", "enrichment").otherwise("discovery").alias("kind"),
         F.when(user % 3 == 0, "ip").otherwise("domain").alias("type"),
