@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUP = ["collector", "seed_id", "scenario"]
@@ -59,3 +59,16 @@ def review_queue(outcomes: DataFrame, manual: bool = True, pending_below: float
 def decisions_to_outcomes(candidates: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     """Every candidate has an outcome: without a decision it is not collected, and not explicit."""
     return candidates.join(decisions, key, "left").select(key, F.coalesce("collect", F.lit(False)).alias("collect"), F.col("collect").isNotNull().alias("explicit"))
+
+
+def merge_evidence(evidence: DataFrame) -> DataFrame:
+    """Evidence of a seed with equal source, kind and value becomes one, in first-seen order (``position``); rows without any of these go."""
+    by = ["seed_key", "source", "kind", "value"]
+    one = evidence.filter("not (source = '' and kind = '' and value = '')").groupBy(*by).agg(F.max("confidence").alias("confidence"), F.bool_or("reasoned").alias("reasoned"), F.min("seq").alias("at"))
+    return one.withColumn("position", F.row_number().over(Window.partitionBy("seed_key").orderBy("at"))).drop("at")
+
+
+def promotion_gate(candidates: DataFrame, decisions: DataFrame, manual: bool = True) -> DataFrame:
+    """Candidates (root) with what a prior review (root, collect) says of them; without one they wait if ``manual``."""
+    gate = F.when(F.col("collect"), "accepted").when(~F.col("collect"), "rejected").otherwise("pending" if manual else "accepted")
+    return candidates.join(decisions, "root", "left").withColumn("decision", gate).drop("collect")

@@ -8,13 +8,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from latticework.functions import keys
-from latticework.operators import details
+from latticework.operators import details, judged
 from latticework.sources import captures
 from latticework.streaming import live_assets as live
 
 from . import adapters as ad
 from . import queries as base
-from .adapters import OBSERVATIONS, table
+from .adapters import OBSERVATIONS, OUTCOMES, table
 from .queries import CANONICAL, ORACLE_SQL, query
 
 
@@ -119,3 +119,35 @@ def live_assets(spark, sf_dir):
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir)
     folder = _folder(spark)
     return live.live_assets(spark, ad.observations_of(events), f"{folder}/live", f"{folder}/progress")
+
+
+@query("select distinct l_orderkey as seed_id, unnest([concat('Host', l_partkey, '.com'), concat('www.org', l_suppkey % 7, '.com')]) as name from lineitem")
+def ct_names(spark, sf_dir):
+    """Names in captured certificate logs, one body per order."""
+    value = F.concat(F.lit("*.Host"), ad.text("l_partkey"), F.lit(".com\n www.org"), (F.col("l_suppkey") % 7).cast("string"), F.lit(".com\n"))
+    return captures.ct_names(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seed_id")).agg(F.to_json(F.collect_list(F.struct(value.alias("name_value")))).alias("body")))
+
+
+@query("select l_orderkey as seed_id, concat('https://host', l_partkey, '.com/p/', l_linenumber) as loc from lineitem where l_orderkey % 10 <> 0")
+def sitemap_locs(spark, sf_dir):
+    """Locations in captured sitemaps, one body per order; every tenth has another root."""
+    loc = F.concat(F.lit("<url><loc> https://host"), ad.text("l_partkey"), F.lit(".com/p/"), ad.text("l_linenumber"), F.lit("\n</loc></url>"))
+    name = F.when(F.col("seed_id") % 10 == 0, "feed").otherwise("urlset")
+    body = F.concat(F.lit('<?xml version="1.0"?><'), name, F.lit(' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(loc), ""), F.lit("</"), name, F.lit(">"))
+    return captures.sitemap_locs(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seed_id")).agg(body.alias("body")))
+
+
+@query(f"with {OUTCOMES}, e as (select seed_id as seed_key, collector as source, kind, root as value, max(confidence) as confidence, bool_or(explicit) as reasoned, min(eval_seq) as sq from oc group by 1, 2, 3, 4) select seed_key, source, kind, value, confidence, reasoned, row_number() over (partition by seed_key order by sq) as position from e")
+def merge_evidence(spark, sf_dir):
+    """Evidence of each seed, repeats merged."""
+    rows = ad.outcomes(spark, sf_dir).select(F.col("seed_id").alias("seed_key"), F.col("collector").alias("source"), "kind", F.col("root").alias("value"), "confidence", F.col("explicit").alias("reasoned"), F.col("eval_seq").alias("seq"))
+    return judged.merge_evidence(rows)
+
+
+@query(f"with {OUTCOMES}, c as (select distinct seed_id, root from oc where collect and confidence >= 0.5), d as (select concat('root', s_suppkey % 97, '.com') as root, bool_or(s_suppkey % 5 = 0) as collect from supplier where s_suppkey % 3 = 0 group by 1) select seed_id, c.root, case when collect then 'accepted' when not collect then 'rejected' else 'pending' end as decision from c left join d on c.root = d.root")
+def promotion_gate(spark, sf_dir):
+    """Candidates that pass the confidence gate, by the prior reviews of their roots."""
+    found = ad.outcomes(spark, sf_dir).filter(judged.confidence_gate(F.col("collect"), F.col("confidence"))).select("seed_id", "root").distinct()
+    key = F.col("s_suppkey")
+    reviews = table(spark, sf_dir, "supplier").filter(key % 3 == 0).groupBy(F.concat(F.lit("root"), (key % 97).cast("string"), F.lit(".com")).alias("root")).agg(F.bool_or(key % 5 == 0).alias("collect"))
+    return judged.promotion_gate(found, reviews)

@@ -30,3 +30,17 @@ def rejected_bodies(bodies: DataFrame) -> DataFrame:
 def archive_hosts(urls: DataFrame) -> DataFrame:
     """Distinct hosts of archived URLs (url)."""
     return urls.select(url_host(F.col("url")).alias("host")).filter(F.col("host").rlike(HOST)).distinct()
+
+
+def ct_names(bodies: DataFrame) -> DataFrame:
+    """Distinct names (case counts) of certificate logs: JSON arrays of records whose name_value holds one name a line."""
+    records = bodies.select("seed_id", F.explode(F.from_json("body", "array<struct<name_value string>>")).alias("r"))
+    names = records.select("seed_id", F.explode(F.split("r.name_value", "\n")).alias("n")).select("seed_id", F.regexp_replace(trimmed(F.col("n")), r"^\*\.", "").alias("name"))
+    return names.filter("name <> ''").distinct()
+
+
+def sitemap_locs(bodies: DataFrame) -> DataFrame:
+    """Locations of sitemaps and of indexes of sitemaps; other roots give none."""
+    known = F.col("body").rlike(r"(?s)^\s*(<\?xml.*?\?>)?\s*<(\w+:)?(urlset|sitemapindex)[\s>]")
+    locs = bodies.filter(known).select("seed_id", F.explode(F.xpath("body", F.lit("//*[local-name()='loc']/text()"))).alias("l"))
+    return locs.select("seed_id", trimmed(F.col("l")).alias("loc")).filter("loc <> ''")
