@@ -6,8 +6,8 @@ root of the product of their numbers. Landmarks chosen from labelled texts give
 kernel ridge regression on these features gives a weight for each landmark and language, and a batch of texts is
 scored by two matrix products.
 
-The classifier is fitted on a bounded sample of labelled rows (``sample`` per language, in the order of a hash of
-the text), prediction covers each row and its whole text. A null text, or one without a letter, gives ``und`` and
+The classifier is fitted on a bounded sample of labelled texts (``sample`` distinct ones per language, in the order of
+a hash of the text), prediction covers each row and its whole text. A null text, or one without a letter, gives ``und`` and
 score 0. With no labelled row at all every text gets ``und``. Repeated rows get equal results, input columns named
 like the new ones are replaced.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, small_batches
 
-#: Labelled texts per language that the classifier is fitted on, at most, and landmarks per language among them.
+#: Distinct labelled texts per language that the classifier is fitted on, at most, and landmarks per language among them.
 SAMPLE, LANDMARKS = 500, 48
 #: Longest n-gram, ridge and jitter.
 LONGEST, RIDGE, JITTER = 3, 1e-2, 1e-6
@@ -115,16 +115,18 @@ def _fit(rows: list[tuple[str, np.ndarray]], landmarks: int, ridge: float) -> Mo
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on at most ``sample`` rows of each language; rows with null text or language take no part.
+    """Fit on at most ``sample`` distinct texts of each language; rows with null text or language take no part.
 
-    The rank over a language's rows is cut to ``sample`` in each map task before the shuffle, so a language that most
-    rows have is no burden. Only the bounded sample's n-gram sets reach the driver.
+    The sample is settled on hashes alone: distinct (language, hash) pairs are combined before their shuffle, and a
+    language's rank is cut to ``sample`` before the one that ranks it. Texts are read for the hashes up to that limit only,
+    repeated ones combined in the map tasks, so neither a language that most rows have nor copies are a burden. The limits
+    are one row a language, less than the model, and only the bounded sample's n-gram sets reach the driver.
     """
     small_batches(labelled.sparkSession)
-    order = F.xxhash64(F.col(text))
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("h")).filter("lang is not null and text is not null")
-    rows = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= sample).select("lang", "h", "text")
+    named = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    first = named.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample)
+    limits = first.groupBy("lang").agg(F.max("h").alias("most"))
+    rows = named.join(F.broadcast(limits), "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def make(b: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"grams": pa.array([grams(t).astype(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))}
