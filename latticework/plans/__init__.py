@@ -1,5 +1,5 @@
 """Adapters from the star-schema tables, and the registered queries."""
 
-from . import queries, reports
+from . import collected, queries, reports
 
-__all__ = ["queries", "reports"]
+__all__ = ["collected", "queries", "reports"]
