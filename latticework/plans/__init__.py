@@ -1,5 +1,5 @@
 """Adapters from the star-schema tables, and the registered queries."""
 
-from . import collected, enriched, queries, reports
+from . import collected, enriched, expanded, queries, reports
 
-__all__ = ["collected", "enriched", "queries", "reports"]
+__all__ = ["collected", "enriched", "expanded", "queries", "reports"]

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from latticework.functions import keys
 from latticework.operators import details, judged
+from latticework.session import folder
 from latticework.sources import captures
 from latticework.streaming import live_assets as live
 
@@ -98,16 +96,12 @@ def asset_rows(spark, sf_dir):
     return rows.join(base.observation_summary(spark, sf_dir).select(*by, "first_us", "last_us"), by)
 
 
-def _folder(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='latticework-')}/latticework/{uuid.uuid4().hex}"
-
-
 @query(f"with {CANONICAL} select asset_id, case when type = 'ip' then 'ip' when root = asset_key then 'registrable' else 'subdomain' end as domain_kind, type, asset_key as identifier, sources, strftime(make_timestamp(first_seen_us), '%Y-%m-%d %H:%M:%S') as date from rooted where sources <> ''")
 def export_csv(spark, sf_dir):
     """Assets written as CSV with a header, read back."""
     kind = F.when(F.col("type") == "ip", "ip").when(F.col("root") == F.col("asset_key"), "registrable").otherwise("subdomain")
     rows = base._rooted(spark, sf_dir).filter("sources <> ''").select("asset_id", kind.alias("domain_kind"), "type", F.col("asset_key").alias("identifier"), "sources", F.date_format(F.timestamp_micros("first_seen_us"), "yyyy-MM-dd HH:mm:ss").alias("date"))
-    path = _folder(spark)
+    path = folder(spark)
     rows.write.csv(path, header=True)
     return spark.read.schema(rows.schema).csv(path, header=True)
 
@@ -117,8 +111,8 @@ def live_assets(spark, sf_dir):
     """Sightings streamed into the live fold."""
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir)
-    folder = _folder(spark)
-    return live.live_assets(spark, ad.observations_of(events), f"{folder}/live", f"{folder}/progress")
+    base_dir = folder(spark)
+    return live.live_assets(spark, ad.observations_of(events), f"{base_dir}/live", f"{base_dir}/progress")
 
 
 @query("select distinct l_orderkey as seed_id, unnest([concat('Host', l_partkey, '.com'), concat('www.org', l_suppkey % 7, '.com')]) as name from lineitem")
