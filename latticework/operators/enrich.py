@@ -158,3 +158,25 @@ def budget_batches(rows: DataFrame, by: list[str], order: str, size: str, budget
 
     dealt = rows.repartition(*by).sortWithinPartitions(*by, order)
     return dealt.mapInArrow(walk, StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
+
+
+def assets_of_seed(assets: DataFrame, contributed: DataFrame, seed_roots: DataFrame) -> DataFrame:
+    """Assets (asset_key, root) of each seed: by an enumeration that contributed them (asset_key, seed_id), else by the seed's roots."""
+    by_enumeration = contributed.filter("seed_id is not null").select("seed_id", "asset_key", F.lit(0).alias("how"))
+    by_root = assets.join(seed_roots.select("seed_id", "root").distinct(), "root").select("seed_id", "asset_key", F.lit(1).alias("how"))
+    both = by_enumeration.union(by_root).groupBy("seed_id", "asset_key").agg(F.min("how").alias("how"))
+    return both.select("seed_id", "asset_key", F.when(F.col("how") == 0, "enumeration").otherwise("root").alias("via"))
+
+
+def search_edges(candidates: DataFrame, queries: DataFrame, focus: DataFrame, decisions: DataFrame, longest: int = 320) -> DataFrame:
+    """Edges from the root searched for (seed_id, focus) to accepted candidates (seed_id, root, summary), with the first query (seed_id, pos, query) and the summary as reason."""
+    first = queries.groupBy("seed_id").agg(F.min_by("query", "pos").alias("query"))
+    rows = candidates.join(decisions.filter("collect").select("seed_id", "root"), ["seed_id", "root"], "left_semi").join(focus, "seed_id").join(first, "seed_id", "left")
+    reason = F.concat_ws(": ", "query", "summary")
+    cut = F.when(F.length(reason) > longest, F.concat(F.substring(reason, 1, longest), F.lit("..."))).otherwise(reason)
+    return rows.select("seed_id", F.col("focus").alias("from_identifier"), F.col("root").alias("to_identifier"), F.lit("search_result").alias("kind"), cut.alias("reason"))
+
+
+def registration_assets(frontier: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Domain sightings (enumeration_id, identifier, registrar_name, created) from registrations of the frontier's domains."""
+    return frontier.join(registrations, "domain").select("enumeration_id", F.col("domain").alias("identifier"), F.lit("rdap").alias("source"), "registrar_name", "created", "registrant_org")

@@ -20,3 +20,11 @@ def cap_per_group(rows: DataFrame, by: str, order: list[str], most: int) -> Data
 
 def fixed_batches(rows: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size).cast("bigint"))
+
+
+def sampled_roots(rows: DataFrame, by: list[str], sample: str, order: str, k: int) -> DataFrame:
+    """Per group its rows (``hits``), distinct samples, and the first ``k`` of these in arrival order. Samples are combined before they are ranked."""
+    seen = rows.groupBy(*by, sample).agg(F.count("*").alias("c"), F.min(order).alias("at"))
+    ranked = seen.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("at", sample)))
+    top = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= k, F.struct("r", F.col(sample).cast("string").alias("s"))))), lambda x: x.s)
+    return ranked.groupBy(*by).agg(F.sum("c").alias("hits"), F.count("*").alias("distinct_samples"), F.array_join(top, ",").alias("samples"))

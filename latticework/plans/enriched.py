@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.functions import keys
-from latticework.operators import enrich
+from latticework.operators import enrich, windows
+from latticework.sources import records
 
 from . import adapters as ad
 from .adapters import OBSERVATIONS, OUTCOMES, SEEDS, table
-from .queries import query
+from .collected import SEARCHED, _rdap, _search_bodies
+from .queries import _rules, query
 
 ENUMS = "en as (select concat('enum-', c_custkey) as id, concat('seed-', c_custkey) as seed_id, c_name as company_name from customer where c_custkey < 20)"
 PROV = "pv as (select type, asset_key, enumeration_id, source, min(seen_us) as seen_us from o group by all)"
@@ -145,8 +147,6 @@ def variant_roots(spark, sf_dir):
 @query(f"with {OBSERVATIONS}, a as (select distinct regexp_extract(asset_key, '([^.]+\\.[^.]+)$', 1) as root, asset_key, source, null as ptr from o where type = 'domain'), p as (select distinct concat('org', seq % 45, '.com') as root, null, null, concat('host', seq % 90, '.org', seq % 45, '.com') as ptr from o where type = 'ip'), u as (select * from a union all select * from p) select root, greatest(1, count(distinct asset_key)) as assets, coalesce(string_agg(distinct asset_key, ',' order by asset_key), '') as identifiers, coalesce(string_agg(distinct source, ',' order by source), '') as sources, coalesce(string_agg(distinct ptr, ',' order by ptr), '') as ptr_hosts from u group by root")
 def root_facts(spark, sf_dir):
     """What is known of each registrable root."""
-    from .queries import _rules
-
     obs = ad.observations(spark, sf_dir).withColumn("asset_key", keys.asset_key(F.col("identifier")))
     root = F.concat(F.lit("org"), (F.col("seq") % 45).cast("string"), F.lit(".com"))
     ptrs = obs.filter("type = 'ip'").select(root.alias("root"), F.concat(F.lit("host"), (F.col("seq") % 90).cast("string"), F.lit("."), root).alias("ptr")).distinct()
@@ -159,3 +159,37 @@ def budget_batches(spark, sf_dir):
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), k.alias("item"), (k * 7919 % 100).alias("size"))
     return enrich.budget_batches(rows, ["grp"], "item", "size", 90).select("grp", "item", "batch")
+
+
+@query(f"with {OBSERVATIONS}, l as (select enumeration_id, concat('org', seq % 45, '.com') as root, concat('h', seq % 6, '.org', seq % 45, '.com') as host, seq from o where type = 'ip'), f as (select enumeration_id, root, host, count(*) as c, min(seq) as sq from l group by all), r as (select *, row_number() over (partition by enumeration_id, root order by sq, host) as r from f) select enumeration_id, root, sum(c)::bigint as hits, count(*) as distinct_samples, string_agg(host, ',' order by r) filter (where r <= 3) as samples from r group by 1, 2")
+def ptr_roots(spark, sf_dir):
+    """Roots that addresses point to, with hits and first hosts."""
+    root = F.concat(F.lit("org"), (F.col("seq") % 45).cast("string"), F.lit(".com"))
+    rows = ad.observations(spark, sf_dir).filter("type = 'ip'").select("enumeration_id", root.alias("root"), F.concat(F.lit("h"), (F.col("seq") % 6).cast("string"), F.lit("."), root).alias("host"), "seq")
+    return windows.sampled_roots(rows, ["enumeration_id", "root"], "host", "seq", 3)
+
+
+@query(f"with {CONTRIB}, a as (select distinct asset_key, regexp_extract(asset_key, '([^.]+\\.[^.]+)$', 1) as root from o where type = 'domain'), s as (select distinct concat('seed-', c_custkey) as seed_id, concat('org', c_custkey % 40, '.com') as root from customer where c_custkey % 10 = 1), b as (select distinct seed_id, asset_key, 0 as how from cb where seed_id is not null and type = 'domain' union all select seed_id, asset_key, 1 from a join s on a.root = s.root) select seed_id, asset_key, case when min(how) = 0 then 'enumeration' else 'root' end as via from b group by 1, 2")
+def assets_of_seed(spark, sf_dir):
+    """Assets of each seed, by enumeration or root."""
+    c = _contributors(spark, sf_dir).filter("type = 'domain'").select("asset_key", "seed_id").distinct()
+    k = F.col("c_custkey")
+    roots = table(spark, sf_dir, "customer").filter(k % 10 == 1).select(F.concat(F.lit("seed-"), k.cast("string")).alias("seed_id"), F.concat(F.lit("org"), (k % 40).cast("string"), F.lit(".com")).alias("root"))
+    return enrich.assets_of_seed(keys.attach_root(c.select("asset_key").distinct(), "asset_key", _rules(spark)), c, roots)
+
+
+@query("select concat('enum-', o_orderkey) as enumeration_id, concat('dom', o_custkey, '.com') as identifier, 'rdap' as source, 'Reg' as registrar_name, '2020-02-03' as created, concat('Org ', c_name) as registrant_org from orders join customer on o_custkey = c_custkey where c_custkey % 2 = 0")
+def registration_assets(spark, sf_dir):
+    """Sightings from registrations of the frontier's domains."""
+    front = table(spark, sf_dir, "orders").select(F.concat(F.lit("enum-"), ad.text("o_orderkey")).alias("enumeration_id"), F.concat(F.lit("dom"), ad.text("o_custkey"), F.lit(".com")).alias("domain"))
+    return enrich.registration_assets(front, _rdap(spark, sf_dir)).withColumn("created", F.date_format("created", "yyyy-MM-dd"))
+
+
+@query(f"with {SEARCHED} select seed_id, concat('focus', seed_id, '.com') as from_identifier, concat('org', p % 40, '.com') as to_identifier, 'search_result' as kind, concat('Who: part ', p) as reason from r where rank <= 10 and p % 40 < 20")
+def search_edges(spark, sf_dir):
+    """Edges to accepted candidates of searches."""
+    bodies = _search_bodies(spark, sf_dir)
+    found = records.search_candidates(bodies, _rules(spark)).select("seed_id", "root", "summary")
+    decisions = found.select("seed_id", "root", (F.regexp_extract("root", r"org(\d+)", 1).cast("int") < 20).alias("collect"))
+    focus = bodies.select("seed_id", F.concat(F.lit("focus"), ad.text("seed_id"), F.lit(".com")).alias("focus"))
+    return enrich.search_edges(found, records.search_queries(bodies), focus, decisions)
