@@ -5,7 +5,8 @@ one of smallest hash, so common stretches keep common seeds. Each seed's first o
 and place, stands for it: every other occurrence is matched with that one alone, so seeds that very many documents share
 give one match each and no pairs. Matches of a document with another are chained: both places must rise, words between
 two matches cost, and a Fenwick tree over places in the other document gives the best predecessor. Each chain is aligned
-word by word, beyond its ends too, and bridges small differences. A passage of at least ``LEAST`` words of which at least
+word by word, beyond its ends too; small differences are bridged, and alignment starts again at the next match of the
+chain beyond a larger one. A passage of at least ``LEAST`` words of which at least
 ``SIMILAR`` are matched is a repeat; it goes from the later document and stays in the first.
 
 A null text stays null. Rows that repeat doc_id and text are one document and get the same result. Input columns stay.
@@ -29,8 +30,9 @@ SEED, WINDOW, LEAST, SIMILAR = 6, 20, 50, 0.8
 CHAIN = 2
 #: Words within which another match makes a lone one count.
 NEAR = 12
-#: Cost of a word between two matches on either side; words beyond a chain's ends that alignment may add; words that one difference may span.
-GAP, MARGIN, BRIDGE = 0.1, 64, 8
+#: Cost of a word between two matches on either side; words beyond a chain's ends that alignment may add; words that one difference may span
+#: (those that a passage of LEAST words may have unmatched).
+GAP, MARGIN, BRIDGE = 0.1, 64, 10
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-"
 _MEMO: dict[str, int] = {}
 
@@ -100,20 +102,23 @@ def chains(x: list[int], y: list[int]) -> list[list[int]]:
     return out
 
 
-def _run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """From the start of both: words of ``a`` and of ``b`` aligned, and how many of them match; ends at the last match."""
-    i = j = same = 0
+def _run(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Stretches (place in ``a``, place in ``b``, words) that match, from the start of both, with differences of at most BRIDGE words between."""
+    i = j = 0
+    out = []
     while True:
-        n = min(len(a) - i, len(b) - j)
+        n, begin = min(len(a) - i, len(b) - j), i
         step = 64
         while n:
             m = min(n, step)
             differ = np.flatnonzero(a[i : i + m] != b[j : j + m])
             m = int(differ[0]) if len(differ) else m
-            i, j, same = i + m, j + m, same + m
+            i, j = i + m, j + m
             if len(differ):
                 break
             n, step = min(len(a) - i, len(b) - j), step * 4
+        if i > begin:
+            out.append((begin, j - (i - begin), i - begin))
         # the smallest shift of both sides after which three words match again
         near, far = a[i : i + BRIDGE + 3].tolist(), b[j : j + BRIDGE + 3].tolist()
         three: dict[tuple[int, ...], int] = {}
@@ -121,16 +126,63 @@ def _run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
             three[far[t], far[t + 1], far[t + 2]] = t
         shifts = [(s + t, abs(s - t), s, t) for s in range(len(near) - 2) if (t := three.get((near[s], near[s + 1], near[s + 2]))) is not None]
         if not shifts:
-            return i, j, same
+            return out
         _, _, s, t = min(shifts)
         i, j = i + s, j + t
 
 
-def aligned(a: np.ndarray, b: np.ndarray, at: int, on: int) -> tuple[int, int, float]:
-    """The passage of ``a`` around a matched word ``at`` (``on`` in ``b``): first and end word, share of words matched."""
-    i, j, right = _run(a[at:], b[on:])
-    k, m, left = _run(a[:at][::-1], b[:on][::-1])
-    return at - k, at + i, (left + right) / max(1, i + k, j + m)
+def stretches(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int]) -> list[tuple[int, int, int]]:
+    """Matching stretches along a chain of matched places: alignment starts again at each match that the one before did not reach."""
+    out: list[tuple[int, int, int]] = []
+    i = j = 0  # where the alignment so far ends
+    for at, on in zip(x, y, strict=True):
+        if at < i or on < j:
+            continue
+        right = _run(a[at:], b[on:])
+        if not right:
+            continue
+        left = _run(a[i:at][::-1], b[j:on][::-1])
+        out += [(at - k - n, on - m - n, n) for k, m, n in reversed(left)]
+        out += [(at + k, on + m, n) for k, m, n in right]
+        i, j = out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]
+    return out
+
+
+def passages_of(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end) in both texts of each run of stretches, at most BRIDGE words apart, that has LEAST words and the share SIMILAR of them
+    matched; where runs overlap their union counts."""
+    out: list[tuple[int, int, int, int]] = []
+    at = 0
+    while at < len(found):
+        end = at + 1
+        while end < len(found) and max(found[end][0] - sum(found[end - 1][::2]), found[end][1] - sum(found[end - 1][1:])) <= BRIDGE:
+            end += 1
+        part, at = found[at:end], end
+        # each matched word gives 1 - SIMILAR, each other one costs SIMILAR: from each start, the furthest end of no negative sum
+        before, after, total, last = [], [], 0.0, None
+        for x, y, n in part:
+            total -= 0.0 if last is None else SIMILAR * max(x - last[0], y - last[1])
+            before.append(total)
+            total += (1 - SIMILAR) * n
+            after.append(total)
+            last = (x + n, y + n)
+        best = list(np.maximum.accumulate(after[::-1])[::-1])  # the highest sum at or beyond each end
+        e = 0
+        for s in range(len(part)):
+            e = max(e, s)
+            while e + 1 < len(part) and best[e + 1] >= before[s] - 1e-9:
+                e += 1
+            t = e
+            while t > s and after[t] < before[s] - 1e-9:
+                t -= 1
+            (x, y, _), (x2, y2, n) = part[s], part[t]
+            if x2 + n - x < LEAST:
+                continue
+            if out and x <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], x2 + n), out[-1][2], max(out[-1][3], y2 + n))
+            else:
+                out.append((x, x2 + n, y, y2 + n))
+    return out
 
 
 def _ident(text: str) -> list[Column]:
@@ -150,7 +202,7 @@ def _seed_rows(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _chained(matches: DataFrame) -> DataFrame:
-    """From matches (k, pos, k2, pos2): one row per chain, with its first match and its reach on both sides."""
+    """From matches (k, pos, k2, pos2): one row per chain, with the places of its matches on both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["k"]):
@@ -161,14 +213,15 @@ def _chained(matches: DataFrame) -> DataFrame:
             places = np.unique(key)
             near = (np.searchsorted(places, key + NEAR, "right") - np.searchsorted(places, key - NEAR)) >= CHAIN
             for s, e in zip(starts, starts[1:], strict=False):
-                out += [(s + c[0], s + c[-1]) for c in chains(x[s:e], y[s:e]) if len(c) >= CHAIN or near[s + c[0]]]
+                out += [np.array(c) + s for c in chains(x[s:e], y[s:e]) if len(c) >= CHAIN or near[s + c[0]]]
             if not out:
                 continue
-            first, last = np.array(out).T
-            take = lambda n, i: pa.array(column_np(t, n)[i])
-            yield pa.RecordBatch.from_arrays([take("k", first), take("k2", first), take("pos", first), take("pos", last), take("pos2", first), take("pos2", last)], names=["k", "k2", "x1", "x2", "y1", "y2"])
+            every, sizes = np.concatenate(out), [len(c) for c in out]
+            take = lambda n: pa.array(column_np(t, n)[[c[0] for c in out]])
+            places = [list_array(column_np(t, n)[every], sizes, pa.int32()) for n in ("pos", "pos2")]
+            yield pa.RecordBatch.from_arrays([take("k"), take("k2"), *places], names=["k", "k2", "x", "y"])
 
-    return matches.repartition("k").sortWithinPartitions("k", "k2", "pos", "pos2").mapInArrow(run, "k bigint, k2 bigint, x1 int, x2 int, y1 int, y2 int")
+    return matches.repartition("k").sortWithinPartitions("k", "k2", "pos", "pos2").mapInArrow(run, "k bigint, k2 bigint, x array<int>, y array<int>")
 
 
 def _slices(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -201,24 +254,27 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     hits = stored(found.join(again, "seed"), "hits")
     first = hits.groupBy("seed").agg(F.min(place).alias("f"))
     matches = hits.join(first, "seed").filter(place != F.col("f")).select("k", "pos", F.col("f.k").alias("k2"), F.col("f.pos").alias("pos2")).distinct()
-    low = lambda c: F.greatest(F.lit(0), F.col(c) - MARGIN)
-    passages = _chained(matches).withColumns({"s1": low("x1"), "e1": F.col("x2") + SEED + MARGIN, "s2": low("y1"), "e2": F.col("y2") + SEED + MARGIN})
+    low = lambda c: F.greatest(F.lit(0), F.element_at(c, 1) - MARGIN)
+    high = lambda c: F.element_at(c, -1) + SEED + MARGIN
+    passages = _chained(matches).withColumns({"s1": low("x"), "e1": high("x"), "s2": low("y"), "e2": high("y")})
     passages = stored(passages, "chains")
     wanted = passages.select("k", F.col("s1").alias("s"), F.col("e1").alias("e")).union(passages.select("k2", "s2", "e2"))
     words = stored(_slices(docs, wanted, text), "slices")
     mine = words.select("k", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("w").alias("w1"))
     other = words.select(F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("w").alias("w2"))
-    both = passages.join(mine, ["k", "s1", "e1"]).join(other, ["k2", "s2", "e2"]).select("k", "s1", "s2", "x1", "y1", "w1", "w2", (F.col("k") == F.col("k2")).alias("own"))
+    both = passages.join(mine, ["k", "s1", "e1"]).join(other, ["k2", "s2", "e2"]).select("k", "s1", "s2", "x", "y", "w1", "w2", (F.col("k") == F.col("k2")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, s, e = [], [], []
             w1, w2 = b.column(5), b.column(6)
             for i, (k, s1, s2, x, y, own) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 3, 4, 7)), strict=True)):
-                lo, hi, share = aligned(w1[i].values.to_numpy(), w2[i].values.to_numpy(), x - s1, y - s2)
-                if own:
-                    lo = max(lo, y - x + hi)  # a passage that overlaps its own first occurrence starts after it
-                if hi - lo >= LEAST and share >= SIMILAR:
+                found = stretches(w1[i].values.to_numpy(), w2[i].values.to_numpy(), [p - s1 for p in x], [p - s2 for p in y])
+                for lo, hi, _, hi2 in passages_of(found):
+                    if own:
+                        lo = max(lo, hi2 + s2 - s1)  # a passage that overlaps its own first occurrence starts after it
+                        if hi - lo < LEAST:
+                            continue
                     key.append(k)
                     s.append(lo + s1)
                     e.append(hi + s1)

@@ -243,6 +243,44 @@ def test_passages(spark):
         assert len(got[i].text.split()) == got[i].n_words - got[i].n_removed
 
 
+def _gone(spark, texts):
+    """Per text the places of its words that go (texts of words that occur once in a text)."""
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)]
+    got = {r.doc_id: set(r.text.split()) for r in passage_dedup.dedup_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    return [[p for p, x in enumerate(w) if x not in got[i]] for i, w in enumerate(texts)]
+
+
+def test_passages_along_a_chain(spark):
+    some = lambda n, tag: [f"{tag}x{i}" for i in range(n)]
+    for gap in (15, 40, 140):  # two passages with other words between
+        p, q = some(61, "p"), some(63, "q")
+        a, b = some(20, "a") + p + some(gap, "c") + q, some(30, "b") + p + some(gap, "d") + q + some(9, "e")
+        assert _gone(spark, [a, b]) == [[], [*range(30, 91), *range(91 + gap, 154 + gap)]]
+    for n, gone in ((10, range(0, 210)), (12, range(52, 212))):  # words inserted after the 40th; beyond ten the first part is no passage
+        p = some(200, "p")
+        assert _gone(spark, [p, p[:40] + some(n, "i") + p[40:]]) == [[], [*gone]]
+    s, p = some(12, "s"), some(60, "p")  # a stray phrase first
+    assert _gone(spark, [s + some(30, "a") + p, s + some(33, "b") + p]) == [[], [*range(45, 105)]]
+
+
+def test_passages_of(spark):
+    rng = random.Random(3)
+    for _ in range(300):
+        found, x, y = [], 0, 0
+        for _ in range(rng.randint(1, 9)):
+            n = rng.randint(1, 40)
+            found.append((x, y, n))
+            x, y = x + n + rng.randint(0, 14), y + n + rng.randint(0, 14)
+        want = set()
+        for s in range(len(found)):
+            for e in range(s, len(found)):
+                gaps = [max(found[i + 1][c] - found[i][c] - found[i][2] for c in (0, 1)) for i in range(s, e)]
+                same, hi = sum(f[2] for f in found[s : e + 1]), found[e][0] + found[e][2]
+                if all(g <= 10 for g in gaps) and same >= 0.8 * (same + sum(gaps)) - 1e-6 and hi - found[s][0] >= 50:
+                    want |= set(range(found[s][0], hi))
+        assert {w for lo, hi, _, _ in passage_dedup.passages_of(found) for w in range(lo, hi)} == want
+
+
 def test_chains():
     assert passage_dedup.chains([0, 10, 20, 500], [3, 13, 22, 1]) == [[0, 1, 2], [3]]
 
