@@ -1,13 +1,16 @@
 """Fuzzy duplicate passages by collinear chaining (operator 9).
 
 Words (lower case, without punctuation at the ends) make ``SEED``-word seeds, of which every run of ``WINDOW`` keeps the
-one of smallest hash, so common stretches keep common seeds. Each seed's first occurrence, by doc_id (nulls last), row
-and place, stands for it: every other occurrence is matched with that one alone, so seeds that very many documents share
-give one match each and no pairs. Matches of a document with another are chained: both places must rise, words between
-two matches cost, and a Fenwick tree over places in the other document gives the best predecessor. Each chain is aligned
+one of smallest hash, so common stretches keep common seeds. Each occurrence of a seed, by doc_id (nulls last), row and place,
+is matched with the first one and with the one before it: at most two matches each, also for seeds that very many
+documents share. Matches of a document with another are chained: both places must rise, words between two matches cost,
+and a Fenwick tree over places in the other document gives the best predecessor. Each chain, of one match too, is aligned
 word by word, beyond its ends too; small differences are bridged, and alignment starts again at the next match of the
-chain beyond a larger one. A passage of at least ``LEAST`` words of which at least
-``SIMILAR`` are matched is a repeat; it goes from the later document and stays in the first.
+chain beyond a larger one. A passage of at least ``LEAST`` words of which at least ``SIMILAR`` are matched is a repeat; it
+goes from the later document and stays in the first.
+
+Unchanged passages are found exactly, whatever their seeds were matched with: where all kept seeds of a stretch repeat,
+every window of ``LEAST`` words is hashed, and all but the first occurrence of each go.
 
 A null text stays null. Rows that repeat doc_id and text are one document and get the same result. Input columns stay.
 """
@@ -26,10 +29,6 @@ from pyspark.sql import functions as F
 from .common import add_columns, column_np, group_starts, list_array, small_batches, stored, whole_groups
 
 SEED, WINDOW, LEAST, SIMILAR = 6, 20, 50, 0.8
-#: Seeds of a chain at least: an unchanged passage of LEAST words has LEAST - SEED + 1 places, so two of each run of WINDOW are kept.
-CHAIN = 2
-#: Words within which another match makes a lone one count.
-NEAR = 12
 #: Cost of a word between two matches on either side; words beyond a chain's ends that alignment may add; words that one difference may span
 #: (those that a passage of LEAST words may have unmatched).
 GAP, MARGIN, BRIDGE = 0.1, 64, 10
@@ -69,6 +68,16 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def chains(x: list[int], y: list[int]) -> list[list[int]]:
     """Chains of matches (indexes, ascending): ``x`` ascending, both places strictly rising along a chain."""
+    if all(map(int.__lt__, x, x[1:])) and all(map(int.__lt__, y, y[1:])):  # the match before is then the best predecessor
+        one, total = [[0]], float(SEED)
+        for i in range(1, len(x)):
+            gain = total - GAP * (x[i] - x[i - 1] + y[i] - y[i - 1]) + 2 * GAP * SEED
+            if gain > 0:
+                one[-1].append(i)
+            else:
+                one.append([i])
+            total = SEED + max(0.0, gain)
+        return one
     rank = {v: i + 1 for i, v in enumerate(sorted(set(y)))}
     size = len(rank)
     tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (size + 1)
@@ -201,65 +210,154 @@ def _seed_rows(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(*_ident(text), text).mapInArrow(run, "seed bigint, d bigint, k bigint, pos int")
 
 
+def _earlier(rows: DataFrame, both: bool) -> DataFrame:
+    """Each occurrence (k, pos) of a ``seed`` but the first, with that one (k2, pos2); with ``both`` also with the one before it, and the
+    first one with itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: list[np.ndarray] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            old = len(carry[0]) if carry else 0
+            cols = [np.concatenate(c) for c in zip(carry, cols, strict=True)] if old else cols
+            fresh = np.ones(len(cols[0]), bool)  # rows that repeat are one document
+            fresh[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+            seed, k, pos = cols = [c[fresh] for c in cols]
+            at = np.arange(len(seed))
+            new = np.ones(len(seed), bool)
+            new[1:] = seed[1:] != seed[:-1]
+            first = np.maximum.accumulate(np.where(new, at, 0))
+            later = at[(at > first) & (at >= old)]
+            carry = [c[np.unique([first[-1], at[-1]])] for c in cols]
+            one, two = [later], [first[later]]
+            if both:
+                more, lead = later[later - 1 > first[later]], first[later[later - 1 == first[later]]]
+                one, two = [*one, more, lead], [*two, more - 1, lead]
+            one, two = np.concatenate(one), np.concatenate(two)
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[one], pos[one], k[two], pos[two])], names=["k", "pos", "k2", "pos2"])
+
+    order = ["seed", F.col("d").isNull(), "d", "k", "pos"]
+    return rows.repartition("seed").sortWithinPartitions(*order).select("seed", "k", "pos").mapInArrow(run, "k bigint, pos int, k2 bigint, pos2 int")
+
+
 def _chained(matches: DataFrame) -> DataFrame:
-    """From matches (k, pos, k2, pos2): one row per chain, with the places of its matches on both sides."""
+    """From matches (k, pos, k2, pos2): one row per chain, with the places of its matches on both sides; and with no k2, in x the range of
+    each stretch long enough for a passage in which every kept seed repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["k"]):
+            k, k2, x, y = (column_np(t, n) for n in ("k", "k2", "pos", "pos2"))
+            head = group_starts(t, ["k"])
+            spot = np.unique(((np.searchsorted(head, np.arange(len(k)), "right") - 1) << 32) + x)
+            ends = np.flatnonzero(np.append(np.diff(spot) > WINDOW, True))
+            begins = np.append(0, ends[:-1] + 1)
+            lo, hi = (spot[begins] & 0xFFFFFFFF) - WINDOW + 1, (spot[ends] & 0xFFFFFFFF) + SEED + WINDOW - 1
+            wide = hi - np.maximum(lo, 0) >= LEAST
+            cover = np.stack([np.maximum(lo, 0), hi], axis=1)[wide]
+            if len(cover):
+                none = pa.nulls(len(cover), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(k[head[spot[begins] >> 32]][wide]), none, list_array(cover.ravel().astype(np.int32), [2] * len(cover), pa.int32()), pa.nulls(len(cover), pa.list_(pa.int32()))], names=["k", "k2", "x", "y"])
+            other = np.flatnonzero((k != k2) | (x != y))
+            t = t.take(pa.array(other))
+            if not t.num_rows:
+                continue
             starts = [*group_starts(t, ["k", "k2"]).tolist(), t.num_rows]
-            x, y, out = column_np(t, "pos").tolist(), column_np(t, "pos2").tolist(), []
-            # where copies differ, neighbouring seeds can first occur in different documents: a lone match counts if others are near
-            key = (np.cumsum(np.isin(np.arange(len(x)), group_starts(t, ["k"]))) << 32) + np.array(x)
-            places = np.unique(key)
-            near = (np.searchsorted(places, key + NEAR, "right") - np.searchsorted(places, key - NEAR)) >= CHAIN
+            k, k2, x, y = k[other], k2[other], x[other], y[other]
+            xs, ys, out = x.tolist(), y.tolist(), []
             for s, e in zip(starts, starts[1:], strict=False):
-                out += [np.array(c) + s for c in chains(x[s:e], y[s:e]) if len(c) >= CHAIN or near[s + c[0]]]
-            if not out:
-                continue
-            every, sizes = np.concatenate(out), [len(c) for c in out]
-            take = lambda n: pa.array(column_np(t, n)[[c[0] for c in out]])
-            places = [list_array(column_np(t, n)[every], sizes, pa.int32()) for n in ("pos", "pos2")]
-            yield pa.RecordBatch.from_arrays([take("k"), take("k2"), *places], names=["k", "k2", "x", "y"])
+                out += [np.array(c) + s for c in chains(xs[s:e], ys[s:e])]
+            every, sizes, lead = np.concatenate(out), [len(c) for c in out], [c[0] for c in out]
+            yield pa.RecordBatch.from_arrays([pa.array(k[lead]), pa.array(k2[lead]), *(list_array(v[every], sizes, pa.int32()) for v in (x, y))], names=["k", "k2", "x", "y"])
 
     return matches.repartition("k").sortWithinPartitions("k", "k2", "pos", "pos2").mapInArrow(run, "k bigint, k2 bigint, x array<int>, y array<int>")
 
 
+def window_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of each run of LEAST words."""
+    n = len(words) - LEAST + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    factor, h, done, out = 0x9E3779B97F4A7C15, words, 0, np.zeros(n, np.uint64)
+    for bit in range(LEAST.bit_length()):  # h: hashes of runs of 2 ** bit words
+        if LEAST >> bit & 1:
+            out = out * np.uint64(factor) + h[done : done + n]
+            done += 1 << bit
+        if LEAST >> bit == 1:
+            break
+        h = h[: len(h) - (1 << bit)] * np.uint64(factor) + h[1 << bit :]
+        factor = factor * factor & (2**64 - 1)
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
 def _slices(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """Word hashes of the ranges (k, s, e) of texts; ranges are cut to the text."""
+    """Of the ranges (k, s, e, whole) of texts, cut to the text: word hashes w, or where ``whole`` a row per window of LEAST words, with its
+    hash as seed and its place in s."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, s, e, got = [], [], [], []
-            for key, text, ranges in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                w = word_hashes(text).astype(np.uint32).view(np.int32)  # half of each hash
+            k, s, e, got, win = [], [], [], [], []
+            for i, (key, text, ranges) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+                full = word_hashes(text)
+                w = full.astype(np.uint32).view(np.int32)  # half of each hash
                 for r in ranges:
+                    if r["whole"]:
+                        h = window_hashes(full[r["s"] : r["e"]])
+                        win.append((i, r["s"], h))
+                        continue
                     k.append(key)
                     s.append(r["s"])
                     e.append(r["e"])
                     got.append(w[r["s"] : r["e"]])
             if k:
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), list_array(np.concatenate(got), [len(g) for g in got], pa.int32())], names=["k", "s", "e", "w"])
+                n = len(k)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), list_array(np.concatenate(got), [len(g) for g in got], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["k", "s", "e", "w", "seed", "d"])
+            row = np.repeat([i for i, _, _ in win], [len(h) for _, _, h in win]).astype(np.int64)
+            if len(row):
+                n, row = len(row), pa.array(row)
+                at = np.concatenate([np.arange(s, s + len(h), dtype=np.int32) for _, s, h in win])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(at), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.array(np.concatenate([h for _, _, h in win]).view(np.int64)), b.column(1).take(row)], names=["k", "s", "e", "w", "seed", "d"])
+
+    ranges = wanted.distinct().groupBy("k").agg(F.collect_list(F.struct("s", "e", "whole")).alias("r"))
+    texts = docs.select(*_ident(text), F.col(text).alias("t")).groupBy("k").agg(F.first("d").alias("d"), F.first("t").alias("t"))  # rows that repeat lend their text once
+    return texts.join(ranges, "k").select("k", "d", "t", "r").mapInArrow(run, "k bigint, s int, e int, w array<int>, seed bigint, d bigint")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans (k, s, e) with those that overlap or touch made one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["k"]):
+            k, s, e = (column_np(t, n) for n in ("k", "s", "e"))
+            head = group_starts(t, ["k"])
+            base = (np.searchsorted(head, np.arange(len(k)), "right").astype(np.int64)) << 32
+            reach = np.maximum.accumulate(base + e)
+            cut = np.flatnonzero(np.append(True, (base + s)[1:] > reach[:-1]))
+            last = np.append(cut[1:], len(k)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(s[cut]), pa.array((reach[last] - base[last]).astype(np.int32))], names=["k", "s", "e"])
 
-    ranges = wanted.distinct().groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("r"))
-    texts = docs.select(_ident(text)[1], F.col(text).alias("t")).groupBy("k").agg(F.first("t").alias("t"))  # rows that repeat lend their text once
-    return texts.join(ranges, "k").select("k", "t", "r").mapInArrow(run, "k bigint, s int, e int, w array<int>")
+    return spans.repartition("k").sortWithinPartitions("k", "s").mapInArrow(run, "k bigint, s int, e int")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(k, spans): for each row digest the word ranges (s, e) to remove, not yet merged."""
+    """(k, spans): for each row digest the word ranges (s, e) to remove."""
     small_batches(docs.sparkSession)
-    found = stored(_seed_rows(docs, text), "seeds")
-    place = F.struct(F.col("d").isNull().alias("n"), "d", "k", "pos")
-    again = found.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed")
-    hits = stored(found.join(again, "seed"), "hits")
-    first = hits.groupBy("seed").agg(F.min(place).alias("f"))
-    matches = hits.join(first, "seed").filter(place != F.col("f")).select("k", "pos", F.col("f.k").alias("k2"), F.col("f.pos").alias("pos2")).distinct()
+    matches = _earlier(_seed_rows(docs, text), both=True)
     low = lambda c: F.greatest(F.lit(0), F.element_at(c, 1) - MARGIN)
     high = lambda c: F.element_at(c, -1) + SEED + MARGIN
-    passages = _chained(matches).withColumns({"s1": low("x"), "e1": high("x"), "s2": low("y"), "e2": high("y")})
-    passages = stored(passages, "chains")
-    wanted = passages.select("k", F.col("s1").alias("s"), F.col("e1").alias("e")).union(passages.select("k2", "s2", "e2"))
-    words = stored(_slices(docs, wanted, text), "slices")
+    found = stored(_chained(matches), "chains")
+    passages = found.filter("k2 is not null").withColumns({"s1": low("x"), "e1": high("x"), "s2": low("y"), "e2": high("y")})
+    wanted = passages.select("k", F.col("s1").alias("s"), F.col("e1").alias("e")).union(passages.select("k2", "s2", "e2")).withColumn("whole", F.lit(False))
+    wanted = wanted.union(found.filter("k2 is null").select("k", F.col("x")[0], F.col("x")[1], F.lit(True)))
+    table = stored(_slices(docs, wanted, text), "slices")
+    words = table.filter("seed is null")
+    again = _earlier(table.filter("seed is not null").select("seed", "d", "k", F.col("s").alias("pos")), both=False)
+    # a window that overlaps its own first occurrence starts after it
+    start = F.when(F.col("k") == F.col("k2"), F.greatest("pos", F.col("pos2") + LEAST)).otherwise(F.col("pos"))
+    exact = again.select("k", start.alias("s"), (F.col("pos") + LEAST).alias("e")).filter("s < e")
     mine = words.select("k", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("w").alias("w1"))
     other = words.select(F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("w").alias("w2"))
     both = passages.join(mine, ["k", "s1", "e1"]).join(other, ["k2", "s2", "e2"]).select("k", "s1", "s2", "x", "y", "w1", "w2", (F.col("k") == F.col("k2")).alias("own"))
@@ -281,7 +379,8 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
             if key:
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["k", "s", "e"])
 
-    return both.mapInArrow(run, "k bigint, s int, e int").distinct().groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = _merged(both.mapInArrow(run, "k bigint, s int, e int").union(exact))
+    return spans.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def dedup_passages(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -263,6 +263,50 @@ def test_passages_along_a_chain(spark):
     assert _gone(spark, [s + some(30, "a") + p, s + some(33, "b") + p]) == [[], [*range(45, 105)]]
 
 
+def test_passages_whose_parts_occur_earlier(spark):
+    rng = random.Random(5)
+    texts, want = [], {}
+    for g in range(60):
+        some = lambda n, tag: [f"{g}{tag}{i}" for i in range(n)]  # noqa: B023, E731
+        p = some(rng.randint(51, 60), "p")
+        for n, size in enumerate((25, 25, 30)[: rng.randint(1, 3)]):  # stretches of it in earlier documents, and between its two copies
+            at = rng.randint(0, len(p) - size)
+            texts.append(some(10, f"a{n}x") + p[at : at + size] + some(10, f"b{n}x"))
+        texts.append(some(15, "c") + p + some(15, "d"))
+        for n in range(4):
+            at = rng.randint(0, len(p) - 30)
+            texts.append(some(10, f"e{n}x") + p[at : at + 30] + some(10, f"f{n}x"))
+        want[len(texts)] = range(12, 12 + len(p))
+        texts.append(some(12, "g") + p + some(12, "h"))
+    gone = _gone(spark, texts)
+    for i in range(len(texts)):
+        assert gone[i] == [*want.get(i, ())]
+
+
+def test_exact_windows(spark):
+    """Brute force: a word goes if a window of 50 words that holds it occurs before; texts of few words, with repeats inside a text."""
+    rng = random.Random(6)
+    parts = [[rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(rng.randint(20, 45))] for _ in range(12)]
+    texts = [[w for _ in range(rng.randint(1, 6)) for w in rng.choice(parts)] for _ in range(80)]
+    seen, want = {}, []
+    for d, w in enumerate(texts):
+        gone = set()
+        for p in range(len(w) - 49):
+            first = seen.setdefault(tuple(w[p : p + 50]), (d, p))
+            if first != (d, p):
+                gone |= set(range(max(p, first[1] + 50) if first[0] == d else p, p + 50))
+        want.append(gone)
+    frame = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)], SCHEMA)
+    frame = frame.withColumn("doc_id", passage_dedup.F.when(passage_dedup.F.col("doc_id") < 60, passage_dedup.F.col("doc_id") - 60))  # null ids come last
+    keys = {r.k: (r.doc_id is None, r.doc_id or 0, r.text) for r in frame.select("*", passage_dedup._ident("text")[1]).collect()}
+    spans = {keys[r.k]: {x for s in r.spans for x in range(s.s, s.e)} for r in passage_dedup.repeated_passages(frame).collect()}
+    for d in range(60):
+        assert want[d] <= spans.get((False, d - 60, " ".join(texts[d])), set())
+    h = passage_dedup.window_hashes(passage_dedup.word_hashes(" ".join(texts[0] * 3)))
+    w = texts[0] * 3
+    assert len({(int(h[i]), tuple(w[i : i + 50])) for i in range(len(h))}) == len(set(h.tolist())) == len({tuple(w[i : i + 50]) for i in range(len(h))})
+
+
 def test_passages_of(spark):
     rng = random.Random(3)
     for _ in range(300):
