@@ -17,7 +17,9 @@ A null text stays null. Rows that repeat doc_id and text are one document and ge
 
 from __future__ import annotations
 
+import gc
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, column_np, group_starts, list_array, small_batches, stored, whole_groups
 
-SEED, WINDOW, LEAST, SIMILAR = 6, 20, 50, 0.8
+SEED, WINDOW, LEAST, SIMILAR = 4, 6, 50, 0.8
 #: Cost of a word between two matches on either side; words beyond a chain's ends that alignment may add; words that one difference may span
 #: (those that a passage of LEAST words may have unmatched).
 GAP, MARGIN, BRIDGE = 0.1, 64, 10
@@ -137,6 +139,8 @@ def _run(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
         if not shifts:
             return out
         _, _, s, t = min(shifts)
+        if s == t:  # single words that match between replaced ones
+            out += [(i + u, j + u, 1) for u in range(s) if near[u] == far[u]]
         i, j = i + s, j + t
 
 
@@ -243,9 +247,25 @@ def _earlier(rows: DataFrame, both: bool) -> DataFrame:
     return rows.repartition("seed").sortWithinPartitions(*order).select("seed", "k", "pos").mapInArrow(run, "k bigint, pos int, k2 bigint, pos2 int")
 
 
+def _ranges(ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each first and last place of a chain the range of words to align; ranges that overlap become one."""
+    wide = [(max(0, lo - MARGIN), hi + SEED + MARGIN) for lo, hi in ends]
+    if len(wide) == 1:
+        return wide
+    merged: list[list[int]] = []
+    for lo, hi in sorted(wide):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    begins = [lo for lo, _ in merged]
+    return [(m[0], m[1]) for m in (merged[bisect_right(begins, lo) - 1] for lo, _ in wide)]
+
+
 def _chained(matches: DataFrame) -> DataFrame:
-    """From matches (k, pos, k2, pos2): one row per chain, with the places of its matches on both sides; and with no k2, in x the range of
-    each stretch long enough for a passage in which every kept seed repeats."""
+    """From matches (k, pos, k2, pos2): chains of two documents as places x and y of their matches, n being the matches of each chain; those
+    whose ranges of words to align (s1 to e1, s2 to e2) overlap are one row. With no k2, the range of each stretch long enough for a passage
+    in which every kept seed repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["k"]):
@@ -258,21 +278,38 @@ def _chained(matches: DataFrame) -> DataFrame:
             wide = hi - np.maximum(lo, 0) >= LEAST
             cover = np.stack([np.maximum(lo, 0), hi], axis=1)[wide]
             if len(cover):
-                none = pa.nulls(len(cover), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(k[head[spot[begins] >> 32]][wide]), none, list_array(cover.ravel().astype(np.int32), [2] * len(cover), pa.int32()), pa.nulls(len(cover), pa.list_(pa.int32()))], names=["k", "k2", "x", "y"])
+                none, empty = pa.nulls(len(cover), pa.int64()), pa.nulls(len(cover), pa.list_(pa.int32()))
+                place = [pa.array(c.astype(np.int32)) for c in cover.T]
+                yield pa.RecordBatch.from_arrays([pa.array(k[head[spot[begins] >> 32]][wide]), none, empty, empty, empty, *place, *place], names=["k", "k2", "x", "y", "n", "s1", "e1", "s2", "e2"])
             other = np.flatnonzero((k != k2) | (x != y))
             t = t.take(pa.array(other))
             if not t.num_rows:
                 continue
             starts = [*group_starts(t, ["k", "k2"]).tolist(), t.num_rows]
             k, k2, x, y = k[other], k2[other], x[other], y[other]
-            xs, ys, out = x.tolist(), y.tolist(), []
+            xs, ys = x.tolist(), y.tolist()
+            rows: list[tuple[int, ...]] = []
+            every: list[int] = []
+            sizes: list[int] = []
+            chains_in: list[int] = []
+            counts: list[int] = []
             for s, e in zip(starts, starts[1:], strict=False):
-                out += [np.array(c) + s for c in chains(xs[s:e], ys[s:e])]
-            every, sizes, lead = np.concatenate(out), [len(c) for c in out], [c[0] for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(k[lead]), pa.array(k2[lead]), *(list_array(v[every], sizes, pa.int32()) for v in (x, y))], names=["k", "k2", "x", "y"])
-
-    return matches.repartition("k").sortWithinPartitions("k", "k2", "pos", "pos2").mapInArrow(run, "k bigint, k2 bigint, x array<int>, y array<int>")
+                near: dict[tuple[int, ...], list[list[int]]] = {}
+                found = [[s + i for i in c] for c in chains(xs[s:e], ys[s:e])]
+                for c, one, two in zip(found, _ranges([(xs[c[0]], xs[c[-1]]) for c in found]), _ranges([(ys[c[0]], ys[c[-1]]) for c in found]), strict=True):
+                    near.setdefault((*one, *two), []).append(c)
+                for where, some in near.items():
+                    rows.append((s, *where))
+                    counts.append(len(some))
+                    chains_in += [len(c) for c in some]
+                    sizes.append(sum(len(c) for c in some))
+                    for c in some:
+                        every += c
+            lead, *where = np.array(rows).T
+            lists = [list_array(v, n, pa.int32()) for v, n in ((x[every], sizes), (y[every], sizes), (np.array(chains_in, np.int32), counts))]
+            yield pa.RecordBatch.from_arrays([pa.array(k[lead]), pa.array(k2[lead]), *lists, *(pa.array(v.astype(np.int32)) for v in where)], names=["k", "k2", "x", "y", "n", "s1", "e1", "s2", "e2"])
+
+    return matches.repartition("k").sortWithinPartitions("k", "k2", "pos", "pos2").mapInArrow(run, "k bigint, k2 bigint, x array<int>, y array<int>, n array<int>, s1 int, e1 int, s2 int, e2 int")
 
 
 def window_hashes(words: np.ndarray) -> np.ndarray:
@@ -342,16 +379,21 @@ def _merged(spans: DataFrame) -> DataFrame:
     return spans.repartition("k").sortWithinPartitions("k", "s").mapInArrow(run, "k bigint, s int, e int")
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are over: it does when the driver's JVM collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """(k, spans): for each row digest the word ranges (s, e) to remove."""
     small_batches(docs.sparkSession)
     matches = _earlier(_seed_rows(docs, text), both=True)
-    low = lambda c: F.greatest(F.lit(0), F.element_at(c, 1) - MARGIN)
-    high = lambda c: F.element_at(c, -1) + SEED + MARGIN
     found = stored(_chained(matches), "chains")
-    passages = found.filter("k2 is not null").withColumns({"s1": low("x"), "e1": high("x"), "s2": low("y"), "e2": high("y")})
+    _release(docs.sparkSession)
+    passages = found.filter("k2 is not null")
     wanted = passages.select("k", F.col("s1").alias("s"), F.col("e1").alias("e")).union(passages.select("k2", "s2", "e2")).withColumn("whole", F.lit(False))
-    wanted = wanted.union(found.filter("k2 is null").select("k", F.col("x")[0], F.col("x")[1], F.lit(True)))
+    wanted = wanted.union(found.filter("k2 is null").select("k", "s1", "e1", F.lit(True)))
     table = stored(_slices(docs, wanted, text), "slices")
     words = table.filter("seed is null")
     again = _earlier(table.filter("seed is not null").select("seed", "d", "k", F.col("s").alias("pos")), both=False)
@@ -360,27 +402,33 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     exact = again.select("k", start.alias("s"), (F.col("pos") + LEAST).alias("e")).filter("s < e")
     mine = words.select("k", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("w").alias("w1"))
     other = words.select(F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("w").alias("w2"))
-    both = passages.join(mine, ["k", "s1", "e1"]).join(other, ["k2", "s2", "e2"]).select("k", "s1", "s2", "x", "y", "w1", "w2", (F.col("k") == F.col("k2")).alias("own"))
+    both = passages.join(mine, ["k", "s1", "e1"]).join(other, ["k2", "s2", "e2"]).select("k", "s1", "s2", "x", "y", "w1", "w2", "n", (F.col("k") == F.col("k2")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, s, e = [], [], []
             w1, w2 = b.column(5), b.column(6)
-            for i, (k, s1, s2, x, y, own) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 3, 4, 7)), strict=True)):
-                found = stretches(w1[i].values.to_numpy(), w2[i].values.to_numpy(), [p - s1 for p in x], [p - s2 for p in y])
-                for lo, hi, _, hi2 in passages_of(found):
-                    if own:
-                        lo = max(lo, hi2 + s2 - s1)  # a passage that overlaps its own first occurrence starts after it
-                        if hi - lo < LEAST:
-                            continue
-                    key.append(k)
-                    s.append(lo + s1)
-                    e.append(hi + s1)
+            for i, (k, s1, s2, x, y, n, own) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 3, 4, 7, 8)), strict=True)):
+                one, two, at = w1[i].values.to_numpy(), w2[i].values.to_numpy(), 0
+                for size in n:
+                    found = stretches(one, two, [p - s1 for p in x[at : at + size]], [p - s2 for p in y[at : at + size]])
+                    at += size
+                    for lo, hi, _, hi2 in passages_of(found):
+                        if own:
+                            lo = max(lo, hi2 + s2 - s1)  # a passage that overlaps its own first occurrence starts after it
+                            if hi - lo < LEAST:
+                                continue
+                        key.append(k)
+                        s.append(lo + s1)
+                        e.append(hi + s1)
             if key:
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["k", "s", "e"])
 
+    _release(docs.sparkSession)
     spans = _merged(both.mapInArrow(run, "k bigint, s int, e int").union(exact))
-    return spans.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = stored(spans.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    _release(docs.sparkSession)
+    return spans
 
 
 def dedup_passages(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -283,6 +283,20 @@ def test_passages_whose_parts_occur_earlier(spark):
         assert gone[i] == [*want.get(i, ())]
 
 
+def test_passages_with_many_edits(spark):
+    rng = random.Random(9)
+    for edits, least in ((6, 39), (9, 37), (12, 32)):  # of 40 passages of 60 words: similarity 0.9, 0.85 and 0.8
+        texts = []
+        for g in range(40):
+            p = [f"{g}p{i}" for i in range(60)]
+            changed = set(rng.sample(range(60), edits))
+            copy = [f"{g}q{i}" if i in changed else w for i, w in enumerate(p)]
+            texts += [[f"{g}a{i}" for i in range(40)] + p, [f"{g}b{i}" for i in range(30)] + copy + [f"{g}c{i}" for i in range(30)]]
+        gone = _gone(spark, texts)
+        assert not any(gone[::2]) and sum(len(x) >= 50 for x in gone[1::2]) >= least
+        assert all(30 <= x[0] and x[-1] < 90 for x in gone[1::2] if x)
+
+
 def test_exact_windows(spark):
     """Brute force: a word goes if a window of 50 words that holds it occurs before; texts of few words, with repeats inside a text."""
     rng = random.Random(6)
