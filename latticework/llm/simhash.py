@@ -8,7 +8,9 @@ only a spanning forest of the links leaves the task: enough for components, and
 more than ``tile`` fingerprints share is dealt as pairs of tiles to many tasks, so every pair still meets.
 
 With more bits than the pigeonhole bound covers (``Plan.by_similarity``) keys are single blocks, and the chance that a
-close pair shares none is what the number of blocks is chosen for.
+close pair shares none is what the number of blocks is chosen for. There fingerprints only propose links: each counts if
+the shingle sets themselves are similar, and where one is rejected its group proposes others until all its members are
+connected or no close pair is left (``similar_links``).
 
 A null text counts as empty; a text without words has fingerprint zero, linked like any other. Rows that repeat get
 the same result. A null doc_id keeps its row; it links others but is never the smallest id (a component of null ids
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, binary_rows, column_np, components, group_starts, small_batches, stored, text_key, to_binary, whole_groups
+from .common import add_columns, binary_rows, column_np, components, group_starts, list_array, small_batches, stored, text_key, to_binary, whole_groups
 
 SEED = 42
 #: Distinct fingerprints of one key that a task compares at once.
@@ -46,27 +48,36 @@ class Plan:
     agree: int = 2
     tile: int = TILE
 
+    similarity: float = 0.0
+
     @staticmethod
-    def by_similarity(words: int = 5, similarity: float = 0.8, bits: int = 512, block: int = 16, slack: float = 2.0) -> Plan:
+    def by_similarity(words: int = 5, similarity: float = 0.8, bits: int = 512, block: int = 14, slack: float = 3.5) -> Plan:
         """Shingle sets of Jaccard similarity s have cosine 2s / (1 + s), and each bit differs with chance angle / pi: the distance
-        is that mean plus ``slack`` standard deviations. A pair at 0.8 shares a block of 16 among 32 with chance 0.92, at 0.9 with 0.997."""
+        is that mean plus ``slack`` standard deviations. A pair at 0.8 shares a block of 14 among 36 with chance 0.977, at 0.9 with 0.999."""
         p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        return Plan(words, bits, int(bits * p + slack * math.sqrt(bits * p * (1 - p))), (block,) * (bits // block), 1)
+        return Plan(words, bits, int(bits * p + slack * math.sqrt(bits * p * (1 - p))), (block,) * (bits // block), 1, similarity=similarity)
+
 
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each run of ``words`` words; a shorter text is one run."""
+    w = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z and ASCII white space only
+    if not w:
+        return np.empty(0, np.uint64)
+    n = max(1, len(w) - words + 1)
+    flat, digest = b" ".join(w), xxhash.xxh64_intdigest
+    ends = np.cumsum([len(x) + 1 for x in w])
+    begin = np.concatenate([[0], ends[:-1]])[:n].tolist()
+    return np.fromiter((digest(flat[a : b - 1], SEED) for a, b in zip(begin, ends[min(words, len(w)) - 1 :].tolist(), strict=True)), np.uint64, n)
 
-def fingerprints(texts: list[str | None], words: int, bits: int) -> np.ndarray:
-    """One row of bits / 8 bytes for each text, most significant bit first; hash t of a shingle beyond the first 64 bits is a mix of its XXH64."""
+
+def fingerprints(texts: list[str | None] | list[np.ndarray], words: int, bits: int) -> np.ndarray:
+    """One row of bits / 8 bytes for each text (or its shingles), most significant bit first; hash t of a shingle beyond the first 64 bits is a mix of its XXH64."""
     out = np.zeros((len(texts), bits), np.uint8)
-    digest = xxhash.xxh64_intdigest
     for i, text in enumerate(texts):
-        w = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z and ASCII white space only
-        if not w:
+        h = text if isinstance(text, np.ndarray) else shingles(text, words)
+        n = len(h)
+        if not n:
             continue
-        n = max(1, len(w) - words + 1)
-        flat = b" ".join(w)
-        ends = np.cumsum([len(x) + 1 for x in w])
-        begin = np.concatenate([[0], ends[:-1]])[:n].tolist()
-        h = np.fromiter((digest(flat[a : b - 1], SEED) for a, b in zip(begin, ends[min(words, len(w)) - 1 :].tolist(), strict=True)), np.uint64, n)
         for t in range(bits // 64):
             for part in range(0, 1 if n <= 65536 else n, 65536):
                 x = h[part : part + 65536] if n > 65536 else h
@@ -149,6 +160,15 @@ def fingerprint_rows(docs: DataFrame, plan: Plan, text: str = "text", cols: tupl
     return add_columns(docs.select(*cols, F.col(text).alias("_text")), make, "fp binary", drop=["_text"])
 
 
+def _tiled(rows: DataFrame, plan: Plan) -> DataFrame:
+    """Rows (key, fp) with the pairs of tiles (a, b) that large keys are dealt as."""
+    large = rows.groupBy("key").count().filter(F.col("count") > plan.tile).select("key", F.ceil(F.col("count") / plan.tile).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    rows = rows.join(large, "key", "left").withColumn("t", F.coalesce(tile, F.lit(0)))
+    rows = rows.select("key", "fp", "t", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)).alias("o"))
+    return rows.select("key", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "fp")
+
+
 def links(distinct: DataFrame, plan: Plan) -> DataFrame:
     """Links (src, dst) between distinct fingerprints ``fp`` that connect all that lie within the distance."""
     width = plan.bits // 8
@@ -179,18 +199,95 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([to_binary(fp[src]), to_binary(fp[dst])], names=["src", "dst"])
 
     rows = distinct.mapInArrow(keyed, "key bigint, fp binary")
-    large = rows.groupBy("key").count().filter(F.col("count") > plan.tile).select("key", F.ceil(F.col("count") / plan.tile).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    rows = rows.join(large, "key", "left").withColumn("t", F.coalesce(tile, F.lit(0)))
-    rows = rows.select("key", "fp", "t", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)).alias("o"))
-    rows = rows.select("key", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "fp")
-    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(verified, "src binary, dst binary")
+    return _tiled(rows, plan).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(verified, "src binary, dst binary")
+
+
+def more_links(fp: np.ndarray, distance: int, agreed: list[tuple[int, int]], rejected: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs of rows within ``distance``, none of them rejected, that connect what the agreed ones leave apart: at most one fewer than rows."""
+    v, part, out = np.ascontiguousarray(fp).view(np.uint64), np.arange(len(fp)), []
+    no: dict[int, list[int]] = {}
+    for x, y in rejected:
+        no.setdefault(min(x, y), []).append(max(x, y))
+    for x, y in agreed:
+        part[part == part[y]] = part[x]
+    for i in range(len(v) - 1):
+        near = i + 1 + np.flatnonzero(np.bitwise_count(v[i + 1 :] ^ v[i]).sum(1, dtype=np.int64) <= distance)
+        near = near[~np.isin(near, no[i])] if i in no else near
+        while len(near := near[part[near] != part[i]]):
+            out.append((i, int(near[0])))
+            part[part == part[near[0]]] = part[i]
+    return out
+
+
+def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], plan: Plan) -> DataFrame:
+    """Links (src, dst) between nodes, which are fingerprints and a digest of the shingles: those of the fingerprints' links whose shingle
+    sets have the similarity. ``sets_of`` gives rows (fp, set) of nodes. A group with rejected links proposes others, knowing its past ones."""
+    bits, width = plan.bits // 8, plan.bits // 8 + 8
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                fp = binary_rows(pa.Table.from_batches([b]), "fp", width)
+                k = block_keys(fp[:, :bits], plan)
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), to_binary(np.repeat(fp, k.shape[1], axis=0))], names=["key", "fp"])
 
-def fingerprint_classes(prints: DataFrame, plan: Plan, ident: str = "doc_id") -> DataFrame:
-    """(fp, smallest): for each distinct fingerprint the smallest ``ident`` of its component."""
+    def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["key", "a", "b"]):
+            starts = group_starts(t, ["key", "a", "b"])
+            ends = np.append(starts[1:], t.num_rows)
+            fp, ok = binary_rows(t, "fp", width), t.column("ok").combine_chunks()
+            row, src, dst = [], [], []
+            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                past = ok.slice(s, e - s).to_pylist()
+                n = past.index(None)  # members come last
+                of = {fp[s + i].tobytes(): i - n for i in range(n, e - s)}
+                pairs: dict[bool, list[tuple[int, int]]] = {True: [], False: []}
+                for i, (yes, to) in enumerate(zip(past[:n], t.column("dst").slice(s, n).to_pylist(), strict=True)):
+                    pairs[yes].append((of[fp[s + i].tobytes()], of[to]))
+                for x, y in more_links(fp[s + n : e, :bits], plan.distance, pairs[True], pairs[False]):
+                    row.append(s)
+                    src.append(s + n + x)
+                    dst.append(s + n + y)
+            if row:
+                at = t.select(["key", "a", "b"]).take(pa.array(row)).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*at.columns, to_binary(fp[src]), to_binary(fp[dst])], names=["key", "a", "b", "fp", "dst"])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = b.column(2), b.column(3)
+            ok = []
+            for i in range(b.num_rows):
+                x, y = one[i].values.to_numpy(), two[i].values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= plan.similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["fp", "dst", "ok"])
+
+    group, none = ["key", "a", "b"], F.lit(None)
+    members = _tiled(distinct.mapInArrow(keyed, "key bigint, fp binary"), plan).withColumns({"dst": none.cast("binary"), "ok": none.cast("boolean")})
+    rows, past, sets = members, None, None
+    while True:
+        dealt = rows.repartition(*group).sortWithinPartitions(*group, F.col("ok").isNull())
+        found = stored(dealt.mapInArrow(proposed, "key bigint, a int, b int, fp binary, dst binary"), "proposed")
+        if sets is None:  # every node with a close one is in the first proposals
+            sets = stored(sets_of(found.select("fp").union(found.select("dst")).distinct()), "sets")
+        pairs = found.select("fp", "dst").distinct().join(sets.withColumnRenamed("set", "x"), "fp").join(sets.select(F.col("fp").alias("dst"), F.col("set").alias("y")), "dst")
+        verdict = pairs.select("fp", "dst", "x", "y").mapInArrow(judged, "fp binary, dst binary, ok boolean")
+        new = stored(found.join(verdict, ["fp", "dst"]).select(*group, "fp", "dst", "ok"), "judged")
+        past = new if past is None else past.union(new)
+        again = new.filter("not ok").select(*group).distinct()
+        if again.isEmpty():
+            return past.filter("ok").select(F.col("fp").alias("src"), "dst").distinct()
+        # groups that go on are among those of the round before
+        known = rows.filter("ok is not null").unionByName(new) if rows is not members else new
+        going = rows.filter("ok is null").unionByName(known).join(again, group, "left_semi")
+        rows = stored(going.select(*group, "fp", "dst", "ok"), "going")
+
+
+def fingerprint_classes(prints: DataFrame, plan: Plan, ident: str = "doc_id", sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(fp, smallest): for each distinct fingerprint the smallest ``ident`` of its component; links are verified with ``sets_of`` if given."""
     nodes = stored(prints.groupBy("fp").agg(F.min(ident).alias("own")), "fingerprints")
-    found = components(links(nodes.select("fp"), plan)).withColumnRenamed("node", "fp")
+    made = similar_links(nodes.select("fp"), lambda some: sets_of(nodes.join(some, "fp")), plan) if sets_of else links(nodes.select("fp"), plan)
+    found = components(made).withColumnRenamed("node", "fp")
     linked = stored(nodes.join(found, "fp"), "linked")
     least = linked.groupBy("component").agg(F.min("own").alias("smallest"))
     alone = nodes.join(found.select("fp"), "fp", "left_anti").select("fp", F.col("own").alias("smallest"))
@@ -207,8 +304,25 @@ def keep_one(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (nulls last), then text."""
     plan = plan or Plan.by_similarity()
     ident = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), text_key(F.col("text")).alias("k"))
-    prints = stored(fingerprint_rows(docs.withColumn("_i", ident), plan, cols=("_i",)).distinct(), "prints")
-    kept = fingerprint_classes(prints, plan, "_i").select("smallest").distinct()
+    small_batches(docs.sparkSession)
+
+    def node(b: pa.RecordBatch) -> dict[str, pa.Array]:
+        sets = [shingles(t, plan.words) for t in b.column(b.schema.get_field_index("_text")).to_pylist()]
+        digest = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes()) for h in sets], ">u8").view(np.uint8).reshape(-1, 8)
+        return {"fp": to_binary(np.concatenate([fingerprints(sets, plan.words, plan.bits), digest], axis=1))}
+
+    def shingle_set(b: pa.RecordBatch) -> dict[str, pa.Array]:
+        sets = [np.unique(shingles(t, plan.words)).view(np.int64) for t in b.column(b.schema.get_field_index("_text")).to_pylist()]
+        return {"set": list_array(np.concatenate(sets), map(len, sets), pa.int64())}
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        own = nodes.select("fp", F.col("own.k").alias("_k"))
+        texts = docs.select(text_key(F.col("text")).alias("_k"), F.col("text").alias("_text")).join(own.select("_k"), "_k", "left_semi").dropDuplicates(["_k"])
+        return add_columns(texts.join(own, "_k").select("fp", "_text"), shingle_set, "set array<bigint>", drop=["_text"])
+
+    prints = add_columns(docs.select(ident.alias("_i"), F.col("text").alias("_text")), node, "fp binary", drop=["_text"])
+    prints = stored(prints.distinct(), "prints")
+    kept = fingerprint_classes(prints, plan, "_i", sets_of).select("smallest").distinct()
     kept = kept.select(F.col("smallest.n").alias("_n"), F.coalesce("smallest.d", F.lit(0)).alias("_d"), F.col("smallest.k").alias("_k"))
     rows = docs.withColumn("_n", F.col("doc_id").isNull()).withColumn("_d", F.coalesce("doc_id", F.lit(0))).withColumn("_k", text_key(F.col("text")))
     return rows.join(kept, ["_n", "_d", "_k"], "left_semi").select(docs.columns)

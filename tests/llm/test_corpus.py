@@ -359,6 +359,40 @@ def test_near_duplicate_stage(spark):
     assert sorted(kept) == [min(i for i, x in group.items() if x == g) for g in range(40)]
 
 
+def test_near_duplicates_are_similar(spark):
+    """Brute force: texts around the similarity of 0.8 in groups, short texts, links that are rejected."""
+    rng = random.Random(11)
+    texts = []
+    for g in range(60):
+        base = [f"{g}w{i}" for i in range(120)]
+        texts.append(" ".join(base))
+        for n in (1, 2, 3, 3, 4, 5, 6):
+            copy = list(base)
+            for _ in range(n):
+                copy[rng.randrange(120)] = f"{g}n{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i // 8 * 8, i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    want = {i for i in range(len(texts)) if label[i] == i}
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert want <= got  # no text goes that is similar to none
+    assert len(got - want) <= 0.03 * (len(texts) - len(want))
+
+
+def test_more_links():
+    fp = np.zeros((4, 8), np.uint8)
+    fp[3] = 255
+    assert simhash.more_links(fp, 3, [], []) == [(0, 1), (0, 2)]
+    assert simhash.more_links(fp, 3, [], [(0, 1), (2, 0)]) == [(1, 2)]
+    assert simhash.more_links(fp, 3, [(0, 1)], [(0, 2)]) == [(1, 2)]
+
+
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns[0] == "doc_id" and rows.count() > 100
