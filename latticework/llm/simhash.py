@@ -325,7 +325,9 @@ def keep_one(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     kept = fingerprint_classes(prints, plan, "_i", sets_of).select("smallest").distinct()
     kept = kept.select(F.col("smallest.n").alias("_n"), F.coalesce("smallest.d", F.lit(0)).alias("_d"), F.col("smallest.k").alias("_k"))
     rows = docs.withColumn("_n", F.col("doc_id").isNull()).withColumn("_d", F.coalesce("doc_id", F.lit(0))).withColumn("_k", text_key(F.col("text")))
-    return rows.join(kept, ["_n", "_d", "_k"], "left_semi").select(docs.columns)
+    key = ["_n", "_d", "_k"]
+    one = rows.join(kept, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("_row"))  # rows can repeat doc_id and text
+    return one.select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -385,6 +385,12 @@ def test_near_duplicates_are_similar(spark):
     assert len(got - want) <= 0.03 * (len(texts) - len(want))
 
 
+def test_keep_one_of_rows_that_repeat(spark):
+    rows = [(1, "a b c d e f g", "en", "t", 1), (1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (None, "h i j k l m n", "en", "s", 1), (None, "h i j k l m n", "en", "s", 1)]
+    got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text, r.source) for r in got) == [(0, "h i j k l m n", "s"), (1, "a b c d e f g", "s")]
+
+
 def test_more_links():
     fp = np.zeros((4, 8), np.uint8)
     fp[3] = 255
