@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import keys
 from latticework.operators import fold, graph, judged, windows
+from latticework.session import folder
 from latticework.sources import pages as page_source
 from latticework.streaming import event_log
 
@@ -251,6 +250,5 @@ def org_keys(spark, sf_dir):
 @query("select event_id, lower(event_type) as kind, value from events where trim(event_type) <> ''")
 def event_log_stream(spark, sf_dir):
     """Events streamed into an append-only log, read back."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="latticework-")
-    base = f"{shared}/latticework/{uuid.uuid4().hex}"
+    base = folder(spark)
     return event_log.append_events(spark, f"{sf_dir}/events.parquet", f"{base}/log", f"{base}/progress").select("event_id", "kind", "value")

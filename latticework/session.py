@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -26,9 +28,29 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session or the application. Only with a local master, where
+    one machine does all the work (tests), may it be unset; a folder is then made, one for each application."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="latticework-")
+    return _LOCAL[app]
+
+
 def folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; a local one only where none is named, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='latticework-')}/latticework/{uuid.uuid4().hex}"
+    """A new folder of this application below the shared one."""
+    return f"{shared_dir(spark)}/latticework/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application stored in the shared folder; call it when its results are no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/latticework/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
