@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,21 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import folder
+
 #: Rows in one Arrow batch sent to Python: texts are long, so fewer than Spark's default.
 BATCH_ROWS = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a folder made here."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="latticework-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/latticework/{uuid.uuid4().hex}/{name}"
+    """A new path in the folder that driver and executors share (``session.folder``)."""
+    return f"{folder(spark)}/{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -36,11 +28,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what was made from them is stored itself."""
+    for df in tables:
+        jvm, at = df.sparkSession._jvm, {x.rsplit("/", 1)[0] for x in df.inputFiles()}
+        for path in (jvm.org.apache.hadoop.fs.Path(x) for x in at):
+            path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep an Arrow batch of long texts small enough for a Python worker."""
+    """Keep an Arrow batch of long texts small enough for a Python worker: few rows; bytes have a bound of Spark's own, of which 64 MB is the default."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names made from the stems that ``df`` does not use, whatever their case."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in used:
+            stem += "_"
+        used.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that identify a whole text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -129,23 +141,26 @@ def list_array(values: np.ndarray, counts: Iterable[int], kind: pa.DataType) ->
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.fromiter(counts, np.int64))]).astype(np.int32)), pa.array(values, kind))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components: ``edges`` (src, dst) of any orderable type to rows (node, component), component being the smallest node.
 
     Alternating large-star and small-star rounds; each writes a table in the shared folder. Minima are combined
     before the shuffle and the join with them can be split, so a node with very many links is no bottleneck.
-    Nodes without links to others don't appear.
+    Nodes without links to others don't appear. Rounds go on until every node points to its component (their number
+    grows with the logarithm of the longest path); each one's table goes when the next is written.
     """
     def larger_first(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).filter("src > dst").distinct()
 
     e = stored(larger_first(edges), "edges")
-    for _ in range(rounds):
+    while True:
+        before = e
         both = e.union(e.select("dst", "src"))
         low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         e = both.join(low, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src > dst").distinct()
         low = e.groupBy("src").agg(F.min("dst").alias("m"))
         e = stored(larger_first(e.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(low.select("src", F.col("m").alias("dst")))), "edges")
+        remove(before)
         if e.select(F.col("dst").alias("src")).join(e.select("src"), "src", "left_semi").isEmpty() and e.groupBy("src").count().filter("count > 1").isEmpty():
             break
     roots = e.select(F.col("dst").alias("node")).distinct()

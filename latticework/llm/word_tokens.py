@@ -25,7 +25,8 @@ class WordEncoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Only for tokenizers that drop white space and treat each word alone (white space neither joins nor changes
-    what stands beside it). Texts are cut at spaces, tabs and line ends, the library encodes each word, and words are
+    what stands beside it). A text that holds the string of one of the file's added tokens goes to the library whole, which
+    gives that token its own id. Other texts are cut at spaces, tabs and line ends, the library encodes each word, and words are
     remembered. Where a text has only printable ASCII, Latin-1 letters and these spaces, on which the tokenizer's
     normalization is lower-casing, its pieces are cut here and go straight to the library's model.
     """
@@ -35,8 +36,11 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.plain = json.loads(self.tokenizer.to_str())["pre_tokenizer"] == PRE_TOKENIZER
+        told = json.loads(self.tokenizer.to_str())
+        self.plain = told["pre_tokenizer"] == PRE_TOKENIZER
+        if any(t["normalized"] for t in told["added_tokens"]):
+            raise ValueError("added tokens that are looked for in normalized text")
+        self.added = [t["content"] for t in told["added_tokens"]]
         self.model, self.pieces = self.tokenizer.model, PieceMemo(self.piece_ids)
 
     def piece_ids(self, piece: str) -> bytes:
@@ -53,10 +57,12 @@ class WordEncoder(dict):
         """Ids of a text (null: empty), then ``end``."""
         if len(self) > MEMO:
             self.clear()
-        last = end.to_bytes(4, "little")
-        if self.plain and PLAIN(text or ""):
-            return b"".join([*map(self.pieces.__getitem__, PIECES((text or "").lower())), last])
-        words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        text, last = text or "", end.to_bytes(4, "little")
+        if any(token in text for token in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + last
+        if self.plain and PLAIN(text):
+            return b"".join([*map(self.pieces.__getitem__, PIECES(text.lower())), last])
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join([*map(self.__getitem__, words), last])
 
 
