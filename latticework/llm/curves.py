@@ -83,6 +83,8 @@ def curve_keys(v: np.ndarray, curve: int, longest: float, axes: int = AXES, bits
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indexes of the ``k`` largest scores, ties to smaller ids."""
+    if scores.dtype == object:  # Python's integers
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     if len(scores) > 4 * k:
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = np.flatnonzero(scores >= cut)

@@ -4,8 +4,9 @@ Queries are dealt into blocks and all rows into shards. Each (block, shard) tile
 keeps each query's best rows of that tile (partial selection); the lists then merge as a tree, a few shards at a time.
 Tiles are dealt by hashes of ids, so equal vectors are no group. All the work is queries times rows by contract.
 
-Components become floor(256 * x) as integers. Products are computed in doubles while no sum can reach 2**53, so they are
-exact; else in 64-bit integers. Null vectors, null ids and vectors with null or non-finite components take no part; nor
+Components become floor(256 * x), integers that doubles hold exactly. Products are computed in doubles while no sum can reach
+2**53, so they are exact; in 64-bit integers while none can reach 2**63; else in integers without a bound, which is slow. A
+component of which 256 times is no finite double, or a result that is no 64-bit integer, is an error that says so. Null vectors, null ids and vectors with null or non-finite components take no part; nor
 do vectors of another length than most. Rows that repeat an id and vector count once, and rows that share a query's id
 are its own. No rows give an empty result.
 """
@@ -30,6 +31,13 @@ def finite(vector: Column) -> Column:
     return F.coalesce(F.forall(vector.cast("array<double>"), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
 
 
+def scaled(x: Column, scale: int) -> Column:
+    """floor(scale * x) as a double: from 2**52 on doubles are integers."""
+    y = x.cast("double") * scale
+    whole = F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+    return F.when(F.abs(y) < float("inf"), whole).otherwise(F.raise_error(F.lit("a component is too large for a finite product with the scale")))
+
+
 def top(scores: DataFrame, by: list[str], k: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -37,10 +45,10 @@ def top(scores: DataFrame, by: list[str], k: int) -> DataFrame:
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, ident: str = "vec_id", vector: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """Per query (a row whose id is divisible by ``every``) the ``k`` other rows of largest integer inner product."""
-    rows = vectors.filter(finite(F.col(vector))).select(F.col(ident).cast("bigint").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("bigint")).alias("v"))
+    rows = vectors.filter(finite(F.col(vector))).select(F.col(ident).cast("bigint").alias("id"), F.transform(vector, lambda x: scaled(x, scale)).alias("v"))
     rows = stored(rows.filter("id is not null").distinct(), "integers")
     n, asked, dim, most = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.mode(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
-    rows, exact = rows.filter(F.size("v") == (dim or 0)), (most or 0) ** 2 * (dim or 0) < 2**53
+    rows, reach = rows.filter(F.size("v") == (dim or 0)), int(most or 0) ** 2 * (dim or 0)  # no sum is larger
     shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // block))
     tile = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     cells = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -48,8 +56,17 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id
     data = rows.select(cells(blocks).alias("b"), tile(shards).alias("s"), "id", "v")
 
     def product(q: pa.Table, d: pa.Table) -> pa.Table:
-        kind = np.float64 if exact else np.int64
-        mat = lambda t: np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, dim).astype(kind)
+        def mat(t: pa.Table) -> np.ndarray:
+            v = np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, dim)
+            if reach < 2**53:
+                return v
+            return v.astype(np.int64) if reach < 2**63 else np.array([[int(x) for x in row] for row in v.tolist()], object).reshape(v.shape)
+
+        def longs(scores: np.ndarray) -> np.ndarray:
+            if any(not -(2**63) <= x < 2**63 for x in scores.tolist()):
+                raise ValueError("a score is no 64-bit integer")
+            return scores.astype(np.int64)
+
         qi, di, s = column_np(q, "id"), column_np(d, "id"), np.full(q.num_rows, column_np(q, "s")[0] if q.num_rows else 0, np.int32)
         out: list[list[np.ndarray]] = [[], [], [], []]
         if q.num_rows and d.num_rows:
@@ -60,7 +77,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id
                     own = di != qi[i]
                     near, ids = row[own], di[own]
                     t = best(near, ids, k)
-                    for col, x in zip(out, (np.full(len(t), qi[i]), ids[t], near[t].astype(np.int64), np.full(len(t), s[0])), strict=True):
+                    for col, x in zip(out, (np.full(len(t), qi[i]), ids[t], longs(near[t]), np.full(len(t), s[0])), strict=True):
                         col.append(x)
         cat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
         return pa.table({"query_id": cat(out[0], pa.int64()), "vec_id": cat(out[1], pa.int64()), "score": cat(out[2], pa.int64()), "s": cat(out[3], pa.int32())})
