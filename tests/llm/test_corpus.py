@@ -205,22 +205,6 @@ def test_topk_tree_and_ties(spark):
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
 
 
-def test_curves(spark):
-    rng = np.random.default_rng(6)
-    v = rng.standard_normal((1500, 32)).astype(np.float32)
-    v[100:400] = v[100]  # a vector that many rows hold
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2020, [0.0] * 32), (2040, [float("inf")] * 32), (None, [1.0] * 32)]
-    got = curves.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
-    d, hit = v.astype(np.float64), 0
-    for q in range(0, 1500, 20):
-        s = d @ d[q]
-        want = {j for _, j in sorted((-s[j], j) for j in range(1500) if j != q)[:20]}
-        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
-        assert len(mine) == 20 and all(abs(r.score - s[r.vec_id]) < 1e-9 for r in mine)
-        hit += len(want & {r.vec_id for r in mine})
-    assert hit >= 0.9 * 75 * 20 and {r.query_id for r in got} == set(range(0, 1500, 20))
-
-
 def test_passages(spark):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(5000)]
