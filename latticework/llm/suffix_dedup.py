@@ -7,11 +7,13 @@ have equal anchors at the same place, so only windows around k-grams that are an
 anchor's context is all that the windows with it can hold. Anchors and contexts travel as hashes, with counts that are
 combined before the shuffle: a context that occurs twice is covered whole, and an anchor whose contexts are all equal is
 settled without its bytes. For the rest, the distinct contexts of an anchor meet in a task, which sorts suffixes of
-them (``suffix_sort``): windows that repeat are neighbours in that order. An anchor with more than ``LARGE`` distinct contexts
+them by linear grouping (``suffix_sort``), as blocks and then, around equal blocks, as bytes: windows that repeat are neighbours
+in that order. An anchor with more than ``LARGE`` distinct contexts
 is no task's group: its windows are hashed (128 bits) and counted over the cluster instead, one row for each window.
 
 Texts are UTF-8 bytes; a null text counts as empty. What occurs is judged on the input. Rows are known by doc_id
-and a hash of the text; null ids are allowed, and rows that repeat both count as two occurrences and get one result.
+and a hash of the text; null ids are allowed, and rows that repeat both count as two occurrences and get one result. Other
+columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, column_np, group_starts, small_batches, stored, whole_groups
+from .common import add_columns, column_np, free_names, group_starts, remove, small_batches, stored, whole_groups
 from .suffix_sort import suffix_array
 
-#: Bytes of a window and of a k-gram, neighbouring windows of a cell, distinct contexts of an anchor that one task sorts, bytes hashed at once.
-LENGTH, GRAM, CELL, LARGE, CHUNK = 200, 32, 10, 32768, 1 << 20
+#: Bytes of a window, of a k-gram, and of a block; distinct contexts of an anchor that one task sorts; bytes hashed at once.
+LENGTH, GRAM, BLOCK, LARGE, CHUNK = 200, 32, 20, 32768, 1 << 20
+#: Whole blocks that every window holds, wherever it begins.
+CORE_BLOCKS = LENGTH // BLOCK - 1
+#: An anchor that more rows have is joined by a broadcast of such anchors: so many rows, or that share of all, so they are few.
+HOT_ROWS, HOT_SHARE = 4096, 1000
 #: Stands for a null doc_id, which no id may equal.
 NO_ID = -(1 << 63)
 CORE = "\u0100"  # beyond all bytes
@@ -91,45 +97,67 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return row[text], chosen, gram[chosen].view(np.int64), _mix(context + shape.astype(np.uint64)).view(np.int64)
 
 
-def repeated(contexts: list[tuple[bytes, int, int]]) -> list[tuple[int, int] | None]:
-    """For contexts of one anchor, each (bytes, anchor's place in them, occurrences): the first and the end byte, from the anchor, that repeated windows cover.
+def repeated(contexts: list[tuple[int, bytes, int, int]]) -> list[tuple[int, int] | None]:
+    """For contexts, each (anchor, bytes, anchor's place in them, occurrences), those of one anchor distinct: the first and the end
+    byte, from the anchor, that repeated windows cover.
 
-    Windows are looked at in cells of ``CELL`` neighbours. All windows of a cell share a core, so only contexts with equal
-    cores can hold equal windows of it; where all that the cell's windows cover is equal too, each of them repeats. The rest
-    differs in a few bytes on either side of the core: the core becomes one symbol, and the suffixes of these short strings
-    are sorted.
+    Contexts are cut into blocks of ``BLOCK`` bytes counted from the anchor, each a symbol known by its anchor, place and bytes, and the
+    suffixes of all contexts as one string of symbols are sorted. A window is ``CORE_BLOCKS`` whole blocks and ``BLOCK`` bytes around them;
+    so contexts that share one are neighbours in that order, with so many equal symbols. Where what lies around the blocks is equal
+    too, each window with them repeats. The rest differs in a few bytes on either side: the blocks become one symbol, and the suffixes
+    of these short strings are sorted.
     """
-    out: list[tuple[int, int] | None] = [(-a, len(c) - a) if n > 1 else None for c, a, n in contexts]
+    out: list[tuple[int, int] | None] = [(-a, len(c) - a) if n > 1 else None for _, c, a, n in contexts]
+    number: dict[tuple[int, int, bytes], int] = {}
+    string, owner, column = [], [], []
+    for i, (key, c, a, _) in enumerate(contexts):
+        first = -(a // BLOCK)
+        for col in range(first, (len(c) - a) // BLOCK):
+            at = a + col * BLOCK
+            string.append(number.setdefault((key, col, c[at : at + BLOCK]), len(number)))
+            owner.append(i)
+            column.append(col)
+    if len(string) < CORE_BLOCKS:
+        return out
+    order = np.array(suffix_array(string))
+    symbols, own, col = np.array(string), np.array(owner), np.array(column)
+    begins = order[order <= len(string) - CORE_BLOCKS]
+    begins = begins[(own[begins] == own[begins + CORE_BLOCKS - 1]) & (col[begins] <= 0) & (col[begins] >= -((LENGTH - GRAM) // BLOCK))]
+    if not len(begins):
+        return out
+    blocks = np.lib.stride_tricks.sliding_window_view(symbols, CORE_BLOCKS)[begins]
+    heads = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]).any(1)))
+    for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(begins)], strict=True):
+        if e - s > 1:
+            _settle(contexts, out, own[begins[s:e]].tolist(), -int(col[begins[s]]) * BLOCK)
+    return out
+
+
+def _settle(contexts: list[tuple[int, bytes, int, int]], out: list[tuple[int, int] | None], same: list[int], lo: int) -> None:
+    """Widen ``out`` for the contexts ``same``, which share the blocks that begin ``lo`` bytes before the anchor, by the windows with these blocks."""
+    hi = min(lo + BLOCK - 1, LENGTH - GRAM)
 
     def cover(i: int, most: int, least: int) -> None:
         """Windows that begin ``least`` to ``most`` bytes before the anchor repeat."""
-        lo, hi = out[i] or (-most, LENGTH - least)
-        out[i] = (min(lo, -most), max(hi, LENGTH - least))
-
-    for lo in range(0, LENGTH - GRAM + 1, CELL):
-        hi = min(lo + CELL - 1, LENGTH - GRAM)
-        cores: dict[bytes, list[int]] = {}
-        for i, (c, a, _) in enumerate(contexts):
-            if a >= lo and len(c) - a >= LENGTH - hi:
-                cores.setdefault(c[a - lo : a + LENGTH - hi], []).append(i)
-        for same in cores.values():
-            open_ = [i for i in same if not (out[i] and out[i][0] <= -hi and out[i][1] >= LENGTH - lo)] if len(same) > 1 else []
-            if not open_:
-                continue
-            short: dict[tuple[bytes, bytes], list[int]] = {}
-            for i in same:
-                c, a, _ = contexts[i]
-                short.setdefault((c[max(0, a - hi) : a - lo], c[a + LENGTH - hi : a + LENGTH - lo]), []).append(i)
-            for (left, right), own in short.items():
-                if len(own) > 1:
-                    most, least = lo + len(left), hi - len(right)
-                    for i in own:
-                        cover(i, max(most, least), min(most, least)) if most >= least else None
-            if len(short) > 1 and any(len(own) == 1 and own[0] in open_ for own in short.values()):
-                for (left, right), most, least in _shared_windows(list(short), hi - lo):
-                    for i in short[left, right]:
-                        cover(i, lo + most, lo + least)
-    return out
+        begin, end = out[i] or (-most, LENGTH - least)
+        out[i] = (min(begin, -most), max(end, LENGTH - least))
+
+    open_ = {i for i in same if not (out[i] and out[i][0] <= -hi and out[i][1] >= LENGTH - lo)}
+    if not open_:
+        return
+    short: dict[tuple[bytes, bytes], list[int]] = {}
+    for i in same:
+        _, c, a, _ = contexts[i]
+        short.setdefault((c[max(0, a - hi) : a - lo], c[a - lo + CORE_BLOCKS * BLOCK : a - lo + LENGTH]), []).append(i)
+    for (left, right), own in short.items():
+        most, least = lo + len(left), lo + BLOCK - len(right)
+        if len(own) > 1 and most >= least:
+            for i in own:
+                cover(i, most, least)
+    if len(short) > 1 and any(len(own) == 1 and own[0] in open_ for own in short.values()):
+        for (left, right), most, least in _shared_windows(list(short), BLOCK):
+            for i in short[left, right]:
+                cover(i, lo + most, lo + least)
 
 
 def _shared_windows(strings: list[tuple[bytes, bytes]], reach: int) -> Iterator[tuple[tuple[bytes, bytes], int, int]]:
@@ -213,9 +241,9 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
         for t in whole_groups(batches, ["akey"]):
             starts = [*group_starts(t, ["akey"]).tolist(), t.num_rows]
             key, ctx, n, a, c = (column_np(t, "akey"), column_np(t, "ctx"), column_np(t, "n").tolist(), column_np(t, "a").tolist(), t.column("c").to_pylist())
-            at, lo, hi = [], [], []
-            for s, e in zip(starts, starts[1:], strict=False):
-                for i, span in enumerate(repeated(list(zip(c[s:e], a[s:e], n[s:e], strict=True))), s):
+            at, lo, hi, group = [], [], [], key.tolist()
+            for s, e in _bundles(starts):
+                for i, span in enumerate(repeated(list(zip(group[s:e], c[s:e], a[s:e], n[s:e], strict=True))), s):
                     if span:
                         at.append(i)
                         lo.append(span[0])
@@ -226,6 +254,15 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
     return contexts.drop("large").repartition("akey").sortWithinPartitions("akey", "ctx").mapInArrow(run, "akey bigint, ctx bigint, lo int, hi int")
 
 
+def _bundles(starts: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold whole groups, some hundred rows where groups are small: these are sorted as one string."""
+    begin = starts[0]
+    for at, end in zip(starts[1:], [*starts[2:], None], strict=True):
+        if at - begin >= 256 or end is None:
+            yield begin, at
+            begin = at
+
+
 def _counted_spans(contexts: DataFrame) -> DataFrame:
     """The same for anchors with very many distinct contexts, by counting the hashes of all their windows."""
 
@@ -254,8 +291,13 @@ def _counted_spans(contexts: DataFrame) -> DataFrame:
 
 def _spans(keyed: DataFrame) -> DataFrame:
     """(k1, k2, spans): for each row key the byte ranges (s, e) that repeated windows cover, not yet merged."""
-    again = _anchor_rows(keyed).groupBy("akey").agg(F.count("*").alias("c"), (F.min("ctx") == F.max("ctx")).alias("same")).filter("c > 1").select("akey", "same")
-    hits = stored(_anchor_rows(keyed).join(again, "akey"), "hits")
+    rows = stored(_anchor_rows(keyed), "anchors")
+    again = stored(rows.groupBy("akey").agg(F.count("*").alias("c"), (F.min("ctx") == F.max("ctx")).alias("same")).filter("c > 1"), "again")
+    limit = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    hot = F.broadcast(again.filter(F.col("c") > limit).select("akey", "same"))  # at most HOT_SHARE rows
+    rest = rows.join(hot.select("akey"), "akey", "left_anti").join(again.filter(F.col("c") <= limit).select("akey", "same"), "akey")
+    hits = stored(rows.join(hot, "akey").unionByName(rest), "hits")
+    remove(rows, again)
     mixed = hits.filter(~F.col("same"))
     kinds = mixed.groupBy("akey", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
     large = kinds.groupBy("akey").agg((F.count("*") > LARGE).alias("large"))
@@ -280,18 +322,19 @@ def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def mark_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with removed: an array of the byte ranges (s, e) of ``text`` to remove, ascending and apart."""
+    """``docs`` with removed: an array of the byte ranges (s, e) of ``text`` to remove, ascending and apart; a column of that name is replaced, all others stay."""
     small_batches(docs.sparkSession)
-    spans = _spans(_keyed(docs, text))
+    k1, k2, found = free_names(docs, "k1", "k2", "spans")
+    spans = _spans(_keyed(docs, text)).toDF(k1, k2, found)
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("k2", F.xxhash64(F.col("doc_id").isNull(), t)).join(spans, ["k1", "k2"], "left")
-    return _merged(rows).drop("k1", "k2")
+    keys = {k1: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), k2: F.xxhash64(F.col("doc_id").isNull(), t)}
+    return _merged(docs.withColumns(keys).join(spans, [k1, k2], "left"), found).drop(k1, k2)
 
 
-def _merged(rows: DataFrame) -> DataFrame:
+def _merged(rows: DataFrame, spans: str = "spans") -> DataFrame:
     kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-    make = lambda b: {"removed": pa.array([[{"s": s, "e": e} for s, e in merge(x)] for x in b.column(b.schema.get_field_index("spans")).to_pylist()], kind)}
-    return add_columns(rows, make, "removed array<struct<s: bigint, e: bigint>>", drop=["spans"])
+    make = lambda b: {"removed": pa.array([[{"s": s, "e": e} for s, e in merge(x)] for x in b.column(b.schema.get_field_index(spans)).to_pylist()], kind)}
+    return add_columns(rows, make, "removed array<struct<s: bigint, e: bigint>>", drop=[spans])
 
 
 def kept_bytes(data: bytes, removed: list[dict]) -> bytes:
