@@ -8,8 +8,8 @@ scored by two matrix products.
 
 The classifier is fitted on a bounded sample of labelled texts (``sample`` distinct ones per language, in the order of
 a hash of the text), prediction covers each row and its whole text. A null text, or one without a letter, gives ``und`` and
-score 0. With no labelled row at all every text gets ``und``. Repeated rows get equal results, input columns named
-like the new ones are replaced.
+score 0. With no labelled row at all every text gets ``und``. Of languages that score alike the first by name is taken. Repeated
+rows get equal results, input columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import add_columns, small_batches
 
 #: Distinct labelled texts per language that the classifier is fitted on, at most, and landmarks per language among them.
 SAMPLE, LANDMARKS = 500, 48
+#: Languages that a model can have.
+LANGUAGES = 1000
 #: Longest n-gram, ridge and jitter.
 LONGEST, RIDGE, JITTER = 3, 1e-2, 1e-6
 
@@ -117,16 +119,26 @@ def _fit(rows: list[tuple[str, np.ndarray]], landmarks: int, ridge: float) -> Mo
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Fit on at most ``sample`` distinct texts of each language; rows with null text or language take no part.
 
-    The sample is settled on hashes alone: distinct (language, hash) pairs are combined before their shuffle, and a
-    language's rank is cut to ``sample`` before the one that ranks it. Texts are read for the hashes up to that limit only,
-    repeated ones combined in the map tasks, so neither a language that most rows have nor copies are a burden. The limits
-    are one row a language, less than the model, and only the bounded sample's n-gram sets reach the driver.
+    The sample is settled on hashes alone, which are spread evenly: from a language's estimated number of distinct texts follows the share
+    of the hashes' range that holds some more than ``sample`` of them, and only hashes in it are gathered (in sets of distinct ones that
+    map tasks combine); should one turn out to hold fewer, its share is doubled. So a group has about twice ``sample`` hashes, however many
+    rows the language has. Texts are read for the hashes up to the last of the sample only, repeated ones combined in the map
+    tasks. What reaches the driver is bounded by ``sample`` and the number of languages, of which there can be ``LANGUAGES``.
     """
     small_batches(labelled.sparkSession)
     named = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
-    first = named.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample)
-    limits = first.groupBy("lang").agg(F.max("h").alias("most"))
-    rows = named.join(F.broadcast(limits), "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sizes = named.groupBy("lang").agg(F.approx_count_distinct("h").alias("d")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    share, limits = {r.lang: min(1.0, 1.5 * sample / max(1, r.d)) for r in sizes}, {}
+    while share:
+        upto = F.broadcast(labelled.sparkSession.createDataFrame([(k, (v - 0.5) * 2.0**64) for k, v in share.items()], "lang string, upto double"))
+        near = named.select("lang", "h").join(upto, "lang").filter(F.col("h").cast("double") <= F.col("upto")).groupBy("lang").agg(F.slice(F.sort_array(F.collect_set("h")), 1, sample).alias("h"))
+        found = {r.lang: r.h for r in near.collect()}
+        limits |= {k: h[-1] for k, h in found.items() if len(h) == sample or share[k] == 1.0}
+        share = {k: min(1.0, 2 * v) for k, v in share.items() if k not in limits}
+    most = F.broadcast(labelled.sparkSession.createDataFrame(list(limits.items()), "lang string, most bigint"))
+    rows = named.join(most, "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def make(b: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"grams": pa.array([grams(t).astype(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))}
