@@ -10,7 +10,9 @@ most two matches each, also for seeds that very many documents share. Matches of
 places must rise, words between two matches cost, and a Fenwick tree over places in the other document gives the best
 predecessor. Each chain, of one match too, is aligned word by word, beyond its ends too; small differences are bridged, and
 alignment starts again at the next match of the chain beyond a larger one. A passage of at least ``LEAST`` words of which
-at least ``SIMILAR`` are matched is a repeat; it goes from the later document and stays in the first.
+at least ``SIMILAR`` are matched is a repeat; it goes from the later document and stays in the first. A chain of one match is aligned
+if the ``window // 2`` words before or after its seed are the same too (16 bits of their hashes): in a common stretch as above one
+of its seeds has that.
 
 Unchanged passages are found whatever their seeds were matched with: where all kept seeds of a stretch repeat and alignment
 leaves ``LEAST`` words of it, every window of so many words there is hashed, and all but the first occurrence of each go. So no
@@ -76,6 +78,20 @@ def seeds(words: np.ndarray, seed: int = SEED, window: int = WINDOW) -> tuple[np
     return at, h[at]
 
 
+def sides(words: np.ndarray, at: np.ndarray, seed: int, window: int) -> np.ndarray:
+    """For each place of a seed 16 bits of a hash of the words before it (low) and of those after it (high), so many on either side that of a
+    common stretch of ``seed + window - 1`` words one side at least lies in it whole."""
+    reach = window // 2
+    wide = np.concatenate([np.zeros(reach, np.uint64), words, np.zeros(reach, np.uint64)])
+    out = np.zeros(len(at), np.uint64)
+    for shift, begin in ((0, at), (16, at + reach + seed)):
+        h = np.zeros(len(at), np.uint64)
+        for j in range(reach):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + wide[begin + j]
+        out |= ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)) << np.uint64(shift)
+    return out.astype(np.uint32).view(np.int32)
+
+
 def chains(x: list[int], y: list[int], seed: int = SEED) -> list[list[int]]:
     """Chains of matches (indexes, ascending): ``x`` ascending, both places strictly rising along a chain."""
     if all(map(int.__lt__, x, x[1:])) and all(map(int.__lt__, y, y[1:])):  # the match before is then the best predecessor
@@ -214,36 +230,44 @@ def _ident(text: str) -> list[Column]:
 def _seed_rows(docs: DataFrame, text: str, seed: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [seeds(word_hashes(t), seed, window) for t in b.column(2).to_pylist()]
-            row = pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found]))
+            found = []
+            for t in b.column(2).to_pylist():
+                w = word_hashes(t)
+                at, h = seeds(w, seed, window)
+                found.append((at, h, sides(w, at, seed, window)))
+            row = pa.array(np.repeat(np.arange(len(found)), [len(p) for p, *_ in found]))
             if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, h in found]).view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(np.concatenate([p for p, _ in found]).astype(np.int32))], names=["seed", "d", "k", "pos"])
+                at, h, side = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(at.astype(np.int32)), pa.array(side)], names=["seed", *PLACE])
 
-    return docs.select(*_ident(text), text).mapInArrow(run, "seed bigint, d bigint, k bigint, pos int")
+    return docs.select(*_ident(text), text).mapInArrow(run, "seed bigint, d bigint, k bigint, pos int, side int")
 
 
-PLACE = ("d", "k", "pos")
-_MATCH = "d bigint, k bigint, pos int, d2 bigint, k2 bigint, pos2 int"
+#: What knows an occurrence, in order; side goes with it (what stands beside it).
+PLACE = ("d", "k", "pos", "side")
+_MATCH = "d bigint, k bigint, pos int, side int, d2 bigint, k2 bigint, pos2 int, side2 int"
 
 
 def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
-    """Each occurrence (d, k, pos) of a ``seed`` but the first, with that one (d2, k2, pos2); with ``both`` also with the one before it, and
-    the first one of several with itself.
+    """Each occurrence (d, k, pos) of a ``seed`` but the first, with that one (d2, k2, pos2); with ``both`` also with the one before it, and the
+    first one of several with itself. near: whether what stands before or after is equal too.
 
     Rows are dealt by ranges of (seed, place), so that a seed that very many rows hold lies in several tasks. A task settles all seeds
     but the one it begins with, which may have begun in the task before. Rows of that one wait for the ends of the tasks before: one row of
     each task, which is broadcast. Also returns the stored table that the matches come from, for its removal.
     """
-    names = ["d", "k", "pos", "d2", "k2", "pos2", "seed", "part", "n", "kind"]
-    schema = f"{_MATCH}, seed bigint, part int, n bigint, kind int"
+    names = [*PLACE, *(f"{c}2" for c in PLACE), "near", "seed", "part", "n", "kind"]
+    schema = f"{_MATCH}, near boolean, seed bigint, part int, n bigint, kind int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
 
-        def out(kind: int, one: list[np.ndarray], two: list[np.ndarray], seed: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            size = len(seed)
-            cols = [*one, *two, seed, np.full(size, part, np.int32), n, np.full(size, kind, np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+        def out(kind: int, one: list[np.ndarray], two: list[np.ndarray], seed: np.ndarray, n: int = 0) -> pa.RecordBatch:
+            size, differ = len(seed), one[3] ^ two[3]
+            cols = [pa.array(c) for c in (*one, *two, (differ & 0xFFFF == 0) | (differ >> 16 == 0), seed, np.full(size, part, np.int32), np.full(size, n, np.int64), np.full(size, kind, np.int32))]
+            if kind == 0:  # the sides have served
+                cols[3] = cols[7] = pa.nulls(size, pa.int32())
+            return pa.RecordBatch.from_arrays(cols, names=names)
 
         carry: list[np.ndarray] = []
         lead, count = None, 0  # the seed that the task begins with; rows so far of the seed that the carry ends with
@@ -265,7 +289,7 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
             waits = seed == lead
             if (open_ := at[waits & (at >= old)]).size:  # with the row before in this task, or itself if there is none
                 before = np.where(open_ > first[open_], open_ - 1, open_)
-                yield out(1, [c[open_] for c in place], [c[before] for c in place], seed[open_], np.zeros(len(open_), np.int64))
+                yield out(1, [c[open_] for c in place], [c[before] for c in place], seed[open_])
             later = at[(at > first) & (at >= old) & ~waits]
             one, two = [later], [first[later]]
             if both:
@@ -273,13 +297,13 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
                 one, two = [*one, more, begin], [*two, more - 1, begin]
             one, two = np.concatenate(one), np.concatenate(two)
             if len(one):
-                yield out(0, [c[one] for c in place], [c[two] for c in place], seed[one], np.zeros(len(one), np.int64))
+                yield out(0, [c[one] for c in place], [c[two] for c in place], seed[one])
             tail = len(seed) - max(first[-1], old)
             count = tail if first[-1] >= old else count + tail
             carry = [c[np.unique([first[-1], at[-1]])] for c in cols]
-        if carry:  # the last seed of the task: its first and last place here, and its rows
+        if carry:  # the last seed of the task: its first and last place here, and its rows unless they wait
             seed, place = carry[0], carry[1:]
-            yield out(2, [c[:1] for c in place], [c[-1:] for c in place], seed[:1], np.array([0 if seed[0] == lead else count]))
+            yield out(2, [c[:1] for c in place], [c[-1:] for c in place], seed[:1], 0 if seed[0] == lead else count)
 
     order = ["seed", *PLACE]
     rows = stored(rows.select(*order), "occurrences")  # the ranges are settled on it
@@ -299,8 +323,10 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
         settled = settled.union(own.filter("h <> a and p <> a").select("h", "p")).union(own.filter("h = a").select("h", "a"))
         alone = ends.filter("n = 1").select("seed", F.struct(*PLACE).alias("h")).join(known, "seed").filter("h = a").select("h", "a")
         settled = settled.union(alone)
-    pair = settled.select(*(F.col(f"h.{c}").alias(c) for c in PLACE), *(F.col(f"a.{c}").alias(f"{c}2") for c in PLACE))
-    return steps.filter("kind = 0").select(*PLACE, "d2", "k2", "pos2").union(pair), steps
+    differ = F.col("h.side").bitwiseXOR(F.col("a.side"))
+    near = (differ.bitwiseAND(F.lit(0xFFFF)) == 0) | (F.shiftright(differ, 16) == 0)
+    pair = settled.select(*(F.col(f"h.{c}").alias(c) for c in PLACE[:3]), *(F.col(f"a.{c}").alias(f"{c}2") for c in PLACE[:3]), near)
+    return steps.filter("kind = 0").select(*PLACE[:3], *(f"{c}2" for c in PLACE[:3]), "near").union(pair), steps
 
 
 def _ranges(ends: list[tuple[int, int]], seed: int) -> list[tuple[int, int]]:
@@ -323,7 +349,8 @@ _CHAINS = "d bigint, k bigint, d2 bigint, k2 bigint, x array<int>, y array<int>,
 
 def _chained(matches: DataFrame, seed: int, window: int) -> DataFrame:
     """From matches: chains of two documents as places x and y of their matches, n being the matches of each chain; those whose ranges of
-    words to align (s1 to e1, s2 to e2) overlap are one row. With no x, the range of each stretch long enough for a passage in which
+    words to align (s1 to e1, s2 to e2) overlap are one row. A lone match that is not near can be no passage by the similarity of five-word
+    shingles, and is left out. With no x, the range of each stretch long enough for a passage in which
     every kept seed repeats."""
     names = [f.split()[0] for f in _CHAINS.split(", ")]
 
@@ -347,7 +374,7 @@ def _chained(matches: DataFrame, seed: int, window: int) -> DataFrame:
                 continue
             starts = [*group_starts(t, ["d", "k", "d2", "k2"]).tolist(), t.num_rows]
             d, k, d2, k2, x, y = (c[other] for c in (d, k, d2, k2, x, y))
-            xs, ys = x.tolist(), y.tolist()
+            xs, ys, near_ = x.tolist(), y.tolist(), column_np(t, "near").tolist()
             rows: list[tuple[int, ...]] = []
             every: list[int] = []
             sizes: list[int] = []
@@ -355,7 +382,10 @@ def _chained(matches: DataFrame, seed: int, window: int) -> DataFrame:
             counts: list[int] = []
             for s, e in zip(starts, starts[1:], strict=False):
                 near: dict[tuple[int, ...], list[list[int]]] = {}
+                if e == s + 1 and not near_[s]:
+                    continue
                 found = [[s + i for i in c] for c in chains(xs[s:e], ys[s:e], seed)]
+                found = [c for c in found if len(c) > 1 or near_[c[0]]]
                 for c, one, two in zip(found, _ranges([(xs[c[0]], xs[c[-1]]) for c in found], seed), _ranges([(ys[c[0]], ys[c[-1]]) for c in found], seed), strict=True):
                     near.setdefault((*one, *two), []).append(c)
                 for where, some in near.items():
@@ -365,6 +395,8 @@ def _chained(matches: DataFrame, seed: int, window: int) -> DataFrame:
                     sizes.append(sum(len(c) for c in some))
                     for c in some:
                         every += c
+            if not rows:
+                continue
             lead, *where = np.array(rows).T
             lists = [list_array(v, n, pa.int32()) for v, n in ((x[every], sizes), (y[every], sizes), (np.array(chains_in, np.int32), counts))]
             yield pa.RecordBatch.from_arrays([*(pa.array(c[lead]) for c in (d, k, d2, k2)), *lists, *(pa.array(v.astype(np.int32)) for v in where)], names=names)
@@ -432,9 +464,9 @@ def _windows(docs: DataFrame, ranges: DataFrame, text: str) -> DataFrame:
                     got.append(h)
             if got and sum(map(len, got)):
                 own = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), b.column(0).take(own), b.column(1).take(own), pa.array(np.concatenate(at))], names=["seed", "d", "k", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), b.column(0).take(own), b.column(1).take(own), pa.array(np.concatenate(at)), pa.array(np.zeros(len(own), np.int32))], names=["seed", *PLACE])
 
-    return _with_texts(docs, ranges, text).mapInArrow(run, "seed bigint, d bigint, k bigint, pos int")
+    return _with_texts(docs, ranges, text).mapInArrow(run, "seed bigint, d bigint, k bigint, pos int, side int")
 
 
 def _merged(spans: DataFrame, stretches: DataFrame | None = None) -> DataFrame:
