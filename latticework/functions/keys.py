@@ -38,20 +38,70 @@ def ip4_number(c: Column) -> Column:
     return F.when(is_ip4(c), sum((parts[i].cast("bigint") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0)))
 
 
+def squeezed(c: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return trimmed(F.regexp_replace(c, r"\s+", " "))
+
+
+def first_non_empty(*values: Column) -> Column:
+    """The first value that is not blank, trimmed; else empty."""
+    return F.coalesce(*(F.nullif(trimmed(v), F.lit("")) for v in values), F.lit(""))
+
+
+def truncated(c: Column, most: int) -> Column:
+    """At most ``most`` bytes of UTF-8, then three dots; a character that the cut would split goes."""
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(c.cast("binary"), 1, most).cast("string")), "\ufffd+$", "")
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(trimmed(cut), F.lit("...")))
+
+
 def url_host(c: Column) -> Column:
-    return host_key(F.regexp_extract(trimmed(c), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """The host of a URL or of the text that may be one; that of an IPv6 address without brackets."""
+    host = F.regexp_extract(trimmed(c), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
+    return host_key(F.regexp_replace(host, r"^\[|\]$", ""))
+
+
+def _unescaped(c: Column) -> Column:
+    """Percent escapes decoded; null if one is broken. A plus sign stays."""
+    return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def _replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
+    for old, new in pairs:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def _query_escaped(c: Column) -> Column:
+    """Letters, digits and -_.~ as they are, a space as a plus sign."""
+    return _replaced(F.url_encode(c), [("*", "%2A"), ("%7E", "~")])
+
+
+def _path_escaped(path: Column) -> Column:
+    """A path as it is if all its characters may stand in one; else decoded and escaped anew. Null if an escape is broken."""
+    fresh = _replaced(_query_escaped(_unescaped(path)), [("+", "%20"), *((f"%{ord(x):02X}", x) for x in "$&+,/:;=@")])
+    broken = path.rlike("%(?![0-9A-Fa-f]{2})")
+    return F.when(~broken, F.when(path.rlike(r"^[A-Za-z0-9_.~!$&'()*+,;=:@\[\]/%-]*$"), path).otherwise(fresh))
+
+
+def normalized_query(query: Column) -> Column:
+    """Parameters by lower-case name, the values of one name in their order, escaped anew; none that tracks a visit, none without a name, none that
+    cannot be decoded."""
+    side = lambda p, i: _unescaped(F.replace(F.coalesce(F.get(F.split(p, "=", 2), F.lit(i)), F.lit("")), F.lit("+"), F.lit(" ")))
+    usable = F.filter(F.split(query, "&"), lambda p: ~p.contains(";"))
+    pairs = F.transform(usable, lambda p, i: F.struct(F.lower(trimmed(side(p, 0))).alias("name"), i.alias("at"), side(p, 1).alias("value")))
+    kept = F.filter(pairs, lambda x: x["value"].isNotNull() & (x["name"] != "") & ~x["name"].startswith("utm_") & ~x["name"].isin(TRACKING))
+    return F.array_join(F.transform(F.array_sort(kept), lambda x: F.concat(_query_escaped(x["name"]), F.lit("="), _query_escaped(x["value"]))), "&")
 
 
 def normalized_url(c: Column) -> Column:
-    """Lower-case scheme and host, no default port, no fragment, a path, sorted query without tracking parameters; null unless http(s)."""
-    part = lambda n: F.regexp_extract(trimmed(c), r"^([A-Za-z]+)://([^/?#:]*)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?", n)
-    scheme, host, port, path = F.lower(part(1)), host_key(part(2)), part(3), part(4)
+    """Lower-case scheme and host, no default port, no fragment, a path, the normal form of the query; null unless http(s) and well formed."""
+    part = lambda n: F.regexp_extract(trimmed(c), r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?", n)
+    scheme, host, port, path = F.lower(part(1)), host_key(F.regexp_replace(part(3), r"^\[|\]$", "")), part(4), part(5)
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
-    pairs = F.transform(F.split(part(5), "&"), lambda p: F.concat(F.lower(F.split(p, "=", 2)[0]), F.lit("="), F.coalesce(F.get(F.split(p, "=", 2), F.lit(1)), F.lit(""))))
-    name = lambda p: F.split(p, "=", 2)[0]
-    query = F.array_join(F.array_sort(F.filter(pairs, lambda p: (name(p) != "") & ~name(p).startswith("utm_") & ~name(p).isin(TRACKING))), "&")
-    url = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(scheme.isin("http", "https") & (host != ""), url)
+    place = F.when(default, host).when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]:"), port)).otherwise(F.concat(host, F.lit(":"), port))
+    query = normalized_query(part(6))
+    url = F.concat(scheme, F.lit("://"), part(2), place, F.when(path == "", "/").otherwise(_path_escaped(path)), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(scheme.isin("http", "https") & (host != "") & ((path == "") | path.startswith("/")), url)
 
 
 #: Keywords that classify a link, in order of precedence.

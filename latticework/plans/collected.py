@@ -9,7 +9,7 @@ from latticework.sources import records, registrations
 
 from . import adapters as ad
 from .adapters import table
-from .queries import _rules, query
+from .queries import ANCHORS, URL_SQL, _rules, query
 
 
 def _f(pattern: str, *columns: str):
@@ -61,10 +61,10 @@ def securitytxt_links(spark, sf_dir):
     return records.securitytxt_links(_per_order(_lines(spark, sf_dir), line).select("seed_id", F.array_join("x", "\n").alias("body")))
 
 
-@query("select page_id, count(*) as links, count(*) filter (where href like '/%') as rooted from (select page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href=\"([^\"]*)\"[^>]*>.*?</a>', 1)) as href from pages) where trim(href) <> '' group by page_id")
+@query(f"with {URL_SQL}, {ANCHORS} select page_id, trim(href) as raw, trim(txt) as text, count(*) as links from lk where trim(href) <> '' group by 1, 2, 3")
 def ownership_hint_links(spark, sf_dir):
-    """Links that hint at an owner, counted by page."""
-    return records.ownership_hint_links(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.col("raw").startswith("/")).alias("rooted"))
+    """Links that hint at an owner, those of a page that repeat counted."""
+    return records.ownership_hint_links(table(spark, sf_dir, "pages")).groupBy("page_id", "raw", "text").agg(F.count("*").alias("links"))
 
 
 SEARCHED = """l as (select l_orderkey as seed_id, l_partkey as p, min(l_suppkey) as s from lineitem where l_partkey % 6 <> 0 group by all),

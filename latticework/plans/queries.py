@@ -220,13 +220,39 @@ def ip_in_cidr(spark, sf_dir):
     return graph.ip_in_cidr(ips, prefixes.withColumn("cidr", F.concat(F.col("base").cast("string"), F.lit("/"), F.col("len").cast("string"))))
 
 
-@query("select page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) || case when regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) end || case when q = '' then '' else '?' || q end as normalized, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) as host from (select *, coalesce(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' and not p like 'utm\\_%' escape '\\')), '&'), '') as q from pages)")
+URL_SQL = """u0 as (select page_id, url, html, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) as site,
+  regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path, list_transform(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' and not p like 'utm\\_%' escape '\\'), lambda p: lower(split_part(p, '=', 1)) || '=' || substr(p, strpos(p, '=') + 1)) as q from pages),
+ u as (select page_id, url, html, site, site || case when path = '' then '/' else path end || case when len(q) = 0 then '' else '?' || array_to_string(list_sort(q), '&') end as normalized from u0)"""
+
+
+@query(f"with {URL_SQL} select page_id, normalized, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) as host from u")
 def normalized_urls(spark, sf_dir):
     """Normal form and host of each page's URL."""
     return table(spark, sf_dir, "pages").select("page_id", keys.normalized_url(F.col("url")).alias("normalized"), keys.url_host(F.col("url")).alias("host"))
 
 
-@query()
+def _class_sql(*texts: str) -> str:
+    """The class of a link by keywords, in order of precedence, in each text in turn."""
+    cases = " ".join(f"when regexp_matches({t}, '{'|'.join(words)}') then '{label}'" for t in texts for label, words in keys.LINK_CLASSES)
+    return f"case {cases} else 'anchor' end"
+
+
+_PATH_SQL = "url_encode(href)"
+for _c in "/,$&+:;=@":  # stay as they are in a path
+    _PATH_SQL = f"replace({_PATH_SQL}, '%{ord(_c):02X}', '{_c}')"
+
+
+#: Anchors of the pages, whose markup is regular, with their texts.
+ANCHORS = """an as (select *, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as texts from u),
+ lk as (select page_id, url, site, normalized, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title, unnest(hrefs) as href, replace(replace(replace(unnest(texts), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as txt, unnest(range(len(hrefs))) as i from an)"""
+
+
+@query(f"""with {URL_SQL}, {ANCHORS},
+ t as (select *, site || case when regexp_full_match(href, '[A-Za-z0-9_.~!$&''()*+,;=:@/%-]*') then href else {_PATH_SQL} end as target_url, regexp_replace(trim(txt), '\\s+', ' ', 'g') as anchor_text from lk where href like '/%' and not regexp_matches(href, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)')),
+ c as (select *, {_class_sql("lower(target_url || ' ' || anchor_text)", "lower(normalized)")} as relation from t),
+ f as (select page_id, url, title, target_url, relation, site, arg_min(anchor_text, i) as anchor_text, min(i) as i from c group by page_id, url, title, target_url, relation, site, lower(anchor_text)),
+ r as (select *, row_number() over (partition by page_id order by i) - 1 as pos from f)
+ select page_id, url, regexp_replace(trim(title), '\\s+', ' ', 'g') as title, pos, target_url, regexp_extract(target_url, '://([^/]*)', 1) as target_host, anchor_text, relation, false as nofollow from r where pos < 128""")
 def page_links(spark, sf_dir):
     """Links of all pages with their relation."""
     return page_source.page_links(table(spark, sf_dir, "pages"))

@@ -122,13 +122,25 @@ def ct_names(spark, sf_dir):
     return captures.ct_names(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seed_id")).agg(F.to_json(F.collect_list(F.struct(value.alias("name_value")))).alias("body")))
 
 
-@query("select l_orderkey as seed_id, concat('https://host', l_partkey, '.com/p/', l_linenumber) as loc from lineitem where l_orderkey % 10 <> 0")
-def sitemap_locs(spark, sf_dir):
-    """Locations in captured sitemaps, one body per order; every tenth has another root."""
+def _sitemaps(spark, sf_dir):
+    """One body per order; every tenth has another root, every seventh of the others lacks its end."""
     loc = F.concat(F.lit("<url><loc> https://host"), ad.text("l_partkey"), F.lit(".com/p/"), ad.text("l_linenumber"), F.lit("\n</loc></url>"))
     name = F.when(F.col("seed_id") % 10 == 0, "feed").otherwise("urlset")
-    body = F.concat(F.lit('<?xml version="1.0"?><'), name, F.lit(' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(loc), ""), F.lit("</"), name, F.lit(">"))
-    return captures.sitemap_locs(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seed_id")).agg(body.alias("body")))
+    end = F.when((F.col("seed_id") % 7 == 0) & (F.col("seed_id") % 10 != 0), "other").otherwise(name)
+    body = F.concat(F.lit('<?xml version="1.0"?><'), name, F.lit(' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(loc), ""), F.lit("</"), end, F.lit(">"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seed_id")).agg(body.alias("body"))
+
+
+@query("select l_orderkey as seed_id, concat('https://host', l_partkey, '.com/p/', l_linenumber) as loc from lineitem where l_orderkey % 10 <> 0 and l_orderkey % 7 <> 0")
+def sitemap_locs(spark, sf_dir):
+    """Locations in captured sitemaps."""
+    return captures.sitemap_locs(_sitemaps(spark, sf_dir))
+
+
+@query("select distinct l_orderkey as seed_id, case when l_orderkey % 10 = 0 then 'unsupported sitemap root \"feed\"' else 'no well-formed XML: mismatched tag' end as error from lineitem where l_orderkey % 10 = 0 or l_orderkey % 7 = 0")
+def sitemap_errors(spark, sf_dir):
+    """Captured bodies that are no sitemaps: every tenth has another root, every seventh of the others is cut short."""
+    return captures.sitemap_errors(_sitemaps(spark, sf_dir)).select("seed_id", F.regexp_replace("error", ": line.*$", "").alias("error"))
 
 
 @query(f"with {OUTCOMES}, e as (select seed_id as seed_key, collector as source, kind, root as value, max(confidence) as confidence, bool_or(explicit) as reasoned, min(eval_seq) as sq from oc group by 1, 2, 3, 4) select seed_key, source, kind, value, confidence, reasoned, row_number() over (partition by seed_key order by sq) as position from e")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.keys import host_key, is_ip4, trimmed, url_host
+from latticework.sources.markup import sitemap_rows
 
 #: Patterns of a host name with several labels, and of a body that is an error.
 HOST = r"^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?$"
@@ -40,7 +41,10 @@ def ct_names(bodies: DataFrame) -> DataFrame:
 
 
 def sitemap_locs(bodies: DataFrame) -> DataFrame:
-    """Locations of sitemaps and of indexes of sitemaps; other roots give none."""
-    known = F.col("body").rlike(r"(?s)^\s*(<\?xml.*?\?>)?\s*<(\w+:)?(urlset|sitemapindex)[\s>]")
-    locs = bodies.filter(known).select("seed_id", F.explode(F.xpath("body", F.lit("//*[local-name()='loc']/text()"))).alias("l"))
-    return locs.select("seed_id", trimmed(F.col("l")).alias("loc")).filter("loc <> ''")
+    """Locations of sitemaps and of indexes of sitemaps."""
+    return sitemap_rows(bodies, ["seed_id"]).filter("error is null").select("seed_id", "loc")
+
+
+def sitemap_errors(bodies: DataFrame) -> DataFrame:
+    """Bodies that are no sitemaps, with the reason."""
+    return sitemap_rows(bodies, ["seed_id"]).filter("error is not null").select("seed_id", "error")

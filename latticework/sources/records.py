@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.keys import attach_root, trimmed
 from latticework.functions.names import domain_candidates, resolve_url
+from latticework.sources.markup import elements
 
 SEED = "id string, company_name string, domains array<string>, asn array<int>, cidr array<string>, address string, industry string, tags array<string>, confidence double"
 
@@ -57,20 +58,14 @@ def securitytxt_links(bodies: DataFrame) -> DataFrame:
     return lines.select("seed_id", F.lower(trimmed(parts[0])).alias("key"), trimmed(parts[1]).alias("link")).filter(F.col("key").isin(SECURITY_KEYS) & (F.col("link") != ""))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf'(?is)^<[^>]*\s{name}="([^"]*)"', 1)
-
-
 def ownership_hint_links(pages: DataFrame) -> DataFrame:
-    """Links of pages (page_id, html) that hint at an owner: canonical and alternate links, the page's own URL, anchors with their text."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\s[^>]*>|<a\s[^>]*>.*?</a>)"), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(tags).alias("pos", "tag"))
-    tag, rel = F.col("tag"), F.lower(_attribute(F.col("tag"), "rel"))
-    link, meta = tag.rlike(r"(?i)^<link\s"), tag.rlike(r"(?i)^<meta\s")
-    text = F.when(link & rel.rlike(r"\bcanonical\b"), "canonical").when(link & rel.rlike(r"\balternate\b") & (_attribute(tag, "hreflang") != ""), "alternate").when(meta & (F.lower(_attribute(tag, "property")) == "og:url"), "canonical").when(
-        ~link & ~meta, trimmed(F.regexp_replace(F.regexp_replace(tag, r"<[^>]*>", " "), r"\s+", " ")))
-    raw = trimmed(F.when(meta, _attribute(tag, "content")).otherwise(_attribute(tag, "href")))
-    return rows.select("page_id", "pos", raw.alias("raw"), text.alias("text")).filter("raw <> '' and text is not null")
+    """Links of pages (page_id, html) that hint at an owner: canonical and alternate links, the page's own URL, anchors with their text; pos is the
+    place among the page's elements."""
+    tag, rel = F.col("tag"), F.col("rel")
+    text = F.when((tag == "link") & rel.contains("canonical"), F.array(F.lit("canonical"))).otherwise(F.array().cast("array<string>"))
+    other = F.when((tag == "link") & rel.contains("alternate") & (F.col("hreflang") != ""), "alternate").when((tag == "meta") & F.array_contains(F.split(F.lower("property"), " "), "og:url"), "canonical").when(tag == "a", trimmed(F.col("text")))
+    rows = elements(pages, ["page_id"]).select("page_id", "pos", trimmed(F.col("href")).alias("raw"), F.explode(F.array_compact(F.concat(text, F.array(other)))).alias("text"))
+    return rows.filter("raw <> ''")
 
 
 def _object(body: Column) -> Column:
