@@ -32,28 +32,89 @@ def ranked_observations(obs: DataFrame) -> DataFrame:
     return rows.withColumn("raised", F.col("rank") > F.col("before"))
 
 
+def _parts(source: Column) -> Column:
+    """The single sources that a comma-separated value names, lower case."""
+    return F.filter(F.transform(F.split(F.lower(source), ","), trimmed), lambda x: x != "")
+
+
 def canonical_assets(obs: DataFrame) -> DataFrame:
     """One row per (type, key): first id and enumeration, earliest date, sources, highest ownership, inclusion reason.
 
-    The windows and the grouping share one shuffle by key. The reason is that of the first eligible observation (an
-    explicit reason, seen by discovery or first of all), or of a later one that raised the ownership; without any it is
-    derived from the discovery observations' sources.
+    Everything is an aggregate that map tasks combine, so an address that very many sightings share is no large group. The
+    reason is that of the first eligible observation (an explicit reason, seen by discovery or first of all), or of a later
+    one that raised the ownership: for each rank only the earliest observation that has it can. Without any it is derived from
+    the discovery observations' distinct provenance (id, enumeration, source, date).
     """
-    w = Window.partitionBy("type", "asset_key").orderBy("seq")
-    rows = ranked_observations(obs).withColumn("found", F.col("kind") == "discovery").withColumn("fit", explicit(F.col("inclusion_reason")) & (F.col("found") | F.col("first")))
-    rows = rows.withColumn("fits_before", F.coalesce(F.sum(F.col("fit").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("counts", F.col("fit") & ((F.col("fits_before") == 0) | F.col("raised")))
-    src = F.lower(trimmed(F.col("source")))
-    out = rows.groupBy("type", "asset_key").agg(
-        F.min_by("id", "seq").alias("asset_id"), F.min_by("enumeration_id", "seq").alias("enumeration_id"), F.min("seen_us").alias("first_seen_us"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("found") & (src != ""), src))), ", ").alias("sources"), F.max("rank").alias("rank"),
-        F.max_by("inclusion_reason", F.when(F.col("counts"), F.col("seq"))).alias("given"), F.count_if("counts").alias("n_given"),
-        F.count_if("found").alias("n_found"), F.count_if(F.col("found") & ~F.col("first")).alias("n_later"), F.min_by("source", "seq").alias("first_source"), F.count("*").alias("observations"),
+    found, own, given = F.col("kind") == "discovery", state_rank(F.col("ownership_state")), explicit(F.col("inclusion_reason"))
+    reason, source = trimmed(F.col("inclusion_reason")), F.lower(trimmed(F.col("source")))
+    seen = F.struct(F.col("id"), F.col("enumeration_id"), F.col("source"), F.col("seen_us"))
+    fit = F.struct("seq", reason.alias("reason"), (found & given).alias("fit"))
+    out = obs.groupBy("type", asset_key(F.col("identifier")).alias("asset_key")).agg(
+        F.min_by(F.struct("seq", "id", "enumeration_id", "source", own.alias("own"), given.alias("given"), reason.alias("reason"), found.alias("found")), "seq").alias("first"),
+        F.min("seen_us").alias("first_seen_us"), F.max(own).alias("top"), F.count("*").alias("observations"), F.count_if(found).alias("n_found"), F.count_distinct(F.when(found, seen)).alias("n_provenance"),
+        F.collect_set(F.when(found, _parts(F.col("source")))).alias("parts"), F.array_sort(F.collect_set(F.when(found & (source != ""), source))).alias("whole"),
+        F.min_by(fit, F.when(found & given, F.col("seq"))).alias("fit"), *(F.min_by(fit, F.when(own >= r, F.col("seq"))).alias(f"rank{r}") for r in range(1, len(STATES))),
+    )
+    begin = F.when(F.col("first.own") > 0, F.col("first.own")).otherwise(F.when(F.col("type") == "ip", 1).otherwise(3))
+    out = out.withColumn("begin", begin).withColumn("rank", F.greatest("top", "begin"))
+    told = lambda c: F.struct(F.col(f"{c}.seq").alias("seq"), F.col(f"{c}.reason").alias("reason"))
+    raised = [F.when((F.col("begin") < r) & F.col(f"rank{r}.fit"), told(f"rank{r}")) for r in range(1, len(STATES))]
+    best = F.array_max(F.array_compact(F.array(F.when(F.col("first.given"), told("first")).when(F.col("fit.fit"), told("fit")), *raised)))
+    names = F.array_join("whole", ", ")
+    supported = (
+        F.when(F.size("whole") == 0, F.concat(F.lit("Supported by "), F.col("n_provenance").cast("string"), F.lit(" discovery observations")))
+        .when(F.col("n_provenance") == 1, F.concat(F.lit("Discovered via "), F.col("whole")[0]))
+        .otherwise(F.concat(F.lit("Supported by "), F.col("n_provenance").cast("string"), F.lit(" discovery observations from "), names))
     )
-    supported = F.when(F.col("n_found") == 1, F.concat(F.lit("Discovered via "), F.col("sources"))).otherwise(F.concat(F.lit("Supported by "), F.col("n_found").cast("string"), F.lit(" discovery observations from "), F.col("sources")))
-    reason = F.when(F.col("n_given") > 0, trimmed(F.col("given"))).when(F.col("n_later") > 0, supported).otherwise(F.concat(F.lit("Discovered via "), F.col("first_source")))
+    later = F.col("n_found") > F.col("first.found").cast("int")
+    why = F.when(best.isNotNull(), best.reason).when(later, supported).otherwise(F.concat(F.lit("Discovered via "), F.col("first.source")))
     state = F.element_at(F.array(*map(F.lit, STATES)), F.col("rank") + 1)
-    return out.select("type", "asset_key", "asset_id", "enumeration_id", "first_seen_us", "sources", state.alias("ownership_state"), reason.alias("inclusion_reason"), "observations")
+    sources = F.array_join(F.array_sort(F.array_distinct(F.flatten("parts"))), ", ")
+    return out.select("type", "asset_key", F.col("first.id").alias("asset_id"), F.col("first.enumeration_id").alias("enumeration_id"), "first_seen_us", sources.alias("sources"), state.alias("ownership_state"), why.alias("inclusion_reason"), "observations")
+
+
+#: States of an enrichment stage by priority.
+STAGES = ["failed", "retryable", "cached", "completed"]
+#: Kinds of DNS records that show a live name.
+LIVE = ["A", "AAAA", "MX", "NS"]
+
+
+def merged_details(obs: DataFrame) -> DataFrame:
+    """What sightings tell of an asset, folded per (type, key).
+
+    ``obs`` has, besides type, identifier and seq, records array<struct<type,value>>, is_catch_all, rdap (a struct of strings and
+    arrays of strings), asn, organization, ptr, data map<string,string> and states map<string,struct<status,updated_us>>; all may be null. Records: distinct, by type and value.
+    Registration and address fields: the first that is not empty; arrays united. Data: the last value of each key. States: that
+    of highest priority for each key, the later of equal ones.
+    """
+    by = ["type", "asset_key"]
+    rows = obs.withColumn("asset_key", asset_key(F.col("identifier")))
+    first = lambda c: F.min_by(c, F.when(F.coalesce(c.cast("string"), F.lit("")).isin("", "0"), None).otherwise(F.col("seq")))
+    fields = []
+    for f in obs.schema["rdap"].dataType.fields:
+        c = F.col(f"rdap.{f.name}")
+        fields.append((F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))) if f.dataType.typeName() == "array" else first(c)).alias(f.name))
+    record = F.transform("records", lambda r: F.struct(F.upper(trimmed(r["type"])).alias("type"), F.lower(trimmed(r["value"])).alias("value")))
+    plain = rows.groupBy(*by).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(record)))).alias("records"), F.coalesce(F.bool_or("is_catch_all"), F.lit(False)).alias("is_catch_all"),
+        *fields, *(first(F.col(c)).alias(c) for c in ("asn", "organization", "ptr")),
+    ).select(*by, "records", "is_catch_all", F.struct(*(f.name for f in obs.schema["rdap"].dataType.fields)).alias("rdap"), "asn", "organization", "ptr")
+    entry = lambda c, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", v)))).alias(c)
+    data = rows.select(*by, "seq", F.explode("data")).groupBy(*by, "key").agg(F.max_by("value", "seq").alias("value")).groupBy(*by).agg(entry("data", "value"))
+    priority = F.array_position(F.array(*map(F.lit, STAGES)), F.lower(trimmed(F.col("value.status"))))
+    states = rows.select(*by, "seq", F.explode("states")).groupBy(*by, "key").agg(F.max_by("value", F.struct(priority, "seq")).alias("value")).groupBy(*by).agg(entry("states", "value"))
+    return plain.join(data, by, "left").join(states, by, "left")
+
+
+def resolution_status(kind: Column, records: Column, states: Column, stage: str = "domain_enricher") -> Column:
+    """Whether a domain resolves, by its records and how its enrichment ended; null for addresses."""
+    status = F.lower(trimmed(F.try_element_at(states, F.lit(stage)).status))
+    return F.when(kind == "domain", F.when(F.size(records) > 0, "resolved").when(status.isin("completed", "cached"), "unresolved").when(status.isin("failed", "retryable"), "lookup_failed").otherwise("not_checked"))
+
+
+def live_dns(records: Column) -> Column:
+    """Whether records show a live name: text records and aliases alone do not."""
+    return F.exists(records, lambda r: F.upper(r["type"]).isin(LIVE))
 
 
 def merge_seeds(seeds: DataFrame) -> DataFrame:

@@ -42,15 +42,23 @@ def expand_frontier(seeds: DataFrame, evidence: DataFrame, waves: int = 3) -> Da
     return known.unionByName(weak)
 
 
-def reach(start: DataFrame, pages: DataFrame, links: DataFrame, most: int, depth: int | None = None) -> DataFrame:
+def reach(start: DataFrame, pages: DataFrame, links: DataFrame, most: int, depth: int | None = None, cap_queue: bool = False) -> DataFrame:
     """Pages (seed_id, url, depth, position) reached breadth-first from ``start`` (seed_id, url, pos), at most ``most`` per seed.
 
     ``pages`` has the urls that were captured, ``links`` seed_id, url, target, pos of links inside the seed's scope. A url
-    is queued once, in order of its first link; one that was not captured takes no place. Each step adds a page or ends, so
-    there are at most ``most`` steps, ``depth + 1`` where that is given.
+    is queued once, in order of its first link. One that was not captured takes no place; with ``cap_queue`` it does: then at most
+    ``most`` urls of a seed are ever queued. Each step adds a page or ends, so there are at most ``most`` steps, ``depth + 1``
+    where that is given.
     """
+    def capped(fresh: DataFrame, queued: DataFrame | None) -> DataFrame:
+        if not cap_queue:
+            return fresh
+        ranked = fresh.withColumn("n", F.row_number().over(Window.partitionBy("seed_id").orderBy("at", "url"))).filter(F.col("n") <= most)
+        held = ranked.withColumn("held", F.lit(0)) if queued is None else ranked.join(queued.groupBy("seed_id").agg(F.count("*").alias("held")), "seed_id", "left")
+        return held.filter(F.col("n") + F.coalesce("held", F.lit(0)) <= most).drop("n", "held")
+
     queued = start.groupBy("seed_id", "url").agg(F.min(F.struct(F.lit(0).alias("parent"), F.col("pos"))).alias("at")).withColumn("depth", F.lit(0))
-    queued = stored(queued, "queued-0")
+    queued = stored(capped(queued, None), "queued-0")
     done = None
     for step in range(most if depth is None else min(most, depth + 1)):
         here = queued.filter(F.col("depth") == step).join(pages.select("url").distinct(), "url", "left_semi")
@@ -64,7 +72,7 @@ def reach(start: DataFrame, pages: DataFrame, links: DataFrame, most: int, depth
         done = here if done is None else done.unionByName(here)
         after = here.join(links, ["seed_id", "url"]).groupBy("seed_id", F.col("target").alias("url")).agg(F.min(F.struct(F.col("position").alias("parent"), F.col("pos"))).alias("at"))
         fresh = after.join(queued, ["seed_id", "url"], "left_anti").withColumn("depth", F.lit(step + 1))
-        queued = stored(queued.unionByName(fresh), f"queued-{step + 1}")
+        queued = stored(queued.unionByName(capped(fresh, queued)), f"queued-{step + 1}")
     return done if done is not None else stored(queued.select("seed_id", "url", "depth", F.lit(0).alias("position")).limit(0), "none")
 
 

@@ -42,10 +42,18 @@ def discarded_candidates(outcomes: DataFrame, known: DataFrame) -> DataFrame:
     return left.groupBy("seed_id", "root").agg(names("collector").alias("collectors"), names("scenario").alias("scenarios"), F.count_if("explicit").alias("explicit"), F.count_if(~F.col("explicit")).alias("implicit"))
 
 
-def promote_candidates(evidence: DataFrame, sure: float = 0.9, signals: int = 2) -> DataFrame:
-    """Per key whether it is promoted: reasoned, or confident enough, or supported by enough distinct (source, kind)."""
+def promote_candidates(evidence: DataFrame, seeds: DataFrame | None = None, sure: float = 0.9, signals: int = 2) -> DataFrame:
+    """Per key whether it is promoted: reasoned, or confident enough, or supported by enough distinct (source, kind).
+
+    ``seeds`` (seed_key, confidence, evidence: array of source, kind, confidence, reasoned), if given, are the candidates' own rows: their
+    confidence and what they came with count too.
+    """
     told = (F.col("source") != "") & (F.col("kind") != "")
-    agg = evidence.groupBy("seed_key").agg(F.bool_or("reasoned").alias("reasoned"), F.max(F.when(told, F.col("confidence"))).alias("confidence"), F.count_distinct(F.when(told, F.struct("source", "kind"))).alias("signals"))
+    rows = evidence.select("seed_key", "source", "kind", "confidence", "reasoned", F.lit(None).cast("double").alias("own"))
+    if seeds is not None:
+        rows = rows.unionByName(seeds.select("seed_key", F.lit("").alias("source"), F.lit("").alias("kind"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("reasoned"), F.col("confidence").alias("own")))
+        rows = rows.unionByName(seeds.select("seed_key", F.inline("evidence")).select("seed_key", "source", "kind", "confidence", "reasoned", F.lit(None).cast("double").alias("own")))
+    agg = rows.groupBy("seed_key").agg(F.bool_or("reasoned").alias("reasoned"), F.max(F.coalesce("own", F.when(told, F.col("confidence")))).alias("confidence"), F.count_distinct(F.when(told, F.struct("source", "kind"))).alias("signals"))
     return agg.withColumn("promoted", F.col("reasoned") | (F.coalesce("confidence", F.lit(0.0)) >= sure) | (F.col("signals") >= signals))
 
 

@@ -22,13 +22,14 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observations_of(events: DataFrame) -> DataFrame:
     """Sightings from a table or stream of events."""
     user, seq = F.col("user_id"), F.col("event_id")
+    org = (user % 7 + 7 * F.floor(user / 150)).cast("string")  # keys grow with the table
     return events.select(
         seq.alias("seq"), F.concat(F.lit("obs-"), text("event_id")).alias("id"),
         F.when(F.col("event_type") == "view", "enrichment").otherwise("discovery").alias("kind"),
         F.when(user % 3 == 0, "ip").otherwise("domain").alias("type"),
-        F.when(user % 3 == 0, F.concat(F.lit("203.0.113."), (user % 200).cast("string")))
-        .when(user % 3 == 1, F.concat(F.lit("Host"), text("user_id"), F.lit(".org"), (user % 7).cast("string"), F.lit(".com")))
-        .otherwise(F.concat(F.lit("org"), (user % 7).cast("string"), F.lit(".com"))).alias("identifier"),
+        F.when(user % 3 == 0, F.concat(F.lit("203.0."), ((F.floor(user / 200) + 113) % 256).cast("string"), F.lit("."), (user % 200).cast("string")))
+        .when(user % 3 == 1, F.concat(F.lit("Host"), text("user_id"), F.lit(".org"), org, F.lit(".com")))
+        .otherwise(F.concat(F.lit("org"), org, F.lit(".com"))).alias("identifier"),
         F.when(F.col("event_type") == "click", "crawler_collector").when(F.col("event_type") == "view", "domain_enricher")
         .when(F.col("event_type") == "purchase", "dns_collector").when(F.col("event_type") == "signup", "crt.sh").otherwise("sitemap_collector").alias("source"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("seen_us"),
@@ -38,6 +39,22 @@ def observations_of(events: DataFrame) -> DataFrame:
     )
 
 
+def detailed_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sightings with what they tell of the asset: records, registration, address details, enrichment data and states."""
+    rows, n, d = observations(spark, sf_dir), F.col("seq") % 5, F.col("type") == "domain"
+    t = lambda c: c.cast("string")
+    record = lambda k, v: F.struct(F.lit(k).alias("type"), v.alias("value"))
+    records = F.when(d & (F.col("source") == "dns_collector"), F.array(record("a", F.concat(F.lit("10.0.0."), t(F.col("seq") % 3))), record("Mx", F.concat(F.lit("Mail"), t(n), F.lit(".COM")))))
+    rdap = F.when(d & (n > 1), F.struct(F.when(n == 2, "").otherwise(F.concat(F.lit("Org "), t(n))).alias("registrant_org"), F.array(F.concat(F.lit("ns"), t(n), F.lit(".net"))).alias("name_servers")))
+    state = F.struct(F.when(n == 0, "Completed").when(n == 1, "cached").when(n == 2, "retryable").otherwise("failed").alias("status"), F.col("seen_us").alias("updated_us"))
+    return rows.select(
+        "seq", "type", "identifier", records.alias("records"), (d & (F.col("seq") % 17 == 0)).alias("is_catch_all"), rdap.alias("rdap"),
+        F.when(~d, F.col("seq") % 4).cast("int").alias("asn"), F.when(~d & (n > 2), F.concat(F.lit("Net "), t(n))).alias("organization"), F.when(~d & (n == 1), F.concat(F.lit("p"), t(F.col("seq")), F.lit(".net"))).alias("ptr"),
+        F.create_map(F.concat(F.lit("k"), t(n)), t(F.col("seq"))).alias("data"),
+        F.when(F.col("kind") == "enrichment", F.create_map(F.when(n == 4, "ip_enricher").otherwise("domain_enricher"), state)).alias("states"),
+    )
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded decisions on candidate roots, from line items and their orders."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
@@ -74,7 +91,7 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OBSERVATIONS = """obs as (select event_id as seq, concat('obs-', event_id) as id, case when event_type = 'view' then 'enrichment' else 'discovery' end as kind,
  case when user_id % 3 = 0 then 'ip' else 'domain' end as type,
- case when user_id % 3 = 0 then concat('203.0.113.', user_id % 200) when user_id % 3 = 1 then concat('Host', user_id, '.org', user_id % 7, '.com') else concat('org', user_id % 7, '.com') end as identifier,
+ case when user_id % 3 = 0 then concat('203.0.', (user_id // 200 + 113) % 256, '.', user_id % 200) when user_id % 3 = 1 then concat('Host', user_id, '.org', user_id % 7 + 7 * (user_id // 150), '.com') else concat('org', user_id % 7 + 7 * (user_id // 150), '.com') end as identifier,
  case event_type when 'click' then 'crawler_collector' when 'view' then 'domain_enricher' when 'purchase' then 'dns_collector' when 'signup' then 'crt.sh' else 'sitemap_collector' end as source,
  epoch_us(ts) as seen_us, case when event_id % 11 = 0 then 'uncertain' when event_id % 13 = 0 then 'owned' else '' end as ownership_state,
  case when event_id % 7 = 0 then concat('Resolved from host ', user_id) else '' end as inclusion_reason, concat('enum-', event_id % 20) as enumeration_id from events),

@@ -121,26 +121,26 @@ def _registered(spark, sf_dir):
 
 
 def _rdap(spark, sf_dir):
-    """RDAP answers of even customers."""
-    rows = _registered(spark, sf_dir).filter("k % 2 = 0")
+    """RDAP answers of all customers; every fourth can't be read."""
+    rows = _registered(spark, sf_dir)
     body = F.concat(
         F.lit('{"status":["Active","active","LOCKED"],"nameservers":[{"ldhName":"NS2.Host.com."},{"ldhName":"ns1.host.com"}],"events":[{"eventAction":"registration","eventDate":"2019-01-01T00:00:00Z"},'),
         F.lit('{"eventAction":"registration","eventDate":"2020-02-03T00:00:00Z"},{"eventAction":"expiration","eventDate":"soon"}],"entities":[{"roles":["registrant"],"vcardArray":["vcard",[["version",{},"text","4.0"],["fn",{},"text",""],["org",{},"text",["Org","'),
         F.col("c_name"), F.lit('"]],["email",{},"text","MAILTO:A@B.com"]]]},{"roles":["Registrant"],"vcardArray":["vcard",[["fn",{},"text","Second"]]]},{"roles":["registrar"],"publicIds":[{"identifier":" '), F.col("k").cast("string"),
         F.lit(' "}],"vcardArray":["vcard",[["fn",{},"text","Reg"]]]}]}'))
-    return registrations.from_rdap(rows.select(_f("Dom%d.com.", "k").alias("domain"), body.alias("body")))
+    return registrations.from_rdap(rows.select(_f("Dom%d.com.", "k").alias("domain"), F.when(F.col("k") % 4 == 3, "no answer").otherwise(body).alias("body")))
 
 
 def _whois(spark, sf_dir):
-    """WHOIS answers of every third customer; every ninth tells nothing."""
-    rows = _registered(spark, sf_dir).filter("k % 3 = 0")
+    """WHOIS answers of all customers; every third tells nothing."""
+    rows = _registered(spark, sf_dir)
     told = F.concat(F.lit("% note\nRegistrant name: \nRegistrant name: Whois "), F.col("c_name"), F.lit("\nRegistrar URL: https://r.example\nCreation date: 2018-05-06 07:08:09\nExpiration date: never\nExpiration date: 2030-01-02\nStatus: Paid\nName server: ns3.host.com\n"))
-    return registrations.from_whois(rows.select(_f("dom%d.com", "k").alias("domain"), F.when(F.col("k") % 9 == 0, "% nothing\n").otherwise(told).alias("body")))
+    return registrations.from_whois(rows.select(_f("dom%d.com", "k").alias("domain"), F.when(F.col("k") % 3 == 0, "% nothing\n").otherwise(told).alias("body")))
 
 
 REG = "registrar_name, registrar_iana_id, registrar_url, created, expires, registrant_name, registrant_org, registrant_email, statuses, name_servers"
-RDAP_SQL = "select concat('dom', c_custkey, '.com') as domain, 'Reg' as registrar_name, c_custkey::varchar as registrar_iana_id, null::varchar as registrar_url, '2020-02-03' as created, null::varchar as expires, 'Second' as registrant_name, concat('Org ', c_name) as registrant_org, 'a@b.com' as registrant_email, 'active,locked' as statuses, 'ns1.host.com,ns2.host.com' as name_servers from customer where c_custkey % 2 = 0"
-WHOIS_SQL = "select concat('dom', c_custkey, '.com') as domain, null::varchar as registrar_name, null::varchar as registrar_iana_id, 'https://r.example' as registrar_url, '2018-05-06' as created, '2030-01-02' as expires, concat('Whois ', c_name) as registrant_name, null::varchar as registrant_org, null::varchar as registrant_email, 'paid' as statuses, 'ns3.host.com' as name_servers from customer where c_custkey % 3 = 0 and c_custkey % 9 <> 0"
+RDAP_SQL = "select concat('dom', c_custkey, '.com') as domain, 'Reg' as registrar_name, c_custkey::varchar as registrar_iana_id, null::varchar as registrar_url, '2020-02-03' as created, null::varchar as expires, 'Second' as registrant_name, concat('Org ', c_name) as registrant_org, 'a@b.com' as registrant_email, 'active,locked' as statuses, 'ns1.host.com,ns2.host.com' as name_servers from customer where c_custkey % 4 <> 3"
+WHOIS_SQL = "select concat('dom', c_custkey, '.com') as domain, null::varchar as registrar_name, null::varchar as registrar_iana_id, 'https://r.example' as registrar_url, '2018-05-06' as created, '2030-01-02' as expires, concat('Whois ', c_name) as registrant_name, null::varchar as registrant_org, null::varchar as registrant_email, 'paid' as statuses, 'ns3.host.com' as name_servers from customer where c_custkey % 3 <> 0"
 
 
 def _flat(df):
@@ -168,13 +168,12 @@ def registration_coalesce(spark, sf_dir):
 
 
 @query("""select l_orderkey as k, l_partkey as p, l_linenumber as n, case l_linenumber % 6 when 0 then concat('https://a.com/p', l_partkey) when 1 then concat('https://a.com/x/p', l_partkey, '?q=1') when 2 then concat('https://b.com/', l_partkey)
- when 3 then null when 4 then concat('http://C.com/../', l_partkey) else 'https://a.com/x/y?z' end as url from lineitem where l_linenumber % 6 <> 4""")
+ when 3 then null when 4 then concat('HTTP://C.com/', l_partkey) else 'https://a.com/x/y?z' end as url from lineitem""")
 def resolved_urls(spark, sf_dir):
     """Links resolved against their page."""
     p, n = ad.text("l_partkey"), F.col("l_linenumber") % 6
-    raw = F.when(n == 0, F.concat(F.lit("/q/../p"), p)).when(n == 1, F.concat(F.lit("./p"), p, F.lit("?q=1#f"))).when(n == 2, F.concat(F.lit("//b.com/"), p)).when(n == 3, "mailto:a@b.com").otherwise("?z")
-    rows = _lines(spark, sf_dir).filter("l_linenumber % 6 <> 4")
-    return rows.select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("n"), names.resolve_url(F.lit("https://a.com/x/y?k=v"), raw).alias("url"))
+    raw = F.when(n == 0, F.concat(F.lit("/q/../p"), p)).when(n == 1, F.concat(F.lit("./p"), p, F.lit("?q=1#f"))).when(n == 2, F.concat(F.lit("//b.com/"), p)).when(n == 3, "mailto:a@b.com").when(n == 4, F.concat(F.lit("HTTP://C.com/../"), p)).otherwise("?z")
+    return _lines(spark, sf_dir).select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("n"), names.resolve_url(F.lit("https://a.com/x/y?k=v"), raw).alias("url"))
 
 
 @query("select event_id, case when event_id % 2 = 0 then concat('_spf.org', user_id % 9, '.com,mail', user_id % 5, '.net') else concat('org', user_id % 9, '.com') end as hosts from events")

@@ -72,14 +72,14 @@ def host_candidates(spark, sf_dir):
 
 
 @query("""with d as (select concat('dom', p_partkey, '.com') as domain, case p_partkey % 4 when 0 then 'retryable' when 1 then 'completed' else '' end as stage, p_partkey as k from part),
- r as (select l_partkey as k, string_agg(distinct concat('A 10.0.0.', l_suppkey % 99), ', ' order by concat('A 10.0.0.', l_suppkey % 99)) as records from lineitem where l_partkey % 3 <> 0 group by 1)
+ r as (select l_partkey as k, string_agg(distinct concat('A 10.0.0.', l_suppkey % 99), ', ' order by concat('A 10.0.0.', l_suppkey % 99)) as records from lineitem group by 1)
  select domain, case when k % 4 <> 1 then records end as records, case when k % 4 <> 1 then c_name end as registrant_org, case when k % 4 = 1 then 'cached' when records is not null then 'completed' else 'retryable' end as stage from d left join r using (k) left join customer on c_custkey = k""")
 def enrich_domains(spark, sf_dir):
     """Domains with their captured records and registrations."""
     name = lambda c: F.concat(F.lit("dom"), ad.text(c), F.lit(".com"))
     stage = F.when(F.col("p_partkey") % 4 == 0, "retryable").when(F.col("p_partkey") % 4 == 1, "completed").otherwise("")
     domains = table(spark, sf_dir, "part").select(name("p_partkey").alias("domain"), name("p_partkey").alias("root"), stage.alias("stage"))
-    records = table(spark, sf_dir, "lineitem").filter("l_partkey % 3 <> 0").select(name("l_partkey").alias("domain"), F.lit("a").alias("record_type"), F.concat(F.lit("10.0.0."), (F.col("l_suppkey") % 99).cast("string")).alias("value"))
+    records = table(spark, sf_dir, "lineitem").select(name("l_partkey").alias("domain"), F.lit("a").alias("record_type"), F.concat(F.lit("10.0.0."), (F.col("l_suppkey") % 99).cast("string")).alias("value"))
     return enrich.enrich_domains(domains, records, table(spark, sf_dir, "customer").select(name("c_custkey").alias("domain"), F.col("c_name").alias("registrant_org")))
 
 
@@ -178,7 +178,7 @@ def assets_of_seed(spark, sf_dir):
     return enrich.assets_of_seed(keys.attach_root(c.select("asset_key").distinct(), "asset_key", _rules(spark)), c, roots)
 
 
-@query("select concat('enum-', o_orderkey) as enumeration_id, concat('dom', o_custkey, '.com') as identifier, 'rdap' as source, 'Reg' as registrar_name, '2020-02-03' as created, concat('Org ', c_name) as registrant_org from orders join customer on o_custkey = c_custkey where c_custkey % 2 = 0")
+@query("select concat('enum-', o_orderkey) as enumeration_id, concat('dom', o_custkey, '.com') as identifier, 'rdap' as source, 'Reg' as registrar_name, '2020-02-03' as created, concat('Org ', c_name) as registrant_org from orders join customer on o_custkey = c_custkey where c_custkey % 4 <> 3")
 def registration_assets(spark, sf_dir):
     """Sightings from registrations of the frontier's domains."""
     front = table(spark, sf_dir, "orders").select(F.concat(F.lit("enum-"), ad.text("o_orderkey")).alias("enumeration_id"), F.concat(F.lit("dom"), ad.text("o_custkey"), F.lit(".com")).alias("domain"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from latticework.functions import keys
 from latticework.operators import frontier, judged, readmodel
 from latticework.session import folder
-from latticework.sources import snapshots
+from latticework.sources import pages, snapshots
 from latticework.streaming import candidates
 
 from . import adapters as ad
@@ -17,18 +17,18 @@ from .adapters import OBSERVATIONS, OUTCOMES, RELATIONS, table
 from .collected import _f
 from .queries import CANONICAL, ORACLE_SQL, query
 
-#: Evidence that collecting for a supplier's key tells of other keys.
-EVIDENCE = "ev as (select concat('k', l_suppkey) as parent_key, concat('k', l_partkey % (select count(*) * 4 from supplier) + 1) as seed_key, concat('s', l_linenumber % 2) as source, lower(l_linestatus) as kind, round(l_discount * 9.5, 3) as confidence, false as reasoned from lineitem where l_partkey % 3 = 0)"
+#: Evidence that collecting for one key tells of another: each line item, of 64 keys for each supplier, whose own are the seeds.
+EVIDENCE = "ev as (select concat('k', l_orderkey % (select count(*) * 64 from supplier) + 1) as parent_key, concat('k', l_partkey * 7 % (select count(*) * 64 from supplier) + 1) as seed_key, concat('s', l_linenumber % 2) as source, lower(l_linestatus) as kind, round(l_discount * 9.5, 3) as confidence, false as reasoned from lineitem)"
 
 
 def _evidence(spark, sf_dir):
-    size = table(spark, sf_dir, "supplier").count() * 4
-    rows = table(spark, sf_dir, "lineitem").filter("l_partkey % 3 = 0")
-    return rows.select(_f("k%d", "l_suppkey").alias("parent_key"), F.concat(F.lit("k"), (F.col("l_partkey") % size + 1).cast("string")).alias("seed_key"), F.concat(F.lit("s"), (F.col("l_linenumber") % 2).cast("string")).alias("source"), F.lower("l_linestatus").alias("kind"), F.round(F.col("l_discount") * 9.5, 3).alias("confidence"), F.lit(False).alias("reasoned"))
+    size = table(spark, sf_dir, "supplier").count() * 64
+    key = lambda c: F.concat(F.lit("k"), (c % size + 1).cast("string"))
+    return table(spark, sf_dir, "lineitem").select(key(F.col("l_orderkey")).alias("parent_key"), key(F.col("l_partkey") * 7).alias("seed_key"), F.concat(F.lit("s"), (F.col("l_linenumber") % 2).cast("string")).alias("source"), F.lower("l_linestatus").alias("kind"), F.round(F.col("l_discount") * 9.5, 3).alias("confidence"), F.lit(False).alias("reasoned"))
 
 
 def _waves(waves: int = 3) -> str:
-    sql = f"with {EVIDENCE}, k0 as (select concat('k', s_suppkey) as seed_key, 0 as wave from supplier where s_suppkey <= 3), t0 as (select * from ev where false)"
+    sql = f"with {EVIDENCE}, k0 as (select concat('k', s_suppkey) as seed_key, 0 as wave from supplier), t0 as (select * from ev where false)"
     for w in range(1, waves + 1):
         sql += f""", t{w} as (select * from t{w - 1} union all select * from ev where parent_key in (select seed_key from k{w - 1} where wave = {w - 1})),
  k{w} as (select * from k{w - 1} union all select seed_key, {w} from t{w} where seed_key not in (select seed_key from k{w - 1}) group by seed_key having bool_or(reasoned) or max(confidence) >= 0.9 or count(distinct concat(source, '|', kind)) >= 2)"""
@@ -37,48 +37,55 @@ def _waves(waves: int = 3) -> str:
 
 @query(_waves())
 def expand_frontier(spark, sf_dir):
-    """Seeds and the waves in which others were promoted."""
-    seeds = table(spark, sf_dir, "supplier").filter("s_suppkey <= 3").select(_f("k%d", "s_suppkey").alias("seed_key"))
+    """Seeds, one for each supplier, and the waves in which others were promoted."""
+    seeds = table(spark, sf_dir, "supplier").select(_f("k%d", "s_suppkey").alias("seed_key"))
     return frontier.expand_frontier(seeds, _evidence(spark, sf_dir))
 
 
-LINKS = "lk as (select l_orderkey % (select count(*) from part) + 1 as src, l_partkey as dst, min(l_linenumber * 10000000 + l_partkey) as pos from lineitem where l_partkey % 11 <> 0 group by 1, 2)"
+#: Pages are parts; a supplier is a seed whose scope are the parts of its remainder. Links lead from the part that an order numbers to one of the same scope.
+LINKS = """sc as (select count(*) as m, (select count(*) from part) as size from supplier),
+lk as (select l_orderkey % size + 1 as src, l_partkey // m * m + (l_orderkey % size + 1) % m as dst, min(l_linenumber * 10000000 + l_partkey) as pos from lineitem, sc group by 1, 2)"""
 
 
-def _reached(most: int, steps: int) -> str:
-    sql = f"with {LINKS}, q0 as (select p_partkey % 5 as seed, p_partkey as url, p_partkey as ord, 0 as depth from part where p_partkey <= 40), v as (select 0 as seed, 0 as url, 0 as depth, 0::bigint as position where false)"
+def _reached(most: int, steps: int, cap_queue: bool = False) -> str:
+    sql = f"with {LINKS}, q0 as (select s_suppkey % m as seed, s_suppkey as url, s_suppkey as ord, 0 as depth from supplier, sc), v as (select 0 as seed, 0 as url, 0 as depth, 0::bigint as position where false)"
     prev = "v"
     for s in range(steps):
-        sql += f""", h{s} as (select q.seed, q.url, q.depth, row_number() over (partition by q.seed order by ord, q.url) + coalesce(n, 0) as position from q{s} q left join (select seed, count(*) as n from {prev} group by 1) c on c.seed = q.seed where q.depth = {s} and q.url % 13 <> 0),
+        fresh = f"select h.seed, dst as url, min(h.position * 100000000000 + lk.pos) as ord, {s + 1} as depth from h{s} h join lk on src = url where position <= {most} and not exists (select 1 from q{s} q where q.seed = h.seed and q.url = dst) group by 1, 2"
+        if cap_queue:
+            fresh = f"select seed, url, ord, depth from (select f.*, row_number() over (partition by f.seed order by ord, url) + held as n from ({fresh}) f join (select seed, count(*) as held from q{s} group by 1) c on c.seed = f.seed) where n <= {most}"
+        sql += f""", h{s} as (select q.seed, q.url, q.depth, row_number() over (partition by q.seed order by ord, q.url) + coalesce(n, 0) as position from q{s} q left join (select seed, count(*) as n from {prev} group by 1) c on c.seed = q.seed where q.depth = {s} and q.url % 13 <> 0 and q.url between 1 and (select size from sc)),
  v{s} as (select * from {prev} union all select * from h{s} where position <= {most}),
- q{s + 1} as (select * from q{s} union all select h.seed, dst, min(h.position * 100000000000 + lk.pos), {s + 1} from h{s} h join lk on src = url where position <= {most} and dst % 5 = h.seed and not exists (select 1 from q{s} q where q.seed = h.seed and q.url = dst) group by 1, 2)"""
+ q{s + 1} as (select * from q{s} union all {fresh})"""
         prev = f"v{s}"
     return f"{sql} select seed as seed_id, concat('https://h.org/p', url) as url, depth, position from {prev}"
 
 
-def _reach(spark, sf_dir, most, depth):
-    parts = table(spark, sf_dir, "part")
-    size = parts.count()
+def _reach(spark, sf_dir, most, depth, cap_queue=False):
+    parts, suppliers = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    size, m = parts.count(), suppliers.count()
     url = lambda c: F.concat(F.lit("https://h.org/p"), c.cast("string"))
-    p = F.col("p_partkey")
-    start = parts.filter("p_partkey <= 40").select((p % 5).cast("bigint").alias("seed_id"), url(p).alias("url"), p.alias("pos"))
-    lines = table(spark, sf_dir, "lineitem").filter("l_partkey % 11 <> 0")
+    p, s = F.col("p_partkey"), F.col("s_suppkey")
+    start = suppliers.select((s % m).cast("bigint").alias("seed_id"), url(s).alias("url"), s.alias("pos"))
+    # answers: every thirteenth is an error
+    answers = parts.select(url(p).alias("url"), F.when(p % 13 == 0, 404).otherwise(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"))
+    src = F.col("l_orderkey") % size + 1
     pos = F.col("l_linenumber").cast("bigint") * 10_000_000 + F.col("l_partkey")
-    links = lines.groupBy((F.col("l_orderkey") % size + 1).alias("src"), F.col("l_partkey").alias("dst")).agg(F.min(pos).alias("pos"))
-    links = links.select((F.col("dst") % 5).alias("seed_id"), url(F.col("src")).alias("url"), url(F.col("dst")).alias("target"), "pos").filter(frontier.followable(F.col("target")))
-    return frontier.reach(start, parts.filter("p_partkey % 13 <> 0").select(url(p).alias("url")), links, most, depth).select("seed_id", "url", "depth", "position")
+    links = table(spark, sf_dir, "lineitem").groupBy(src.alias("src"), (F.floor(F.col("l_partkey") / m) * m + src % m).alias("dst")).agg(F.min(pos).alias("pos"))
+    links = links.select((F.col("src") % m).cast("bigint").alias("seed_id"), url(F.col("src")).alias("url"), url(F.col("dst")).alias("target"), "pos").filter(frontier.followable(F.col("target")))
+    return frontier.reach(start, pages.fetchable(answers), links, most, depth, cap_queue).select("seed_id", "url", "depth", "position")
 
 
 @query(_reached(12, 3))
 def crawl_reachability(spark, sf_dir):
-    """Pages reached from seeds within depth and number."""
+    """Pages reached from each seed's own within depth and number."""
     return _reach(spark, sf_dir, 12, 2)
 
 
-@query(_reached(10, 10))
+@query(_reached(10, 10, True))
 def sitemap_closure(spark, sf_dir):
-    """Documents reached from seeds within their number."""
-    return _reach(spark, sf_dir, 10, None)
+    """Documents reached from each seed's own within the number that may be queued."""
+    return _reach(spark, sf_dir, 10, None, True)
 
 
 @query(f"with {OUTCOMES} select seed_id, string_agg(distinct root, ',' order by root) as accepted from oc where collect and root in (select concat('root', s_suppkey % 97, '.com') from supplier where s_suppkey % 4 = 0) group by seed_id")

@@ -69,20 +69,30 @@ def _rooted(spark, sf_dir) -> DataFrame:
     return keys.attach_root(canonical_assets(spark, sf_dir), "asset_key", _rules(spark))
 
 
-@query(f"""with {CANONICAL} select asset_id, asset_key, root, case when type = 'ip' then 'ip' when root = asset_key then 'registrable' else 'subdomain' end as domain_kind,
- row_number() over (order by case when type = 'ip' then 2 when root = asset_key then 0 else 1 end, case when type = 'ip' then '' else root end, asset_key, first_seen_us, asset_id) as position from rooted""")
-def export_order(spark, sf_dir):
-    """Assets in export order: registrable domains, subdomains, addresses. Ranks come from a range-partitioned sort, not from one task."""
+ORDER_SQL = "case when type = 'ip' then 2 when root = asset_key then 0 else 1 end, case when type = 'ip' then '' else root end, asset_key, first_seen_us, asset_id"
+KIND_SQL = "case when type = 'ip' then 'ip' when root = asset_key then 'registrable' else 'subdomain' end"
+
+
+def ordered_assets(spark, sf_dir) -> DataFrame:
+    """Rooted assets with their kind and the columns of the export order: registrable domains, subdomains, addresses."""
     kind = F.when(F.col("type") == "ip", "ip").when(F.col("root") == F.col("asset_key"), "registrable").otherwise("subdomain")
-    rows = _rooted(spark, sf_dir).withColumn("domain_kind", kind).withColumn("g", F.when(kind == "ip", 2).when(kind == "registrable", 0).otherwise(1)).withColumn("d", F.when(kind == "ip", "").otherwise(F.col("root")))
-    order = ["g", "d", "asset_key", "first_seen_us", "asset_id"]
-    # positions: rank within (group, root), plus the rows of the groups before, of which there is one row each
-    from pyspark.sql import Window
-
-    within = rows.withColumn("r", F.row_number().over(Window.partitionBy("g", "d").orderBy(*order[2:])))
-    sizes = rows.groupBy("g", "d").count()
-    before = sizes.select("g", "d", F.coalesce(F.sum("count").over(Window.orderBy("g", "d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    return within.join(before, ["g", "d"]).select("asset_id", "asset_key", "root", "domain_kind", (F.col("r") + F.col("b")).alias("position"))
+    return _rooted(spark, sf_dir).withColumn("domain_kind", kind).withColumn("g", F.when(kind == "ip", 2).when(kind == "registrable", 0).otherwise(1)).withColumn("d", F.when(kind == "ip", "").otherwise(F.col("root")))
+
+
+EXPORT_ORDER = ["g", "d", "asset_key", "first_seen_us", "asset_id"]
+
+
+@query(f"with {CANONICAL} select asset_id, asset_key, root, {KIND_SQL} as domain_kind, row_number() over (order by {ORDER_SQL}) as position from rooted")
+def export_order(spark, sf_dir):
+    """Assets in export order, by ranges of it."""
+    return windows.positions(ordered_assets(spark, sf_dir), EXPORT_ORDER).select("asset_id", "asset_key", "root", "domain_kind", "position")
+
+
+@query(f"with {CANONICAL} select asset_id, row_number() over (order by case when type = 'ip' then 2 when root = asset_key then 0 else 1 end, case when type = 'ip' then '' else root end, first_seen_us desc, asset_key, asset_id) as position from rooted")
+def read_model_order(spark, sf_dir):
+    """Assets in the read model's order: within a root the latest first."""
+    rows = ordered_assets(spark, sf_dir).withColumn("late", -F.col("first_seen_us"))
+    return windows.positions(rows, ["g", "d", "late", "asset_key", "asset_id"]).select("asset_id", "position")
 
 
 @query(f"""with {CANONICAL}, p as (select asset_id, case when type = 'ip' then null else root end as root, enumeration_id, asset_key as pos from rooted),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.functions import keys
-from latticework.operators import details, judged
+from latticework.operators import details, fold, judged
 from latticework.session import folder
-from latticework.sources import captures
+from latticework.sources import captures, exports
 from latticework.streaming import live_assets as live
 
 from . import adapters as ad
@@ -96,14 +96,37 @@ def asset_rows(spark, sf_dir):
     return rows.join(base.observation_summary(spark, sf_dir).select(*by, "first_us", "last_us"), by)
 
 
-@query(f"with {CANONICAL} select asset_id, case when type = 'ip' then 'ip' when root = asset_key then 'registrable' else 'subdomain' end as domain_kind, type, asset_key as identifier, sources, strftime(make_timestamp(first_seen_us), '%Y-%m-%d %H:%M:%S') as date from rooted where sources <> ''")
+@query(f"""with {CANONICAL} select asset_id, {base.KIND_SQL} as domain_kind, case when type = 'ip' then '' else root end as registrable_domain, type, asset_key as identifier, sources as source, strftime(make_timestamp(first_seen_us), '%Y-%m-%d %H:%M:%S') as date from rooted""")
 def export_csv(spark, sf_dir):
-    """Assets written as CSV with a header, read back."""
-    kind = F.when(F.col("type") == "ip", "ip").when(F.col("root") == F.col("asset_key"), "registrable").otherwise("subdomain")
-    rows = base._rooted(spark, sf_dir).filter("sources <> ''").select("asset_id", kind.alias("domain_kind"), "type", F.col("asset_key").alias("identifier"), "sources", F.date_format(F.timestamp_micros("first_seen_us"), "yyyy-MM-dd HH:mm:ss").alias("date"))
+    """Assets written as CSV with a header, in export order over the files and inside each, read back."""
     path = folder(spark)
-    rows.write.csv(path, header=True)
-    return spark.read.schema(rows.schema).csv(path, header=True)
+    exports.write_csv(base.ordered_assets(spark, sf_dir), base.EXPORT_ORDER, path)
+    rows = exports.read_csv(spark, path)
+    return rows.toDF(*(c.lower().replace(" ", "_") for c in rows.columns))
+
+
+DETAILS_SQL = f"""{OBSERVATIONS}, dt as (select *, seq % 5 as n, type = 'domain' as d from o),
+ rc as (select type, asset_key, string_agg(distinct x, ', ' order by x) as records from (select type, asset_key, unnest([concat('A 10.0.0.', seq % 3), concat('MX mail', n, '.com')]) as x from dt where d and source = 'dns_collector') group by 1, 2),
+ da as (select type, asset_key, string_agg(concat(k, '=', v), ', ' order by k) as data from (select type, asset_key, concat('k', n) as k, max_by(seq, seq) as v from dt group by 1, 2, 3) group by 1, 2),
+ st as (select type, asset_key, string_agg(concat(k, '=', v), ', ' order by k) as states, max(v) filter (where k = 'domain_enricher') as own from (select type, asset_key, case when n = 4 then 'ip_enricher' else 'domain_enricher' end as k,
+   arg_max(case n when 0 then 'Completed' when 1 then 'cached' when 2 then 'retryable' else 'failed' end, case n when 0 then 4 when 1 then 3 when 2 then 2 else 1 end * 100000000000 + seq) as v from dt where kind = 'enrichment' group by 1, 2, 3) group by 1, 2),
+ pl as (select type, asset_key, bool_or(d and seq % 17 = 0) as is_catch_all, arg_min(concat('Org ', n), seq) filter (where d and n > 2) as registrant_org, string_agg(distinct concat('ns', n, '.net'), ',' order by concat('ns', n, '.net')) filter (where d and n > 1) as name_servers,
+   arg_min(seq % 4, seq) filter (where not d and seq % 4 <> 0)::int as asn, arg_min(concat('Net ', n), seq) filter (where not d and n > 2) as organization, arg_min(concat('p', seq, '.net'), seq) filter (where not d and n = 1) as ptr from dt group by 1, 2)"""
+
+
+@query(f"""with {DETAILS_SQL} select pl.type, pl.asset_key, coalesce(records, '') as records, is_catch_all, registrant_org, coalesce(name_servers, '') as name_servers, asn, organization, ptr, data, coalesce(states, '') as states,
+ case when pl.type = 'domain' then case when records is not null then 'resolved' when lower(own) in ('completed', 'cached') then 'unresolved' when lower(own) in ('failed', 'retryable') then 'lookup_failed' else 'not_checked' end end as status,
+ coalesce(records like '%A 10%' or records like '%MX %', false) as live
+ from pl left join rc on rc.type = pl.type and rc.asset_key = pl.asset_key left join da on da.type = pl.type and da.asset_key = pl.asset_key left join st on st.type = pl.type and st.asset_key = pl.asset_key""")
+def merged_details(spark, sf_dir):
+    """What sightings tell of each asset, folded, with its resolution status."""
+    rows = fold.merged_details(ad.detailed_observations(spark, sf_dir))
+    pairs = lambda m, v: F.array_join(F.transform(F.map_entries(m), lambda x: F.concat(x["key"], F.lit("="), v(x["value"]))), ", ")
+    return rows.select(
+        "type", "asset_key", F.array_join(F.transform("records", lambda r: F.concat(r["type"], F.lit(" "), r["value"])), ", ").alias("records"), "is_catch_all", "rdap.registrant_org",
+        F.array_join("rdap.name_servers", ",").alias("name_servers"), "asn", "organization", "ptr", pairs(F.col("data"), lambda v: v).alias("data"), F.coalesce(pairs(F.col("states"), lambda v: v.status), F.lit("")).alias("states"),
+        fold.resolution_status(F.col("type"), F.col("records"), F.col("states")).alias("status"), fold.live_dns(F.col("records")).alias("live"),
+    )
 
 
 @query(f"with {OBSERVATIONS} select type, asset_key, count(*) as observations, min(seen_us) as first_us, max(seen_us) as last_us from o group by type, asset_key")

@@ -24,7 +24,8 @@ def _names(values: Column) -> Column:
 
 
 def from_rdap(bodies: DataFrame) -> DataFrame:
-    """From (domain, body). The last readable date of an event counts, the first entity of a role that gives a value."""
+    """From (domain, body). The last readable date of an event counts, the first entity of a role that gives a value. A body
+    that is no JSON object gives no row."""
     r = F.from_json("body", RDAP)
 
     def date(action: str) -> Column:
@@ -39,7 +40,7 @@ def from_rdap(bodies: DataFrame) -> DataFrame:
     has = lambda e, role: F.exists(e.roles, lambda x: F.lower(trimmed(x)) == role)
     owners = F.filter(r.entities, lambda e: has(e, "registrant"))
     registrars = F.filter(r.entities, lambda e: has(e, "registrar") & ~has(e, "registrant"))
-    return bodies.filter(r.isNotNull()).select(
+    return bodies.filter(F.get_json_object("body", "$").startswith("{")).select(
         host_key(F.col("domain")).alias("domain"), _first(F.transform(registrars, lambda e: F.coalesce(card(e, "org"), card(e, "fn")))).alias("registrar_name"),
         _first(F.transform(registrars, lambda e: trimmed(F.get(e.publicIds, F.lit(0)).identifier))).alias("registrar_iana_id"), F.lit(None).cast("string").alias("registrar_url"),
         date("registration").alias("created"), date("expiration").alias("expires"), date("last changed").alias("updated"),
