@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import free_names, row_key
 
 LINES = 3
 
@@ -30,21 +30,22 @@ def _windows(docs: DataFrame, text: str, lines: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", lines: int = LINES) -> DataFrame:
-    """``docs`` with ``text`` rewritten, and n_lines and n_removed added."""
+    """``docs`` with ``text`` rewritten, and n_lines and n_removed added; columns of these names are replaced, all others stay."""
+    key, places, lost, drop = free_names(docs, "key", "places", "lost", "drop")
     windows = _windows(docs, text, lines)
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("place").alias("first")).filter("c > 1").select("h1", "h2", "first")
-    later = windows.join(first, ["h1", "h2"]).filter("place <> first").select(F.col("place.k").alias("_k"), F.col("place.p").alias("p"))
-    gone = later.distinct().groupBy("_k").agg(F.collect_list("p").alias("_p"))
-    covered = F.array_distinct(F.flatten(F.transform("_p", lambda p: F.sequence(p, p + lines - 1))))
-    gone = gone.select("_k", covered.alias("_gone"))
-    rows = docs.drop("n_lines", "n_removed").withColumn("_k", row_key(F.col("doc_id"), F.col(text))).join(gone, "_k", "left")
+    later = windows.join(first, ["h1", "h2"]).filter("place <> first").select(F.col("place.k").alias(key), F.col("place.p").alias("p"))
+    gone = later.distinct().groupBy(key).agg(F.collect_list("p").alias(places))
+    covered = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + lines - 1))))
+    gone = gone.select(key, covered.alias(lost))
+    rows = docs.drop("n_lines", "n_removed").withColumn(key, row_key(F.col("doc_id"), F.col(text))).join(gone, key, "left")
     split = F.split(F.col(text), "\n")
     # a map from position keeps the test of each line cheap
-    dropped = F.map_from_arrays("_gone", F.transform("_gone", lambda _: F.lit(True)))
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.coalesce(F.try_element_at(F.col("_drop"), i), F.lit(False))), "\n")
-    rows = rows.withColumn("_drop", dropped).withColumn("n_lines", F.coalesce(F.size(split), F.lit(0))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
+    dropped = F.map_from_arrays(lost, F.transform(lost, lambda _: F.lit(True)))
+    kept = F.array_join(F.filter(split, lambda _, i: ~F.coalesce(F.try_element_at(F.col(drop), i), F.lit(False))), "\n")
+    rows = rows.withColumn(drop, dropped).withColumn("n_lines", F.coalesce(F.size(split), F.lit(0))).withColumn("n_removed", F.coalesce(F.size(lost), F.lit(0)))
     rows = rows.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    rows = rows.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
+    rows = rows.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(kept))
     return rows.select(*docs.drop("n_lines", "n_removed").columns, "n_lines", "n_removed")
 
 

@@ -45,21 +45,24 @@ NO_ID = (1 << 63) - 1
 #: (those that a passage of LEAST words may have unmatched).
 GAP, MARGIN, BRIDGE = 0.1, 64, 10
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-"
-_MEMO: dict[str, int] = {}
 
 
-def _word(w: str) -> int:
-    h = _MEMO.get(w)
-    if h is None:
-        if len(_MEMO) > 500_000:
-            _MEMO.clear()
-        h = _MEMO[w] = xxhash.xxh64_intdigest(w.lower().strip(_EDGES).encode("utf-8", "replace"))
-    return h
+class _Words(dict):
+    """Hashes of words as they are written; a cache that is emptied when it is full."""
+
+    def __missing__(self, w: str) -> int:
+        h = self[w] = xxhash.xxh64_intdigest(w.lower().strip(_EDGES).encode("utf-8", "replace"))
+        return h
+
+
+_MEMO = _Words()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
+    if len(_MEMO) > 500_000:
+        _MEMO.clear()
     words = (text or "").split()
-    return np.fromiter(map(_word, words), np.uint64, len(words))
+    return np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
 
 
 def seeds(words: np.ndarray, seed: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +257,7 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
 
     Rows are dealt by ranges of (seed, place), so that a seed that very many rows hold lies in several tasks. A task settles all seeds
     but the one it begins with, which may have begun in the task before. Rows of that one wait for the ends of the tasks before: one row of
-    each task, which is broadcast. Also returns the stored table that the matches come from, for its removal.
+    each task, which the driver hands out. Also returns the stored table that the matches come from, for its removal.
     """
     names = [*PLACE, *(f"{c}2" for c in PLACE), "near", "seed", "part", "n", "kind"]
     schema = f"{_MATCH}, near boolean, seed bigint, part int, n bigint, kind int"
@@ -310,23 +313,50 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
     steps = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "steps")
     remove(rows)
     waiting, ends = steps.filter("kind = 1"), steps.filter("kind = 2")
-    # a seed's tasks follow one another: all but the first begin with it; so these tables have a row or two for each task
-    heads = waiting.groupBy("seed").agg(F.min(F.struct(*PLACE)).alias("a"), F.count("*").alias("n"))
-    known = heads.union(ends.select("seed", F.struct(*PLACE), "n")).groupBy("seed").agg(F.min("a").alias("a"), F.sum("n").alias("n"))
-    known = F.broadcast(known.filter("n > 1").join(heads.select("seed"), "seed", "left_semi").select("seed", "a"))
-    other = F.struct(*(F.col(f"{c}2").alias(c) for c in PLACE))
-    last = F.broadcast(ends.select((F.col("part") + 1).alias("part"), F.col("seed").alias("seed0"), other.alias("z")))
-    own = waiting.select("seed", "part", F.struct(*PLACE).alias("h"), other.alias("o")).join(known, "seed").join(last, "part", "left")
-    own = own.select("h", "a", F.when(F.col("o") != F.col("h"), F.col("o")).when(F.col("seed") == F.col("seed0"), F.col("z")).alias("p"))
-    settled = own.filter("h <> a").select("h", "a")
-    if both:
-        settled = settled.union(own.filter("h <> a and p <> a").select("h", "p")).union(own.filter("h = a").select("h", "a"))
-        alone = ends.filter("n = 1").select("seed", F.struct(*PLACE).alias("h")).join(known, "seed").filter("h = a").select("h", "a")
-        settled = settled.union(alone)
-    differ = F.col("h.side").bitwiseXOR(F.col("a.side"))
-    near = (differ.bitwiseAND(F.lit(0xFFFF)) == 0) | (F.shiftright(differ, 16) == 0)
-    pair = settled.select(*(F.col(f"h.{c}").alias(c) for c in PLACE[:3]), *(F.col(f"a.{c}").alias(f"{c}2") for c in PLACE[:3]), near)
-    return steps.filter("kind = 0").select(*PLACE[:3], *(f"{c}2" for c in PLACE[:3]), "near").union(pair), steps
+    # a seed's tasks follow one another: all but the first begin with it. So these are a row or two for each task
+    heads = waiting.groupBy("seed").agg(F.min(F.struct(*PLACE)).alias("a"), F.count("*").alias("n")).collect()
+    ends = ends.select("part", "seed", "n", F.struct(*PLACE).alias("a"), F.struct(*(f"{c}2" for c in PLACE)).alias("z")).collect()
+    first: dict[int, tuple] = {}
+    count: dict[int, int] = {}
+    for r in [*heads, *ends]:
+        first[r.seed] = min(first.get(r.seed, tuple(r.a)), tuple(r.a))
+        count[r.seed] = count.get(r.seed, 0) + r.n
+    known = sorted(r.seed for r in heads if count[r.seed] > 1)
+    table = np.array([(s, *first[s]) for s in known], np.int64).reshape(-1, 5)
+    last = {r.part + 1: (r.seed, *r.z) for r in ends}
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not len(table):
+                continue
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
+            own, other, seed, part = cols[:4], cols[4:8], cols[8], cols[9]
+            at = np.minimum(np.searchsorted(table[:, 0], seed), len(table) - 1)
+            repeats, lead = table[at, 0] == seed, [table[at, 1 + i] for i in range(4)]
+            is_first = np.all([x == y for x, y in zip(own[:3], lead[:3], strict=True)], axis=0)
+            lone = np.all([x == y for x, y in zip(own[:3], other[:3], strict=True)], axis=0)  # no row of the seed before it in its task
+            for p in np.unique(part[lone]).tolist():
+                if p in last:
+                    here = lone & (part == p) & (seed == last[p][0])
+                    lone &= ~here
+                    for i in range(4):
+                        other[i][here] = last[p][1 + i]
+            before = ~lone & ~np.all([x == y for x, y in zip(other[:3], lead[:3], strict=True)], axis=0)
+            pairs = [(repeats & ~is_first, lead)] + ([(repeats & ~is_first & before, other), (repeats & is_first, own)] if both else [])
+            for rows, two in pairs:
+                if rows.any():
+                    differ = own[3][rows] ^ two[3][rows]
+                    near = (differ & 0xFFFF == 0) | ((differ >> 16) & 0xFFFF == 0)
+                    kinds = (np.int64, np.int64, np.int32)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[rows].astype(t)) for side in (own, two) for c, t in zip(side[:3], kinds, strict=True)), pa.array(near)], names=match)
+
+    match = [*PLACE[:3], *(f"{c}2" for c in PLACE[:3]), "near"]
+    schema = "d bigint, k bigint, pos int, d2 bigint, k2 bigint, pos2 int, near boolean"
+    out = steps.filter("kind = 0").select(*match).union(waiting.select(*PLACE, *(f"{c}2" for c in PLACE), "seed", "part").mapInArrow(settle, schema))
+    if both:  # a first one that is alone in its task
+        alone = [(*r.a[:3], *r.a[:3], True) for r in ends if r.n == 1 and r.seed in set(known) and tuple(r.a) == first[r.seed]]
+        out = out.union(steps.sparkSession.createDataFrame(alone, schema))
+    return out, steps
 
 
 def _ranges(ends: list[tuple[int, int]], seed: int) -> list[tuple[int, int]]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, binary_rows, column_np, components, group_starts, list_array, small_batches, stored, text_key, to_binary, whole_groups
+from .common import add_columns, binary_rows, column_np, components, free_names, group_starts, list_array, remove, small_batches, stored, text_key, to_binary, whole_groups
 
 SEED = 42
 #: Distinct fingerprints of one key that a task compares at once.
@@ -51,9 +51,10 @@ class Plan:
     similarity: float = 0.0
 
     @staticmethod
-    def by_similarity(words: int = 5, similarity: float = 0.8, bits: int = 512, block: int = 14, slack: float = 3.5) -> Plan:
+    def by_similarity(words: int = 5, similarity: float = 0.8, bits: int = 512, block: int = 14, slack: float = 2.5) -> Plan:
         """Shingle sets of Jaccard similarity s have cosine 2s / (1 + s), and each bit differs with chance angle / pi: the distance
-        is that mean plus ``slack`` standard deviations. A pair at 0.8 shares a block of 14 among 36 with chance 0.977, at 0.9 with 0.999."""
+        is that mean plus ``slack`` standard deviations, which 0.994 of the pairs at ``similarity`` keep within. A pair at 0.8 shares a
+        block of 14 among 36 with chance 0.977, at 0.9 with 0.999."""
         p = math.acos(2 * similarity / (1 + similarity)) / math.pi
         return Plan(words, bits, int(bits * p + slack * math.sqrt(bits * p * (1 - p))), (block,) * (bits // block), 1, similarity=similarity)
 
@@ -211,7 +212,9 @@ def more_links(fp: np.ndarray, distance: int, agreed: list[tuple[int, int]], rej
     for x, y in agreed:
         part[part == part[y]] = part[x]
     for i in range(len(v) - 1):
-        near = i + 1 + np.flatnonzero(np.bitwise_count(v[i + 1 :] ^ v[i]).sum(1, dtype=np.int64) <= distance)
+        gap = np.bitwise_count(v[i + 1 :] ^ v[i]).sum(1, dtype=np.int64)
+        near = np.flatnonzero(gap <= distance)
+        near = i + 1 + near[np.argsort(gap[near], kind="stable")]  # the closest are the likeliest to be similar
         near = near[~np.isin(near, no[i])] if i in no else near
         while len(near := near[part[near] != part[i]]):
             out.append((i, int(near[0])))
@@ -273,6 +276,7 @@ def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
         pairs = found.select("fp", "dst").distinct().join(sets.withColumnRenamed("set", "x"), "fp").join(sets.select(F.col("fp").alias("dst"), F.col("set").alias("y")), "dst")
         verdict = pairs.select("fp", "dst", "x", "y").mapInArrow(judged, "fp binary, dst binary, ok boolean")
         new = stored(found.join(verdict, ["fp", "dst"]).select(*group, "fp", "dst", "ok"), "judged")
+        remove(found)
         past = new if past is None else past.union(new)
         again = new.filter("not ok").select(*group).distinct()
         if again.isEmpty():
@@ -301,7 +305,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (nulls last), then text."""
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (nulls last), then text. All columns stay as they are."""
     plan = plan or Plan.by_similarity()
     ident = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), text_key(F.col("text")).alias("k"))
     small_batches(docs.sparkSession)
@@ -323,11 +327,11 @@ def keep_one(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     prints = add_columns(docs.select(ident.alias("_i"), F.col("text").alias("_text")), node, "fp binary", drop=["_text"])
     prints = stored(prints.distinct(), "prints")
     kept = fingerprint_classes(prints, plan, "_i", sets_of).select("smallest").distinct()
-    kept = kept.select(F.col("smallest.n").alias("_n"), F.coalesce("smallest.d", F.lit(0)).alias("_d"), F.col("smallest.k").alias("_k"))
-    rows = docs.withColumn("_n", F.col("doc_id").isNull()).withColumn("_d", F.coalesce("doc_id", F.lit(0))).withColumn("_k", text_key(F.col("text")))
-    key = ["_n", "_d", "_k"]
-    one = rows.join(kept, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("_row"))  # rows can repeat doc_id and text
-    return one.select("_row.*")
+    n, d, k, row = key = free_names(docs, "n", "d", "k", "row")
+    kept = kept.select(F.col("smallest.n").alias(n), F.coalesce("smallest.d", F.lit(0)).alias(d), F.col("smallest.k").alias(k))
+    rows = docs.withColumns({n: F.col("doc_id").isNull(), d: F.coalesce("doc_id", F.lit(0)), k: text_key(F.col("text"))})
+    one = rows.join(kept, key[:3], "left_semi").groupBy(*key[:3]).agg(F.min(F.struct(*docs.columns)).alias(row))  # rows can repeat doc_id and text
+    return one.select(f"{row}.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
