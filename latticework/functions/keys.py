@@ -38,6 +38,34 @@ def ip4_number(c: Column) -> Column:
     return F.when(is_ip4(c), sum((parts[i].cast("bigint") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0)))
 
 
+def _ip6_groups(c: Column) -> Column:
+    """The eight groups of an IPv6 address, of which two colons stand for zeros; null for anything else."""
+    low = F.lower(trimmed(c))
+    v4 = F.regexp_extract(low, r":([0-9.]+)$", 1)
+    n = ip4_number(v4)
+    plain = F.when(v4.contains("."), F.when(n.isNotNull(), F.concat(F.regexp_replace(low, r"[0-9.]+$", ""), F.lower(F.hex(F.floor(n / 65536).cast("bigint"))), F.lit(":"), F.lower(F.hex(n % 65536))))).otherwise(low)
+    sides = F.split(plain, "::", -1)
+    groups = lambda x: F.filter(F.split(F.coalesce(x, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+    gap = 8 - F.size(left) - F.size(right)
+    whole = F.when(F.size(sides) == 1, left).when((F.size(sides) == 2) & (gap > 0), F.concat(left, F.array_repeat(F.lit("0"), gap), right))
+    form = plain.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$")
+    return F.when(form & (F.size(whole) == 8), whole)
+
+
+def ip6_numbers(c: Column) -> Column:
+    """An IPv6 address as two signed 64-bit numbers (hi, lo); null for anything else."""
+    half = lambda g, at: F.conv(F.array_join(F.transform(F.slice(g, at, 4), lambda x: F.lpad(x, 4, "0")), ""), 16, -10).cast("bigint")
+    groups = _ip6_groups(c)
+    return F.when(groups.isNotNull(), F.struct(half(groups, 1).alias("hi"), half(groups, 5).alias("lo")))
+
+
+def ip_bits(c: Column) -> Column:
+    """An address of either kind as a string of its 32 or 128 bits; null for anything else."""
+    bits = lambda x: F.lpad(F.conv(x, 16, 2), 16, "0")
+    return F.coalesce(F.lpad(F.bin(ip4_number(c)), 32, "0"), F.array_join(F.transform(_ip6_groups(c), bits), ""))
+
+
 def squeezed(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return trimmed(F.regexp_replace(c, r"\s+", " "))

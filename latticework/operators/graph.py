@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.functions.keys import asset_key, ip4_number
+from latticework.functions.keys import asset_key, ip4_number, ip_bits
 
 
 def resolve_endpoints(relations: DataFrame, assets: DataFrame) -> DataFrame:
@@ -39,6 +39,17 @@ def ip_in_cidr(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
     return keys.join(prefixes, ["len", "base"]).select("ip", "cidr")
 
 
+def addresses_in_prefixes(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs (ip, cidr) of addresses of either kind inside prefixes (cidr): equality of their first bits, for the lengths that occur; what is no address or prefix takes no part."""
+    parts = F.split("cidr", "/")
+    p = prefixes.select("cidr", ip_bits(parts[0]).alias("bits"), F.get(parts, F.lit(1)).try_cast("int").alias("len")).filter("bits is not null and len between 0 and length(bits)")
+    p = p.select("cidr", F.length("bits").alias("width"), "len", F.substring("bits", F.lit(1), F.col("len")).alias("head")).distinct()
+    lens = p.select("width", "len").distinct()  # 162 at most
+    a = ips.select("ip", ip_bits(F.col("ip")).alias("bits")).filter("bits is not null").distinct()
+    a = a.join(F.broadcast(lens), F.length("bits") == F.col("width")).select("ip", "width", "len", F.substring("bits", F.lit(1), F.col("len")).alias("head"))
+    return a.join(p, ["width", "len", "head"]).select("ip", "cidr")
+
+
 def related_assets(assets: DataFrame, most: int = 8) -> DataFrame:
     """Per asset at most ``most`` others: those of its registrable root first, then of its enumeration, in row order.
 
