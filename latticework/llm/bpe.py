@@ -5,7 +5,8 @@ characters, so one pass of an Aho-Corasick automaton of the vocabulary finds eve
 Starting from the longest match, a token is accepted if it is compatible with the token before it (merging the bytes
 of the two by rank gives those two again; remembered by pair); else a shorter match is tried, and where none is left the
 position is marked as dead and the token before is given up. A sequence whose neighbours are all compatible is the
-one that merging by rank gives, so the ids are those of the exact merges; dead positions make the work linear.
+one that merging by rank gives, so the ids are those of the exact merges; dead positions make the work linear. Of a piece of any
+length only some blocks of matches are held, besides a few bytes for each of its own.
 
 A null text counts as empty: no ids. Every row is encoded whole; rows that repeat get the same result.
 """
@@ -13,6 +14,8 @@ A null text counts as empty: no ids. Every row is encoded whole; rows that repea
 from __future__ import annotations
 
 import base64
+from array import array
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import add_columns, small_batches
 
 MEMO = 300_000
+#: Bytes of a long piece whose matches are held at once.
+BLOCK = 1 << 16
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -40,6 +45,7 @@ class Codec(dict):
         for token, i in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), i))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.ranks), default=0)
         self.pairs: dict[int, bool] = {}
         self.pieces = regex.compile(pattern).findall
 
@@ -62,30 +68,55 @@ class Codec(dict):
             ok = self.pairs[key] = self.merged(self.vocab[a] + self.vocab[b]) == [a, b]
         return ok
 
+    def matches(self, text: str) -> Callable[[int], list[tuple[int, int]]]:
+        """For a place: the tokens (length, id) that begin there, shortest first. Of a long piece only some blocks are held at once."""
+
+        def block(begin: int, size: int) -> list[list[tuple[int, int]]]:
+            starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+            for end, (n, i) in self.automaton.iter(text, begin, min(len(text), begin + size + self.longest)):
+                if (at := end - n + 1 - begin) < size:
+                    starts[at].append((n, i))
+            return starts
+
+        if len(text) <= BLOCK:
+            return block(0, len(text)).__getitem__
+        held: dict[int, list[list[tuple[int, int]]]] = {}
+
+        def fetch(at: int) -> list[tuple[int, int]]:
+            b = at // BLOCK
+            if b not in held:
+                if len(held) > 3:
+                    held.pop(next(iter(held)))
+                held[b] = block(b * BLOCK, min(BLOCK, len(text) - b * BLOCK))
+            return held[b][at % BLOCK]
+
+        return fetch
+
     def backtrack(self, data: bytes) -> list[int]:
-        starts: list[list[tuple[int, int]]] = [[] for _ in data]  # by first byte: (length, id), shortest first
-        for end, (n, i) in self.automaton.iter(data.decode("latin-1")):
-            starts[end - n + 1].append((n, i))
-        alive, chosen, at, option = bytearray(b"\x01") * (len(data) + 1), [], 0, [len(x) - 1 for x in starts]
-        while at < len(data):
-            k = option[at]
+        starts, size = self.matches(data.decode("latin-1")), len(data)
+        alive, chosen, lengths, option = bytearray(b"\x01") * (size + 1), array("I"), array("H"), array("h", bytes(2 * size))
+        at, k = 0, len(starts(0)) - 1 if size else -1
+        while at < size:
+            here = starts(at)
             while k >= 0:
-                n, i = starts[at][k]
-                if alive[at + n] and (not chosen or self.compatible(chosen[-1][1], i)):
+                n, i = here[k]
+                if alive[at + n] and (not chosen or self.compatible(chosen[-1], i)):
                     break
                 k -= 1
             if k >= 0:
                 option[at] = k
-                chosen.append((n, i))
+                chosen.append(i)
+                lengths.append(n)
                 at += n
-                if at < len(data):
-                    option[at] = len(starts[at]) - 1
+                k = len(starts(at)) - 1 if at < size else -1
             else:
                 if not chosen:
                     return self.merged(data)  # a vocabulary without some byte
                 alive[at] = 0
-                at -= chosen.pop()[0]
-        return [i for _, i in chosen]
+                chosen.pop()
+                at -= lengths.pop()
+                k = option[at]
+        return chosen.tolist()
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "replace")
