@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -68,36 +67,27 @@ class Codec(dict):
             ok = self.pairs[key] = self.merged(self.vocab[a] + self.vocab[b]) == [a, b]
         return ok
 
-    def matches(self, text: str) -> Callable[[int], list[tuple[int, int]]]:
-        """For a place: the tokens (length, id) that begin there, shortest first. Of a long piece only some blocks are held at once."""
-
-        def block(begin: int, size: int) -> list[list[tuple[int, int]]]:
-            starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-            for end, (n, i) in self.automaton.iter(text, begin, min(len(text), begin + size + self.longest)):
-                if (at := end - n + 1 - begin) < size:
-                    starts[at].append((n, i))
-            return starts
-
-        if len(text) <= BLOCK:
-            return block(0, len(text)).__getitem__
-        held: dict[int, list[list[tuple[int, int]]]] = {}
-
-        def fetch(at: int) -> list[tuple[int, int]]:
-            b = at // BLOCK
-            if b not in held:
-                if len(held) > 3:
-                    held.pop(next(iter(held)))
-                held[b] = block(b * BLOCK, min(BLOCK, len(text) - b * BLOCK))
-            return held[b][at % BLOCK]
-
-        return fetch
+    def block(self, text: str, begin: int, size: int) -> list[list[tuple[int, int]]]:
+        """For each of ``size`` places from ``begin`` on the tokens (length, id) that begin there, shortest first."""
+        starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        for end, (n, i) in self.automaton.iter(text, begin, min(len(text), begin + size + self.longest)):
+            if (at := end - n + 1 - begin) < size:
+                starts[at].append((n, i))
+        return starts
 
     def backtrack(self, data: bytes) -> list[int]:
-        starts, size = self.matches(data.decode("latin-1")), len(data)
-        alive, chosen, lengths, option = bytearray(b"\x01") * (size + 1), array("I"), array("H"), array("h", bytes(2 * size))
-        at, k = 0, len(starts(0)) - 1 if size else -1
+        text, size = data.decode("latin-1"), len(data)
+        if size <= BLOCK:
+            starts: list[list[tuple[int, int]]] | _Blocks = [[] for _ in data]
+            for end, (n, i) in self.automaton.iter(text):
+                starts[end - n + 1].append((n, i))
+            option: list[int] | array = [0] * size
+        else:
+            starts, option = _Blocks(self, text), array("h", bytes(2 * size))
+        alive, chosen, lengths = bytearray(b"\x01") * (size + 1), [], []
+        at, k = 0, len(starts[0]) - 1 if size else -1
         while at < size:
-            here = starts(at)
+            here = starts[at]
             while k >= 0:
                 n, i = here[k]
                 if alive[at + n] and (not chosen or self.compatible(chosen[-1], i)):
@@ -108,7 +98,8 @@ class Codec(dict):
                 chosen.append(i)
                 lengths.append(n)
                 at += n
-                k = len(starts(at)) - 1 if at < size else -1
+                if at < size:
+                    k = len(starts[at]) - 1
             else:
                 if not chosen:
                     return self.merged(data)  # a vocabulary without some byte
@@ -116,7 +107,7 @@ class Codec(dict):
                 chosen.pop()
                 at -= lengths.pop()
                 k = option[at]
-        return chosen.tolist()
+        return chosen
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "replace")
@@ -135,6 +126,22 @@ class Codec(dict):
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class _Blocks:
+    """Matches by place of a long piece, of which some blocks are held at once."""
+
+    def __init__(self, codec: Codec, text: str) -> None:
+        self.codec, self.text = codec, text
+        self.held: dict[int, list[list[tuple[int, int]]]] = {}
+
+    def __getitem__(self, at: int) -> list[tuple[int, int]]:
+        b = at // BLOCK
+        if b not in self.held:
+            if len(self.held) > 3:
+                self.held.pop(next(iter(self.held)))
+            self.held[b] = self.codec.block(self.text, b * BLOCK, min(BLOCK, len(self.text) - b * BLOCK))
+        return self.held[b][at % BLOCK]
+
+
 def codec(ranks_path: str, pattern: str) -> Codec:
     """One codec for each vocabulary and Python worker."""
     key = (ranks_path, pattern)
