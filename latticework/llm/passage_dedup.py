@@ -248,32 +248,37 @@ def _seed_rows(docs: DataFrame, text: str, seed: int, window: int) -> DataFrame:
 
 #: What knows an occurrence, in order; side goes with it (what stands beside it).
 PLACE = ("d", "k", "pos", "side")
-_MATCH = "d bigint, k bigint, pos int, side int, d2 bigint, k2 bigint, pos2 int, side2 int"
 
 
 def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
     """Each occurrence (d, k, pos) of a ``seed`` but the first, with that one (d2, k2, pos2); with ``both`` also with the one before it, and the
     first one of several with itself. near: whether what stands before or after is equal too.
 
-    Rows are dealt by ranges of (seed, place), so that a seed that very many rows hold lies in several tasks. A task settles all seeds
-    but the one it begins with, which may have begun in the task before. Rows of that one wait for the ends of the tasks before: one row of
-    each task, which the driver hands out. Also returns the stored table that the matches come from, for its removal.
+    Rows are dealt by ranges of (seed, place), so that a seed that very many rows hold lies in several tasks, which follow one
+    another. In each the first one there stands for the first of all; it is itself matched with that, and with the one
+    before it, by what the tasks tell of the seeds they begin and end with: two rows for each task, which meet in the driver. Also
+    returns the stored table that the matches come from, for its removal.
     """
-    names = [*PLACE, *(f"{c}2" for c in PLACE), "near", "seed", "part", "n", "kind"]
-    schema = f"{_MATCH}, near boolean, seed bigint, part int, n bigint, kind int"
+    match = [*PLACE[:3], *(f"{c}2" for c in PLACE[:3]), "near"]
+    schema = "d bigint, k bigint, pos int, d2 bigint, k2 bigint, pos2 int, near boolean, seed bigint, side int, side2 int, part int, n bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        names = [f.split()[0] for f in schema.split(", ")]
+
+        def out(place: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+            differ = place[3][one] ^ place[3][two]
+            near, none = pa.array((differ & 0xFFFF == 0) | (differ >> 16 == 0)), lambda t: pa.nulls(len(one), t)
+            return pa.RecordBatch.from_arrays([*(pa.array(c[one]) for c in place[:3]), *(pa.array(c[two]) for c in place[:3]), near, none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.int64())], names=names)
 
-        def out(kind: int, one: list[np.ndarray], two: list[np.ndarray], seed: np.ndarray, n: int = 0) -> pa.RecordBatch:
-            size, differ = len(seed), one[3] ^ two[3]
-            cols = [pa.array(c) for c in (*one, *two, (differ & 0xFFFF == 0) | (differ >> 16 == 0), seed, np.full(size, part, np.int32), np.full(size, n, np.int64), np.full(size, kind, np.int32))]
-            if kind == 0:  # the sides have served
-                cols[3] = cols[7] = pa.nulls(size, pa.int32())
-            return pa.RecordBatch.from_arrays(cols, names=names)
+        def edge(place: list[np.ndarray], seed: np.ndarray, n: int) -> pa.RecordBatch:
+            """The first and last place of a seed here; ``n``: its rows here, 0 for the seed that the task begins with."""
+            one, two = ([c[i : i + 1] for c in place] for i in (0, len(seed) - 1))
+            kinds = [pa.int64(), pa.int64(), pa.int32()]
+            told = [*(pa.array(c, t) for c, t in zip(one[:3], kinds, strict=True)), *(pa.array(c, t) for c, t in zip(two[:3], kinds, strict=True)), pa.nulls(1, pa.bool_()), pa.array(seed[:1])]
+            return pa.RecordBatch.from_arrays([*told, pa.array(one[3]), pa.array(two[3]), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=names)
 
         carry: list[np.ndarray] = []
-        lead, count = None, 0  # the seed that the task begins with; rows so far of the seed that the carry ends with
+        count, started = 0, False  # rows so far of the seed that the carry ends with
         for b in batches:
             if not b.num_rows:
                 continue
@@ -284,79 +289,42 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
             fresh[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
             cols = [c[fresh] for c in cols]
             seed, place = cols[0], cols[1:]
-            lead = seed[0] if lead is None else lead
+            if not started:
+                started = True
+                yield edge([c[:1] for c in place], seed[:1], 0)
             at = np.arange(len(seed))
             new = np.ones(len(seed), bool)
             new[1:] = seed[1:] != seed[:-1]
             first = np.maximum.accumulate(np.where(new, at, 0))
-            waits = seed == lead
-            if (open_ := at[waits & (at >= old)]).size:  # with the row before in this task, or itself if there is none
-                before = np.where(open_ > first[open_], open_ - 1, open_)
-                yield out(1, [c[open_] for c in place], [c[before] for c in place], seed[open_])
-            later = at[(at > first) & (at >= old) & ~waits]
+            later = at[(at > first) & (at >= old)]
             one, two = [later], [first[later]]
             if both:
                 more, begin = later[later - 1 > first[later]], first[later[later - 1 == first[later]]]
                 one, two = [*one, more, begin], [*two, more - 1, begin]
             one, two = np.concatenate(one), np.concatenate(two)
             if len(one):
-                yield out(0, [c[one] for c in place], [c[two] for c in place], seed[one])
+                yield out(place, one, two)
             tail = len(seed) - max(first[-1], old)
             count = tail if first[-1] >= old else count + tail
             carry = [c[np.unique([first[-1], at[-1]])] for c in cols]
-        if carry:  # the last seed of the task: its first and last place here, and its rows unless they wait
-            seed, place = carry[0], carry[1:]
-            yield out(2, [c[:1] for c in place], [c[-1:] for c in place], seed[:1], 0 if seed[0] == lead else count)
+        if carry:
+            yield edge(carry[1:], carry[0], count)
 
     order = ["seed", *PLACE]
     rows = stored(rows.select(*order), "occurrences")  # the ranges are settled on it
     steps = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "steps")
     remove(rows)
-    waiting, ends = steps.filter("kind = 1"), steps.filter("kind = 2")
-    # a seed's tasks follow one another: all but the first begin with it. So these are a row or two for each task
-    heads = waiting.groupBy("seed").agg(F.min(F.struct(*PLACE)).alias("a"), F.count("*").alias("n")).collect()
-    ends = ends.select("part", "seed", "n", F.struct(*PLACE).alias("a"), F.struct(*(f"{c}2" for c in PLACE)).alias("z")).collect()
-    first: dict[int, tuple] = {}
-    count: dict[int, int] = {}
-    for r in [*heads, *ends]:
-        first[r.seed] = min(first.get(r.seed, tuple(r.a)), tuple(r.a))
-        count[r.seed] = count.get(r.seed, 0) + r.n
-    known = sorted(r.seed for r in heads if count[r.seed] > 1)
-    table = np.array([(s, *first[s]) for s in known], np.int64).reshape(-1, 5)
-    last = {r.part + 1: (r.seed, *r.z) for r in ends}
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows or not len(table):
-                continue
-            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
-            own, other, seed, part = cols[:4], cols[4:8], cols[8], cols[9]
-            at = np.minimum(np.searchsorted(table[:, 0], seed), len(table) - 1)
-            repeats, lead = table[at, 0] == seed, [table[at, 1 + i] for i in range(4)]
-            is_first = np.all([x == y for x, y in zip(own[:3], lead[:3], strict=True)], axis=0)
-            lone = np.all([x == y for x, y in zip(own[:3], other[:3], strict=True)], axis=0)  # no row of the seed before it in its task
-            for p in np.unique(part[lone]).tolist():
-                if p in last:
-                    here = lone & (part == p) & (seed == last[p][0])
-                    lone &= ~here
-                    for i in range(4):
-                        other[i][here] = last[p][1 + i]
-            before = ~lone & ~np.all([x == y for x, y in zip(other[:3], lead[:3], strict=True)], axis=0)
-            pairs = [(repeats & ~is_first, lead)] + ([(repeats & ~is_first & before, other), (repeats & is_first, own)] if both else [])
-            for rows, two in pairs:
-                if rows.any():
-                    differ = own[3][rows] ^ two[3][rows]
-                    near = (differ & 0xFFFF == 0) | ((differ >> 16) & 0xFFFF == 0)
-                    kinds = (np.int64, np.int64, np.int32)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c[rows].astype(t)) for side in (own, two) for c, t in zip(side[:3], kinds, strict=True)), pa.array(near)], names=match)
-
-    match = [*PLACE[:3], *(f"{c}2" for c in PLACE[:3]), "near"]
-    schema = "d bigint, k bigint, pos int, d2 bigint, k2 bigint, pos2 int, near boolean"
-    out = steps.filter("kind = 0").select(*match).union(waiting.select(*PLACE, *(f"{c}2" for c in PLACE), "seed", "part").mapInArrow(settle, schema))
-    if both:  # a first one that is alone in its task
-        alone = [(*r.a[:3], *r.a[:3], True) for r in ends if r.n == 1 and r.seed in set(known) and tuple(r.a) == first[r.seed]]
-        out = out.union(steps.sparkSession.createDataFrame(alone, schema))
-    return out, steps
+    edges = steps.filter("part is not null").select("part", "seed", "n", F.struct(*PLACE).alias("a"), F.struct(*(f"{c}2" for c in PLACE)).alias("z")).collect()
+    pairs: set[tuple] = set()
+    for head in (e for e in edges if not e.n):
+        before = sorted((e for e in edges if e.n and e.seed == head.seed and e.part < head.part), key=lambda e: e.part)
+        if before:
+            a, h, z = tuple(before[0].a), tuple(head.a), tuple(before[-1].z)
+            pairs |= {(h, a), (h, z), (a, a), (h, h)} if both else {(h, a)}
+    same = lambda x, y: (x ^ y) & 0xFFFF == 0 or (x ^ y) >> 16 == 0
+    told = [(*h[:3], *a[:3], same(h[3], a[3])) for h, a in sorted(pairs)]
+    ends = steps.sparkSession.createDataFrame(told, "d bigint, k bigint, pos int, d2 bigint, k2 bigint, pos2 int, near boolean")
+    return steps.filter("part is null").select(*match).union(ends), steps
 
 
 def _ranges(ends: list[tuple[int, int]], seed: int) -> list[tuple[int, int]]:
@@ -542,8 +510,9 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _aligned(passages: DataFrame, words: DataFrame) -> DataFrame:
-    """Spans (d, k, s, e) to remove by aligning chains."""
+def _aligned(passages: DataFrame, words: DataFrame, reach: int) -> DataFrame:
+    """Spans (d, k, s, e) to remove by aligning chains, the best first. A chain inside a passage that goes already, by ``reach`` words on either side, is
+    left out: what agrees beyond has seeds of its own."""
     mine = words.select("d", "k", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("w").alias("w1"))
     other = words.select(F.col("d").alias("d2"), F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("w").alias("w2"))
     own = (F.col("d") == F.col("d2")) & (F.col("k") == F.col("k2"))
@@ -555,14 +524,19 @@ def _aligned(passages: DataFrame, words: DataFrame) -> DataFrame:
             w1, w2 = b.column(8), b.column(9)
             for i, (s1, s2, x, y, n, own) in enumerate(zip(*(b.column(j).to_pylist() for j in range(2, 8)), strict=True)):
                 one, two, at = w1[i].values.to_numpy(), w2[i].values.to_numpy(), 0
+                gone: list[tuple[int, int]] = []
                 for size in n:
-                    found = stretches(one, two, [p - s1 for p in x[at : at + size]], [p - s2 for p in y[at : at + size]])
-                    at += size
+                    mine, at = [p - s1 for p in x[at : at + size]], at + size
+                    low, high = max(0, mine[0] - reach), min(len(one), mine[-1] + reach)
+                    if any(lo <= low and high <= hi for lo, hi in gone):
+                        continue
+                    found = stretches(one, two, mine, [p - s2 for p in y[at - size : at]])
                     for lo, hi, _, hi2 in passages_of(found):
                         if own:
                             lo = max(lo, hi2 + s2 - s1)  # a passage that overlaps its own first occurrence starts after it
                             if hi - lo < LEAST:
                                 continue
+                        gone.append((lo, hi))
                         row.append(i)
                         s.append(lo + s1)
                         e.append(hi + s1)
@@ -585,7 +559,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", seed: int = SEED, win
     wanted = passages.select("d", "k", F.col("s1").alias("s"), F.col("e1").alias("e")).union(passages.select("d2", "k2", "s2", "e2"))
     words = stored(_slices(docs, wanted, text), "slices")
     _release(spark)
-    spans = stored(_aligned(passages, words), "aligned")
+    spans = stored(_aligned(passages, words, seed + window), "aligned")
     remove(words)
     _release(spark)
     left = stored(_merged(spans, found.filter("x is null").select("d", "k", F.col("s1").alias("s"), F.col("e1").alias("e"))), "left")
