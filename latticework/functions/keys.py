@@ -149,6 +149,16 @@ def link_relation(source: Column, target: Column, anchor: Column) -> Column:
     return out.otherwise("anchor")
 
 
+def root_label(root: Column) -> Column:
+    """The registrable label of a root; an address is its own."""
+    return F.when(ip_bits(root).isNotNull(), root).otherwise(F.substring_index(root, ".", 1))
+
+
+def root_suffix(root: Column) -> Column:
+    """The public suffix of a root; none for an address or a single label."""
+    return F.when(ip_bits(root).isNotNull() | ~root.contains("."), "").otherwise(F.regexp_replace(root, r"^[^.]*\.", ""))
+
+
 def attach_root(df: DataFrame, host: str, rules: DataFrame, out: str = "root") -> DataFrame:
     """``df`` with the registrable root of the column ``host``: one label more than its longest public suffix.
 

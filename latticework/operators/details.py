@@ -20,8 +20,9 @@ def asset_details(rows: DataFrame) -> DataFrame:
 
 
 def ip_edges(records: DataFrame) -> DataFrame:
-    """From records (enumeration_id, domain, ip, seq): one edge per enumeration and address, from the domain that showed it first."""
-    return records.groupBy("enumeration_id", "ip").agg(F.min_by("domain", "seq").alias("domain")).withColumn("kind", F.lit("dns_a"))
+    """From records (enumeration_id, domain, ip, seq): one edge per enumeration and address, from the domain that showed it first, by the address's kind."""
+    rows = records.groupBy("enumeration_id", F.lower("ip").alias("ip")).agg(F.min_by("domain", "seq").alias("domain"))
+    return rows.withColumn("kind", F.when(F.col("ip").contains(":"), "dns_aaaa").otherwise("dns_a"))
 
 
 def outbound_roots(links: DataFrame, samples: int = 5) -> DataFrame:

@@ -18,6 +18,33 @@ def resolve_endpoints(relations: DataFrame, assets: DataFrame) -> DataFrame:
     return out
 
 
+#: What makes two edges the same one.
+EDGE_KEY = ["from_asset_id", "from_asset_type", "from_identifier", "to_asset_id", "to_asset_type", "to_identifier", "observation_id", "enumeration_id", "source", "kind", "label", "reason", "discovery_date"]
+
+
+def distinct_edges(relations: DataFrame) -> DataFrame:
+    """Edges of which no two agree in all that tells them apart (columns that are missing count as equal); of those that do, that of the smallest id."""
+    by = [c for c in EDGE_KEY if c in relations.columns]
+    rest = [c for c in relations.columns if c not in by]
+    return relations.groupBy(*by).agg(F.min(F.struct(*(["id"] if "id" in rest else []), *(c for c in rest if c != "id"))).alias("_r")).select(*by, "_r.*") if rest else relations.dropDuplicates(by)
+
+
+def provenance(observations: DataFrame) -> DataFrame:
+    """Per type and asset_key the distinct sightings (asset_id, enumeration_id, source, seen_us) in order of date, those without one last."""
+    key = F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("asset_id", "enumeration_id", "source")))
+    item = F.struct(F.col("seen_us").isNull().alias("late"), F.col("seen_us"), key.alias("key"), F.col("asset_id"), F.col("enumeration_id"), F.col("source"))
+    known = observations.filter("coalesce(asset_id, '') <> '' or coalesce(enumeration_id, '') <> '' or coalesce(source, '') <> '' or seen_us is not null")
+    told = known.groupBy("type", "asset_key").agg(F.array_sort(F.collect_set(item)).alias("p"))
+    return told.select("type", "asset_key", F.transform("p", lambda x: F.struct(x.asset_id.alias("asset_id"), x.enumeration_id.alias("enumeration_id"), x.source.alias("source"), x.seen_us.alias("seen_us"))).alias("provenance"))
+
+
+def stray_observations(observations: DataFrame, assets: DataFrame) -> DataFrame:
+    """Sightings (id, asset_id) without an asset id, or with one that no asset has, and which."""
+    known = assets.select("asset_id", F.lit(True).alias("known")).distinct()
+    rows = observations.select("id", F.nullif("asset_id", F.lit("")).alias("asset_id")).join(known, "asset_id", "left")
+    return rows.select("id", F.when(F.col("asset_id").isNull(), "without").when(F.col("known").isNull(), "unknown").alias("issue")).filter("issue is not null")
+
+
 def dangling(resolved: DataFrame) -> DataFrame:
     """Edges with an end that is no asset, and which."""
     missing = F.concat_ws(",", F.when(F.col("from_asset_id").isNull(), "from"), F.when(F.col("to_asset_id").isNull(), "to"))

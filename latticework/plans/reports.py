@@ -53,11 +53,12 @@ def asset_details(spark, sf_dir):
     return details.asset_details(obs)
 
 
-@query(f"with {OBSERVATIONS} select enumeration_id, concat('203.0.113.', seq % 200) as ip, arg_min(asset_key, seq) as domain, 'dns_a' as kind from o where type = 'domain' group by 1, 2")
+@query(f"with {OBSERVATIONS} select enumeration_id, case when seq % 3 = 0 then concat('2001:db8::', seq % 100) else concat('203.0.113.', seq % 200) end as ip, arg_min(asset_key, seq) as domain, case when seq % 3 = 0 then 'dns_aaaa' else 'dns_a' end as kind from o where type = 'domain' group by 1, 2, 4")
 def ip_edges(spark, sf_dir):
     """Edges from domains to the addresses of their records."""
     obs = ad.observations(spark, sf_dir).filter("type = 'domain'")
-    return details.ip_edges(obs.select("enumeration_id", keys.asset_key(F.col("identifier")).alias("domain"), F.concat(F.lit("203.0.113."), (F.col("seq") % 200).cast("string")).alias("ip"), "seq"))
+    ip = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("2001:DB8::"), (F.col("seq") % 100).cast("string"))).otherwise(F.concat(F.lit("203.0.113."), (F.col("seq") % 200).cast("string")))
+    return details.ip_edges(obs.select("enumeration_id", keys.asset_key(F.col("identifier")).alias("domain"), ip.alias("ip"), "seq"))
 
 
 @query(f"with {OBSERVATIONS}, l as (select enumeration_id as seed_id, concat('org', seq % 7, '.com') as root, asset_key as referrer, inclusion_reason as relation, source as sample, seq from o), c as (select seed_id, root, count(*) as links, count(distinct referrer) as referrers, round(least(0.85, 0.45 + 0.05 * count(distinct referrer) + case when count(*) filter (where relation <> '') > 0 then 0.05 else 0 end), 2)::double as confidence from l group by all), f as (select seed_id, root, sample, min(seq) as sq from l group by all), t as (select *, row_number() over (partition by seed_id, root order by sq, sample) as r from f), s as (select seed_id, root, string_agg(sample, ',' order by r) as samples from t where r <= 5 group by all) select * from c join s using (seed_id, root)")

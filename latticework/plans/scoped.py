@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from latticework.functions import keys
 from latticework.operators import details, graph, scope, windows
 
 from . import adapters as ad
-from .adapters import OUTCOMES, table
+from .adapters import OBSERVATIONS, OUTCOMES, table
 from .collected import _f
 from .queries import query
 
@@ -180,3 +181,27 @@ def promoted_observations(spark, sf_dir):
     flag = F.col("l_returnflag")
     decisions = table(spark, sf_dir, "lineitem").select(ad.text("l_orderkey").alias("enumeration_id"), root("l_partkey").alias("root"), F.when(flag == "A", "accepted").when(flag == "R", "rejected").otherwise("pending").alias("decision"))
     return scope.promoted_observations(decisions, table(spark, sf_dir, "part").select(root("p_partkey").alias("root"), F.col("p_name").alias("registrant")), "dns_collector")
+
+
+@query(f"with {OBSERVATIONS}, p as (select distinct type, asset_key, id as asset_id, enumeration_id, source, case when seq % 10 = 0 then null else seen_us end as seen_us from o) select type, asset_key, count(*) as sightings, string_agg(concat(asset_id, '|', enumeration_id, '|', source), ',' order by seen_us is null, seen_us, concat(asset_id, '|', enumeration_id, '|', source)) as provenance from p group by 1, 2")
+def provenance_order(spark, sf_dir):
+    """Sightings of each asset in order of date, those without one last."""
+    obs = ad.observations(spark, sf_dir).select("type", keys.asset_key(F.col("identifier")).alias("asset_key"), F.col("id").alias("asset_id"), "enumeration_id", "source", F.when(F.col("seq") % 10 != 0, F.col("seen_us")).alias("seen_us"))
+    rows = graph.provenance(obs)
+    return rows.select("type", "asset_key", F.size("provenance").cast("bigint").alias("sightings"), F.array_join(F.transform("provenance", lambda x: F.concat_ws("|", x.asset_id, x.enumeration_id, x.source)), ",").alias("provenance"))
+
+
+@query("select min(concat('rel-', l_orderkey, '-', l_linenumber)) as id, concat('part-', l_partkey % 50) as from_identifier, concat('supp-', l_suppkey) as to_identifier, l_returnflag as kind, l_linestatus as label from lineitem group by 2, 3, 4, 5")
+def distinct_edges(spark, sf_dir):
+    """Edges of equal content once."""
+    rel = table(spark, sf_dir, "lineitem").select(_f("rel-%d-%d", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("part-"), (F.col("l_partkey") % 50).cast("string")).alias("from_identifier"), _f("supp-%d", "l_suppkey").alias("to_identifier"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("label"))
+    return graph.distinct_edges(rel)
+
+
+@query("select concat('o', l_orderkey, '-', l_linenumber) as id, case when l_linenumber % 4 = 0 then 'without' else 'unknown' end as issue from lineitem where l_linenumber % 4 = 0 or l_suppkey % 2 = 1 or l_suppkey not in (select s_suppkey from supplier)")
+def stray_observations(spark, sf_dir):
+    """Sightings whose asset is missing."""
+    s = F.col("l_suppkey")
+    asset = F.when(F.col("l_linenumber") % 4 == 0, "").when(s % 2 == 1, F.concat(F.lit("gone-"), s.cast("string"))).otherwise(F.concat(F.lit("A-"), s.cast("string")))
+    obs = table(spark, sf_dir, "lineitem").select(_f("o%d-%d", "l_orderkey", "l_linenumber").alias("id"), asset.alias("asset_id"))
+    return graph.stray_observations(obs, table(spark, sf_dir, "supplier").select(_f("A-%d", "s_suppkey").alias("asset_id")))

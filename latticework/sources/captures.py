@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.functions.keys import host_key, is_ip4, trimmed, url_host
+from latticework.functions.keys import host_key, ip_bits, is_ip4, trimmed, url_host
 from latticework.sources.markup import sitemap_rows
 
 #: Patterns of a host name with several labels, and of a body that is an error.
@@ -14,12 +14,12 @@ ERROR = r"(?i)^error |api count exceeded|quota exceeded"
 
 
 def host_search_rows(bodies: DataFrame) -> DataFrame:
-    """From bodies (seed_id, body) of ``host,ip`` lines: one row per accepted host and one per address beside it; error bodies give none."""
+    """From bodies (seed_id, body) of ``host,ip`` lines: one row per accepted host and one per address (of either kind) beside it; error bodies give none."""
     lines = bodies.filter(~F.trim("body").rlike(ERROR)).select("seed_id", F.explode(F.split("body", r"\r?\n")).alias("line"))
     parts = F.split("line", ",", 2)
     rows = lines.select("seed_id", host_key(parts[0]).alias("host"), trimmed(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("ip"))
     rows = rows.filter(F.col("host").rlike(HOST) & ~is_ip4(F.col("host")))
-    found = F.array_compact(F.array(F.struct(F.lit("domain").alias("type"), F.col("host").alias("identifier")), F.when(is_ip4(F.col("ip")), F.struct(F.lit("ip").alias("type"), F.col("ip").alias("identifier")))))
+    found = F.array_compact(F.array(F.struct(F.lit("domain").alias("type"), F.col("host").alias("identifier")), F.when(ip_bits(F.col("ip")).isNotNull(), F.struct(F.lit("ip").alias("type"), F.lower("ip").alias("identifier")))))
     return rows.select("seed_id", F.explode(found).alias("x")).select("seed_id", "x.type", "x.identifier")
 
 

@@ -78,3 +78,26 @@ def test_promoted_observations(spark):
     decisions = spark.createDataFrame([("e", "a.com", "accepted"), ("e", "b.com", "rejected"), ("e", "c.com", "pending")], "enumeration_id string, root string, decision string")
     facts = spark.createDataFrame([("a.com", "Org")], "root string, registrant string")
     assert [tuple(r[c] for c in ("type", "identifier", "source", "enumeration_id", "registrant")) for r in scope.promoted_observations(decisions, facts, "dns_collector").collect()] == [("domain", "a.com", "dns_collector", "e", "Org")]
+
+
+def test_parts_of_roots(spark):
+    df = spark.createDataFrame([("example.co.uk",), ("localhost",), ("203.0.113.1",), ("2001:db8::1",)], "root string")
+    got = {r.root: (r.a, r.b) for r in df.select("root", keys.root_label(F.col("root")).alias("a"), keys.root_suffix(F.col("root")).alias("b")).collect()}
+    assert got == {"example.co.uk": ("example", "co.uk"), "localhost": ("localhost", ""), "203.0.113.1": ("203.0.113.1", ""), "2001:db8::1": ("2001:db8::1", "")}
+
+
+def test_graph_with_danglings(spark):
+    obs = spark.createDataFrame([("o1", "A"), ("o2", "gone"), ("o3", ""), ("o4", None)], "id string, asset_id string")
+    assets = spark.createDataFrame([("A",)], "asset_id string")
+    assert sorted(map(tuple, graph.stray_observations(obs, assets).collect())) == [("o2", "unknown"), ("o3", "without"), ("o4", "without")]
+
+
+def test_late_sightings_lower_the_first_date(spark, tmp_path):
+    """Sightings out of order, over several batches of the stream."""
+    from latticework.streaming.live_assets import live_assets
+
+    schema = "type string, identifier string, seen_us bigint"
+    for n, seen in enumerate((50, 20, 70)):
+        spark.createDataFrame([("domain", "A.com", seen), ("domain", "a.com ", seen + 1)], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        got = live_assets(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in/*")), str(tmp_path / "live"), str(tmp_path / "progress")).collect()
+    assert [tuple(r) for r in got] == [("domain", "a.com", 6, 20, 71)]
