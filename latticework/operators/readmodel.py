@@ -42,6 +42,28 @@ def trace_nodes(assets: DataFrame, observations: DataFrame, contributed: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Labels of a details line and the registration's fields, in order.
+REGISTRATION_LABELS = [
+    ("registrar_name", "Registrar"), ("registrar_url", "RegistrarURL"), ("registrant_name", "RegistrantName"), ("registrant_org", "RegistrantOrg"), ("registrant_email", "RegistrantEmail"),
+    ("name_servers", "Nameservers"), ("created", "Created"), ("updated", "Updated"), ("expires", "Expires"),
+]
+
+
+def details_line(rows: DataFrame) -> DataFrame:
+    """``rows`` (ownership_state, inclusion_reason, status, and what ``fold.merged_details`` gives) with details: all that is known in one line, empty parts left out."""
+    told = lambda label, c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{label} "), c.cast("string")))
+    parts = [told("Ownership", F.col("ownership_state")), told("Reason", F.col("inclusion_reason")), told("Resolution", F.col("status"))]
+    parts.append(told("DNS", F.array_join(F.transform("records", lambda r: F.concat(r["type"], F.lit(":"), r["value"])), "; ")))
+    parts.append(F.when(F.col("is_catch_all"), "Catch-all"))
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema["rdap"].dataType.fields}
+    for name, label in REGISTRATION_LABELS:
+        if name in kinds:
+            c = F.col(f"rdap.{name}")
+            parts.append(told(label, F.array_join(c, ", ") if kinds[name] == "array" else F.date_format(c, "yyyy-MM-dd") if kinds[name] in ("timestamp", "date") else c))
+    parts += [told("ASN", F.nullif(F.col("asn"), F.lit(0))), told("Org", F.col("organization")), told("PTR", F.col("ptr")), told("CIDR", F.try_element_at("data", F.lit("cidr")))]
+    return rows.withColumn("details", F.concat_ws(" | ", *parts))
+
+
 def trace_sections(assets: DataFrame) -> DataFrame:
     """Evidence lines of each asset by section, empty ones removed: (asset_id, title, position, item)."""
     line = lambda text, c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{text}: "), F.col(c).cast("string")))

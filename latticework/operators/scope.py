@@ -135,6 +135,30 @@ def observations_of(sources: list[DataFrame]) -> DataFrame:
     return out.withColumn("identifier", host_key(F.col("identifier"))).withColumn("source", trimmed(F.col("source"))).filter("identifier <> ''")
 
 
+#: Text columns of sightings and edges by the form they take.
+TRIMMED = ["id", "asset_id", "enumeration_id", "observation_id", "from_asset_id", "to_asset_id", "label", "reason", "inclusion_reason"]
+LOWERED = ["identifier", "from_identifier", "to_identifier", "source", "ownership_state"]
+
+
+def normalized(rows: DataFrame) -> DataFrame:
+    """Sightings or edges with their text columns in normal form; a sighting's kind is enrichment or else discovery."""
+    form = {c: trimmed(F.col(c)) for c in TRIMMED if c in rows.columns} | {c: F.lower(trimmed(F.col(c))) for c in LOWERED if c in rows.columns}
+    if "kind" in rows.columns:
+        kind = F.lower(trimmed(F.col("kind")))
+        form["kind"] = F.when(kind == "enrichment", kind).otherwise("discovery") if "identifier" in rows.columns else kind
+    return rows.withColumns(form)
+
+
+def beyond_first_hit(candidates: DataFrame) -> DataFrame:
+    """Candidates with more evidence (an array) than the hit that made them candidates."""
+    return candidates.filter(F.size("evidence") > 1)
+
+
+def sorted_limit(values: Column, most: int) -> Column:
+    """The first ``most`` values of an array in order."""
+    return F.slice(F.array_sort(values), 1, most)
+
+
 def promoted_observations(decisions: DataFrame, facts: DataFrame, source: str) -> DataFrame:
     """Sightings of roots whose promotion was accepted (enumeration_id, root, decision), with what is known of them (root, and any more columns); others give none."""
     rows = decisions.filter("decision = 'accepted'").join(facts, "root", "left").withColumnRenamed("root", "identifier")

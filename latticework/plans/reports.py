@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.functions import keys
-from latticework.operators import details, fold, judged
+from latticework.operators import details, fold, judged, readmodel
 from latticework.session import folder
 from latticework.sources import captures, exports
 from latticework.streaming import live_assets as live
@@ -130,6 +130,18 @@ def merged_details(spark, sf_dir):
     )
 
 
+@query(f"""with md as ({ORACLE_SQL['merged_details']}), ca as ({ORACLE_SQL['canonical_assets']}), ql as (select type, asset_key, max(seq) as late from (select event_id as seq, * from events) e join (select id, type, asset_key from (with {OBSERVATIONS} select * from o)) x on x.id = concat('obs-', event_id) where seq % 5 = 0 group by 1, 2)
+ select md.type, md.asset_key, concat_ws(' | ', 'Ownership ' || nullif(ownership_state, ''), 'Reason ' || nullif(inclusion_reason, ''), 'Resolution ' || status, 'DNS ' || nullif(replace(replace(replace(records, 'A 10', 'A:10'), 'MX mail', 'MX:mail'), ', ', '; '), ''), case when is_catch_all then 'Catch-all' end,
+  'RegistrantOrg ' || registrant_org, 'Nameservers ' || nullif(replace(name_servers, ',', ', '), ''), 'ASN ' || asn::varchar, 'Org ' || organization, 'PTR ' || ptr, 'CIDR ' || late::varchar) as details
+ from md join ca on ca.type = md.type and ca.asset_key = md.asset_key left join ql on ql.type = md.type and ql.asset_key = md.asset_key""")
+def details_line(spark, sf_dir):
+    """All that is known of each asset in one line; one of the enrichment keys stands for the prefix."""
+    rows = fold.merged_details(ad.detailed_observations(spark, sf_dir))
+    rows = rows.withColumn("status", fold.resolution_status(F.col("type"), F.col("records"), F.col("states"))).withColumn("data", F.create_map(F.lit("cidr"), F.try_element_at("data", F.lit("k0"))))
+    told = base.canonical_assets(spark, sf_dir).select("type", "asset_key", "ownership_state", "inclusion_reason")
+    return readmodel.details_line(rows.join(told, ["type", "asset_key"])).select("type", "asset_key", "details")
+
+
 @query(f"with {OBSERVATIONS} select type, asset_key, count(*) as observations, min(seen_us) as first_us, max(seen_us) as last_us from o group by type, asset_key")
 def live_assets(spark, sf_dir):
     """Sightings streamed into the live fold."""

@@ -101,3 +101,17 @@ def test_late_sightings_lower_the_first_date(spark, tmp_path):
         spark.createDataFrame([("domain", "A.com", seen), ("domain", "a.com ", seen + 1)], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
         got = live_assets(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in/*")), str(tmp_path / "live"), str(tmp_path / "progress")).collect()
     assert [tuple(r) for r in got] == [("domain", "a.com", 6, 20, 71)]
+
+
+def test_normal_forms(spark):
+    obs = spark.createDataFrame([(" o1 ", " A.com", " CRT.sh ", "Enrichment ", " OWNED", " why ")], "id string, identifier string, source string, kind string, ownership_state string, inclusion_reason string")
+    assert tuple(scope.normalized(obs).first()) == ("o1", "a.com", "crt.sh", "enrichment", "owned", "why")
+    assert scope.normalized(obs.withColumn("kind", F.lit("else"))).first().kind == "discovery"
+    edge = spark.createDataFrame([(" r ", " A.com ", " DNS_A ")], "id string, from_identifier string, kind string")
+    assert tuple(scope.normalized(edge).first()) == ("r", "a.com", "dns_a")
+
+
+def test_small_filters(spark):
+    df = spark.createDataFrame([("a", ["x"]), ("b", ["z", "x", "y"])], "root string, evidence array<string>")
+    rows = scope.beyond_first_hit(df).select("root", scope.sorted_limit(F.col("evidence"), 2).alias("e")).collect()
+    assert [tuple(r) for r in rows] == [("b", ["x", "y"])]
