@@ -299,12 +299,14 @@ def _spans(keyed: DataFrame) -> DataFrame:
     hits = stored(rows.join(hot, "akey").unionByName(rest), "hits")
     remove(rows, again)
     mixed = hits.filter(~F.col("same"))
-    kinds = mixed.groupBy("akey", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
-    large = kinds.groupBy("akey").agg((F.count("*") > LARGE).alias("large"))
-    needs = kinds.join(large, "akey").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "akey", "ctx", "n", "large")).alias("needs"))
+    kinds = stored(mixed.groupBy("akey", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at")), "kinds")
+    large = kinds.groupBy("akey").count().filter(F.col("count") > LARGE).select("akey")
+    some = not large.isEmpty()  # else the plan has no part for them
+    marked = kinds.join(large.withColumn("large", F.lit(True)), "akey", "left") if some else kinds.withColumn("large", F.lit(False))
+    needs = marked.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "akey", "ctx", "n", F.coalesce("large", F.lit(False)).alias("large"))).alias("needs"))
     contexts = _cut_contexts(keyed.join(needs, ["k1", "k2"]))
     spans = _sorted_spans(contexts.filter(~F.col("large")))
-    if not large.filter("large").isEmpty():  # else the plan has no part for them
+    if some:
         spans = spans.union(_counted_spans(contexts.filter("large")))
     whole = hits.filter("same").select("k1", "k2", (F.col("pos") - F.least("pos", F.lit(LENGTH - GRAM))).alias("s"), (F.col("pos") + F.col("room")).alias("e"))
     part = mixed.join(spans.distinct(), ["akey", "ctx"]).select("k1", "k2", (F.col("pos") + F.col("lo")).alias("s"), (F.col("pos") + F.col("hi")).alias("e"))
