@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from latticework.functions.keys import trimmed
 from latticework.operators.graph import ip_in_cidr
 
 #: Roots that many owners share, never candidates.
@@ -123,11 +124,21 @@ def variant_roots(labels: DataFrame, suffixes: DataFrame, own: DataFrame, known:
     return (rows.filter(F.col("rank") <= most) if most else rows).select("seed_id", "root", "priority", "rank")
 
 
-def root_facts(assets: DataFrame, ptrs: DataFrame) -> DataFrame:
-    """Per registrable root: assets, sources and identifiers of its domains (root, asset_key, source), and the hosts that addresses point to (root, ptr)."""
-    names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.collect_set(F.lower(c)))), ",")
-    rows = assets.select("root", "asset_key", "source", F.lit(None).cast("string").alias("ptr")).union(ptrs.select("root", F.lit(None), F.lit(None), "ptr"))
-    return rows.filter("root <> ''").groupBy("root").agg(F.greatest(F.lit(1), F.count_distinct("asset_key")).alias("assets"), names("asset_key").alias("identifiers"), names("source").alias("sources"), names("ptr").alias("ptr_hosts"))
+def root_facts(assets: DataFrame) -> DataFrame:
+    """Per registrable root what its assets tell. ``assets``: root (of a domain, or of the host that an address points to), kind (domain or ptr), name,
+    sources (comma separated), sightings, registrant_org, registrar, name_servers (an array).
+
+    Assets are the domains; every asset counts as one sighting at least. Of names that differ in case the smallest stands for all.
+    """
+    def names(c: Column) -> Column:
+        low = F.array_sort(F.array_distinct(F.transform(F.filter(F.array_distinct(F.flatten(F.collect_set(c))), lambda x: trimmed(x) != ""), lambda x: F.lower(trimmed(x)))))
+        return F.array_join(low, ",")
+
+    domain = F.col("kind") == "domain"
+    return assets.filter("root <> ''").groupBy("root").agg(
+        F.count_if(domain).alias("assets"), F.sum(F.greatest(F.lit(1), F.coalesce("sightings", F.lit(0)))).alias("sightings"), names(F.when(domain, F.array("name"))).alias("identifiers"), names(F.split("sources", ",")).alias("sources"),
+        names(F.when(~domain, F.array("name"))).alias("ptr_hosts"), names(F.array_compact(F.array("registrant_org"))).alias("registrants"), names(F.array_compact(F.array("registrar"))).alias("registrars"), names(F.array_compact("name_servers")).alias("name_servers"),
+    )
 
 
 def budget_batches(rows: DataFrame, by: list[str], order: str, size: str, budget: int) -> DataFrame:

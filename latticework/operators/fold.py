@@ -118,10 +118,27 @@ def live_dns(records: Column) -> Column:
 
 
 def merge_seeds(seeds: DataFrame) -> DataFrame:
-    """Seeds of one key become one: first id and company, highest confidence, other companies' names as evidence."""
+    """Seeds of one key become one: the first id, company, address and industry that are not empty, highest confidence, arrays united; counted are
+    the seeds and the companies beside the first (whose names ``seed_evidence`` keeps)."""
     company = F.lower(trimmed(F.col("company_name")))
-    grouped = seeds.groupBy(F.lower(trimmed(F.col("domain"))).alias("seed_key")).agg(
-        F.min_by("id", "seq").alias("id"), F.min_by("company_name", "seq").alias("company_name"), F.min_by("industry", F.when(F.col("industry") != "", F.col("seq"))).alias("industry"),
-        F.max("confidence").alias("confidence"), F.count("*").alias("merged"), F.count_distinct(company).alias("companies"),
-    )
-    return grouped.withColumn("conflicts", F.col("companies") - 1).drop("companies")
+    have = set(seeds.columns)
+    first = [F.min_by(c, F.when(trimmed(F.col(c)) != "", F.col("seq"))).alias(c) for c in ("id", "company_name", "address", "industry") if c in have]
+    arrays = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("asn",) if c in have]
+    low = lambda c: F.filter(F.transform(c, lambda x: F.lower(trimmed(x))), lambda x: x != "")
+    arrays += [F.array_sort(F.array_distinct(F.flatten(F.collect_set(low(c))))).alias(c) for c in ("cidr", "tags") if c in have]
+    grouped = seeds.groupBy(F.lower(trimmed(F.col("domain"))).alias("seed_key")).agg(*first, F.max("confidence").alias("confidence"), *arrays, F.count("*").alias("merged"), F.count_distinct(F.when(company != "", company)).alias("companies"))
+    return grouped.withColumn("conflicts", F.greatest(F.col("companies") - 1, F.lit(0))).drop("companies")
+
+
+def seed_evidence(seeds: DataFrame) -> DataFrame:
+    """Evidence (seed_key, source, kind, value) of merged seeds: what each came with (evidence: array of source, kind, value), and names of companies
+    other than the first."""
+    rows = seeds.withColumn("seed_key", F.lower(trimmed(F.col("domain"))))
+    company = F.lower(trimmed(F.col("company_name")))
+    first = rows.filter(company != "").groupBy("seed_key").agg(F.min_by(company, "seq").alias("first"))
+    other = rows.filter(company != "").select("seed_key", company.alias("value")).distinct().join(first, "seed_key").filter("value <> first")
+    out = other.select("seed_key", F.lit("seed_merge").alias("source"), F.lit("company_name").alias("kind"), "value")
+    if "evidence" in seeds.columns:
+        own = rows.select("seed_key", F.inline("evidence"))
+        out = out.union(own.select("seed_key", *(F.lower(trimmed(F.col(c))) for c in ("source", "kind", "value"))))
+    return out.filter("source <> '' or kind <> '' or value <> ''").distinct()

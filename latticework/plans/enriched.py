@@ -144,13 +144,25 @@ def variant_roots(spark, sf_dir):
     return enrich.variant_roots(sup.select(seed, F.concat(F.lit("org"), (k % 40).cast("string")).alias("label")), suffixes, sup.select(seed, own.alias("suffix")), known)
 
 
-@query(f"with {OBSERVATIONS}, a as (select distinct regexp_extract(asset_key, '([^.]+\\.[^.]+)$', 1) as root, asset_key, source, null as ptr from o where type = 'domain'), p as (select distinct concat('org', seq % 45, '.com') as root, null, null, concat('host', seq % 90, '.org', seq % 45, '.com') as ptr from o where type = 'ip'), u as (select * from a union all select * from p) select root, greatest(1, count(distinct asset_key)) as assets, coalesce(string_agg(distinct asset_key, ',' order by asset_key), '') as identifiers, coalesce(string_agg(distinct source, ',' order by source), '') as sources, coalesce(string_agg(distinct ptr, ',' order by ptr), '') as ptr_hosts from u group by root")
+_LIST = lambda c, cond: f"coalesce(string_agg(distinct lower({c}), ',' order by lower({c})) filter (where {cond}), '')"
+
+
+@query(f"""with {OBSERVATIONS}, a as (select regexp_extract(asset_key, '([^.]+\\.[^.]+)$', 1) as root, asset_key as name, count(*) filter (where kind = 'discovery') as n from o where type = 'domain' group by 1, 2),
+ s as (select regexp_extract(asset_key, '([^.]+\\.[^.]+)$', 1) as root, source from o where type = 'domain' union select concat('org', seq % 45, '.com'), 'ip_enricher' from o where type = 'ip'),
+ p as (select distinct concat('org', seq % 45, '.com') as root, concat('host', seq % 90, '.org', seq % 45, '.com') as name from o where type = 'ip'),
+ u as (select root, name, true as d, greatest(1, n) as n, case when name = root then concat('Org ', root) end as org, case when name = root then 'Reg' end as reg, case when name = root then concat('ns.', root) end as ns from a union all select root, name, false, 1, null, null, null from p)
+ select root, count(*) filter (where d) as assets, sum(n)::bigint as sightings, {_LIST('name', 'd')} as identifiers, (select string_agg(distinct source, ',' order by source) from s where s.root = u.root) as sources, {_LIST('name', 'not d')} as ptr_hosts,
+ {_LIST('org', 'org is not null')} as registrants, {_LIST('reg', 'reg is not null')} as registrars, {_LIST('ns', 'ns is not null')} as name_servers from u group by root""")
 def root_facts(spark, sf_dir):
     """What is known of each registrable root."""
     obs = ad.observations(spark, sf_dir).withColumn("asset_key", keys.asset_key(F.col("identifier")))
     root = F.concat(F.lit("org"), (F.col("seq") % 45).cast("string"), F.lit(".com"))
-    ptrs = obs.filter("type = 'ip'").select(root.alias("root"), F.concat(F.lit("host"), (F.col("seq") % 90).cast("string"), F.lit("."), root).alias("ptr")).distinct()
-    return enrich.root_facts(keys.attach_root(obs.filter("type = 'domain'").select("asset_key", "source").distinct(), "asset_key", _rules(spark)), ptrs)
+    none = F.lit(None).cast("string")
+    domains = obs.filter("type = 'domain'").groupBy("asset_key").agg(F.count_if(F.col("kind") == "discovery").alias("sightings"), F.array_join(F.collect_set("source"), ", ").alias("sources"))
+    own = F.col("asset_key") == F.col("root")
+    domains = keys.attach_root(domains, "asset_key", _rules(spark)).select("root", F.lit("domain").alias("kind"), F.col("asset_key").alias("name"), "sources", "sightings", F.when(own, F.concat(F.lit("Org "), "root")).alias("registrant_org"), F.when(own, "Reg").alias("registrar"), F.when(own, F.array(F.concat(F.lit("NS."), "root"), none)).alias("name_servers"))
+    ptrs = obs.filter("type = 'ip'").select(root.alias("root"), F.lit("ptr").alias("kind"), F.concat(F.lit("Host"), (F.col("seq") % 90).cast("string"), F.lit("."), root).alias("name")).distinct()
+    return enrich.root_facts(domains.unionByName(ptrs.withColumn("sources", F.lit("ip_enricher")), allowMissingColumns=True))
 
 
 @query("with recursive t as (select *, row_number() over (partition by o_custkey order by o_orderkey) as n, (o_orderkey * 7919 % 100) as size from orders), w as (select o_custkey, o_orderkey, n, size, case when size > 90 then 0 else size end as used, 0 as b, size <= 90 as ok from t where n = 1 union all select t.o_custkey, t.o_orderkey, t.n, t.size, case when t.size > 90 then 0 when w.used + t.size > 90 then t.size else w.used + t.size end, case when w.used > 0 and (t.size > 90 or w.used + t.size > 90) then w.b + 1 else w.b end, t.size <= 90 from w join t on t.o_custkey = w.o_custkey and t.n = w.n + 1) select o_custkey as grp, o_orderkey as item, case when ok then b end as batch from w")

@@ -221,6 +221,12 @@ def merge_seeds(spark, sf_dir):
     return fold.merge_seeds(ad.seeds(spark, sf_dir))
 
 
+@query(f"with {SEEDS}, f as (select domain, arg_min(lower(company_name), seq) as first from sd group by 1) select distinct sd.domain as seed_key, 'seed_merge' as source, 'company_name' as kind, lower(company_name) as value from sd join f on f.domain = sd.domain where lower(company_name) <> first")
+def seed_evidence(spark, sf_dir):
+    """Names of companies that merged seeds had beside the first."""
+    return fold.seed_evidence(ad.seeds(spark, sf_dir))
+
+
 @query("with ips as (select distinct unnest(regexp_extract_all(text, '\\b[0-9]{1,3}(?:\\.[0-9]{1,3}){3}\\b')) as ip from documents), n as (select ip, cast(split_part(ip, '.', 1) as bigint) * 16777216 + cast(split_part(ip, '.', 2) as bigint) * 65536 + cast(split_part(ip, '.', 3) as bigint) * 256 + cast(split_part(ip, '.', 4) as bigint) as n from ips where len(list_filter(string_split(ip, '.'), lambda x: cast(x as int) > 255 or (len(x) > 1 and x[1] = '0'))) = 0), p as (select distinct n - n % 256 as base, 24 as len from n union select distinct n - n % 65536, 16 from n) select ip, concat(base, '/', len) as cidr from n join p on n >= base and n < base + cast(power(2, 32 - len) as bigint)")
 def ip_in_cidr(spark, sf_dir):
     """Addresses that occur in texts, by the prefixes that hold them."""

@@ -133,3 +133,18 @@ def test_positions(spark):
 def test_sampled_roots(spark):
     df = spark.createDataFrame([("a", s, i) for i, s in enumerate("xyxzwx")] + [("b", None, 9)], "g string, s string, i int")
     assert sorted((r.g, r.hits, r.distinct_samples, r.samples) for r in windows.sampled_roots(df, ["g"], "s", "i", 2).collect()) == [("a", 6, 4, "x,y"), ("b", 1, 1, "")]
+
+
+def test_merged_seeds(spark):
+    schema = "seq int, id string, company_name string, domain string, address string, industry string, confidence double, asn array<int>, cidr array<string>, tags array<string>, evidence array<struct<source:string,kind:string,value:string>>"
+    rows = [
+        (1, "seed-1", "Alpha Corp", "example.com", "", " ", 0.2, [64500], ["203.0.113.0/24"], ["East"], [("manual", "company_name", "Alpha Corp")]),
+        (2, "seed-2", "Beta Corp", "Example.com ", "Street", "trade", 0.4, [64501, 64500], ["198.51.100.0/24"], ["west", ""], [("manual", "company_name", "Beta Corp"), ("", "", " ")]),
+        (3, "seed-3", "ALPHA corp", "example.com", "Other", "x", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    r = fold.merge_seeds(df).first()
+    assert (r.seed_key, r.id, r.company_name, r.address, r.industry, r.confidence, r.merged, r.conflicts) == ("example.com", "seed-1", "Alpha Corp", "Street", "trade", 0.4, 3, 1)
+    assert (r.asn, r.cidr, r.tags) == ([64500, 64501], ["198.51.100.0/24", "203.0.113.0/24"], ["east", "west"])
+    got = sorted((x.source, x.kind, x.value) for x in fold.seed_evidence(df).collect())
+    assert got == [("manual", "company_name", "alpha corp"), ("manual", "company_name", "beta corp"), ("seed_merge", "company_name", "beta corp")]
