@@ -385,6 +385,3 @@ def test_more_links():
     assert simhash.more_links(fp, 3, [(0, 1)], [(0, 2)]) == [(1, 2)]
 
 
-def test_pipeline(spark):
-    rows = corpus_pipeline.run(spark, SF)
-    assert rows.columns[0] == "doc_id" and rows.count() > 100
