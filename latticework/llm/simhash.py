@@ -23,6 +23,7 @@ import itertools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -203,28 +204,38 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
     return _tiled(rows, plan).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(verified, "src binary, dst binary")
 
 
-def more_links(fp: np.ndarray, distance: int, agreed: list[tuple[int, int]], rejected: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs of rows within ``distance``, none of them rejected, that connect what the agreed ones leave apart: at most one fewer than rows."""
+def more_links(fp: np.ndarray, distance: int, agreed: list[tuple[int, int]], rejected: list[tuple[int, int]], times: int = 1) -> list[tuple[int, int]]:
+    """Pairs of rows within ``distance``, none of them rejected, between what the agreed ones leave apart: first so many as connect it, at most one fewer
+    than rows; with ``times`` above one the closest, up to so many times the rows."""
     v, part, out = np.ascontiguousarray(fp).view(np.uint64), np.arange(len(fp)), []
     no: dict[int, list[int]] = {}
     for x, y in rejected:
         no.setdefault(min(x, y), []).append(max(x, y))
     for x, y in agreed:
         part[part == part[y]] = part[x]
+    far: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(len(v) - 1):
         gap = np.bitwise_count(v[i + 1 :] ^ v[i]).sum(1, dtype=np.int64)
-        near = np.flatnonzero(gap <= distance)
+        near = np.flatnonzero((gap <= distance) & (part[i + 1 :] != part[i]))
         near = i + 1 + near[np.argsort(gap[near], kind="stable")]  # the closest are the likeliest to be similar
         near = near[~np.isin(near, no[i])] if i in no else near
+        if times > 1:
+            far.append((gap[near - i - 1], np.full(len(near), i), near))
+            continue
         while len(near := near[part[near] != part[i]]):
             out.append((i, int(near[0])))
             part[part == part[near[0]]] = part[i]
+    if far:
+        gap, one, two = map(np.concatenate, zip(*far, strict=True))
+        first = np.argsort(gap, kind="stable")[: times * len(v)]
+        out = list(zip(one[first].tolist(), two[first].tolist(), strict=True))
     return out
 
 
 def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], plan: Plan) -> DataFrame:
     """Links (src, dst) between nodes, which are fingerprints and a digest of the shingles: those of the fingerprints' links whose shingle
-    sets have the similarity. ``sets_of`` gives rows (fp, set) of nodes. A group with rejected links proposes others, knowing its past ones."""
+    sets have the similarity. ``sets_of`` gives rows (fp, set) of nodes. A group with rejected links proposes others, knowing its past ones, twice
+    as many each round: so rounds grow with the logarithm of a group."""
     bits, width = plan.bits // 8, plan.bits // 8 + 8
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +245,7 @@ def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
                 k = block_keys(fp[:, :bits], plan)
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), to_binary(np.repeat(fp, k.shape[1], axis=0))], names=["key", "fp"])
 
-    def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def propose(times: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "a", "b"]):
             starts = group_starts(t, ["key", "a", "b"])
             ends = np.append(starts[1:], t.num_rows)
@@ -247,7 +258,7 @@ def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
                 pairs: dict[bool, list[tuple[int, int]]] = {True: [], False: []}
                 for i, (yes, to) in enumerate(zip(past[:n], t.column("dst").slice(s, n).to_pylist(), strict=True)):
                     pairs[yes].append((of[fp[s + i].tobytes()], of[to]))
-                for x, y in more_links(fp[s + n : e, :bits], plan.distance, pairs[True], pairs[False]):
+                for x, y in more_links(fp[s + n : e, :bits], plan.distance, pairs[True], pairs[False], times):
                     row.append(s)
                     src.append(s + n + x)
                     dst.append(s + n + y)
@@ -267,10 +278,10 @@ def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
 
     group, none = ["key", "a", "b"], F.lit(None)
     members = _tiled(distinct.mapInArrow(keyed, "key bigint, fp binary"), plan).withColumns({"dst": none.cast("binary"), "ok": none.cast("boolean")})
-    rows, past, sets = members, None, None
+    rows, past, sets, times = members, None, None, 1
     while True:
         dealt = rows.repartition(*group).sortWithinPartitions(*group, F.col("ok").isNull())
-        found = stored(dealt.mapInArrow(proposed, "key bigint, a int, b int, fp binary, dst binary"), "proposed")
+        found = stored(dealt.mapInArrow(partial(propose, times), "key bigint, a int, b int, fp binary, dst binary"), "proposed")
         if sets is None:  # every node with a close one is in the first proposals
             sets = stored(sets_of(found.select("fp").union(found.select("dst")).distinct()), "sets")
         pairs = found.select("fp", "dst").distinct().join(sets.withColumnRenamed("set", "x"), "fp").join(sets.select(F.col("fp").alias("dst"), F.col("set").alias("y")), "dst")
@@ -281,6 +292,7 @@ def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
         again = new.filter("not ok").select(*group).distinct()
         if again.isEmpty():
             return past.filter("ok").select(F.col("fp").alias("src"), "dst").distinct()
+        times *= 2
         # groups that go on are among those of the round before
         known = rows.filter("ok is not null").unionByName(new) if rows is not members else new
         going = rows.filter("ok is null").unionByName(known).join(again, group, "left_semi")

@@ -383,5 +383,7 @@ def test_more_links():
     assert simhash.more_links(fp, 3, [], []) == [(0, 1), (0, 2)]
     assert simhash.more_links(fp, 3, [], [(0, 1), (2, 0)]) == [(1, 2)]
     assert simhash.more_links(fp, 3, [(0, 1)], [(0, 2)]) == [(1, 2)]
+    assert simhash.more_links(fp, 3, [], [(0, 2)], 2) == [(0, 1), (1, 2)]
+    assert simhash.more_links(fp, 64, [(1, 2)], [], 1) == [(0, 1), (0, 3)] and len(simhash.more_links(fp, 64, [(1, 2)], [], 2)) == 5
 
 
