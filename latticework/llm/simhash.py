@@ -213,22 +213,23 @@ def more_links(fp: np.ndarray, distance: int, agreed: list[tuple[int, int]], rej
         no.setdefault(min(x, y), []).append(max(x, y))
     for x, y in agreed:
         part[part == part[y]] = part[x]
-    far: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    far, most = np.empty((3, 0), np.int32), times * len(v)  # gap and rows of the closest pairs so far, and some more
     for i in range(len(v) - 1):
         gap = np.bitwise_count(v[i + 1 :] ^ v[i]).sum(1, dtype=np.int64)
         near = np.flatnonzero((gap <= distance) & (part[i + 1 :] != part[i]))
         near = i + 1 + near[np.argsort(gap[near], kind="stable")]  # the closest are the likeliest to be similar
         near = near[~np.isin(near, no[i])] if i in no else near
         if times > 1:
-            far.append((gap[near - i - 1], np.full(len(near), i), near))
+            far = np.concatenate([far, np.stack([gap[near - i - 1], np.full(len(near), i), near]).astype(np.int32)], axis=1)
+            if far.shape[1] > 2 * most:
+                far = far[:, np.sort(np.argsort(far[0], kind="stable")[:most])]
             continue
         while len(near := near[part[near] != part[i]]):
             out.append((i, int(near[0])))
             part[part == part[near[0]]] = part[i]
-    if far:
-        gap, one, two = map(np.concatenate, zip(*far, strict=True))
-        first = np.argsort(gap, kind="stable")[: times * len(v)]
-        out = list(zip(one[first].tolist(), two[first].tolist(), strict=True))
+    if times > 1:
+        far = far[:, np.argsort(far[0], kind="stable")[:most]]
+        out = list(zip(far[1].tolist(), far[2].tolist(), strict=True))
     return out
 
 
