@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, curves, language_id, line_dedup, packing, passage_dedup, simhash, suffix_dedup, token_counts, token_files, topk
+from . import bpe, curves, language_id, line_dedup, packing, passage_dedup, simhash, suffix_dedup, token_counts, token_files, topk, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
@@ -19,7 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": topk.query,
     "op9_passage_dedup": passage_dedup.query,
     "op10_packing": packing.query,
+    "op11_vector_codes": vector_codes.query,
     "op12_token_counts": token_counts.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL}
