@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, curves, language_id, line_dedup, packing, passage_dedup, simhash, suffix_dedup, token_counts, token_files, topk, vector_codes
+from . import bpe, curves, language_id, line_dedup, packing, passage_dedup, simhash, spelling, suffix_dedup, token_counts, token_files, topk, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": packing.query,
     "op11_vector_codes": vector_codes.query,
     "op12_token_counts": token_counts.query,
+    "op13_spelling": spelling.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL}
