@@ -151,6 +151,20 @@ def _round(rows: DataFrame, history: list[np.ndarray], exact: str, names: list[s
     return rows.mapInArrow(run, out)
 
 
+def _smallest(rows: DataFrame, ident: str, whole: str, most: int) -> list[list]:
+    """Vectors of the ``most`` smallest distinct ids, of each the smallest; a few rows come from each task, and ids that repeat cost further passes."""
+    found: dict = {}
+    rows = rows.filter(F.col(ident).isNotNull()).select(ident, whole)
+    while True:
+        after = rows.filter(F.col(ident) > max(found)) if found else rows
+        got = after.orderBy(ident, whole).limit(most).collect()
+        for r in got:
+            if len(found) < most:
+                found.setdefault(r[ident], r[whole])
+        if len(found) == most or len(got) < most:
+            return [found[i] for i in sorted(found)]
+
+
 def compress(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096, ident: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray]:
     """``vectors`` that take part, with columns code (an entry's index, one byte for each part) and error (squared distances summed) in place of
     ``vector``, and the codebooks (parts x entries x width)."""
@@ -169,10 +183,9 @@ def compress(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int
     other = [c for c in vectors.columns if c != vector]
     none = [F.lit(None).cast(kind).alias(c) for c, kind in ((state, "binary"), (slot, "int"), (amount, "decimal(38,0)"))]
     rows = stored(kept.filter(F.size(vector) == dim).select(*other, integers.alias(whole), *none), "integers")
-    first = rows.filter(F.col(ident).isNotNull()).groupBy(ident).agg(F.min(whole).alias(whole)).orderBy(ident).limit(entries).collect()
-    first = first or rows.select(whole).orderBy(whole).limit(entries).collect()
+    first = _smallest(rows, ident, whole, entries) or [r[0] for r in rows.select(whole).orderBy(whole).limit(entries).collect()]
     kind = np.int64 if exact == "int64" else object
-    book = np.array([[int(y) for y in r[whole]] for r in first], kind).reshape(len(first), parts, dim // parts).transpose(1, 0, 2).copy()
+    book = np.array([[int(y) for y in v] for v in first], kind).reshape(len(first), parts, dim // parts).transpose(1, 0, 2).copy()
     if not first:
         book = np.zeros((parts, 1, dim // parts), kind)
     sums = np.zeros((parts, book.shape[1], dim // parts + 1), object)
