@@ -33,8 +33,8 @@ from .common import list_array, remove, stored
 #: What is a letter, and upper-case letters that are lowered.
 LETTERS, UPPER = "[A-Za-z\\u00C0-\\u00FF]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bits a word in a filter, bits it sets, 64-bit cells of a block, blocks that one task builds, bytes of filters broadcast at once, lengths from
-#: which on words share a filter, edits probed at once.
-BITS, HASHES, CELLS, CHUNK, FILTER_BYTES, LONGEST, SLICE = 12, 6, 8, 1 << 14, 32 << 20, 64, 1 << 20
+#: which on words share a filter, edits probed at once, words that a task probes with, about.
+BITS, HASHES, CELLS, CHUNK, FILTER_BYTES, LONGEST, SLICE, TASK = 12, 6, 8, 1 << 14, 32 << 20, 64, 1 << 18, 8192
 
 
 def planted(run: Column, doc_id: Column, every: int = 199) -> Column:
@@ -65,15 +65,14 @@ def drawn(place: np.ndarray, code: np.ndarray) -> np.ndarray:
     return mixed((place.astype(np.uint64) * np.uint64(0x110000) + code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def block_of(sums: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """A word's block in its length's filter, and the hash that names its bits there."""
-    h = mixed(sums)
-    return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64), mixed(h + np.uint64(1))
+def block_of(sums: np.ndarray, blocks: int) -> np.ndarray:
+    """A word's block in its length's filter; sums of drawn numbers are as good as drawn."""
+    return ((sums >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
-def bit_of(h: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cell and the mask of the ``i``-th bit."""
-    b = (h >> np.uint64(9 * i)) & np.uint64(511)
+def bit_of(sums: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell and the mask of the ``i``-th bit: the first one from the sum itself, so that most edits are settled by it."""
+    b = (sums if i == 0 else mixed(sums + np.uint64(1)) >> np.uint64(9 * i)) & np.uint64(511)
     return (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63))
 
 
@@ -85,23 +84,13 @@ def code_points(word: str) -> np.ndarray:
     return np.frombuffer(word.encode("utf-32-le"), np.uint32)
 
 
-def deletions(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose code point may go (one of each run of equal ones), and the sums of what is left."""
-    at = np.arange(len(c))
+def deletions(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words of one length (rows of code points): rows and places whose code point may go (one of each run of equal ones), and the sums of what is left."""
+    at = np.arange(c.shape[1])
     here, back = drawn(at, c), drawn(at - (at > 0), c)  # back: where a code point stands once one before it went
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(here)[:-1]]) + (np.cumsum(back[::-1])[::-1] - back)
-    keep = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    return keep, sums[keep]
-
-
-def replacements(c: np.ndarray, alphabet: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places from ``begin`` on to ``end`` and the greater code points put there, and the sums."""
-    here = drawn(np.arange(len(c)), c)
-    at, new = np.meshgrid(np.arange(begin, end), alphabet, indexing="ij")
-    at, new = at.ravel(), new.ravel()
-    keep = new > c[at]
-    at, new = at[keep], new[keep]
-    return at, new, here.sum() - here[at] + drawn(at, new)
+    before, after = np.cumsum(here, 1) - here, np.cumsum(back[:, ::-1], 1)[:, ::-1] - back
+    row, place = np.nonzero(np.hstack([np.ones((len(c), 1), bool), c[:, 1:] != c[:, :-1]]))
+    return row, place, (before + after)[row, place]
 
 
 class Filters:
@@ -115,25 +104,40 @@ class Filters:
         s = shard(length)
         if s not in self.blocks:
             return np.zeros(0, np.int64)
-        block, h = block_of(sums, self.blocks[s])
-        block += self.bases[s] - self.begin
-        live = np.flatnonzero((block >= 0) & (block < len(self.cells)))
+        block = block_of(sums, self.blocks[s]) + (self.bases[s] - self.begin)
+        live = np.arange(len(sums))
+        if self.begin or sum(self.blocks.values()) > len(self.cells):
+            live = np.flatnonzero((block >= 0) & (block < len(self.cells)))
         for i in range(HASHES):
-            cell, mask = bit_of(h[live], i)
+            cell, mask = bit_of(sums[live], i)
             live = live[(self.cells[block[live], cell] & mask) != 0]
         return live
 
-    def near(self, word: str, alphabet: np.ndarray) -> Iterator[str]:
-        """Edits of a word that a filter of this pass lets through."""
-        c = code_points(word)
-        at, sums = deletions(c)
-        for i in at[self.probe(len(c) - 1, sums)]:
-            yield word[:i] + word[i + 1 :]
-        step = max(1, SLICE // max(1, len(alphabet)))
-        for begin in range(0, len(c), step):
-            at, new, sums = replacements(c, alphabet, begin, min(len(c), begin + step))
-            for i in self.probe(len(c), sums):
-                yield word[: at[i]] + chr(new[i]) + word[at[i] + 1 :]
+    def near(self, words: list[str], alphabet: np.ndarray) -> list[list[str]]:
+        """For each word its edits that a filter of this pass lets through. Words of one length are taken together, some at a time."""
+        out: list[list[str]] = [[] for _ in words]
+        lengths = np.array([len(w) for w in words], np.int64)
+        for n in np.unique(lengths):
+            which = np.flatnonzero(lengths == n)
+            step = max(1, SLICE // max(int(n), len(alphabet), 1))
+            for lo in range(0, len(which), step):
+                self._near(words, which[lo : lo + step], alphabet, out)
+        return out
+
+    def _near(self, words: list[str], which: np.ndarray, alphabet: np.ndarray, out: list[list[str]]) -> None:
+        c = np.stack([code_points(words[i]) for i in which])
+        row, place, sums = deletions(c)
+        for j in self.probe(c.shape[1] - 1, sums):
+            w = words[which[row[j]]]
+            out[which[row[j]]].append(w[: place[j]] + w[place[j] + 1 :])
+        rest = drawn(np.arange(c.shape[1]), c)
+        rest = rest.sum(1)[:, None] - rest
+        for at in range(c.shape[1]):
+            row, new = np.nonzero(alphabet[None, :] > c[:, at, None])
+            sums = rest[row, at] + drawn(np.array(at), alphabet)[new]
+            for j in self.probe(c.shape[1], sums):
+                w = words[which[row[j]]]
+                out[which[row[j]]].append(w[:at] + chr(alphabet[new[j]]) + w[at + 1 :])
 
 
 def _chunks(vocabulary: DataFrame, bases: dict[int, int], blocks: dict[int, int]) -> DataFrame:
@@ -144,8 +148,8 @@ def _chunks(vocabulary: DataFrame, bases: dict[int, int], blocks: dict[int, int]
             g, hs = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64)
             for i, word in enumerate(b.column(0).to_pylist()):
                 c = code_points(word)
-                block, h = block_of(drawn(np.arange(len(c)), c).sum(keepdims=True), blocks[shard(len(c))])
-                g[i], hs[i] = block[0] + bases[shard(len(c))], h[0]
+                hs[i] = drawn(np.arange(len(c)), c).sum()
+                g[i] = block_of(hs[i : i + 1], blocks[shard(len(c))])[0] + bases[shard(len(c))]
             yield pa.RecordBatch.from_arrays([pa.array((g // CHUNK).astype(np.int32)), pa.array((g % CHUNK).astype(np.int32)), pa.array(hs.view(np.int64))], names=["chunk", "block", "h"])
 
     def build(t: pa.Table) -> pa.Table:
@@ -181,10 +185,10 @@ def near_pairs(vocabulary: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataF
         def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             filters = Filters(*sent.value)
             for b in batches:
-                near = [list(filters.near(w, alphabet)) for w in b.column(0).to_pylist()]
+                near = filters.near(b.column(0).to_pylist(), alphabet)
                 yield pa.RecordBatch.from_arrays([*b.columns, list_array([x for y in near for x in y], [len(y) for y in near], pa.string())], names=["word", "n", "near"])
 
-        hits = stored(vocabulary.select("word", "n").mapInArrow(probe, "word string, n bigint, near array<string>").select("word", "n", F.explode("near").alias("near")), "hits")
+        hits = stored(vocabulary.select("word", "n").repartition(-(-sum(sizes.values()) // TASK), "word").mapInArrow(probe, "word string, n bigint, near array<string>").select("word", "n", F.explode("near").alias("near")), "hits")
         sent.destroy()
         found = hits if found is None else found.unionByName(hits)
     if found is None:
