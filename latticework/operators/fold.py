@@ -32,31 +32,60 @@ def ranked_observations(obs: DataFrame) -> DataFrame:
     return rows.withColumn("raised", F.col("rank") > F.col("before"))
 
 
-def _parts(source: Column) -> Column:
+def source_parts(source: Column) -> Column:
     """The single sources that a comma-separated value names, lower case."""
     return F.filter(F.transform(F.split(F.lower(source), ","), trimmed), lambda x: x != "")
 
 
-def canonical_assets(obs: DataFrame) -> DataFrame:
-    """One row per (type, key): first id and enumeration, earliest date, sources, highest ownership, inclusion reason.
+def fold_states(obs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The fold's state per (type, key): all of what canonical assets are made of, but for the number of distinct provenances.
 
-    Everything is an aggregate that map tasks combine, so an address that very many sightings share is no large group. The
-    reason is that of the first eligible observation (an explicit reason, seen by discovery or first of all), or of a later
-    one that raised the ownership: for each rank only the earliest observation that has it can. Without any it is derived from
-    the discovery observations' distinct provenance (id, enumeration, source, date).
+    States of parts of a table merge to the state of the whole (``merge_states``), in any grouping and order: each field is a
+    minimum, maximum, sum or set, ordered ones by ``seq``. ``first`` is the key's first sighting, ``fit`` the first that discovery made
+    with an explicit reason, ``rank1`` and so on the first of at least that ownership: only these can have given the reason. ``by``: further
+    columns that split a key's state, which ``merge_states`` takes together again.
     """
     found, own, given = F.col("kind") == "discovery", state_rank(F.col("ownership_state")), explicit(F.col("inclusion_reason"))
     reason, source = trimmed(F.col("inclusion_reason")), F.lower(trimmed(F.col("source")))
-    seen = F.struct(F.col("id"), F.col("enumeration_id"), F.col("source"), F.col("seen_us"))
     fit = F.struct("seq", reason.alias("reason"), (found & given).alias("fit"))
-    out = obs.groupBy("type", asset_key(F.col("identifier")).alias("asset_key")).agg(
+    return obs.groupBy("type", asset_key(F.col("identifier")).alias("asset_key"), *(by or [])).agg(
         F.min_by(F.struct("seq", "id", "enumeration_id", "source", own.alias("own"), given.alias("given"), reason.alias("reason"), found.alias("found")), "seq").alias("first"),
-        F.min("seen_us").alias("first_seen_us"), F.max(own).alias("top"), F.count("*").alias("observations"), F.count_if(found).alias("n_found"), F.count_distinct(F.when(found, seen)).alias("n_provenance"),
-        F.collect_set(F.when(found, _parts(F.col("source")))).alias("parts"), F.array_sort(F.collect_set(F.when(found & (source != ""), source))).alias("whole"),
+        F.min("seen_us").alias("first_seen_us"), F.max(own).alias("top"), F.count("*").alias("observations"), F.count_if(found).alias("n_found"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(found, source_parts(F.col("source")))))).alias("parts"), F.collect_set(F.when(found & (source != ""), source)).alias("whole"),
         F.min_by(fit, F.when(found & given, F.col("seq"))).alias("fit"), *(F.min_by(fit, F.when(own >= r, F.col("seq"))).alias(f"rank{r}") for r in range(1, len(STATES))),
     )
+
+
+def merge_states(states: DataFrame, by: tuple[str, ...] = ("type", "asset_key")) -> DataFrame:
+    """States of the same keys merged to one each; counts that ``states`` has beside them (n_provenance) add up."""
+    firsts = ["first", "fit", *(f"rank{r}" for r in range(1, len(STATES)))]
+    union = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+    return states.groupBy(*by).agg(
+        *(F.min_by(c, f"{c}.seq").alias(c) for c in firsts), F.min("first_seen_us").alias("first_seen_us"), F.max("top").alias("top"),
+        *(F.sum(c).alias(c) for c in ("observations", "n_found", "n_provenance") if c in states.columns), union("parts"), union("whole"),
+    )
+
+
+def provenance(obs: DataFrame) -> DataFrame:
+    """Distinct provenance (id, enumeration, source, date) of discovery's sightings per (type, key)."""
+    return obs.filter("kind = 'discovery'").select("type", asset_key(F.col("identifier")).alias("asset_key"), "id", "enumeration_id", "source", "seen_us").distinct()
+
+
+def with_provenance(states: DataFrame, seen: DataFrame) -> DataFrame:
+    """``states`` with the number of their keys' rows in ``seen`` (``provenance``)."""
+    n = seen.groupBy("type", "asset_key").agg(F.count("*").alias("n_provenance"))
+    return states.join(n, ["type", "asset_key"], "left").withColumn("n_provenance", F.coalesce("n_provenance", F.lit(0)))
+
+
+def finished(out: DataFrame) -> DataFrame:
+    """Canonical assets from whole states (``fold_states``, merged) with n_provenance.
+
+    The reason is that of the first eligible observation (an explicit reason, seen by discovery or first of all), or of a later
+    one that raised the ownership: for each rank only the earliest observation that has it can. Without any it is derived from
+    the discovery observations' provenance.
+    """
     begin = F.when(F.col("first.own") > 0, F.col("first.own")).otherwise(F.when(F.col("type") == "ip", 1).otherwise(3))
-    out = out.withColumn("begin", begin).withColumn("rank", F.greatest("top", "begin"))
+    out = out.withColumn("begin", begin).withColumn("rank", F.greatest("top", "begin")).withColumn("whole", F.array_sort("whole"))
     told = lambda c: F.struct(F.col(f"{c}.seq").alias("seq"), F.col(f"{c}.reason").alias("reason"))
     raised = [F.when((F.col("begin") < r) & F.col(f"rank{r}.fit"), told(f"rank{r}")) for r in range(1, len(STATES))]
     best = F.array_max(F.array_compact(F.array(F.when(F.col("first.given"), told("first")).when(F.col("fit.fit"), told("fit")), *raised)))
@@ -69,8 +98,16 @@ def canonical_assets(obs: DataFrame) -> DataFrame:
     later = F.col("n_found") > F.col("first.found").cast("int")
     why = F.when(best.isNotNull(), best.reason).when(later, supported).otherwise(F.concat(F.lit("Discovered via "), F.col("first.source")))
     state = F.element_at(F.array(*map(F.lit, STATES)), F.col("rank") + 1)
-    sources = F.array_join(F.array_sort(F.array_distinct(F.flatten("parts"))), ", ")
-    return out.select("type", "asset_key", F.col("first.id").alias("asset_id"), F.col("first.enumeration_id").alias("enumeration_id"), "first_seen_us", sources.alias("sources"), state.alias("ownership_state"), why.alias("inclusion_reason"), "observations")
+    return out.select("type", "asset_key", F.col("first.id").alias("asset_id"), F.col("first.enumeration_id").alias("enumeration_id"), "first_seen_us", F.array_join(F.array_sort("parts"), ", ").alias("sources"), state.alias("ownership_state"), why.alias("inclusion_reason"), "observations")
+
+
+def canonical_assets(obs: DataFrame) -> DataFrame:
+    """One row per (type, key): first id and enumeration, earliest date, sources, highest ownership, inclusion reason.
+
+    Everything is an aggregate that map tasks combine, so an address that very many sightings share is no large group. Distinct
+    provenance is counted beside the states, so that no state travels once for each of them.
+    """
+    return finished(with_provenance(fold_states(obs), provenance(obs)))
 
 
 #: States of an enrichment stage by priority.
