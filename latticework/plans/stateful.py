@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.operators.stored_fold import AssetStore
+from latticework.operators.waves import Waves
 from latticework.session import folder
 from latticework.sources.keyed import KeyedTable
 from latticework.streaming import live_fold as live
 
 from . import adapters as ad
+from . import expanded
 from .adapters import table
+from .expanded import EVIDENCE
 from .queries import ORACLE_SQL, query
 
 
@@ -42,3 +45,36 @@ def replaced_sets(spark, sf_dir):
     for wanted in sets:
         out.replace_set(wanted)
     return out.read()
+
+
+def _bounded(waves: int = 3) -> str:
+    """Waves over the line items' evidence, reconsideration by parts' decisions, one extra wave."""
+    sql = f"with {EVIDENCE}, n as (select count(*) * 64 as size from supplier), k0 as (select concat('k', s_suppkey) as seed_key, 0 as wave, 'given' as how from supplier), t0 as (select * from ev where false)"
+    for w in range(1, waves + 1):
+        sql += f""", t{w} as (select * from t{w - 1} union all select * from ev where parent_key in (select seed_key from k{w - 1} where wave = {w - 1})),
+ k{w} as (select * from k{w - 1} union all select seed_key, {w}, 'promoted' from t{w} where seed_key not in (select seed_key from k{w - 1}) group by seed_key having bool_or(reasoned) or max(confidence) >= 0.9 or count(distinct concat(source, '|', kind)) >= 2)"""
+    return f"""{sql}, again as (select distinct seed_key from t{waves} where seed_key not in (select seed_key from k{waves}) and seed_key in (select concat('k', p_partkey % size + 1) from part, n group by 1 having bool_or(p_size > 25))),
+ kx as (select * from k{waves} union all select seed_key, (select max(wave) + 1 from k{waves}), 'reconsidered' from again),
+ tx as (select distinct seed_key from ev where parent_key in (select seed_key from again) and seed_key not in (select seed_key from kx))
+ select * from kx union all select seed_key, (select max(wave) + 2 from k{waves}), 'registered' from tx"""
+
+
+def _run(spark, sf_dir, path):
+    seeds = table(spark, sf_dir, "supplier").select(F.concat(F.lit("k"), ad.text("s_suppkey")).alias("seed_key"))
+    return Waves(spark, path).start(seeds, expanded._evidence(spark, sf_dir))
+
+
+def _again(spark, sf_dir):
+    size = table(spark, sf_dir, "supplier").count() * 64
+    decisions = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("k"), (F.col("p_partkey") % size + 1).cast("string")).alias("seed_key")).agg(F.bool_or(F.col("p_size") > 25).alias("collect"))
+    return lambda run: run.discarded().join(decisions.filter("collect"), "seed_key", "left_semi").select("seed_key", F.lit("reconsideration").alias("source"), F.lit("decision").alias("kind"), F.lit(1.0).alias("confidence"), F.lit(True).alias("reasoned"))
+
+
+@query(_bounded())
+def expand_waves(spark, sf_dir):
+    """Seeds by the wave they came in, with reconsidered ones and those that their extra wave registers; each step by another object that resumes the run."""
+    path = folder(spark)
+    run = _run(spark, sf_dir, path)
+    while run.step(None, _again(spark, sf_dir)):
+        run = Waves(spark, path)
+    return run.known()
