@@ -42,11 +42,21 @@ class _Page(HTMLParser):
             row["text"].append(data)
 
 
-def page_elements(html: str | None) -> list[dict]:
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    return page.rows
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...]]>`` of any name is a comment, up to the first ``>``, as browsers take it."""
+        end = self.rawdata.find(">", i)
+        return -1 if end < 0 else end + 1
+
+
+def page_elements(html: str | None) -> tuple[list[dict], str | None]:
+    """A page's elements, and what ended its reading before its end, if anything did: what was read until then stays."""
+    page, error = _Page(), None
+    try:
+        page.feed(html or "")
+        page.close()
+    except (AssertionError, ValueError, IndexError, RecursionError) as e:
+        error = f"{type(e).__name__}: {e}"
+    return page.rows, error
 
 
 def sitemap_of(body: str | None) -> tuple[str, list[str], str | None]:
@@ -84,7 +94,7 @@ def elements(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [page_elements(x) for x in b.column(len(keep)).to_pylist()]
+            found = [page_elements(x)[0] for x in b.column(len(keep)).to_pylist()]
             row = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
             if len(row):
                 flat = [x | {"pos": n, "text": "".join(x["text"])} for rows in found for n, x in enumerate(rows)]
@@ -94,6 +104,21 @@ def elements(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame
     return pages.select(*keep, html).mapInArrow(run, T.StructType(fields + new))
 
 
+def page_errors(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
+    """The columns ``keep`` of each page that could not be read to its end, with the error and the number of elements read before it."""
+    fields = pages.select(*keep).schema.fields
+    new = T._parse_datatype_string("error string, elements int").fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = [(i, error, len(rows)) for i, x in enumerate(b.column(len(keep)).to_pylist()) for rows, error in [page_elements(x)] if error is not None]
+            if bad:
+                at, errors, n = (pa.array(c) for c in zip(*bad, strict=True))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(keep))), errors, n.cast(pa.int32())], names=[*keep, *(f.name for f in new)])
+
+    return pages.select(*keep, html).mapInArrow(run, T.StructType(fields + new))
+
+
 def sitemap_rows(bodies: DataFrame, keep: list[str], body: str = "body") -> DataFrame:
     """The columns ``keep`` of each body with a row for each location, or one with the error."""
     fields = bodies.select(*keep).schema.fields

@@ -114,3 +114,37 @@ def test_one_bad_sitemap_ends_no_job(spark):
 def test_resolved_against_a_page(spark):
     cases = {"javascript:void(0)": None, "data:x": None, "?q=1": "https://h.org/a/b?q=1", "../c#f": "https://h.org/c"}
     assert _values(spark, lambda c: names.resolve_url(F.lit("https://h.org/a/b"), c), cases) == cases
+
+
+def test_pages_that_break_parsers_end_no_job(spark):
+    """Marked sections, declarations and rubbish: links outside of them are found, and no page raises."""
+    import random
+
+    from latticework.sources import pages as pages_source
+    from latticework.sources.markup import page_elements, page_errors
+
+    for html in ("<![foo[x]]><a href='/a'>t</a>", "<a href='/a'>t</a><![if !IE]>", "<![CDATA[x]]><a href='/a'>t</a>", "<!DOCTYPE html [<!ENTITY x 'y'>]><a href='/a'>t</a>", "<![foo[ <a href='/a'>t</a>"):
+        rows, error = page_elements(html)
+        assert error is None and ([r["href"] for r in rows if r["tag"] == "a"] or "<![foo[ " in html), html
+    rng, parts = random.Random(3), ["<!", "<![", "[", "]]>", ">", "<a href='/x'>", "</a>", "<!--", "-->", "<?", "?>", "&#", "&#x110000;", "&;", "<title>", "<script>", "</script", "\x00", "'", '"', "=", " ", "é", "<!DOCTYPE", "<!ELEMENT", "CDATA[", "temp[", "<a", "/>"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    for html in pages:
+        page_elements(html)
+    df = spark.createDataFrame([(i, "https://a.org/", p) for i, p in enumerate([*pages[:300], None, "", "<![foo[x]]><a href='/a'>t</a>"])], "page_id bigint, url string, html string")
+    assert [r.target_url for r in pages_source.page_links(df.filter("page_id = 302")).collect()] == ["https://a.org/a"]
+    assert page_errors(df, ["page_id"]).filter("error is null").count() == 0
+
+
+def test_an_unreadable_page_gives_an_error_row(spark, monkeypatch):
+    from latticework.sources import markup
+
+    real = markup._Page.handle_starttag
+
+    def broken(self, tag, attrs):
+        real(self, tag, attrs)
+        if dict(attrs).get("href") == "/bad":
+            raise AssertionError("no such thing")
+
+    monkeypatch.setattr(markup._Page, "handle_starttag", broken)
+    rows, error = markup.page_elements("<a href='/a'>x</a><a href='/bad'>y</a><a href='/c'>z</a>")
+    assert [r["href"] for r in rows] == ["/a", "/bad"] and error == "AssertionError: no such thing"
