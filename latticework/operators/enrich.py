@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from latticework.functions.keys import trimmed
 from latticework.operators.graph import ip_in_cidr
@@ -141,36 +140,6 @@ def root_facts(assets: DataFrame) -> DataFrame:
     )
 
 
-def budget_batches(rows: DataFrame, by: list[str], order: str, size: str, budget: int) -> DataFrame:
-    """Batches of each group in order, each within ``budget``; a row larger than that is in none (null).
-
-    Where a batch ends depends on where the last one did, so a group is walked in order; the walk streams over Arrow
-    batches of a partition sorted by group, and holds one running sum.
-    """
-    import pyarrow as pa
-
-    def walk(batches):
-        last, used, batch = None, 0, 0
-        for b in batches:
-            out = []
-            for *key, n in zip(*(b.column(c).to_pylist() for c in by), b.column(size).to_pylist(), strict=True):
-                if key != last:
-                    last, used, batch = key, 0, 0
-                if n > budget:
-                    out.append(None)
-                    if used:
-                        used, batch = 0, batch + 1
-                    continue
-                if used + n > budget:
-                    used, batch = 0, batch + 1
-                used += n
-                out.append(batch)
-            yield b.append_column("batch", pa.array(out, pa.int32()))
-
-    dealt = rows.repartition(*by).sortWithinPartitions(*by, order)
-    return dealt.mapInArrow(walk, StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
-
-
 def assets_of_seed(assets: DataFrame, contributed: DataFrame, seed_roots: DataFrame) -> DataFrame:
     """Assets (asset_key, root) of each seed: by an enumeration that contributed them (asset_key, seed_id), else by the seed's roots."""
     by_enumeration = contributed.filter("seed_id is not null").select("seed_id", "asset_key", F.lit(0).alias("how"))

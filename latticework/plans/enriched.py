@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.functions import keys
-from latticework.operators import enrich, windows
+from latticework.operators import batches, enrich, windows
 from latticework.sources import records
 
 from . import adapters as ad
@@ -170,7 +170,7 @@ def budget_batches(spark, sf_dir):
     """Orders of a customer in batches within a budget."""
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), k.alias("item"), (k * 7919 % 100).alias("size"))
-    return enrich.budget_batches(rows, ["grp"], "item", "size", 90).select("grp", "item", "batch")
+    return batches.budget_batches(rows, ["grp"], "item", "size", 90).select("grp", "item", "batch")
 
 
 @query(f"with {OBSERVATIONS}, l as (select enumeration_id, concat('org', seq % 45, '.com') as root, concat('h', seq % 6, '.org', seq % 45, '.com') as host, seq from o where type = 'ip'), f as (select enumeration_id, root, host, count(*) as c, min(seq) as sq from l group by all), r as (select *, row_number() over (partition by enumeration_id, root order by sq, host) as r from f) select enumeration_id, root, sum(c)::bigint as hits, count(*) as distinct_samples, string_agg(host, ',' order by r) filter (where r <= 3) as samples from r group by 1, 2")

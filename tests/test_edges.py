@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from latticework.functions import names
-from latticework.operators import enrich, frontier
+from latticework.operators import batches, enrich, frontier
 from latticework.sources import records, registrations, snapshots
 
 
@@ -37,7 +37,7 @@ def test_resolved_links(spark):
 
 def test_budget(spark):
     df = spark.createDataFrame([("a", i, n) for i, n in enumerate([4, 4, 3, 99, 1, 10])] + [("b", 0, 11)], "g string, i int, n int")
-    got = rows(enrich.budget_batches(df, ["g"], "i", "n", 10), "g", "i", "batch")
+    got = rows(batches.budget_batches(df, ["g"], "i", "n", 10), "g", "i", "batch")
     assert got == [("a", 0, 0), ("a", 1, 0), ("a", 2, 1), ("a", 3, None), ("a", 4, 2), ("a", 5, 3), ("b", 0, None)]
 
 
