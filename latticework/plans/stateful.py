@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from latticework.operators.stored_fold import AssetStore
@@ -9,9 +11,10 @@ from latticework.operators.waves import Waves
 from latticework.session import folder
 from latticework.sources.keyed import KeyedTable
 from latticework.streaming import live_fold as live
+from latticework.streaming.reviews import review_states
 
 from . import adapters as ad
-from . import expanded
+from . import expanded, queries
 from .adapters import table
 from .expanded import EVIDENCE
 from .queries import ORACLE_SQL, query
@@ -78,3 +81,19 @@ def expand_waves(spark, sf_dir):
     while run.step(None, _again(spark, sf_dir)):
         run = Waves(spark, path)
     return run.known()
+
+
+@query(f"""with rq as ({ORACLE_SQL['review_queue']}), r as (select opened_by as run_id, root, status, 700000000000000 + opened_seq % 200000000 * 1000000 as us from rq),
+ d as (select o_orderpriority as run_id, concat('root', o_custkey % 1997, '.com') as root, o_totalprice > 150000 as collect, epoch_us(o_orderdate::timestamp) as us from orders where o_orderstatus = 'P'),
+ l as (select run_id, root, arg_max(collect, us * 2 + collect::int) as collect from d group by 1, 2), wm as (select least((select max(us) from r), (select max(us) from d)) as us),
+ s as (select r.run_id, r.root, case when status <> 'pending_review' then status when collect then 'scheduled' when not collect then 'rejected' when r.us + 365 * 86400000000 <= wm.us then 'overdue' else status end as state, r.us as opened_us from r cross join wm left join l on l.run_id = r.run_id and l.root = r.root)
+ select *, bool_or(state in ('pending_review', 'overdue')) over (partition by run_id) as blocked from s""")
+def review_stream(spark, sf_dir):
+    """Reviews and decisions as two streams: each review's state, and whether its run waits."""
+    at, o = folder(spark), table(spark, sf_dir, "orders")
+    queue = queries.review_queue(spark, sf_dir)
+    queue.select(F.col("opened_by").alias("run_id"), "root", "status", F.timestamp_micros(700000000000000 + F.col("opened_seq") % 200000000 * 1000000).alias("at")).write.parquet(f"{at}/reviews")
+    root = F.concat(F.lit("root"), (F.col("o_custkey") % 1997).cast("string"), F.lit(".com"))
+    o.filter("o_orderstatus = 'P'").select(F.col("o_orderpriority").alias("run_id"), root.alias("root"), (F.col("o_totalprice") > 150000).alias("collect"), F.col("o_orderdate").cast("timestamp").alias("at")).write.parquet(f"{at}/decisions")
+    streams = [spark.readStream.schema(spark.read.parquet(f"{at}/{name}").schema).parquet(f"{at}/{name}") for name in ("reviews", "decisions")]
+    return review_states(spark, *streams, f"{at}/states", f"{at}/progress", timedelta(days=365))
