@@ -169,11 +169,13 @@ def attach_root(df: DataFrame, host: str, rules: DataFrame, out: str = "root") -
     hosts = df.select(F.col(host).alias("_h")).filter("_h is not null").distinct()
     labels = F.split("_h", r"\.")
     tails = hosts.select("_h", labels.alias("_l"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("_p", "_t"))
-    tails = tails.select("_h", "_l", "_t", (F.size("_l") - F.col("_p")).alias("_n"), F.substring_index("_t", ".", -1).alias("_last"), F.regexp_replace("_t", r"^[^.]*\.?", "").alias("_up"))
-    plain = tails.join(rules.filter("not is_wildcard and not is_exception"), F.col("_t") == F.col("suffix")).select("_h", F.col("_n").alias("n"), F.lit(1).alias("p"))
-    exception = tails.join(rules.filter("is_exception"), F.col("_t") == F.col("suffix")).select("_h", (F.col("_n") - 1).alias("n"), F.lit(3).alias("p"))
-    wild = tails.join(rules.filter("is_wildcard"), F.col("_up") == F.col("suffix")).select("_h", F.col("_n").alias("n"), F.lit(2).alias("p"))
-    best = plain.union(exception).union(wild).groupBy("_h").agg(F.max(F.struct(F.when(F.col("p") == 3, 1000).otherwise(F.col("n")).alias("w"), "p", "n")).alias("b"))
+    # a tail meets plain and exception rules as it is, wildcard rules without its first label: one join holds all three
+    forms = F.array(F.struct(F.lit(False).alias("wild"), F.col("_t").alias("text")), F.struct(F.lit(True).alias("wild"), F.regexp_replace("_t", r"^[^.]*\.?", "").alias("text")))
+    tails = tails.select("_h", (F.size("_l") - F.col("_p")).alias("_n"), F.inline(forms))
+    met = tails.join(rules, (F.col("text") == F.col("suffix")) & (F.col("wild") == (F.col("is_wildcard") & ~F.col("is_exception"))))
+    kind = F.when(F.col("is_exception"), 3).when(F.col("wild"), 2).otherwise(1)
+    found = met.select("_h", (F.col("_n") - F.col("is_exception").cast("int")).alias("n"), kind.alias("p"))
+    best = found.groupBy("_h").agg(F.max(F.struct(F.when(F.col("p") == 3, 1000).otherwise(F.col("n")).alias("w"), "p", "n")).alias("b"))
     roots = hosts.join(best, "_h", "left").withColumn("_n", F.coalesce("b.n", F.lit(1)) + 1)
     whole = is_ip4(F.col("_h")) | (F.size(labels) < F.col("_n"))
     roots = roots.select("_h", F.when(whole, F.col("_h")).otherwise(F.array_join(F.slice(labels, F.size(labels) - F.col("_n") + 1, F.col("_n")), ".")).alias(out))

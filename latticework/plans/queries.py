@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import keys
 from latticework.operators import fold, graph, judged, windows
-from latticework.session import folder
+from latticework.session import folder, stored
 from latticework.sources import pages as page_source
 from latticework.streaming import event_log
 
@@ -66,7 +66,7 @@ def _rules(spark: SparkSession) -> DataFrame:
 
 
 def _rooted(spark, sf_dir) -> DataFrame:
-    return keys.attach_root(canonical_assets(spark, sf_dir), "asset_key", _rules(spark))
+    return keys.attach_root(stored(canonical_assets(spark, sf_dir), "assets"), "asset_key", _rules(spark))
 
 
 ORDER_SQL = "case when type = 'ip' then 2 when root = asset_key then 0 else 1 end, case when type = 'ip' then '' else root end, asset_key, first_seen_us, asset_id"

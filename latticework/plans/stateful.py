@@ -6,9 +6,11 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from latticework.functions import keys
+from latticework.operators import crawl
 from latticework.operators.stored_fold import AssetStore
 from latticework.operators.waves import Waves
-from latticework.session import folder
+from latticework.session import folder, stored
 from latticework.sources.keyed import KeyedTable
 from latticework.streaming import live_fold as live
 from latticework.streaming.reviews import review_states
@@ -97,3 +99,70 @@ def review_stream(spark, sf_dir):
     o.filter("o_orderstatus = 'P'").select(F.col("o_orderpriority").alias("run_id"), root.alias("root"), (F.col("o_totalprice") > 150000).alias("collect"), F.col("o_orderdate").cast("timestamp").alias("at")).write.parquet(f"{at}/decisions")
     streams = [spark.readStream.schema(spark.read.parquet(f"{at}/{name}").schema).parquet(f"{at}/{name}") for name in ("reviews", "decisions")]
     return review_states(spark, *streams, f"{at}/states", f"{at}/progress", timedelta(days=365))
+
+
+#: Captured pages are parts, seeds suppliers: a part's page is on one of three hosts of the seed that its remainder names. Some answers are errors, some redirect: to themselves, out of the
+#: scope, or along parts of the same seed. Links come from line items.
+_U = "concat('https://', case when {p} % 3 = 0 then '' else concat('w', {p} % 3, '.') end, 'org', {p} % m, '.com/p', {p})"
+_X = "concat('https://x', {p} % 2, '.away', {p} % 5, '.net/p', {p})"
+_SITE = f"""sc as (select (select count(*) from supplier) as m, (select count(*) from part) as size),
+an as (select {_U.format(p='p_partkey')} as url, case when p_partkey % 13 = 0 or p_partkey % 5 <> 1 then null when p_partkey % 7 = 0 then {_U.format(p='p_partkey')} when p_partkey % 11 = 0 then {_X.format(p='p_partkey')}
+ when p_partkey % 3 = 0 and p_partkey > m then {_U.format(p='(p_partkey - m)')} when p_partkey + m <= size then {_U.format(p='(p_partkey + m)')} end as target, p_partkey % 13 <> 0 as page from part, sc
+ union all select distinct {_X.format(p='p_partkey')}, null, true from part, sc),
+li as (select {_U.format(p='(l_orderkey % size + 1)')} as url, case l_linenumber when 1 then {_U.format(p='l_partkey')} when 2 then {_X.format(p='l_partkey')} else {_U.format(p='(l_partkey // m * m + (l_orderkey % size + 1) % m)')} end as target, l_linenumber * 10000000 + l_partkey as pos, lower(l_returnflag) as relation from lineitem, sc),
+lk as (select url, target, min(pos) as pos, arg_min(relation, (pos, relation)) as relation from li group by 1, 2)"""
+_HOST = "split_part({u}, '/', 3)"
+_ROOT = "regexp_extract(split_part({u}, '/', 3), '([^.]+\\.[^.]+)$', 1)"
+
+
+def _crawled(most: int = 12, depth: int = 2) -> str:
+    sql = f"""with recursive {_SITE}, hop as (select url, url as at, 0 as n from an union all select hop.url, an.target, n + 1 from hop join an on an.url = hop.at where an.target is not null and n <= 10),
+ fe as (select hop.url, hop.at as final_url from hop join an on an.url = hop.at where an.target is null and an.page and n <= 10),
+ q0 as (select s_suppkey % m as seed, {_U.format(p='s_suppkey')} as url, s_suppkey as ord, 0 as depth from supplier, sc), v as (select 0 as seed, '' as url, 0 as depth, 0::bigint as position where false)"""
+    prev = "v"
+    for s in range(depth + 1):
+        sql += f""", h{s} as (select q.seed, q.url, q.depth, row_number() over (partition by q.seed order by ord, q.url) + coalesce(n, 0) as position from q{s} q join fe on fe.url = q.url left join (select seed, count(*) as n from {prev} group by 1) c on c.seed = q.seed where q.depth = {s}),
+ v{s} as (select * from {prev} union all select * from h{s} where position <= {most}),
+ q{s + 1} as (select * from q{s} union all select h.seed, lk.target, min(h.position * 100000000000 + lk.pos), {s + 1} from h{s} h join fe on fe.url = h.url join lk on lk.url = fe.final_url
+  where position <= {most} and {_ROOT.format(u='fe.final_url')} = concat('org', h.seed, '.com') and {_ROOT.format(u='lk.target')} = concat('org', h.seed, '.com') and not exists (select 1 from q{s} q where q.seed = h.seed and q.url = lk.target) group by 1, 2)"""
+        prev = f"v{s}"
+    return f"{sql}, pg as (select v.seed, v.url, final_url, depth, position, {_ROOT.format(u='final_url')} = concat('org', seed, '.com') as inside from {prev} v join fe on fe.url = v.url), en as (select distinct seed, final_url from pg where inside)"
+
+
+def _crawl(spark, sf_dir):
+    parts, lines, suppliers = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    m, size = suppliers.count(), parts.count()
+    text, p, n = (lambda c: c.cast("string")), F.col("p_partkey"), F.col("l_partkey")
+    u = lambda c: F.concat(F.lit("https://"), F.when(c % 3 == 0, "").otherwise(F.concat(F.lit("w"), text(c % 3), F.lit("."))), F.lit("org"), text(c % m), F.lit(".com/p"), text(c))
+    x = lambda c: F.concat(F.lit("https://x"), text(c % 2), F.lit(".away"), text(c % 5), F.lit(".net/p"), text(c))
+    target = F.when((p % 13 != 0) & (p % 5 == 1), F.when(p % 7 == 0, u(p)).when(p % 11 == 0, x(p)).when((p % 3 == 0) & (p > m), u(p - m)).when(p + m <= size, u(p + m)))
+    answers = parts.select(u(p).alias("url"), target.alias("target"), (p % 13 != 0).alias("page")).union(parts.select(x(p), F.lit(None).cast("string"), F.lit(True)).distinct())
+    src = F.col("l_orderkey") % size + 1
+    links = lines.select(u(src).alias("url"), F.when(F.col("l_linenumber") == 1, u(n)).when(F.col("l_linenumber") == 2, x(n)).otherwise(u((F.floor(n / m) * m + src % m).cast("bigint"))).alias("target"), (F.col("l_linenumber").cast("bigint") * 10_000_000 + n).alias("pos"), F.lower("l_returnflag").alias("relation"))
+    links = links.groupBy("url", "target").agg(F.min("pos").alias("pos"), F.min_by("relation", F.struct("pos", "relation")).alias("relation"))
+    fetched = stored(crawl.fetched_pages(answers), "fetched")
+    urls = fetched.select(F.col("final_url").alias("url")).union(links.select("target")).distinct()
+    hosts = keys.attach_root(urls.withColumn("host", keys.url_host(F.col("url"))), "host", queries._rules(spark))
+    seed = (F.col("s_suppkey") % m).cast("bigint")
+    scope = suppliers.select(seed.alias("seed_id"), F.concat(F.lit("org"), text(seed), F.lit(".com")).alias("root")).distinct()
+    return crawl.crawl(suppliers.select(seed.alias("seed_id"), u(F.col("s_suppkey")).alias("url"), F.col("s_suppkey").alias("pos")), scope, fetched, hosts, links)
+
+
+@query(f"{_crawled()} select seed as seed_id, url, final_url, depth, position from pg")
+def crawl_redirects(spark, sf_dir):
+    """Pages reached from each seed, and where their redirects end."""
+    return _crawl(spark, sf_dir)["pages"]
+
+
+@query(f"""{_crawled()} select seed as seed_id, {_HOST.format(u='final_url')} as host from pg where inside and {_HOST.format(u='final_url')} <> {_ROOT.format(u='final_url')}
+ union select seed, {_HOST.format(u='target')} from en join lk on lk.url = final_url where {_ROOT.format(u='target')} = concat('org', seed, '.com') and {_HOST.format(u='target')} <> {_ROOT.format(u='target')}""")
+def crawl_hosts(spark, sf_dir):
+    """Hosts of each seed's scope that its pages end at or link to."""
+    return _crawl(spark, sf_dir)["hosts"]
+
+
+@query(f"""{_crawled()} select seed as seed_id, {_ROOT.format(u='final_url')} as root, url as source_url, final_url as target_url, 'redirect' as relation from pg where not inside
+ union all select seed, {_ROOT.format(u='target')}, url, target, relation from en join lk on lk.url = final_url where {_ROOT.format(u='target')} <> concat('org', seed, '.com')""")
+def crawl_candidates(spark, sf_dir):
+    """Links and redirects that lead out of each seed's scope."""
+    return _crawl(spark, sf_dir)["candidates"]
