@@ -2,46 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _node(rows: DataFrame, id: Column, parent: Column, kind: str, label: Column, subtitle: Column, badges: Column) -> DataFrame:
-    return rows.select("asset_id", id.alias("id"), parent.alias("parent_id"), F.lit(kind).alias("kind"), label.alias("label"), subtitle.alias("subtitle"), badges.alias("badges"))
-
-
-def trace_nodes(assets: DataFrame, observations: DataFrame, contributed: DataFrame, relations: DataFrame, stages: DataFrame) -> DataFrame:
-    """Each asset's tree as flat rows with parent ids: the asset, its groups, and their leaves.
-
-    ``assets``: asset_id, identifier, type, ownership_state. ``observations``: asset_id, id, source, identifier, kind.
-    ``contributed``: asset_id, seed_id, label. ``relations``: asset_id, id, kind, peer. ``stages``: asset_id, stage, status.
-    Group rows are counts by asset; leaves are projections, so there is one shuffle per kind of leaf.
-    """
-    none, root = F.lit(None).cast("string"), F.concat(F.lit("asset:"), "asset_id")
-    parts = [_node(assets, root, none, "asset", F.col("identifier"), F.col("type"), F.col("ownership_state"))]
-
-    def group(rows: DataFrame, name: str, title: str, text: str) -> None:
-        counted = rows.groupBy("asset_id").agg(F.count("*").alias("n"))
-        subtitle = F.concat(F.col("n").cast("string"), F.lit(text)) if text.startswith(" ") else F.lit(text)
-        parts.append(_node(counted, F.concat(root, F.lit(f":{name}")), root, "group", F.lit(title), subtitle, F.lit("")))
-
-    def leaves(rows: DataFrame, name: str, kind: str, id: Column, label: str, subtitle: str, badges: Column) -> None:
-        parts.append(_node(rows, id, F.concat(root, F.lit(f":{name}")), kind, F.col(label), F.col(subtitle), badges))
-
-    seeds = contributed.groupBy("asset_id", F.coalesce("seed_id", F.lit("")).alias("seed_id"), "label").agg(F.count("*").alias("n"))
-    group(observations, "observations", "Observations", " supporting observations")
-    leaves(observations, "observations", "observation", F.concat(F.lit("obs:"), "id"), "source", "identifier", F.initcap("kind"))
-    group(seeds, "seeds", "Seed Context", " contributing seeds")
-    leaves(seeds, "seeds", "seed", F.concat(F.lit("seed:"), "seed_id"), "label", "seed_id", F.concat(F.col("n").cast("string"), F.lit(" contributors")))
-    group(relations, "relations", "Relations", " linked discovery edges")
-    leaves(relations, "relations", "relation", F.concat(F.lit("rel:"), "id"), "kind", "peer", F.col("kind"))
-    group(stages, "enrichment", "Enrichment", "Runtime cache and enrichment results")
-    leaves(stages, "enrichment", "enrichment", F.concat(F.lit("enrich:"), "asset_id", F.lit(":"), "stage"), "stage", "status", F.lit(""))
-    return reduce(DataFrame.unionByName, parts)
-
-
 #: Labels of a details line and the registration's fields, in order.
 REGISTRATION_LABELS = [
     ("registrar_name", "Registrar"), ("registrar_url", "RegistrarURL"), ("registrant_name", "RegistrantName"), ("registrant_org", "RegistrantOrg"), ("registrant_email", "RegistrantEmail"),

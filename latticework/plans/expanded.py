@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.functions import keys
-from latticework.operators import frontier, judged, readmodel
+from latticework.operators import frontier, judged, readmodel, trees
 from latticework.session import folder
 from latticework.sources import pages, snapshots
 from latticework.streaming import candidates
@@ -13,7 +13,7 @@ from latticework.streaming import candidates
 from . import adapters as ad
 from . import enriched, reports
 from . import queries as base
-from .adapters import OBSERVATIONS, OUTCOMES, RELATIONS, table
+from .adapters import OBSERVATIONS, OUTCOMES, RELATIONS, SEEDS, table
 from .collected import _f
 from .queries import CANONICAL, ORACLE_SQL, query
 
@@ -135,14 +135,41 @@ def _ids(spark, sf_dir):
  union all select asset_id, concat('enrich:', asset_id, ':', stage), concat('asset:', asset_id, ':enrichment'), 'enrichment', stage, status, '' from es""")
 def trace_nodes(spark, sf_dir):
     """The tree of each asset as rows."""
-    by = ["type", "asset_key"]
-    ids = _ids(spark, sf_dir)
-    one = ids.select(*by, "asset_id")
-    obs = ad.observations(spark, sf_dir).withColumn("asset_key", keys.asset_key(F.col("identifier"))).join(one, by)
-    contributed = enriched._contributors(spark, sf_dir).join(one, by).select("asset_id", "seed_id", "label")
-    relations = ids.filter("root <> asset_key").select("asset_id", F.concat(F.lit("rel-"), "asset_id").alias("id"), F.lit("same_root").alias("kind"), F.col("root").alias("peer"))
-    stages = obs.filter("kind = 'enrichment'").select("asset_id", F.col("source").alias("stage"), F.lit("completed").alias("status")).distinct()
-    return readmodel.trace_nodes(ids.withColumnRenamed("asset_key", "identifier"), obs.select("asset_id", "id", "source", "identifier", "kind"), contributed, relations, stages)
+    return trees.nodes(_tree_tables(spark, sf_dir))
+
+
+def _tree_tables(spark, sf_dir):
+    obs = ad.observations(spark, sf_dir).withColumn("asset_key", keys.asset_key(F.col("identifier")))
+    return trees.tree_tables(_ids(spark, sf_dir), obs, enriched._enumerations(spark, sf_dir), ad.seeds(spark, sf_dir))
+
+
+def _lines(rows: str, told: dict[str, list[tuple[str, str]]]) -> str:
+    """SQL of the lines of one kind of nodes: ``rows`` gives asset_id, node and the columns that lines name."""
+    out = []
+    for title, xs in told.items():
+        items = ", ".join(f"case when coalesce(trim({c}::varchar), '') <> '' then concat('{text}: ', {c}::varchar) end" for text, c in xs)
+        out.append(f"select asset_id, node as id, '{title}' as title, unnest(range(len(i)))::int as position, unnest(i) as item from (select asset_id, node, list_filter([{items}], lambda x: x is not null) as i from ({rows}))")
+    return " union all ".join(out)
+
+
+_DAY = "strftime(make_timestamp({c}), '%Y-%m-%d %H:%M:%S')"
+_DETAILS = " union all ".join([
+    _lines("select ids.asset_id, concat('obs:', o.id) as node, o.*, en.id as eid, en.seed_id as sid, coalesce(company_name, '') as label, case when en.id is not null then sd.domain end as dom from o join ids on o.type = ids.type and o.asset_key = ids.asset_key left join en on en.id = o.enumeration_id left join (select id as sd_id, domain from sd) sd on sd_id = en.seed_id",
+           {"Observation": [("Observation ID", "id"), ("Kind", "kind"), ("Type", "type"), ("Identifier", "identifier"), ("Source", "source"), ("Discovered at", _DAY.format(c="seen_us")), ("Ownership state", "ownership_state"), ("Inclusion reason", "inclusion_reason")],
+            "Enumeration": [("Enumeration ID", "eid"), ("Seed ID", "sid")], "Seed Context": [("Seed ID", "sid"), ("Company", "label"), ("Seed domains", "dom")]}),
+    _lines("select asset_id, concat('seed:', coalesce(seed_id, ''), ':contributor:', row_number() over (partition by asset_id, coalesce(seed_id, '') order by seen_us, enumeration_id, source) - 1) as node, source, enumeration_id, seen_us from pv join ids on pv.type = ids.type and pv.asset_key = ids.asset_key left join en on en.id = enumeration_id",
+           {"Contributor": [("Source", "source"), ("Enumeration ID", "enumeration_id"), ("Originating asset ID", "asset_id"), ("Discovered at", _DAY.format(c="seen_us"))]}),
+    _lines("select asset_id, concat('rel:rel-', asset_id) as node, root, asset_key from ids where root <> asset_key", {"Relation": [("Kind", "'same_root'")], "Endpoints": [("From", "asset_key"), ("To", "root")]}),
+    _lines("select distinct asset_id, concat('enrich:', asset_id, ':', source) as node, source from ob where kind = 'enrichment'", {"Enrichment State": [("Stage", "source"), ("Status", "'completed'")]}),
+    _lines("select asset_id, concat('asset:', asset_id, ':observations') as node, count(*) as n, count(*) filter (where kind <> 'enrichment') as found, string_agg(distinct source, ', ' order by source) as sources, string_agg(distinct enumeration_id, ', ' order by enumeration_id) as enums, min(seen_us) as f, max(seen_us) as l from o join ids on o.type = ids.type and o.asset_key = ids.asset_key group by asset_id",
+           {"Observation Summary": [("Total observations", "n"), ("Discovery observations", "found"), ("Enrichment observations", "(n - found)"), ("Sources", "sources"), ("Enumerations", "enums"), ("First seen", _DAY.format(c="f")), ("Last seen", _DAY.format(c="l"))]}),
+])
+
+
+@query(f"{IDS}, {SEEDS} {_DETAILS}")
+def trace_details(spark, sf_dir):
+    """The lines that nodes of each asset's tree tell."""
+    return trees.details(_tree_tables(spark, sf_dir))
 
 
 @query(f"""with ar as ({ORACLE_SQL['asset_rows']}), i as (select asset_id, unnest([{', '.join(f"{{'title': '{t}', 'k': {n}, 'item': case when {c} <> '' then concat('{x}: ', {c}) end}}" for n, (t, x, c) in enumerate([('Result', 'Asset ID', 'asset_id'), ('Result', 'Asset type', 'type'), ('Result', 'Contributors', 'all_sources'), ('Result', 'Discovered by', 'discovery_sources'), ('Result', 'Enriched by', 'enrichment_sources'), ('Ownership', 'Ownership state', 'ownership_state'), ('Ownership', 'Inclusion reason', 'inclusion_reason')]))}]) as s from ar)

@@ -115,3 +115,14 @@ def test_small_filters(spark):
     df = spark.createDataFrame([("a", ["x"]), ("b", ["z", "x", "y"])], "root string, evidence array<string>")
     rows = scope.beyond_first_hit(df).select("root", scope.sorted_limit(F.col("evidence"), 2).alias("e")).collect()
     assert [tuple(r) for r in rows] == [("b", ["x", "y"])]
+
+
+def test_trees_scan_each_table_once_and_shuffle_little(spark):
+    """Nodes and lines are projections of four stored tables: one exchange for the groups, a join for the lines; no source is read again."""
+    from latticework.operators import trees
+    from latticework.plans.expanded import _tree_tables
+
+    tables = _tree_tables(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(trees.nodes(tables)).count("Exchange ") <= 2 and plan(trees.details(tables)).count("Exchange ") <= 6
+    assert "events.parquet" not in plan(trees.nodes(tables)) + plan(trees.details(tables))
