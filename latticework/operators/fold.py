@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.keys import asset_key, trimmed
+from latticework.session import stored
 
 #: Ownership states by rank.
 STATES = ["", "associated_infrastructure", "uncertain", "owned"]
@@ -21,15 +22,29 @@ def explicit(reason: Column) -> Column:
     return (r != "") & ~r.startswith("Discovered via ") & ~(r.startswith("Supported by ") & r.contains(" discovery observations"))
 
 
-def ranked_observations(obs: DataFrame) -> DataFrame:
-    """Each observation with its key, whether it is the key's first, its rank (the first takes its type's default), the rank before it and whether it raised it."""
-    w = Window.partitionBy("type", "asset_key").orderBy("seq")
-    rows = obs.withColumn("asset_key", asset_key(F.col("identifier"))).withColumn("first", F.row_number().over(w) == 1)
-    own = state_rank(F.col("ownership_state"))
-    default = F.when(F.col("type") == "ip", 1).otherwise(3)
-    rows = rows.withColumn("rank", F.when(F.col("first") & (own == 0), default).otherwise(own))
-    rows = rows.withColumn("before", F.coalesce(F.max("rank").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.withColumn("raised", F.col("rank") > F.col("before"))
+def ranked_observations(obs: DataFrame, range_rows: int = 1 << 16) -> DataFrame:
+    """Each observation with its key, whether it is the key's first, its rank (the first takes its type's default), the rank before it and whether it raised it.
+
+    Observations are dealt into ranges of (key, seq) of about ``range_rows``, so a key that very many share is split. A range knows the ranks inside it; what came
+    before is the highest rank of the key's earlier ranges, of which a table with a row for each key and range tells.
+    """
+    by, whole = ["type", "asset_key"], obs.withColumn("asset_key", asset_key(F.col("identifier")))
+    ranges = max(1, -(-obs.count() // range_rows))
+    own, default = state_rank(F.col("ownership_state")), F.when(F.col("type") == "ip", 1).otherwise(3)
+    dealt = whole.repartitionByRange(ranges, *by, "seq").withColumn("_part", F.spark_partition_id()).withColumn("_own", own)
+    dealt = stored(dealt, "ranges")
+    chunks = dealt.groupBy("_part", *by).agg(F.max("_own").alias("_top"), F.min_by("_own", "seq").alias("_start"))
+    w = Window.partitionBy(*by).orderBy("_part")
+    begins = F.row_number().over(w) == 1
+    chunks = chunks.withColumn("_begins", begins).withColumn("_top", F.when(F.col("_begins") & (F.col("_start") == 0), F.greatest("_top", default)).otherwise(F.col("_top")))
+    chunks = chunks.withColumn("_earlier", F.max("_top").over(w.rowsBetween(Window.unboundedPreceding, -1))).drop("_top", "_start")
+    left, right = dealt.alias("d"), chunks.alias("c")
+    rows = left.join(right, [F.col("d._part") == F.col("c._part"), *(F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in by)]).select("d.*", "c._begins", "c._earlier")
+    inside = Window.partitionBy("_part", *by).orderBy("seq")
+    rows = rows.withColumn("first", F.col("_begins") & (F.row_number().over(inside) == 1))
+    rows = rows.withColumn("rank", F.when(F.col("first") & (F.col("_own") == 0), default).otherwise(F.col("_own")))
+    rows = rows.withColumn("before", F.coalesce(F.greatest("_earlier", F.max("rank").over(inside.rowsBetween(Window.unboundedPreceding, -1))), F.lit(0)))
+    return rows.withColumn("raised", F.col("rank") > F.col("before")).drop("_part", "_own", "_begins", "_earlier")
 
 
 def source_parts(source: Column) -> Column:

@@ -7,7 +7,8 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from latticework.functions import keys
-from latticework.operators import crawl
+from latticework.operators import crawl, exclusions
+from latticework.operators.enrich import SHARED_ROOTS
 from latticework.operators.stored_fold import AssetStore
 from latticework.operators.waves import Waves
 from latticework.session import folder, stored
@@ -17,7 +18,7 @@ from latticework.streaming.reviews import review_states
 
 from . import adapters as ad
 from . import expanded, queries
-from .adapters import table
+from .adapters import OUTCOMES, table
 from .expanded import EVIDENCE
 from .queries import ORACLE_SQL, query
 
@@ -166,3 +167,20 @@ def crawl_hosts(spark, sf_dir):
 def crawl_candidates(spark, sf_dir):
     """Links and redirects that lead out of each seed's scope."""
     return _crawl(spark, sf_dir)["candidates"]
+
+
+@query(f"""with {OUTCOMES}, c as (select distinct concat('seed-', l_orderkey % 25) as seed_id, case when l_linenumber = 7 then '{SHARED_ROOTS[0]}' else concat('root', (l_suppkey * 3 + l_partkey) % 397, '.com') end as root from lineitem),
+ x as (select concat('seed-', s_suppkey % 25) as seed_id, concat('root', s_suppkey % 397, '.com') as root from supplier union select concat('seed-', c_custkey % 25), concat('root', c_custkey * 7 % 397, '.com') from customer where c_acctbal < 0
+  union select seed_id, root from oc where confidence >= 0.5)
+ select seed_id, root from c where root <> '{SHARED_ROOTS[0]}' and (seed_id, root) not in (select (seed_id, root) from x) and root not in (select concat('root', n_nationkey * 13 % 397, '.com') from nation)""")
+def anti_known_all(spark, sf_dir):
+    """Candidates that none of five kinds of exclusions names."""
+    name = lambda c: F.concat(F.lit("root"), (c % 397).cast("string"), F.lit(".com"))
+    seed = lambda c: F.concat(F.lit("seed-"), (F.col(c) % 25).cast("string"))
+    lines, s, c = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    root = F.when(F.col("l_linenumber") == 7, SHARED_ROOTS[0]).otherwise(name(F.col("l_suppkey") * 3 + F.col("l_partkey")))
+    judged = ad.outcomes(spark, sf_dir).filter("confidence >= 0.5")
+    return exclusions.unexcluded(
+        lines.select(seed("l_orderkey").alias("seed_id"), root.alias("root")).distinct(), s.select(seed("s_suppkey").alias("seed_id"), name(F.col("s_suppkey")).alias("root")),
+        c.filter("c_acctbal < 0").select(seed("c_custkey").alias("seed_id"), name(F.col("c_custkey") * 7).alias("root")), judged.filter("collect"), judged.filter("not collect"),
+        table(spark, sf_dir, "nation").select(name(F.col("n_nationkey") * 13).alias("root")), SHARED_ROOTS)
