@@ -13,14 +13,14 @@ from .adapters import OBSERVATIONS, OUTCOMES, SEEDS, table
 from .collected import SEARCHED, _rdap, _search_bodies
 from .queries import _rules, query
 
-ENUMS = "en as (select concat('enum-', c_custkey) as id, concat('seed-', c_custkey) as seed_id, c_name as company_name from customer where c_custkey < 20)"
+ENUMS = "en as (select concat('enum-', c_custkey) as id, concat('seed-', c_custkey) as seed_id, c_name as company_name from customer)"
 PROV = "pv as (select type, asset_key, enumeration_id, source, min(seen_us) as seen_us from o group by all)"
 CONTRIB = f"{OBSERVATIONS}, {ENUMS}, {PROV}, cb as (select pv.*, seed_id, coalesce(company_name, '') as label from pv left join en on enumeration_id = en.id)"
 
 
 def _enumerations(spark, sf_dir):
     k = ad.text("c_custkey")
-    return table(spark, sf_dir, "customer").filter("c_custkey < 20").select(F.concat(F.lit("enum-"), k).alias("id"), F.concat(F.lit("seed-"), k).alias("seed_id"))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("enum-"), k).alias("id"), F.concat(F.lit("seed-"), k).alias("seed_id"))
 
 
 def _contributors(spark, sf_dir):
@@ -114,11 +114,11 @@ def set_overlap(spark, sf_dir):
     return enrich.set_overlap(facts, base, ["ip", "ns", "mx"])
 
 
-@query(f"with {OUTCOMES} select distinct seed_id, root from oc a where confidence < 0.5 and not exists (select 1 from oc b where b.collect and b.seed_id = a.seed_id and b.root = a.root) and root not in (select concat('root', s_suppkey % 97, '.com') from supplier where s_suppkey % 7 = 0)")
+@query(f"with {OUTCOMES} select distinct seed_id, root from oc a where confidence < 0.5 and not exists (select 1 from oc b where b.collect and b.seed_id = a.seed_id and b.root = a.root) and root not in (select concat('root', s_nationkey * 3 % 97, '.com') from supplier)")
 def anti_known(spark, sf_dir):
     """Candidates that nothing excludes."""
     oc = ad.outcomes(spark, sf_dir)
-    known = table(spark, sf_dir, "supplier").filter("s_suppkey % 7 = 0").select(F.concat(F.lit("root"), (F.col("s_suppkey") % 97).cast("string"), F.lit(".com")).alias("root")).distinct()
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("root"), (F.col("s_nationkey") * 3 % 97).cast("string"), F.lit(".com")).alias("root")).distinct()
     return enrich.anti_known(oc.filter("confidence < 0.5").select("seed_id", "root").distinct(), oc.filter("collect").select("seed_id", "root").distinct(), known)
 
 
@@ -133,14 +133,14 @@ def resolve_parent_seed(spark, sf_dir):
 @query("""with l as (select concat('seed-', s_suppkey) as seed_id, concat('org', s_suppkey % 40) as label, ['com', 'co.uk', 'example'][s_suppkey % 3 + 1] as own from supplier),
  x as (select * from (values ('example', 1), ('org.uk', 2), ('co.uk', 3), ('net', 4), ('com', 5), ('ai', 6)) v(suffix, pos)),
  r as (select seed_id, label, concat(label, '.', suffix) as root, case when suffix = own then 0 when split_part(suffix, '.', -1) = split_part(own, '.', -1) then 1 when suffix in ('com', 'net', 'ai') then 2 else 3 end as priority, pos, suffix from l, x)
- select seed_id, root, priority, row_number() over (partition by seed_id order by priority, case when priority = 2 then list_position(['com', 'net', 'ai'], suffix) else pos end) as rank from r where root not in (select concat('org', c_custkey % 40, '.net') from customer where c_custkey % 40 < 10)""")
+ select seed_id, root, priority, row_number() over (partition by seed_id order by priority, case when priority = 2 then list_position(['com', 'net', 'ai'], suffix) else pos end) as rank from r where root not in (select concat('org', c_nationkey % 10, '.net') from customer)""")
 def variant_roots(spark, sf_dir):
     """Roots that seeds' labels form with other suffixes."""
     k = F.col("s_suppkey")
     seed, sup = F.concat(F.lit("seed-"), k.cast("string")).alias("seed_id"), table(spark, sf_dir, "supplier")
     suffixes = spark.createDataFrame([(s, i + 1) for i, s in enumerate(["example", "org.uk", "co.uk", "net", "com", "ai"])], "suffix string, pos int")
     own = F.when(k % 3 == 0, "com").when(k % 3 == 1, "co.uk").otherwise("example")
-    known = table(spark, sf_dir, "customer").filter("c_custkey % 40 < 10").select(F.concat(F.lit("org"), (F.col("c_custkey") % 40).cast("string"), F.lit(".net")).alias("root")).distinct()
+    known = table(spark, sf_dir, "customer").select(F.concat(F.lit("org"), (F.col("c_nationkey") % 10).cast("string"), F.lit(".net")).alias("root")).distinct()
     return enrich.variant_roots(sup.select(seed, F.concat(F.lit("org"), (k % 40).cast("string")).alias("label")), suffixes, sup.select(seed, own.alias("suffix")), known)
 
 
@@ -181,12 +181,12 @@ def ptr_roots(spark, sf_dir):
     return windows.sampled_roots(rows, ["enumeration_id", "root"], "host", "seq", 3)
 
 
-@query(f"with {CONTRIB}, a as (select distinct asset_key, regexp_extract(asset_key, '([^.]+\\.[^.]+)$', 1) as root from o where type = 'domain'), s as (select distinct concat('seed-', c_custkey) as seed_id, concat('org', c_custkey % 40, '.com') as root from customer where c_custkey % 10 = 1), b as (select distinct seed_id, asset_key, 0 as how from cb where seed_id is not null and type = 'domain' union all select seed_id, asset_key, 1 from a join s on a.root = s.root) select seed_id, asset_key, case when min(how) = 0 then 'enumeration' else 'root' end as via from b group by 1, 2")
+@query(f"with {CONTRIB}, a as (select distinct asset_key, regexp_extract(asset_key, '([^.]+\\.[^.]+)$', 1) as root from o where type = 'domain'), s as (select distinct concat('seed-', c_custkey) as seed_id, concat('org', c_custkey % 40, '.com') as root from customer), b as (select distinct seed_id, asset_key, 0 as how from cb where seed_id is not null and type = 'domain' union all select seed_id, asset_key, 1 from a join s on a.root = s.root) select seed_id, asset_key, case when min(how) = 0 then 'enumeration' else 'root' end as via from b group by 1, 2")
 def assets_of_seed(spark, sf_dir):
     """Assets of each seed, by enumeration or root."""
     c = _contributors(spark, sf_dir).filter("type = 'domain'").select("asset_key", "seed_id").distinct()
     k = F.col("c_custkey")
-    roots = table(spark, sf_dir, "customer").filter(k % 10 == 1).select(F.concat(F.lit("seed-"), k.cast("string")).alias("seed_id"), F.concat(F.lit("org"), (k % 40).cast("string"), F.lit(".com")).alias("root"))
+    roots = table(spark, sf_dir, "customer").select(F.concat(F.lit("seed-"), k.cast("string")).alias("seed_id"), F.concat(F.lit("org"), (k % 40).cast("string"), F.lit(".com")).alias("root"))
     return enrich.assets_of_seed(keys.attach_root(c.select("asset_key").distinct(), "asset_key", _rules(spark)), c, roots)
 
 

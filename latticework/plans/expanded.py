@@ -88,31 +88,31 @@ def sitemap_closure(spark, sf_dir):
     return _reach(spark, sf_dir, 10, None, True)
 
 
-@query(f"with {OUTCOMES} select seed_id, string_agg(distinct root, ',' order by root) as accepted from oc where collect and root in (select concat('root', s_suppkey % 97, '.com') from supplier where s_suppkey % 4 = 0) group by seed_id")
+@query(f"with {OUTCOMES} select seed_id, string_agg(distinct root, ',' order by root) as accepted from oc where collect and root in (select concat('root', s_nationkey * 3 % 97, '.com') from supplier) group by seed_id")
 def accepted_roots(spark, sf_dir):
     """Roots of each seed that were collected and are known."""
-    known = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 = 0").select(F.concat(F.lit("root"), (F.col("s_suppkey") % 97).cast("string"), F.lit(".com")).alias("root")).distinct()
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("root"), (F.col("s_nationkey") * 3 % 97).cast("string"), F.lit(".com")).alias("root")).distinct()
     return frontier.accepted_roots(ad.outcomes(spark, sf_dir), known)
 
 
 @query(f"""with dc as ({ORACLE_SQL['discarded_candidates']}), ar as ({ORACLE_SQL['accepted_roots']}), f as (select concat('root', p_partkey % 60, '.com') as root, count(*) as assets from part group by 1),
- d as (select seed_id, root, (explicit % 2 = 0) as collect, implicit / 4.0 as confidence from dc where explicit % 3 <> 0)
+ d as (select seed_id, root, case when explicit % 3 <> 0 then explicit % 2 = 0 end as collect, implicit / 4.0 as confidence from dc)
  select dc.seed_id, dc.root, concat_ws('; ', case when collectors <> '' then concat('Collectors: ', collectors) end, case when assets is not null then concat('Observed assets: ', assets) end, case when accepted is not null then concat('Accepted roots: ', accepted) end) as evidence,
  coalesce(collect and confidence >= 0.5, false) as promoted, case when coalesce(collect and confidence >= 0.5, false) then 'reconsidered' end as tag from dc left join f on f.root = dc.root left join ar on ar.seed_id = dc.seed_id left join d on d.seed_id = dc.seed_id and d.root = dc.root""")
 def reconsider_discards(spark, sf_dir):
     """Discarded candidates looked at again."""
     dc = base.discarded_candidates(spark, sf_dir)
     facts = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("root"), (F.col("p_partkey") % 60).cast("string"), F.lit(".com")).alias("root")).agg(F.count("*").alias("assets"))
-    decisions = dc.filter("explicit % 3 <> 0").select("seed_id", "root", (F.col("explicit") % 2 == 0).alias("collect"), (F.col("implicit") / 4.0).alias("confidence"))
+    decisions = dc.select("seed_id", "root", F.when(F.col("explicit") % 3 != 0, F.col("explicit") % 2 == 0).alias("collect"), (F.col("implicit") / 4.0).alias("confidence"))
     return frontier.reconsider(dc, facts, accepted_roots(spark, sf_dir), decisions)
 
 
-@query(f"""with rq as ({ORACLE_SQL['review_queue']}), q as (select opened_by as run_id, root, status from rq), d as (select concat('root', s_suppkey % 97, '.com') as root, bool_or(s_suppkey % 2 = 0) as collect from supplier where s_suppkey % 3 <> 0 group by 1),
+@query(f"""with rq as ({ORACLE_SQL['review_queue']}), q as (select opened_by as run_id, root, status from rq), d as (select concat('root', s_nationkey * 3 % 97, '.com') as root, bool_or(s_nationkey % 2 = 0) as collect from supplier group by 1),
  r as (select run_id, q.root, case when status <> 'pending_review' then status when collect then 'scheduled' when not collect then 'rejected' else 'pending_review' end as state from q left join d on d.root = q.root) select *, bool_or(state = 'pending_review') over (partition by run_id) as blocked from r""")
 def review_resume(spark, sf_dir):
     """Reviews after decisions, and whether their run still waits."""
-    k = F.col("s_suppkey")
-    d = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 <> 0").groupBy(F.concat(F.lit("root"), (k % 97).cast("string"), F.lit(".com")).alias("root")).agg(F.bool_or(k % 2 == 0).alias("collect"))
+    k = F.col("s_nationkey")
+    d = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("root"), (k * 3 % 97).cast("string"), F.lit(".com")).alias("root")).agg(F.bool_or(k % 2 == 0).alias("collect"))
     return frontier.resume_reviews(base.review_queue(spark, sf_dir).select(F.col("opened_by").alias("run_id"), "root", "status"), d)
 
 
@@ -200,14 +200,14 @@ def rank_candidates(spark, sf_dir):
     return readmodel.rank_candidates(reports.outbound_roots(spark, sf_dir).select("seed_id", "root", "links", "referrers"))
 
 
-@query("select coalesce(n.k, e.k) as k, coalesce(n.v, e.v) as v from (select o_orderkey as k, o_orderstatus as v from orders where o_orderkey % 2 = 0) e full join (select o_orderkey as k, concat('new ', o_orderpriority) as v from orders where o_orderkey % 3 = 0) n on n.k = e.k")
+@query("select coalesce(n.k, e.k) as k, coalesce(n.v, e.v) as v from (select o_orderkey as k, o_orderstatus as v from orders) e full join (select l_partkey as k, concat('new ', max(l_returnflag)) as v from lineitem group by 1) n on n.k = e.k")
 def upsert_read_model(spark, sf_dir):
     """A read model's version after an upsert, saved as a snapshot and loaded again."""
     o, path = table(spark, sf_dir, "orders"), folder(spark)
     k = F.col("o_orderkey").alias("k")
-    existing = o.filter("o_orderkey % 2 = 0").select(k, F.col("o_orderstatus").alias("v"))
+    existing = o.select(k, F.col("o_orderstatus").alias("v"))
     snapshots.save_snapshot(spark, path, 1, {"model": existing})
-    now = readmodel.upsert(snapshots.load_snapshot(spark, path)["model"], o.filter("o_orderkey % 3 = 0").select(k, F.concat(F.lit("new "), "o_orderpriority").alias("v")), "k")
+    now = readmodel.upsert(snapshots.load_snapshot(spark, path)["model"], table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.concat(F.lit("new "), F.max("l_returnflag")).alias("v")), "k")
     snapshots.save_snapshot(spark, path, 2, {"model": now})
     return snapshots.load_snapshot(spark, path)["model"]
 

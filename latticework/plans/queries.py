@@ -163,10 +163,10 @@ def roots_for_seed(spark, sf_dir):
     return judged.roots_for_seed(ad.outcomes(spark, sf_dir))
 
 
-@query(f"with {OUTCOMES}, known as (select distinct concat('root', s_suppkey % 97, '.com') as root from supplier where s_suppkey % 5 = 0) select seed_id, root, string_agg(distinct collector, ',' order by collector) as collectors, string_agg(distinct scenario, ',' order by scenario) as scenarios, count(*) filter (where explicit) as explicit, count(*) filter (where not explicit) as implicit from oc a where not collect and not exists (select 1 from oc b where b.collect and a.seed_id = b.seed_id and a.root = b.root) and root not in (select root from known) group by seed_id, root")
+@query(f"with {OUTCOMES}, known as (select distinct concat('root', s_nationkey * 3 % 97, '.com') as root from supplier) select seed_id, root, string_agg(distinct collector, ',' order by collector) as collectors, string_agg(distinct scenario, ',' order by scenario) as scenarios, count(*) filter (where explicit) as explicit, count(*) filter (where not explicit) as implicit from oc a where not collect and not exists (select 1 from oc b where b.collect and a.seed_id = b.seed_id and a.root = b.root) and root not in (select root from known) group by seed_id, root")
 def discarded_candidates(spark, sf_dir):
     """Roots that no decision collected and that are not known."""
-    known = table(spark, sf_dir, "supplier").filter("s_suppkey % 5 = 0").select(F.concat(F.lit("root"), (F.col("s_suppkey") % 97).cast("string"), F.lit(".com")).alias("root")).distinct()
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("root"), (F.col("s_nationkey") * 3 % 97).cast("string"), F.lit(".com")).alias("root")).distinct()
     return judged.discarded_candidates(ad.outcomes(spark, sf_dir), known)
 
 

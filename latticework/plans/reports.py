@@ -186,10 +186,10 @@ def merge_evidence(spark, sf_dir):
     return judged.merge_evidence(rows)
 
 
-@query(f"with {OUTCOMES}, c as (select distinct seed_id, root from oc where collect and confidence >= 0.5), d as (select concat('root', s_suppkey % 97, '.com') as root, bool_or(s_suppkey % 5 = 0) as collect from supplier where s_suppkey % 3 = 0 group by 1) select seed_id, c.root, case when collect then 'accepted' when not collect then 'rejected' else 'pending' end as decision from c left join d on c.root = d.root")
+@query(f"with {OUTCOMES}, c as (select distinct seed_id, root from oc where collect and confidence >= 0.5), d as (select concat('root', s_nationkey * 3 % 97, '.com') as root, bool_or(s_nationkey % 2 = 0) as collect from supplier group by 1) select seed_id, c.root, case when collect then 'accepted' when not collect then 'rejected' else 'pending' end as decision from c left join d on c.root = d.root")
 def promotion_gate(spark, sf_dir):
     """Candidates that pass the confidence gate, by the prior reviews of their roots."""
     found = ad.outcomes(spark, sf_dir).filter(judged.confidence_gate(F.col("collect"), F.col("confidence"))).select("seed_id", "root").distinct()
-    key = F.col("s_suppkey")
-    reviews = table(spark, sf_dir, "supplier").filter(key % 3 == 0).groupBy(F.concat(F.lit("root"), (key % 97).cast("string"), F.lit(".com")).alias("root")).agg(F.bool_or(key % 5 == 0).alias("collect"))
+    key = F.col("s_nationkey")
+    reviews = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("root"), (key * 3 % 97).cast("string"), F.lit(".com")).alias("root")).agg(F.bool_or(key % 2 == 0).alias("collect"))
     return judged.promotion_gate(found, reviews)
