@@ -10,8 +10,8 @@ TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid"]
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without the white space around it (ASCII's, as patterns have it)."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def asset_key(identifier: Column) -> Column:

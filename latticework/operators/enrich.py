@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.functions.keys import trimmed
+from latticework.functions.keys import trimmed, truncated
 from latticework.operators.graph import ip_in_cidr
 
 #: Roots that many owners share, never candidates.
@@ -149,12 +149,11 @@ def assets_of_seed(assets: DataFrame, contributed: DataFrame, seed_roots: DataFr
 
 
 def search_edges(candidates: DataFrame, queries: DataFrame, focus: DataFrame, decisions: DataFrame, longest: int = 320) -> DataFrame:
-    """Edges from the root searched for (seed_id, focus) to accepted candidates (seed_id, root, summary), with the first query (seed_id, pos, query) and the summary as reason."""
+    """Edges from the root searched for (seed_id, focus) to accepted candidates (seed_id, root, summary), with the first query (seed_id, pos, query) and the summary as reason, at most ``longest`` bytes of it."""
     first = queries.groupBy("seed_id").agg(F.min_by("query", "pos").alias("query"))
     rows = candidates.join(decisions.filter("collect").select("seed_id", "root"), ["seed_id", "root"], "left_semi").join(focus, "seed_id").join(first, "seed_id", "left")
     reason = F.concat_ws(": ", "query", "summary")
-    cut = F.when(F.length(reason) > longest, F.concat(F.substring(reason, 1, longest), F.lit("..."))).otherwise(reason)
-    return rows.select("seed_id", F.col("focus").alias("from_identifier"), F.col("root").alias("to_identifier"), F.lit("search_result").alias("kind"), cut.alias("reason"))
+    return rows.select("seed_id", F.col("focus").alias("from_identifier"), F.col("root").alias("to_identifier"), F.lit("search_result").alias("kind"), truncated(reason, longest).alias("reason"))
 
 
 def registration_assets(frontier: DataFrame, registrations: DataFrame) -> DataFrame:

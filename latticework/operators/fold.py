@@ -60,13 +60,15 @@ def fold_states(obs: DataFrame, by: list[str] | None = None) -> DataFrame:
     with an explicit reason, ``rank1`` and so on the first of at least that ownership: only these can have given the reason. ``by``: further
     columns that split a key's state, which ``merge_states`` takes together again.
     """
-    found, own, given = F.col("kind") == "discovery", state_rank(F.col("ownership_state")), explicit(F.col("inclusion_reason"))
-    reason, source = trimmed(F.col("inclusion_reason")), F.lower(trimmed(F.col("source")))
+    rows = obs.select(
+        "type", asset_key(F.col("identifier")).alias("asset_key"), *(by or []), "seq", "id", "enumeration_id", "source", "seen_us", (F.col("kind") == "discovery").alias("found"),
+        state_rank(F.col("ownership_state")).alias("own"), explicit(F.col("inclusion_reason")).alias("given"), trimmed(F.col("inclusion_reason")).alias("reason"), F.lower(trimmed(F.col("source"))).alias("low"))
+    found, own, given, reason, source = (F.col(c) for c in ("found", "own", "given", "reason", "low"))
     fit = F.struct("seq", reason.alias("reason"), (found & given).alias("fit"))
-    return obs.groupBy("type", asset_key(F.col("identifier")).alias("asset_key"), *(by or [])).agg(
+    return rows.groupBy("type", "asset_key", *(by or [])).agg(
         F.min_by(F.struct("seq", "id", "enumeration_id", "source", own.alias("own"), given.alias("given"), reason.alias("reason"), found.alias("found")), "seq").alias("first"),
         F.min("seen_us").alias("first_seen_us"), F.max(own).alias("top"), F.count("*").alias("observations"), F.count_if(found).alias("n_found"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(found, source_parts(F.col("source")))))).alias("parts"), F.collect_set(F.when(found & (source != ""), source)).alias("whole"),
+        F.array_distinct(F.flatten(F.transform(F.collect_set(F.when(found, F.col("source"))), source_parts))).alias("parts"), F.collect_set(F.when(found & (source != ""), source)).alias("whole"),
         F.min_by(fit, F.when(found & given, F.col("seq"))).alias("fit"), *(F.min_by(fit, F.when(own >= r, F.col("seq"))).alias(f"rank{r}") for r in range(1, len(STATES))),
     )
 

@@ -20,6 +20,39 @@ def merged_outcomes(outcomes: DataFrame, by: list[str] = GROUP) -> DataFrame:
     )
 
 
+def first_spellings(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+    """Distinct values of each group, whatever their case: (by, spelled, at), spelled as they came first; blank ones don't count."""
+    told = rows.withColumn("spelled", F.trim(value)).filter("spelled <> ''")
+    return told.groupBy(*by, F.lower("spelled").alias("low")).agg(F.min_by("spelled", F.struct(order, "spelled")).alias("spelled"), F.min(order).alias("at")).drop("low")
+
+
+def judged_candidates(outcomes: DataFrame, by: list[str]) -> DataFrame:
+    """One row per group and root: as ``merged_outcomes``, with the reason (of the last that collected and gave one, else the first given) and the
+    support of all its outcomes, sorted. ``outcomes`` has reason and support (an array) too."""
+    whole = [*by, "root"]
+    given = F.col("reason") != ""
+    reason = F.coalesce(F.max_by("reason", F.when(F.col("collect") & given, F.col("eval_seq"))), F.min_by("reason", F.when(given, F.col("eval_seq"))), F.lit(""))
+    told = outcomes.filter("root <> ''")
+    support = first_spellings(told.select(*whole, "eval_seq", F.explode("support").alias("s")), whole, "s", "eval_seq").groupBy(*whole).agg(F.array_join(F.array_sort(F.collect_list("spelled")), ", ").alias("support"))
+    rows = merged_outcomes(told, by).join(told.groupBy(*whole).agg(reason.alias("reason")), whole).join(support, whole, "left")
+    return rows.withColumn("support", F.coalesce("support", F.lit("")))
+
+
+def discarded_details(outcomes: DataFrame, known: DataFrame) -> DataFrame:
+    """``discarded_candidates`` with the distinct reasons and support of their outcomes, in the order in which they came."""
+    by = ["seed_id", "root"]
+    kept = discarded_candidates(outcomes, known)
+    mine = outcomes.filter("not collect").join(kept.select(*by), by, "left_semi")
+    def joined(rows: DataFrame, name: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct("at", "spelled")))
+        return first_spellings(rows, by, "v", "at_").groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x["spelled"]), "; ").alias(name))
+
+    reasons = joined(mine.select(*by, F.struct("eval_seq", F.lit(0).alias("pos")).alias("at_"), F.col("reason").alias("v")), "reasons")
+    support = joined(mine.select(*by, "eval_seq", F.posexplode("support").alias("pos", "v")).select(*by, F.struct("eval_seq", "pos").alias("at_"), "v"), "support")
+    rows = kept.join(reasons, by, "left").join(support, by, "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("reasons", "support")})
+
+
 def judge_summary(outcomes: DataFrame) -> DataFrame:
     """Per collector, seed and scenario the accepted and discarded roots, sorted."""
     roots = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.col("root")))), ",")

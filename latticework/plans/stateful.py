@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from latticework.functions import keys
-from latticework.operators import crawl, exclusions
+from latticework.operators import crawl, exclusions, judged
 from latticework.operators.enrich import SHARED_ROOTS
 from latticework.operators.stored_fold import AssetStore
 from latticework.operators.waves import Waves
@@ -184,3 +184,38 @@ def anti_known_all(spark, sf_dir):
         lines.select(seed("l_orderkey").alias("seed_id"), root.alias("root")).distinct(), s.select(seed("s_suppkey").alias("seed_id"), name(F.col("s_suppkey")).alias("root")),
         c.filter("c_acctbal < 0").select(seed("c_custkey").alias("seed_id"), name(F.col("c_custkey") * 7).alias("root")), judged.filter("collect"), judged.filter("not collect"),
         table(spark, sf_dir, "nation").select(name(F.col("n_nationkey") * 13).alias("root")), SHARED_ROOTS)
+
+
+#: Outcomes with the seed's label and domains, a reason and support, both of which come in several spellings or are missing.
+_TOLD = f"""{OUTCOMES}, od as (select oc.*, concat('Label ', seed_id) as label, concat(replace(seed_id, 'seed-', 'org'), '.com') as domains, case eval_seq // 200000000 % 4 when 0 then '' when 1 then 'Same registrant' when 2 then 'same Registrant' else concat('Links to ', scenario) end as reason,
+ [case when eval_seq // 200000000 % 2 = 0 then concat('Page ', eval_seq // 200000000 % 5) else concat('page ', eval_seq // 200000000 % 5, ' ') end, case when explicit then 'Certificate' else '' end] as support from oc)"""
+
+
+def _told(spark, sf_dir):
+    n, oc = F.floor(F.col("eval_seq") / 200000000), ad.outcomes(spark, sf_dir)
+    num = lambda c: c.cast("string")
+    page = F.when(n % 2 == 0, F.concat(F.lit("Page "), num(n % 5))).otherwise(F.concat(F.lit("page "), num(n % 5), F.lit(" ")))
+    return oc.withColumns({
+        "label": F.concat(F.lit("Label "), "seed_id"), "domains": F.concat(F.replace("seed_id", F.lit("seed-"), F.lit("org")), F.lit(".com")),
+        "reason": F.when(n % 4 == 0, "").when(n % 4 == 1, "Same registrant").when(n % 4 == 2, "same Registrant").otherwise(F.concat(F.lit("Links to "), "scenario")),
+        "support": F.array(page, F.when(F.col("explicit"), "Certificate").otherwise(""))})
+
+
+@query(f"""with {_TOLD}, g as (select collector, seed_id, label, domains, scenario, root, bool_or(collect) as collect, max(confidence) as confidence, bool_or(explicit) as explicit,
+  coalesce(arg_max(kind, eval_seq) filter (where collect and kind <> ''), arg_min(kind, eval_seq) filter (where kind <> '')) as kind, coalesce(arg_max(reason, eval_seq) filter (where collect and reason <> ''), arg_min(reason, eval_seq) filter (where reason <> ''), '') as reason from od group by all),
+ s as (select collector, seed_id, label, domains, scenario, root, lower(trim(v)) as low, arg_min(trim(v), (eval_seq, trim(v))) as spelled from (select *, unnest(support) as v from od) where trim(v) <> '' group by all),
+ t as (select collector, seed_id, label, domains, scenario, root, string_agg(spelled, ', ' order by spelled) as support from s group by all)
+ select g.*, coalesce(t.support, '') as support from g left join t using (collector, seed_id, label, domains, scenario, root)""")
+def judged_candidates(spark, sf_dir):
+    """Each group's candidates with reason and support."""
+    return judged.judged_candidates(_told(spark, sf_dir), ["collector", "seed_id", "label", "domains", "scenario"])
+
+
+@query(f"""with {_TOLD}, dc as ({ORACLE_SQL['discarded_candidates']}), m as (select od.* from od where not collect and (seed_id, root) in (select (seed_id, root) from dc)),
+ v as (select seed_id, root, 'r' as w, eval_seq, 0 as pos, reason as x from m union all select seed_id, root, 's', eval_seq, unnest([0, 1]), unnest(support) from m),
+ f as (select seed_id, root, w, lower(trim(x)) as low, arg_min(trim(x), (eval_seq, pos, trim(x))) as spelled, min((eval_seq, pos)) as first from v where trim(x) <> '' group by all)
+ select dc.*, coalesce((select string_agg(spelled, '; ' order by first) from f where f.seed_id = dc.seed_id and f.root = dc.root and w = 'r'), '') as reasons, coalesce((select string_agg(spelled, '; ' order by first) from f where f.seed_id = dc.seed_id and f.root = dc.root and w = 's'), '') as support from dc""")
+def discarded_details(spark, sf_dir):
+    """Discarded candidates with the reasons and support of their outcomes."""
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("root"), (F.col("s_nationkey") * 3 % 97).cast("string"), F.lit(".com")).alias("root")).distinct()
+    return judged.discarded_details(_told(spark, sf_dir), known)

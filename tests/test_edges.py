@@ -61,3 +61,12 @@ def test_broken_snapshot(spark, tmp_path):
     snapshots.save_snapshot(spark, path, 1, {"t": one})
     spark.range(9).write.parquet(f"{path}/v=2/t")  # a version that broke off before its pointer
     assert snapshots.load_snapshot(spark, path)["t"].count() == 3
+
+
+def test_search_reasons_are_cut_by_bytes(spark):
+    make = spark.createDataFrame
+    long = "é" * 200  # 400 bytes
+    got = enrich.search_edges(make([("s", "r.com", long), ("s", "q.com", "short")], "seed_id string, root string, summary string"), make([("s", 1, "who"), ("s", 2, "what")], "seed_id string, pos int, query string"),
+                              make([("s", "f.com")], "seed_id string, focus string"), make([("s", "r.com", True), ("s", "q.com", True)], "seed_id string, root string, collect boolean"))
+    reasons = {r.to_identifier: r.reason for r in got.collect()}
+    assert reasons == {"r.com": "who: " + "é" * 157 + "...", "q.com": "who: short"}
