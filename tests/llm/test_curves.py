@@ -87,3 +87,28 @@ def test_small_tables_are_exact(spark, scale):
 def test_few_rows_and_one_id_with_two_vectors(spark):
     got = sorted(map(tuple, curves.search(_frame(spark, [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (3, [0.5, 0.0])])).collect()))
     assert got == [(0, 1, 1, 1.0), (0, 1, 1, 2.0), (0, 2, 3, 0.0), (0, 2, 3, 0.5)]
+
+
+@pytest.mark.parametrize("n, probes", [(6000, 1), (2500, 32)])
+def test_probes_are_added_until_the_recall_suffices(spark, n, probes):
+    """The query's settings on vectors of independent components; with one probe to begin with, more are added. The recall is measured here against brute force of all queries."""
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 24)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>").repartition(4)
+    rows, told, used = curves.search_to(df, curves=8, probes=probes, spread=0.25, window=50)
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    x, hits = v.astype(float), []
+    for i in range(0, n, 20):
+        s = x @ x[i]
+        s[i] = -9
+        hits.append(len(found[i] & set(np.lexsort((np.arange(n), -s))[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9 and told >= 0.92 and abs(told - np.mean(hits)) < 0.05
+    assert used > 1 if probes == 1 else used >= probes
+
+
+def test_search_to_without_queries_or_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (3, None)], "vec_id bigint, embedding array<float>")
+    assert curves.search_to(df)[0].collect() == [] and curves.search_to(df.limit(0))[0].collect() == []
