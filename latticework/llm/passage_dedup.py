@@ -255,9 +255,9 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
     first one of several with itself. near: whether what stands before or after is equal too.
 
     Rows are dealt by ranges of (seed, place), so that a seed that very many rows hold lies in several tasks, which follow one
-    another. In each the first one there stands for the first of all; it is itself matched with that, and with the one
-    before it, by what the tasks tell of the seeds they begin and end with: two rows for each task, which meet in the driver. Also
-    returns the stored table that the matches come from, for its removal.
+    another. What the tasks tell of the seeds they begin and end with, two rows for each task, meets in the driver: which task's
+    first seed began before it, with what place, and what came last before it. Matches with the first one there of such a seed are turned to the first of all by a
+    join on the task, so the result doesn't depend on the ranges. Also returns the stored table that the matches come from, for its removal.
     """
     match = [*PLACE[:3], *(f"{c}2" for c in PLACE[:3]), "near"]
     schema = "d bigint, k bigint, pos int, d2 bigint, k2 bigint, pos2 int, near boolean, seed bigint, side int, side2 int, part int, n bigint"
@@ -265,10 +265,12 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in schema.split(", ")]
 
-        def out(place: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+        def out(place: list[np.ndarray], one: np.ndarray, two: np.ndarray, head: bool = False, second: bool = False) -> pa.RecordBatch:
+            """Matches; those with the first one of the ``head`` seed tell their task and what stands beside them. ``second``: a match with the one before, which is the first
+            one here, so it only counts where another task has the first of all."""
             differ = place[3][one] ^ place[3][two]
             near, none = pa.array((differ & 0xFFFF == 0) | (differ >> 16 == 0)), lambda t: pa.nulls(len(one), t)
-            return pa.RecordBatch.from_arrays([*(pa.array(c[one]) for c in place[:3]), *(pa.array(c[two]) for c in place[:3]), near, none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([*(pa.array(c[one]) for c in place[:3]), *(pa.array(c[two]) for c in place[:3]), near, none(pa.int64()), pa.array(place[3][one]), none(pa.int32()), pa.array(np.full(len(one), TaskContext.get().partitionId(), np.int32)) if head else none(pa.int32()), pa.array(np.ones(len(one), np.int64)) if second else none(pa.int64())], names=names)
 
         def edge(place: list[np.ndarray], seed: np.ndarray, n: int) -> pa.RecordBatch:
             """The first and last place of a seed here; ``n``: its rows here, 0 for the seed that the task begins with."""
@@ -290,20 +292,25 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
             cols = [c[fresh] for c in cols]
             seed, place = cols[0], cols[1:]
             if not started:
-                started = True
+                started, head = True, seed[0]
                 yield edge([c[:1] for c in place], seed[:1], 0)
             at = np.arange(len(seed))
             new = np.ones(len(seed), bool)
             new[1:] = seed[1:] != seed[:-1]
             first = np.maximum.accumulate(np.where(new, at, 0))
             later = at[(at > first) & (at >= old)]
-            one, two = [later], [first[later]]
+            one, two, more = later, first[later], later[:0]
             if both:
                 more, begin = later[later - 1 > first[later]], first[later[later - 1 == first[later]]]
-                one, two = [*one, more, begin], [*two, more - 1, begin]
-            one, two = np.concatenate(one), np.concatenate(two)
-            if len(one):
-                yield out(place, one, two)
+                one, two = np.concatenate([one, begin]), np.concatenate([two, begin])
+            of_head = seed[one] == head
+            kinds = [(one[~of_head], two[~of_head], False, False), (one[of_head], two[of_head], True, False), (more, more - 1, False, False)]
+            if both:
+                second = later[(later - 1 == first[later]) & (seed[later] == head)]
+                kinds.append((second, second - 1, True, True))
+            for x, y, h, only in kinds:
+                if len(x):
+                    yield out(place, x, y, h, only)
             tail = len(seed) - max(first[-1], old)
             count = tail if first[-1] >= old else count + tail
             carry = [c[np.unique([first[-1], at[-1]])] for c in cols]
@@ -314,17 +321,31 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
     rows = stored(rows.select(*order), "occurrences")  # the ranges are settled on it
     steps = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "steps")
     remove(rows)
-    edges = steps.filter("part is not null").select("part", "seed", "n", F.struct(*PLACE).alias("a"), F.struct(*(f"{c}2" for c in PLACE)).alias("z")).collect()
+    edges = steps.filter("seed is not null").select("part", "seed", "n", F.struct(*PLACE).alias("a"), F.struct(*(f"{c}2" for c in PLACE)).alias("z")).collect()
+    ended: dict[int, list] = {}
+    for e in sorted((e for e in edges if e.n), key=lambda e: e.part):
+        ended.setdefault(e.seed, []).append(e)
     pairs: set[tuple] = set()
+    firsts: list[tuple] = []
     for head in (e for e in edges if not e.n):
-        before = sorted((e for e in edges if e.n and e.seed == head.seed and e.part < head.part), key=lambda e: e.part)
+        before = ended.get(head.seed, [])
+        before = before[: bisect_right(before, head.part - 1, key=lambda e: e.part)]
         if before:
             a, h, z = tuple(before[0].a), tuple(head.a), tuple(before[-1].z)
-            pairs |= {(h, a), (h, z), (a, a), (h, h)} if both else {(h, a)}
+            pairs |= {(h, a), (h, z), (a, a)} if both else {(h, a)}
+            firsts.append((head.part, *a))
     same = lambda x, y: (x ^ y) & 0xFFFF == 0 or (x ^ y) >> 16 == 0
     told = [(*h[:3], *a[:3], same(h[3], a[3])) for h, a in sorted(pairs)]
-    ends = steps.sparkSession.createDataFrame(told, "d bigint, k bigint, pos int, d2 bigint, k2 bigint, pos2 int, near boolean")
-    return steps.filter("part is null").select(*match).union(ends), steps
+    make = steps.sparkSession.createDataFrame
+    ends = make(told, "d bigint, k bigint, pos int, d2 bigint, k2 bigint, pos2 int, near boolean")
+    true = make(firsts, "part int, td bigint, tk bigint, tpos int, tside int")  # a row a task at most
+    local = steps.filter("part is not null and seed is null").join(F.broadcast(true), "part", "left")
+    own = (F.col("d") == F.col("d2")) & (F.col("k") == F.col("k2")) & (F.col("pos") == F.col("pos2"))
+    differ = F.col("side").bitwiseXOR(F.col("tside"))
+    near = F.when(F.col("td").isNull(), F.col("near")).otherwise((differ.bitwiseAND(F.lit(0xFFFF)) == 0) | (F.shiftright(differ, 16) == 0))
+    before = local.filter("n is not null and td is not null").select(*match)
+    local = local.filter("n is null").filter(F.col("td").isNull() | ~own).select("d", "k", "pos", F.coalesce("td", "d2").alias("d2"), F.coalesce("tk", "k2").alias("k2"), F.coalesce("tpos", "pos2").alias("pos2"), near.alias("near"))
+    return steps.filter("part is null").select(*match).union(local).union(before).union(ends), steps
 
 
 def _ranges(ends: list[tuple[int, int]], seed: int) -> list[tuple[int, int]]:

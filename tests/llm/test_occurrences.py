@@ -7,7 +7,7 @@ import pytest
 from latticework.llm import passage_dedup as P
 
 
-@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize("parts", [1, 3, 7, 16])
 def test_each_occurrence_meets_an_earlier_one(spark, parts):
     rng = random.Random(parts)
     rows = list({(rng.choice([1, 1, 1, 1, 2, 2, rng.randrange(3, 400)]), rng.randrange(40), rng.randrange(2), rng.randrange(60)) for _ in range(3000)})
@@ -24,23 +24,32 @@ def test_each_occurrence_meets_an_earlier_one(spark, parts):
     places = {}
     for s, *place in sorted(rows):
         places.setdefault(s, []).append(tuple(place))
-    links = {(a, b) for a, b, _ in got[True] if a != b}
-    single = {(a, b) for a, b, _ in got[False]}
-    for own in places.values():
-        if len(own) == 1:
-            continue
-        assert all((p, p) in {(a, b) for a, b, _ in got[True]} for p in own[:1])
-        first = {p: [b for a, b in single if a == p and b in own and b < p] for p in own}
-        assert not [b for a, b in single if a == own[0] and b in own and b >= a]
-        for prev, p in zip(own, own[1:], strict=False):
-            assert (p, prev) in links or own[0] == prev and (p, own[0]) in links  # the one before
-            at = p
-            while at != own[0]:  # each leads to the first of all, over at most one other
-                assert first[at]
-                at = min(first[at])
-    if parts == 1:
-        want = {(p, own[0]) for own in places.values() for p in own[1:]}
-        assert single == want
+    several = [own for own in places.values() if len(own) > 1]
+    first = {(p, own[0]) for own in several for p in own[1:]}
+    assert {(a, b) for a, b, _ in got[False]} == first
+    before = {(p, prev) for own in several for prev, p in zip(own, own[1:], strict=False)}
+    assert {(a, b) for a, b, _ in got[True]} == first | before | {(own[0], own[0]) for own in several}
     flags = {(r[1:], side(r)) for r in rows}
     sides = dict(flags)
     assert all(near == ((sides[a] ^ sides[b]) & 0xFFFF == 0 or (sides[a] ^ sides[b]) >> 16 == 0) for a, b, near in got[True])
+
+
+def test_removed_words_do_not_depend_on_partitions(spark):
+    """Texts that share a passage with random edits: same result in 1, 3, 8 and 16 partitions."""
+    rng = random.Random(6)
+    passage = [f"w{rng.randrange(900)}" for _ in range(120)]
+    texts = []
+    for _ in range(90):
+        own = [f"x{rng.randrange(9000)}" if rng.random() < 0.06 else w for w in passage]
+        texts.append(" ".join([f"p{rng.randrange(9000)}" for _ in range(30)] + own + [f"q{rng.randrange(9000)}" for _ in range(20)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    parts, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for n in (1, 3, 8, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted(map(tuple, P.dedup_passages(docs).select("doc_id", "text", "n_removed").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r[2] for r in results[0]) > 1000 and all(r == results[0] for r in results[1:])
