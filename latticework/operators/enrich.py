@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.keys import trimmed, truncated
-from latticework.operators.graph import ip_in_cidr
+from latticework.operators.graph import addresses_in_prefixes, ip_in_cidr
 
 #: Roots that many owners share, never candidates.
 SHARED_ROOTS = [
@@ -57,6 +57,25 @@ def enrich_domains(domains: DataFrame, records: DataFrame, registrations: DataFr
     return rows.select("domain", F.when(ask, F.col("records")).alias("records"), F.when(ask & (F.col("domain") == F.col("root")), F.col("registrant_org")).alias("registrant_org"), done.alias("stage"))
 
 
+def enrich_ips(ips: DataFrame, pointers: DataFrame, origins: DataFrame) -> DataFrame:
+    """Addresses (ip, stage) with what captured lookups tell, looked up only where the stage asks for it.
+
+    ``pointers`` (ip, ptr, pos): the first name counts, without its last dot. ``origins`` (cidr, asn, organization): that of the longest prefix that holds the address, of
+    equally long ones the smallest cidr. Gives ptr, asn, organization, cidr, and the stage: cached where nothing was asked, completed where any lookup had an
+    answer, else retryable. What is no address is in no prefix.
+    """
+    ask = needs_enrichment(F.col("stage"))
+    names = pointers.groupBy("ip").agg(F.regexp_replace(F.min_by("ptr", "pos"), r"\.$", "").alias("ptr"))
+    length = F.try_element_at(F.split("cidr", "/"), F.lit(2)).try_cast("int")
+    inside = addresses_in_prefixes(ips.filter(ask).select("ip"), origins.select("cidr"))
+    best = inside.groupBy("ip").agg(F.min_by("cidr", F.struct(-length, "cidr")).alias("cidr"))
+    origin = origins.groupBy("cidr").agg(F.min(F.struct("asn", "organization")).alias("o"))
+    rows = ips.join(names, "ip", "left").join(best.join(origin, "cidr"), "ip", "left")
+    shown = lambda c, out: F.when(ask, F.col(c)).alias(out)
+    done = F.when(~ask, "cached").when(F.col("ptr").isNotNull() | F.col("o").isNotNull(), "completed").otherwise("retryable")
+    return rows.select("ip", shown("ptr", "ptr"), shown("o.asn", "asn"), shown("o.organization", "organization"), shown("cidr", "cidr"), done.alias("stage"))
+
+
 def ip_ownership(ips: DataFrame, contributed: DataFrame, seed_roots: DataFrame, seed_asns: DataFrame, seed_prefixes: DataFrame) -> DataFrame:
     """Ownership of addresses (ip, ptr, ptr_root, asn) by the seeds that contributed them (ip, seed_id).
 

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from latticework.functions import keys
-from latticework.operators import crawl, exclusions, judged
+from latticework.operators import crawl, enrich, exclusions, judged
 from latticework.operators.enrich import SHARED_ROOTS
 from latticework.operators.stored_fold import AssetStore
 from latticework.operators.waves import Waves
@@ -18,7 +18,7 @@ from latticework.streaming.reviews import review_states
 
 from . import adapters as ad
 from . import expanded, queries
-from .adapters import OUTCOMES, table
+from .adapters import OBSERVATIONS, OUTCOMES, table
 from .expanded import EVIDENCE
 from .queries import ORACLE_SQL, query
 
@@ -219,3 +219,22 @@ def discarded_details(spark, sf_dir):
     """Discarded candidates with the reasons and support of their outcomes."""
     known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("root"), (F.col("s_nationkey") * 3 % 97).cast("string"), F.lit(".com")).alias("root")).distinct()
     return judged.discarded_details(_told(spark, sf_dir), known)
+
+
+@query(f"""with {OBSERVATIONS}, a as (select asset_key as ip, case max(seq) % 5 when 0 then 'completed' when 1 then 'retryable' when 2 then '' end as stage, max(seq) % 5 as m from o where type = 'ip' group by 1),
+ p as (select concat('203.0.113.', s_suppkey % 120) as ip, arg_min(concat('h', s_suppkey, '.org', s_nationkey, '.com'), s_suppkey) as ptr from supplier group by 1),
+ c as (select distinct concat('203.0.113.', c_nationkey * 8, '/', 29 + c_nationkey % 2) as cidr, (c_nationkey * 8)::int as lo, (c_nationkey * 8 + case when c_nationkey % 2 = 0 then 7 else 3 end)::int as hi, (64500 + c_nationkey)::int as asn, concat('Net ', c_nationkey) as organization from customer
+  union all select '203.0.113.0/25', 0, 127, 64000, 'Wide'),
+ h as (select a.ip, arg_min((c.cidr, c.asn, c.organization), (c.hi - c.lo, c.cidr)) as o from a join c on a.ip like '203.0.113.%' and split_part(a.ip, '.', 4)::int between lo and hi group by 1),
+ r as (select a.*, p.ptr, h.o, m in (1, 2, 3, 4) as ask from a left join p on p.ip = a.ip left join h on h.ip = a.ip)
+ select ip, case when ask then ptr end as ptr, case when ask then o[2] end as asn, case when ask then o[3] end as organization, case when ask then o[1] end as cidr, case when not ask then 'cached' when ptr is not null or o is not null then 'completed' else 'retryable' end as stage from r""")
+def enrich_ips(spark, sf_dir):
+    """Addresses with pointers and origins, where their stage asks for them."""
+    text, c, s = (lambda x: x.cast("string")), F.col("c_nationkey"), F.col("s_suppkey")
+    late = F.max("seq") % 5
+    stage = F.when(late == 0, "completed").when(late == 1, "retryable").when(late == 2, "")
+    ips = ad.observations(spark, sf_dir).filter("type = 'ip'").groupBy(keys.asset_key(F.col("identifier")).alias("ip")).agg(stage.alias("stage"))
+    pointers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("203.0.113."), text(s % 120)).alias("ip"), F.concat(F.lit("h"), text(s), F.lit(".org"), text(F.col("s_nationkey")), F.lit(".com.")).alias("ptr"), s.alias("pos"))
+    origins = table(spark, sf_dir, "customer").select(F.concat(F.lit("203.0.113."), text(c * 8), F.lit("/"), text(29 + c % 2)).alias("cidr"), (64500 + c).cast("int").alias("asn"), F.concat(F.lit("Net "), text(c)).alias("organization")).distinct()
+    origins = origins.union(spark.createDataFrame([("203.0.113.0/25", 64000, "Wide")], "cidr string, asn int, organization string"))
+    return enrich.enrich_ips(ips, pointers, origins)
