@@ -24,6 +24,7 @@ A null text stays null. Rows that repeat doc_id and text are one document and ge
 from __future__ import annotations
 
 import gc
+import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -257,7 +258,7 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
     Rows are dealt by ranges of (seed, place), so that a seed that very many rows hold lies in several tasks, which follow one
     another. What the tasks tell of the seeds they begin and end with, two rows for each task, meets in the driver: which task's
     first seed began before it, with what place, and what came last before it. Matches with the first one there of such a seed are turned to the first of all by a
-    join on the task, so the result doesn't depend on the ranges. Also returns the stored table that the matches come from, for its removal.
+    look-up of the task, so the result doesn't depend on the ranges. Also returns the stored table that the matches come from, for its removal.
     """
     match = [*PLACE[:3], *(f"{c}2" for c in PLACE[:3]), "near"]
     schema = "d bigint, k bigint, pos int, d2 bigint, k2 bigint, pos2 int, near boolean, seed bigint, side int, side2 int, part int, n bigint"
@@ -326,20 +327,22 @@ def _earlier(rows: DataFrame, both: bool) -> tuple[DataFrame, DataFrame]:
     for e in sorted((e for e in edges if e.n), key=lambda e: e.part):
         ended.setdefault(e.seed, []).append(e)
     pairs: set[tuple] = set()
-    firsts: list[tuple] = []
+    firsts: dict[int, dict] = {}
     for head in (e for e in edges if not e.n):
         before = ended.get(head.seed, [])
         before = before[: bisect_right(before, head.part - 1, key=lambda e: e.part)]
         if before:
             a, h, z = tuple(before[0].a), tuple(head.a), tuple(before[-1].z)
             pairs |= {(h, a), (h, z), (a, a)} if both else {(h, a)}
-            firsts.append((head.part, *a))
+            firsts[head.part] = dict(zip(("td", "tk", "tpos", "tside"), a, strict=True))
     same = lambda x, y: (x ^ y) & 0xFFFF == 0 or (x ^ y) >> 16 == 0
     told = [(*h[:3], *a[:3], same(h[3], a[3])) for h, a in sorted(pairs)]
     make = steps.sparkSession.createDataFrame
     ends = make(told, "d bigint, k bigint, pos int, d2 bigint, k2 bigint, pos2 int, near boolean")
-    true = make(firsts, "part int, td bigint, tk bigint, tpos int, tside int")  # a row a task at most
-    local = steps.filter("part is not null and seed is null").join(F.broadcast(true), "part", "left")
+    # by task: an array with an entry for each, that a row looks into by its task's number
+    listed = json.dumps([firsts.get(i) for i in range(max(firsts, default=-1) + 1)])
+    true = F.get(F.from_json(F.lit(listed), "array<struct<td: bigint, tk: bigint, tpos: int, tside: int>>"), F.col("part"))
+    local = steps.filter("part is not null and seed is null").withColumn("x", true).select("*", "x.*")
     own = (F.col("d") == F.col("d2")) & (F.col("k") == F.col("k2")) & (F.col("pos") == F.col("pos2"))
     differ = F.col("side").bitwiseXOR(F.col("tside"))
     near = F.when(F.col("td").isNull(), F.col("near")).otherwise((differ.bitwiseAND(F.lit(0xFFFF)) == 0) | (F.shiftright(differ, 16) == 0))
