@@ -64,7 +64,7 @@ def securitytxt_links(spark, sf_dir):
 @query(f"with {URL_SQL}, {ANCHORS} select page_id, trim(href) as raw, trim(txt) as text, count(*) as links from lk where trim(href) <> '' group by 1, 2, 3")
 def ownership_hint_links(spark, sf_dir):
     """Links that hint at an owner, those of a page that repeat counted."""
-    return records.ownership_hint_links(table(spark, sf_dir, "pages")).groupBy("page_id", "raw", "text").agg(F.count("*").alias("links"))
+    return records.ownership_hint_links(ad.pages(spark, sf_dir)).groupBy("page_id", "raw", "text").agg(F.count("*").alias("links"))
 
 
 SEARCHED = """l as (select l_orderkey as seed_id, l_partkey as p, min(l_suppkey) as s from lineitem where l_partkey % 6 <> 0 group by all),

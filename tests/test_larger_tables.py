@@ -3,6 +3,7 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from test_queries import SF, TABLES
 
 from latticework.plans.queries import ORACLE_SQL, QUERIES
@@ -27,3 +28,11 @@ def test_ownership_beyond_one_net(spark, tmp_path):
     users = pa.array([(i * 7) % 1500 for i in range(len(events))], events.schema.field("user_id").type)
     events = events.set_column(events.schema.get_field_index("user_id"), events.schema.field("user_id"), users)
     assert _differences(spark, tmp_path, "ip_ownership", events=events) == ([], [], 0)
+
+
+@pytest.mark.parametrize("name", ["page_links", "ownership_hint_links"])
+def test_cut_references_stay_as_they_are(spark, tmp_path, name):
+    page = lambda title, text: f'<html><head><title>{title}</title></head><body><a href="/a">{text}</a></body></html>'
+    told = [("a &amp; b &amp", "x &am"), ("c &quot;d &#39;", "y &lt; z &gt"), ("e && f &", "&amp;lt; w")]
+    pages = pa.table({"page_id": pa.array(range(3), pq.read_schema(f"{SF}/pages.parquet").field("page_id").type), "url": [f"https://h.org/{i}" for i in range(3)], "html": [page(*x) for x in told]})
+    assert _differences(spark, tmp_path, name, pages=pages) == ([], [], 0)
