@@ -68,11 +68,14 @@ def ip_in_cidr(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def addresses_in_prefixes(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Pairs (ip, cidr) of addresses of either kind inside prefixes (cidr): equality of their first bits, for the lengths that occur; what is no address or prefix takes no part."""
+    # each spelling is read once: the count and the array keep the optimizer from reading every row, and from reading it again for each use
+    once = lambda df, c: df.groupBy(c).agg(F.count("*").alias("rows"))
+    read = lambda c: F.explode(F.array_compact(F.array(F.when(F.col("rows") > 0, ip_bits(c))))).alias("bits")
     parts = F.split("cidr", "/")
-    p = prefixes.select("cidr", ip_bits(parts[0]).alias("bits"), F.get(parts, F.lit(1)).try_cast("int").alias("len")).filter("bits is not null and len between 0 and length(bits)")
-    p = p.select("cidr", F.length("bits").alias("width"), "len", F.substring("bits", F.lit(1), F.col("len")).alias("head")).distinct()
+    p = once(prefixes, "cidr").select("cidr", F.get(parts, F.lit(1)).try_cast("int").alias("len"), read(parts[0])).filter("len between 0 and length(bits)")
+    p = p.select("cidr", F.length("bits").alias("width"), "len", F.substring("bits", F.lit(1), F.col("len")).alias("head"))
     lens = p.select("width", "len").distinct()  # 162 at most
-    a = ips.select("ip", ip_bits(F.col("ip")).alias("bits")).filter("bits is not null").distinct()
+    a = once(ips, "ip").select("ip", read(F.col("ip")))
     a = a.join(F.broadcast(lens), F.length("bits") == F.col("width")).select("ip", "width", "len", F.substring("bits", F.lit(1), F.col("len")).alias("head"))
     return a.join(p, ["width", "len", "head"]).select("ip", "cidr")
 

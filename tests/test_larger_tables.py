@@ -1,11 +1,14 @@
 """Queries against their SQL on rows that the smallest tables lack, and plans that must not grow."""
 
+import re
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from test_queries import SF, TABLES
 
+from latticework.operators import graph
 from latticework.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -36,3 +39,26 @@ def test_cut_references_stay_as_they_are(spark, tmp_path, name):
     told = [("a &amp; b &amp", "x &am"), ("c &quot;d &#39;", "y &lt; z &gt"), ("e && f &", "&amp;lt; w")]
     pages = pa.table({"page_id": pa.array(range(3), pq.read_schema(f"{SF}/pages.parquet").field("page_id").type), "url": [f"https://h.org/{i}" for i in range(3)], "html": [page(*x) for x in told]})
     assert _differences(spark, tmp_path, name, pages=pages) == ([], [], 0)
+
+
+def _below(df, node, word):
+    """Lines of the optimized plan with ``word`` below a ``node``."""
+    out, depths = [], []
+    for line in re.split(r"\n(?=[ :]*[:+]- )", df._jdf.queryExecution().optimizedPlan().toString()):  # expressions hold line feeds
+        text = line.lstrip(" :+-")
+        depth = len(line) - len(text)
+        depths = [d for d in depths if d < depth]
+        if depths and word in text:
+            out.append(text)
+        if text.startswith(node):
+            depths.append(depth)
+    return out
+
+
+def test_each_address_is_read_once(spark):
+    """Bits are read of distinct spellings, not of every row; repeats, broken ones and nulls."""
+    ips = spark.createDataFrame([(x,) for x in ["10.0.0.1", "10.0.0.1", "::1", "x", None, "10.1.0.1"] * 3], "ip string")
+    cidrs = spark.createDataFrame([(x,) for x in ["10.0.0.0/16", "10.0.0.0/16", "::/64", "10.0.0.0/99", "y/8", None, "10.0.0.0"]], "cidr string")
+    got = graph.addresses_in_prefixes(ips, cidrs)
+    assert sorted(map(tuple, got.collect())) == [("10.0.0.1", "10.0.0.0/16"), ("::1", "::/64")]
+    assert not _below(got, "Aggregate [ip", "conv(") and not _below(got, "Aggregate [cidr", "conv(")
