@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from latticework.functions.keys import host_key, is_ip4, trimmed, url_host
+from latticework.functions.keys import host_key, is_ip4, once, trimmed, url_host
 
 #: Patterns of a host name with several labels, without and with underscores.
 HOST = r"^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?$"
@@ -36,16 +36,19 @@ def txt_domains(c: Column) -> Column:
 
 def resolve_url(base: Column, raw: Column) -> Column:
     """A link as an absolute http(s) URL without fragment and dot segments; null for other schemes and for fragments alone."""
-    r = F.regexp_replace(trimmed(raw), "#.*$", "")
     site, scheme = F.regexp_extract(base, r"^[A-Za-z]+://[^/?#]*", 0), F.regexp_extract(base, r"^([A-Za-z]+:)//", 1)
     path = F.regexp_extract(base, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
-    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
-    whole = (
+    folder = lambda p: F.when(p == "", "/").otherwise(F.regexp_replace(p, "[^/]*$", ""))
+    whole = lambda r: (
         F.when(r == "", None).when(r.rlike("(?i)^https?://[^/]"), r).when(r.startswith("//"), F.concat(scheme, r)).when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
-        .when(r.startswith("/"), F.concat(site, r)).when(r.startswith("?"), F.concat(site, F.when(path == "", "/").otherwise(path), r)).otherwise(F.concat(site, folder, r))
+        .when(r.startswith("/"), F.concat(site, r)).when(r.startswith("?"), F.concat(site, once(path, lambda p: F.when(p == "", "/").otherwise(p)), r)).otherwise(F.concat(site, once(path, folder), r))
     )
-    part = lambda n: F.regexp_extract(whole, r"^([A-Za-z]+://[^/?#]*)([^?#]*)(.*)$", n)
-    steps = F.split(F.regexp_replace(part(2), r"/(\.\.?)$", "/$1/"), "/")
     none = F.array().cast("array<string>")
-    kept = F.aggregate(steps, none, lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.array_append(a, x)))
-    return F.when(whole.isNotNull(), F.concat(part(1), F.array_join(kept, "/"), part(3)))
+
+    def walked(w: Column) -> Column:
+        part = lambda n: F.regexp_extract(w, r"^([A-Za-z]+://[^/?#]*)([^?#]*)(.*)$", n)
+        steps = F.split(F.regexp_replace(part(2), r"/(\.\.?)$", "/$1/"), "/")
+        kept = F.aggregate(steps, none, lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.array_append(a, x)))
+        return F.when(w.rlike(r"/\.\.?(/|$|[?#])|[\n\r\x{85}\x{2028}\x{2029}]"), F.concat(part(1), F.array_join(kept, "/"), part(3))).otherwise(F.when(w.isNotNull(), w))
+
+    return once(F.regexp_replace(trimmed(raw), "#.*$", ""), lambda r: once(whole(r), walked))

@@ -41,8 +41,9 @@ def announced_prefixes(bodies: DataFrame) -> DataFrame:
 
 def robots_sitemaps(bodies: DataFrame) -> DataFrame:
     """Sitemaps named in robots files (base, body); of spellings that differ in case of scheme and host the first stays."""
-    lines = bodies.select("base", F.posexplode(F.transform(F.split("body", r"\r?\n"), trimmed)).alias("pos", "line")).filter(F.col("line").rlike("(?i)^sitemap:"))
-    urls = lines.select("base", "pos", resolve_url(F.col("base"), F.regexp_replace("line", "(?i)^sitemap:", "")).alias("url")).filter("url is not null")
+    # each line is read once: outer explosions add no filters that would read it again
+    lines = bodies.select("base", F.posexplode_outer(F.filter(F.transform(F.split("body", r"\r?\n"), trimmed), lambda x: x.rlike("(?i)^sitemap:"))).alias("pos", "line"))
+    urls = lines.select("base", "pos", F.explode_outer(F.array(resolve_url(F.col("base"), F.regexp_replace("line", "(?i)^sitemap:", "")))).alias("url")).filter("url is not null")
     site = F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*", 0)
     return urls.groupBy("base", F.concat(F.lower(site), F.regexp_replace("url", "^[A-Za-z]+://[^/?#]*", "")).alias("k")).agg(F.min_by("url", "pos").alias("url")).select("base", "url")
 

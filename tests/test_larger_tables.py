@@ -10,6 +10,7 @@ from test_queries import SF, TABLES
 
 from latticework.operators import graph
 from latticework.plans.queries import ORACLE_SQL, QUERIES
+from latticework.sources import records
 
 
 def _differences(spark, at, name, **tables):
@@ -62,3 +63,10 @@ def test_each_address_is_read_once(spark):
     got = graph.addresses_in_prefixes(ips, cidrs)
     assert sorted(map(tuple, got.collect())) == [("10.0.0.1", "10.0.0.0/16"), ("::1", "::/64")]
     assert not _below(got, "Aggregate [ip", "conv(") and not _below(got, "Aggregate [cidr", "conv(")
+
+
+def test_each_sitemap_line_is_read_once(spark):
+    bodies = spark.createDataFrame([("https://o.com/a/robots.txt", "User-agent: *\r\n sitemap: /x/../M.xml#t\nSitemap: b.xml\nSITEMAP: HTTPS://O.com/a/b.xml\nsitemap:\nSitemap: mailto:x"), ("https://p.com/", None)], "base string, body string")
+    got = records.robots_sitemaps(bodies)
+    assert sorted(map(tuple, got.collect())) == [("https://o.com/a/robots.txt", "https://o.com/M.xml"), ("https://o.com/a/robots.txt", "https://o.com/a/b.xml")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("(?i)^https?://[^/]") == 1
