@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latticework.functions.keys import attach_root, trimmed
+from latticework.functions.keys import attach_root, once, trimmed
 from latticework.functions.names import domain_candidates, resolve_url
+from latticework.session import stored
 from latticework.sources.markup import elements
 
 SEED = "id string, company_name string, domains array<string>, asn array<int>, cidr array<string>, address string, industry string, tags array<string>, confidence double"
@@ -82,12 +83,12 @@ def search_candidates(bodies: DataFrame, rules: DataFrame, most: int = 10, evide
 
     Evidence needs title, snippet and an http(s) URL; the first ``evidence`` of distinct URLs stay, in order of URL and title.
     """
-    c = bodies.select("seed_id", F.posexplode(F.from_json(_object(F.col("body")), ANSWER).candidates).alias("pos", "c"))
+    c = bodies.select("seed_id", F.posexplode_outer(F.from_json(_object(F.col("body")), ANSWER).candidates).alias("pos", "c"))
     told = F.transform(F.col("c.evidence"), lambda e: F.struct(trimmed(e.url).alias("url"), trimmed(e.title).alias("title"), trimmed(e.snippet).alias("snippet")))
-    good = c.withColumn("e", F.filter(told, lambda e: (e.title != "") & (e.snippet != "") & e.url.rlike("(?i)^https?:")))
-    urls = F.transform("e", lambda e: e.url)
-    good = good.withColumn("e", F.array_sort(F.slice(F.filter("e", lambda e, i: F.array_position(urls, e.url) == i + 1), 1, evidence)))
-    good = good.select("seed_id", "pos", F.lower(trimmed(F.col("c.root"))).alias("host"), trimmed(F.col("c.summary")).alias("summary"), "e").filter("size(e) > 0 and summary <> '' and host <> ''")
+    counts = F.filter(told, lambda e: (e.title != "") & (e.snippet != "") & e.url.rlike("(?i)^https?:"))
+    fresh = lambda es: once(F.transform(es, lambda e: e.url), lambda urls: F.filter(es, lambda e, i: F.array_position(urls, e.url) == i + 1))
+    good = c.select("seed_id", "pos", F.explode_outer(F.array(F.struct(F.lower(trimmed(F.col("c.root"))).alias("host"), trimmed(F.col("c.summary")).alias("summary"), F.array_sort(F.slice(once(counts, fresh), 1, evidence)).alias("e")))).alias("g"))
+    good = stored(good.select("seed_id", "pos", "g.*").filter("size(e) > 0 and summary <> '' and host <> ''"), "candidates")  # read for the roots and with them
     rooted = attach_root(good, "host", rules)
     first = rooted.withColumn("n", F.row_number().over(Window.partitionBy("seed_id", "root").orderBy("pos"))).filter("n = 1")
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("seed_id").orderBy("pos"))).filter(F.col("rank") <= most)
@@ -96,10 +97,9 @@ def search_candidates(bodies: DataFrame, rules: DataFrame, most: int = 10, evide
 
 def search_queries(bodies: DataFrame, most: int = 5) -> DataFrame:
     """Queries that an answer reports: the first spelling of each, ``most`` per answer, in order."""
-    q = F.filter(F.transform(F.from_json(_object(F.col("body")), ANSWER).queries, trimmed), lambda x: x != "")
-    rows = bodies.select("seed_id", q.alias("q"))
-    low = F.transform("q", F.lower)
-    return rows.select("seed_id", F.posexplode(F.slice(F.filter("q", lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most)).alias("pos", "query"))
+    asked = F.filter(F.transform(F.from_json(_object(F.col("body")), "queries array<string>").queries, trimmed), lambda x: x != "")
+    first = lambda q: once(F.transform(q, F.lower), lambda low: F.filter(q, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+    return bodies.select("seed_id", F.posexplode_outer(F.slice(once(asked, first), 1, most)).alias("pos", "query")).filter("query is not null")
 
 
 DECISIONS = "decisions array<struct<root string, collect boolean, confidence double, kind string, reason string>>"
@@ -107,8 +107,9 @@ DECISIONS = "decisions array<struct<root string, collect boolean, confidence dou
 
 def decisions_from_text(bodies: DataFrame, rules: DataFrame) -> DataFrame:
     """Decisions in answers (seed_id, body): the last of each registrable root, its confidence within 0 and 1."""
-    d = bodies.select("seed_id", F.posexplode(F.from_json(_object(F.col("body")), DECISIONS).decisions).alias("pos", "d")).select("seed_id", "pos", "d.*")
-    rooted = attach_root(d.withColumn("host", F.lower(trimmed(F.col("root")))).drop("root").filter("host <> ''"), "host", rules)
+    d = bodies.select("seed_id", F.posexplode_outer(F.from_json(_object(F.col("body")), DECISIONS).decisions).alias("pos", "d")).select("seed_id", "pos", "d.*")
+    told = stored(d.withColumn("host", F.lower(trimmed(F.col("root")))).drop("root").filter("host <> ''"), "decisions")  # read for the roots and with them
+    rooted = attach_root(told, "host", rules)
     value = F.struct(F.coalesce("collect", F.lit(False)).alias("collect"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)))).alias("confidence"), "kind", "reason")
     return rooted.groupBy("seed_id", "root").agg(F.max_by(value, "pos").alias("x")).select("seed_id", "root", "x.*")
 

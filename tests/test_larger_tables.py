@@ -70,3 +70,19 @@ def test_each_sitemap_line_is_read_once(spark):
     got = records.robots_sitemaps(bodies)
     assert sorted(map(tuple, got.collect())) == [("https://o.com/a/robots.txt", "https://o.com/M.xml"), ("https://o.com/a/robots.txt", "https://o.com/a/b.xml")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("(?i)^https?://[^/]") == 1
+
+
+def test_answers_are_parsed_before_roots_are_joined(spark):
+    """Each answer is parsed once, not again for the roots of its candidates."""
+    rules = spark.createDataFrame([("com", False, False)], "suffix string, is_wildcard boolean, is_exception boolean")
+    item = '{"title":"%s","url":"%s","snippet":"s"}'
+    told = ",".join(item % x for x in [(" B ", " https://b.org/"), ("A", "https://b.org/"), ("C", "https://a.org/"), ("D", "ftp://d"), ("", "https://e.org/")])
+    body = '```{"queries":[" Who ","who","","What"],"candidates":[{"root":" www.A.com","summary":" s ","evidence":[%s]},{"root":"a.com","summary":"t","evidence":[%s]},{"root":"b.com","summary":"","evidence":[]}]}```' % (told, told)
+    bodies = spark.createDataFrame([(1, body), (2, "no answer"), (3, None)], "seed_id bigint, body string")
+    got = records.search_candidates(bodies, rules)
+    assert [(r.seed_id, r["rank"], r.root, r.summary, [(e.url, e.title) for e in r.evidence]) for r in got.collect()] == [(1, 1, "a.com", "s", [("https://a.org/", "C"), ("https://b.org/", "B")])]
+    assert sorted((r.pos, r.query) for r in records.search_queries(bodies).collect()) == [(0, "Who"), (1, "What")]
+    decided = records.decisions_from_text(spark.createDataFrame([(1, 'x {"decisions":[{"root":"A.com","collect":true,"confidence":3},{"root":"w.a.com","confidence":0.5},{"root":""}]}'), (2, None)], "seed_id bigint, body string"), rules)
+    assert [tuple(r) for r in decided.select("seed_id", "root", "collect", "confidence").collect()] == [(1, "a.com", False, 0.5)]
+    for df in (got, decided):
+        assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
