@@ -50,11 +50,12 @@ def crawl(start: DataFrame, scope: DataFrame, fetched: DataFrame, hosts: DataFra
     of it with relation ``redirect``.
     """
     at = fetched.join(hosts.select(F.col("url").alias("final_url"), F.col("host").alias("final_host"), F.col("root").alias("final_root")), "final_url")
-    led = links.join(hosts.select(F.col("url").alias("target"), F.col("host").alias("target_host"), F.col("root").alias("target_root")), "target").filter("target_root <> ''")
+    # links get their hosts once and are then read for the steps, the hosts and the candidates
+    led = stored(links.join(hosts.select(F.col("url").alias("target"), F.col("host").alias("target_host"), F.col("root").alias("target_root")), "target").filter("target_root <> ''"), "led")
     inside = led.join(scope.select("seed_id", F.col("root").alias("target_root")), "target_root")
     # a seed's own links: from its pages, by where their fetch ends, to what is in its scope
     own = at.join(scope.select("seed_id", F.col("root").alias("final_root")), "final_root").select("seed_id", F.col("url").alias("asked"), F.col("final_url").alias("url"))
-    followed = own.join(inside.filter(followable(F.col("target"))), ["seed_id", "url"]).select("seed_id", F.col("asked").alias("url"), "target", "pos")
+    followed = stored(own.join(inside.filter(followable(F.col("target"))), ["seed_id", "url"]).select("seed_id", F.col("asked").alias("url"), "target", "pos"), "followed")
     reached = reach(start, fetched.select("url"), followed, most, depth)
     pages = stored(reached.join(at, "url").select("seed_id", "url", "final_url", "final_host", "final_root", "depth", "position"), "pages")
     known = scope.select("seed_id", F.col("root").alias("final_root"))

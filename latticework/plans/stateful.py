@@ -141,6 +141,7 @@ def _crawl(spark, sf_dir):
     src = F.col("l_orderkey") % size + 1
     links = lines.select(u(src).alias("url"), F.when(F.col("l_linenumber") == 1, u(n)).when(F.col("l_linenumber") == 2, x(n)).otherwise(u((F.floor(n / m) * m + src % m).cast("bigint"))).alias("target"), (F.col("l_linenumber").cast("bigint") * 10_000_000 + n).alias("pos"), F.lower("l_returnflag").alias("relation"))
     links = links.groupBy("url", "target").agg(F.min("pos").alias("pos"), F.min_by("relation", F.struct("pos", "relation")).alias("relation"))
+    links = stored(links, "links")  # read for the hosts and with them
     fetched = stored(crawl.fetched_pages(answers), "fetched")
     urls = fetched.select(F.col("final_url").alias("url")).union(links.select("target")).distinct()
     hosts = keys.attach_root(urls.withColumn("host", keys.url_host(F.col("url"))), "host", queries._rules(spark))

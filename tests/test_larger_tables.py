@@ -6,9 +6,10 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF, TABLES
 
-from latticework.operators import graph
+from latticework.operators import crawl, graph
 from latticework.plans.queries import ORACLE_SQL, QUERIES
 from latticework.sources import records
 
@@ -86,3 +87,15 @@ def test_answers_are_parsed_before_roots_are_joined(spark):
     assert [tuple(r) for r in decided.select("seed_id", "root", "collect", "confidence").collect()] == [(1, "a.com", False, 0.5)]
     for df in (got, decided):
         assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_crawled_links_get_their_hosts_once(spark):
+    """What tells the links is read before the crawl's results, which are three ways to use them."""
+    site = spark.createDataFrame([("https://a.com/", "https://a.com/"), ("https://w.a.com/1", "https://w.a.com/1")], "url string, final_url string")
+    hosts = spark.createDataFrame([("https://a.com/", "a.com", "a.com"), ("https://w.a.com/1", "w.a.com", "a.com"), ("https://b.net/", "b.net", "b.net")], "url string, host string, root string")
+    links = spark.createDataFrame([("https://a.com/", "https://w.a.com/1", 1, "x"), ("https://w.a.com/1", "https://b.net/", 2, "yz")], "url string, target string, pos bigint, relation string").withColumn("relation", F.reverse("relation"))
+    scope = spark.createDataFrame([(1, "a.com")], "seed_id bigint, root string")
+    got = crawl.crawl(spark.createDataFrame([(1, "https://a.com/", 0)], "seed_id bigint, url string, pos bigint"), scope, site, hosts, links)
+    assert sorted(map(tuple, got["pages"].collect())) == [(1, "https://a.com/", "https://a.com/", 0, 1), (1, "https://w.a.com/1", "https://w.a.com/1", 1, 2)]
+    assert [tuple(r) for r in got["candidates"].collect()] == [(1, "b.net", "https://w.a.com/1", "https://b.net/", "zy")] and [tuple(r) for r in got["hosts"].collect()] == [(1, "w.a.com")]
+    assert all("reverse(" not in df._jdf.queryExecution().optimizedPlan().toString() for df in got.values())
