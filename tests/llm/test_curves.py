@@ -112,3 +112,38 @@ def test_probes_are_added_until_the_recall_suffices(spark, n, probes):
 def test_search_to_without_queries_or_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (3, None)], "vec_id bigint, embedding array<float>")
     assert curves.search_to(df)[0].collect() == [] and curves.search_to(df.limit(0))[0].collect() == []
+
+
+def _odd(kind, n=2000):
+    rng = np.random.default_rng(5)
+    g = rng.standard_normal((n, 24))
+    u = g / np.linalg.norm(g, axis=1, keepdims=True)
+    if kind == "one long":
+        u[7] *= 1000
+    elif kind == "lengths":
+        u *= np.exp(2 * rng.standard_normal((n, 1)))
+    elif kind == "near copies":
+        u[: n // 2] = u[0] + 1e-4 * g[: n // 2]
+    else:
+        u *= 1e-30  # squares that floats don't hold
+    return u.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["one long", "lengths", "near copies", "short"])
+def test_odd_vectors_find_their_nearest(spark, kind):
+    """One vector that is much longer than the others, lengths of many orders, many near copies, very short vectors: nearly all of the nearest are found by the query's settings."""
+    v = _odd(kind)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>").repartition(4)
+    found = {}
+    for r in curves.search_to(df, curves=8, probes=32, spread=0.25)[0].collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    d = v.astype(np.float64)
+    assert np.mean([len(found[q] & set(_nearest(d, q)[0])) / 20 for q in range(0, len(v), 20)]) >= 0.9
+
+
+def test_ranges_do_not_change_the_result(spark):
+    """Windows reach over the ends of ranges: many short ranges give the rows that one gives."""
+    v = _odd("lengths", 3000)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>").repartition(1)
+    one, many = (sorted(map(tuple, curves.search(df, window=20, probes=3, range_rows=r).collect())) for r in (20_000, 100))
+    assert one == many
