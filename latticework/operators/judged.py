@@ -14,28 +14,34 @@ def confidence_gate(collect: Column, confidence: Column, threshold: float = 0.5)
 
 def merged_outcomes(outcomes: DataFrame, by: list[str] = GROUP) -> DataFrame:
     """One outcome per group and root: collected if ever, highest confidence, kind of the last that collected, else the first."""
-    return outcomes.groupBy(*by, "root").agg(
-        F.bool_or("collect").alias("collect"), F.max("confidence").alias("confidence"), F.bool_or("explicit").alias("explicit"),
-        F.coalesce(F.max_by("kind", F.when(F.col("collect") & (F.col("kind") != ""), F.col("eval_seq"))), F.min_by("kind", F.when(F.col("kind") != "", F.col("eval_seq")))).alias("kind"),
-    )
+    return _merged(outcomes, by, ["kind"])
+
+
+def _merged(outcomes: DataFrame, by: list[str], texts: list[str]) -> DataFrame:
+    """One outcome per group and root, with each of ``texts`` of the last that collected and told it, else the first that told it.
+
+    Outcomes that tell the same are first folded to numbers, which map tasks do without sorting their rows; texts are chosen among what is left.
+    """
+    told = outcomes.groupBy(*by, "root", "collect", *texts).agg(F.max("confidence").alias("confidence"), F.bool_or("explicit").alias("explicit"), F.min("eval_seq").alias("first_"), F.max("eval_seq").alias("last_"))
+    chosen = lambda t: F.coalesce(F.max_by(t, F.when(F.col("collect") & (F.col(t) != ""), F.col("last_"))), F.min_by(t, F.when(F.col(t) != "", F.col("first_")))).alias(t)
+    return told.groupBy(*by, "root").agg(F.bool_or("collect").alias("collect"), F.max("confidence").alias("confidence"), F.bool_or("explicit").alias("explicit"), *map(chosen, texts))
 
 
 def first_spellings(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """Distinct values of each group, whatever their case: (by, spelled, at), spelled as they came first; blank ones don't count."""
     told = rows.withColumn("spelled", F.trim(value)).filter("spelled <> ''")
-    return told.groupBy(*by, F.lower("spelled").alias("low")).agg(F.min_by("spelled", F.struct(order, "spelled")).alias("spelled"), F.min(order).alias("at")).drop("low")
+    told = told.groupBy(*by, "spelled").agg(F.min(order).alias("at"))  # each spelling once, before any is chosen
+    return told.groupBy(*by, F.lower("spelled").alias("low")).agg(F.min_by("spelled", F.struct("at", "spelled")).alias("spelled"), F.min("at").alias("at")).drop("low")
 
 
 def judged_candidates(outcomes: DataFrame, by: list[str]) -> DataFrame:
     """One row per group and root: as ``merged_outcomes``, with the reason (of the last that collected and gave one, else the first given) and the
     support of all its outcomes, sorted. ``outcomes`` has reason and support (an array) too."""
     whole = [*by, "root"]
-    given = F.col("reason") != ""
-    reason = F.coalesce(F.max_by("reason", F.when(F.col("collect") & given, F.col("eval_seq"))), F.min_by("reason", F.when(given, F.col("eval_seq"))), F.lit(""))
     told = outcomes.filter("root <> ''")
     support = first_spellings(told.select(*whole, "eval_seq", F.explode("support").alias("s")), whole, "s", "eval_seq").groupBy(*whole).agg(F.array_join(F.array_sort(F.collect_list("spelled")), ", ").alias("support"))
-    rows = merged_outcomes(told, by).join(told.groupBy(*whole).agg(reason.alias("reason")), whole).join(support, whole, "left")
-    return rows.withColumn("support", F.coalesce("support", F.lit("")))
+    rows = _merged(told, by, ["kind", "reason"]).join(support, whole, "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("reason", "support")})
 
 
 def discarded_details(outcomes: DataFrame, known: DataFrame) -> DataFrame:

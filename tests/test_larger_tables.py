@@ -99,3 +99,26 @@ def test_crawled_links_get_their_hosts_once(spark):
     assert sorted(map(tuple, got["pages"].collect())) == [(1, "https://a.com/", "https://a.com/", 0, 1), (1, "https://w.a.com/1", "https://w.a.com/1", 1, 2)]
     assert [tuple(r) for r in got["candidates"].collect()] == [(1, "b.net", "https://w.a.com/1", "https://b.net/", "zy")] and [tuple(r) for r in got["hosts"].collect()] == [(1, "w.a.com")]
     assert all("reverse(" not in df._jdf.queryExecution().optimizedPlan().toString() for df in got.values())
+
+
+def test_tables_are_dealt_by_their_size(spark):
+    """More rows than the session's partitions hold at the given number a task: more tasks; else the table stays as it is."""
+    from latticework.session import spread
+
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(20 * own).withColumn("k", F.col("id") % (2 * own))
+    assert spread(df, "k", rows=10).rdd.getNumPartitions() == 2 * own
+    assert spread(df, "k").rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    assert spread(df, "k", rows=10).groupBy("k").count().filter("count <> 10").isEmpty()
+
+
+def test_outcomes_are_folded_to_numbers_before_texts_are_chosen(spark):
+    """Outcomes that tell the same become one row before texts (which make Spark sort all rows) are chosen: the plan's first aggregates are hash aggregates."""
+    from latticework.operators import judged
+
+    rows = [("c", "s", "x", "r", i % 2 == 0, i / 10, i % 3 == 0, ["", "a", "b"][i % 3], i, ["", "one", "One"][i % 3], [" A", "a"]) for i in range(9)]
+    df = spark.createDataFrame(rows, "collector string, seed_id string, scenario string, root string, collect boolean, confidence double, explicit boolean, kind string, eval_seq bigint, reason string, support array<string>").repartition(3)
+    out = judged.judged_candidates(df, judged.GROUP)
+    assert [tuple(r[c] for c in ("collect", "confidence", "explicit", "kind", "reason", "support")) for r in out.collect()] == [(True, 0.8, True, "b", "One", "A")]
+    plan = judged._merged(df, judged.GROUP, ["kind", "reason"])._jdf.queryExecution().sparkPlan().toString()
+    assert re.findall(r"(?<!\w)(Hash|Sort|ObjectHash)Aggregate\(", plan)[-1] == "Hash"  # the last in the text reads the rows
