@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import keys
 from latticework.operators import details, fold, judged, readmodel
-from latticework.session import folder
+from latticework.session import folder, spread
 from latticework.sources import captures, exports
 from latticework.streaming import live_assets as live
 
@@ -155,7 +155,7 @@ def live_assets(spark, sf_dir):
 def ct_names(spark, sf_dir):
     """Names in captured certificate logs, one body per order."""
     value = F.concat(F.lit("*.Host"), ad.text("l_partkey"), F.lit(".com\n www.org"), (F.col("l_suppkey") % 7).cast("string"), F.lit(".com\n"))
-    return captures.ct_names(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seed_id")).agg(F.to_json(F.collect_list(F.struct(value.alias("name_value")))).alias("body")))
+    return captures.ct_names(spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), "l_orderkey").groupBy(F.col("l_orderkey").alias("seed_id")).agg(F.to_json(F.collect_list(F.struct(value.alias("name_value")))).alias("body")))
 
 
 def _sitemaps(spark, sf_dir):

@@ -35,9 +35,10 @@ def archive_hosts(urls: DataFrame) -> DataFrame:
 
 def ct_names(bodies: DataFrame) -> DataFrame:
     """Distinct names (case counts) of certificate logs: JSON arrays of records whose name_value holds one name a line."""
-    records = bodies.select("seed_id", F.explode(F.from_json("body", "array<struct<name_value string>>")).alias("r"))
-    names = records.select("seed_id", F.explode(F.split("r.name_value", "\n")).alias("n")).select("seed_id", F.regexp_replace(trimmed(F.col("n")), r"^\*\.", "").alias("name"))
-    return names.filter("name <> ''").distinct()
+    lines = F.flatten(F.transform(F.from_json("body", "array<struct<name_value string>>"), lambda r: F.split(F.coalesce(r.name_value, F.lit("")), "\n")))
+    names = F.array_distinct(F.transform(lines, lambda n: F.regexp_replace(trimmed(n), r"^\*\.", "")))
+    # an outer explosion adds no filter that would read the body again
+    return bodies.select("seed_id", F.explode_outer(names).alias("name")).filter("name <> ''").distinct()
 
 
 def sitemap_locs(bodies: DataFrame) -> DataFrame:
