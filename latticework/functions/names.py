@@ -14,15 +14,15 @@ DNS_NAME = r"^([a-z0-9_]([a-z0-9_-]*[a-z0-9_])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?
 
 def email_host(c: Column) -> Column:
     """The host of an e-mail address with exactly one ``@``; null for anything else."""
-    parts = F.split(trimmed(c), "@")
-    return F.when((F.size(parts) == 2) & (parts[0] != ""), host_key(F.regexp_replace(parts[1], r"[>?].*$", "")))
+    host = lambda parts: F.when((F.size(parts) == 2) & (parts[0] != ""), host_key(F.regexp_replace(parts[1], r"[>?].*$", "")))
+    return once(F.split(trimmed(c), "@"), host)
 
 
 def domain_candidates(c: Column, pattern: str = HOST) -> Column:
     """Distinct host names that a raw value may stand for: host of an address, host of a URL, the value itself."""
-    raw = F.regexp_replace(trimmed(c), r"^\*\.", "")
-    found = F.array_compact(F.array(email_host(raw), url_host(raw), host_key(raw)))
-    return F.array_distinct(F.filter(found, lambda x: x.rlike(pattern) & ~is_ip4(x)))
+    every = lambda raw: F.array_distinct(F.array_compact(F.array(email_host(raw), url_host(raw), host_key(raw))))
+    found = lambda raw: F.when(raw.rlike(r"[/?#@:\[\]]"), every(raw)).otherwise(F.array_compact(F.array(host_key(raw))))  # noqa: E731  without these signs all three are one
+    return F.filter(once(F.regexp_replace(trimmed(c), r"^\*\.", ""), found), lambda x: x.rlike(pattern) & ~is_ip4(x))
 
 
 def txt_domains(c: Column) -> Column:

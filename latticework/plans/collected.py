@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.functions import names
+from latticework.session import spread
 from latticework.sources import records, registrations
 
 from . import adapters as ad
@@ -21,7 +22,8 @@ def _lines(spark, sf_dir):
 
 
 def _per_order(rows, item, name="x"):
-    return rows.groupBy(F.col("l_orderkey").alias("seed_id")).agg(F.collect_list(item).alias(name))
+    """An array for each order; orders are dealt by the number of lines, so a task's part doesn't grow with the table."""
+    return spread(rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "l_orderkey").groupBy(F.col("l_orderkey").alias("seed_id")).agg(F.collect_list(item).alias(name))
 
 
 @query("select distinct l_orderkey as seed_id, unnest([concat('host', l_partkey, '.com'), concat('www.org', l_suppkey % 7, '.com'), concat('mail', l_linenumber, '.net')]) as name from lineitem")

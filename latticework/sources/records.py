@@ -22,10 +22,11 @@ def load_seeds(spark: SparkSession, path: str) -> DataFrame:
 
 def ct_term_names(bodies: DataFrame) -> DataFrame:
     """Distinct host names of certificate searches: common names, and each line of the name values."""
-    r = bodies.select("seed_id", F.explode(F.from_json("body", "array<struct<common_name string, name_value string>>")).alias("r"))
-    raw = F.concat(F.array("r.common_name"), F.split(F.coalesce("r.name_value", F.lit("")), "\n"))
-    names = F.flatten(F.transform(raw, lambda x: domain_candidates(F.coalesce(x, F.lit("")))))
-    return r.select("seed_id", F.explode(names).alias("name")).distinct()
+    # outer explosions add no filters that would read a body again; a body's values are read once each
+    told = lambda r: F.concat(F.array(F.coalesce(r.common_name, F.lit(""))), F.split(F.coalesce(r.name_value, F.lit("")), "\n"))
+    raw = F.array_distinct(F.flatten(F.transform(F.from_json("body", "array<struct<common_name string, name_value string>>"), told)))
+    names = F.array_distinct(F.flatten(F.transform(raw, lambda x: domain_candidates(x))))
+    return bodies.select("seed_id", F.explode_outer(names).alias("name")).filter("name is not null").distinct()
 
 
 def passive_dns_hosts(bodies: DataFrame) -> DataFrame:
