@@ -73,3 +73,14 @@ def test_streamed_over_restarts(spark, tmp_path):
         assert got == _rows(fold.canonical_assets(spark.createDataFrame(rows[:stop], SIGHTING)))
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == old
     assert states(spark, str(tmp_path / "live")).count() <= 90
+
+
+def test_streamed_states_are_aggregates(spark, tmp_path):
+    """The fold and its provenance are states of Spark's own streaming operators, one row a key and one a provenance: no sighting passes through Python."""
+    rows = _sightings(90, 8)
+    spark.createDataFrame(rows, SIGHTING).write.parquet(str(tmp_path / "in"))
+    got = _rows(live_fold(spark, spark.readStream.schema(SIGHTING).parquet(str(tmp_path / "in")), str(tmp_path / "live"), str(tmp_path / "progress")))
+    assert got == _rows(fold.canonical_assets(spark.createDataFrame(rows, SIGHTING)))
+    kept = spark.read.format("state-metadata").load(str(tmp_path / "progress"))
+    assert {r.operatorName for r in kept.collect()} == {"stateStoreSave", "dedupe"}
+    assert states(spark, str(tmp_path / "live")).count() == len(got)
