@@ -94,6 +94,22 @@ def with_provenance(states: DataFrame, seen: DataFrame) -> DataFrame:
     return states.join(n, ["type", "asset_key"], "left").withColumn("n_provenance", F.coalesce("n_provenance", F.lit(0)))
 
 
+def _begin(own: Column) -> Column:
+    """The rank that a key's first sighting gives it: its own, or its type's default."""
+    return F.when(own > 0, own).otherwise(F.when(F.col("type") == "ip", 1).otherwise(3))
+
+
+def _state(rank: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, STATES)), rank + 1)
+
+
+def asset_ids(obs: DataFrame) -> DataFrame:
+    """type, asset_key, asset_id and ownership_state of the canonical assets alone: without sources, reasons and the distinct provenance that those take."""
+    rows = obs.select("type", asset_key(F.col("identifier")).alias("asset_key"), "seq", "id", state_rank(F.col("ownership_state")).alias("own"))
+    out = rows.groupBy("type", "asset_key").agg(F.min_by(F.struct("id", "own"), "seq").alias("first"), F.max("own").alias("top"))
+    return out.select("type", "asset_key", F.col("first.id").alias("asset_id"), _state(F.greatest("top", _begin(F.col("first.own")))).alias("ownership_state"))
+
+
 def finished(out: DataFrame) -> DataFrame:
     """Canonical assets from whole states (``fold_states``, merged) with n_provenance.
 
@@ -101,8 +117,7 @@ def finished(out: DataFrame) -> DataFrame:
     one that raised the ownership: for each rank only the earliest observation that has it can. Without any it is derived from
     the discovery observations' provenance.
     """
-    begin = F.when(F.col("first.own") > 0, F.col("first.own")).otherwise(F.when(F.col("type") == "ip", 1).otherwise(3))
-    out = out.withColumn("begin", begin).withColumn("rank", F.greatest("top", "begin")).withColumn("whole", F.array_sort("whole"))
+    out = out.withColumn("begin", _begin(F.col("first.own"))).withColumn("rank", F.greatest("top", "begin")).withColumn("whole", F.array_sort("whole"))
     told = lambda c: F.struct(F.col(f"{c}.seq").alias("seq"), F.col(f"{c}.reason").alias("reason"))
     raised = [F.when((F.col("begin") < r) & F.col(f"rank{r}.fit"), told(f"rank{r}")) for r in range(1, len(STATES))]
     best = F.array_max(F.array_compact(F.array(F.when(F.col("first.given"), told("first")).when(F.col("fit.fit"), told("fit")), *raised)))
@@ -114,8 +129,7 @@ def finished(out: DataFrame) -> DataFrame:
     )
     later = F.col("n_found") > F.col("first.found").cast("int")
     why = F.when(best.isNotNull(), best.reason).when(later, supported).otherwise(F.concat(F.lit("Discovered via "), F.col("first.source")))
-    state = F.element_at(F.array(*map(F.lit, STATES)), F.col("rank") + 1)
-    return out.select("type", "asset_key", F.col("first.id").alias("asset_id"), F.col("first.enumeration_id").alias("enumeration_id"), "first_seen_us", F.array_join(F.array_sort("parts"), ", ").alias("sources"), state.alias("ownership_state"), why.alias("inclusion_reason"), "observations")
+    return out.select("type", "asset_key", F.col("first.id").alias("asset_id"), F.col("first.enumeration_id").alias("enumeration_id"), "first_seen_us", F.array_join(F.array_sort("parts"), ", ").alias("sources"), _state(F.col("rank")).alias("ownership_state"), why.alias("inclusion_reason"), "observations")
 
 
 def canonical_assets(obs: DataFrame) -> DataFrame:

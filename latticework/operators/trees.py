@@ -23,7 +23,7 @@ def tree_tables(assets: DataFrame, sightings: DataFrame, enumerations: DataFrame
     """
     by = ["type", "asset_key"]
     own = stored(assets.select(*by, "asset_id", "ownership_state", "root"), "assets")
-    facts = stored(sightings.join(own.select(*by, "asset_id"), by), "facts")
+    facts = stored(sightings.join(own.select(*by, "asset_id"), by).drop("asset_key"), "facts")
     told = enumerations.select(F.col("id").alias("enumeration_id"), F.col("seed_id").alias("of_seed")).join(seeds.select(F.col("id").alias("of_seed"), F.coalesce("company_name", F.lit("")).alias("label"), "domain"), "of_seed", "left")
     combos = facts.groupBy("asset_id", "enumeration_id", "source").agg(F.count("*").alias("n"), F.count_if(F.col("kind") != "enrichment").alias("found"), F.min("seen_us").alias("first_us"), F.max("seen_us").alias("last_us"))
     combos = stored(combos.join(told, "enumeration_id", "left").withColumn("seed_id", F.coalesce("of_seed", F.lit(""))).withColumn("label", F.coalesce("label", F.lit(""))), "contributors")

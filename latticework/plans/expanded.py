@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.functions import keys
-from latticework.operators import frontier, judged, readmodel, trees
-from latticework.session import folder
+from latticework.operators import fold, frontier, judged, readmodel, trees
+from latticework.session import folder, stored
 from latticework.sources import pages, snapshots
 from latticework.streaming import candidates
 
@@ -121,7 +121,7 @@ IDS = f"with {CANONICAL}, {enriched.ENUMS}, {enriched.PROV}, ids as (select type
 
 
 def _ids(spark, sf_dir):
-    return base._rooted(spark, sf_dir).select("type", "asset_key", "asset_id", "ownership_state", "root")
+    return keys.attach_root(stored(fold.asset_ids(ad.observations(spark, sf_dir)), "ids"), "asset_key", base._rules(spark)).select("type", "asset_key", "asset_id", "ownership_state", "root")
 
 
 @query(f"""{IDS}, sg as (select asset_id, coalesce(seed_id, '') as seed_id, coalesce(company_name, '') as label, count(*) as n from pv join ids on pv.type = ids.type and pv.asset_key = ids.asset_key left join en on en.id = pv.enumeration_id group by all),

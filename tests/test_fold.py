@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.operators import fold, frontier, judged, windows
+from latticework.operators.stored_fold import SIGHTING
 
 OBS = "seq int, id string, enumeration_id string, type string, identifier string, source string, kind string, ownership_state string, inclusion_reason string, seen_us bigint"
 
@@ -148,3 +149,15 @@ def test_merged_seeds(spark):
     assert (r.asn, r.cidr, r.tags) == ([64500, 64501], ["198.51.100.0/24", "203.0.113.0/24"], ["east", "west"])
     got = sorted((x.source, x.kind, x.value) for x in fold.seed_evidence(df).collect())
     assert got == [("manual", "company_name", "alpha corp"), ("manual", "company_name", "beta corp"), ("seed_merge", "company_name", "beta corp")]
+
+
+def test_ids_take_no_provenance(spark):
+    """Ids and ownership alone are those of the canonical assets, without the distinct provenance and the sets that only other columns need."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(1000), f"o{i}", rng.choice(["e1", None]), rng.choice(["ip", "domain", None]), rng.choice([" A.org", "a.org", "10.0.0.1", None]), "crt.sh", rng.choice(["discovery", "enrichment"]), rng.choice(["", "", "owned", "uncertain"]), "", i) for i in range(200)]
+    obs = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], SIGHTING).repartition(3)
+    some = ["type", "asset_key", "asset_id", "ownership_state"]
+    got = fold.asset_ids(obs)
+    assert sorted(map(str, got.select(some).collect())) == sorted(map(str, fold.canonical_assets(obs).select(some).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "Join" not in plan
