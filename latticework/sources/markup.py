@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 from xml.parsers import expat
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -14,6 +15,23 @@ ELEMENT = "pos int, tag string, href string, rel string, hreflang string, proper
 LOC = "root string, loc string, error string"
 
 
+#: Rows and bytes of bodies that a Python worker parses at once.
+ROWS, BYTES = 256, 1 << 22
+
+
+def few(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``ROWS`` rows and about ``BYTES`` of ``column`` (one body at least): what bodies become takes many times their size."""
+    for b in batches:
+        start, total = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()):
+            if i > start and (i - start == ROWS or total + n > BYTES):
+                yield b.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if b.num_rows:
+            yield b.slice(start)
+
+
 class _Page(HTMLParser):
     """The links, metas and the title of a page in order of their begin; an anchor's text ends with it, or where the next begins."""
 
@@ -93,7 +111,7 @@ def elements(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame
     new = T._parse_datatype_string(ELEMENT).fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches, len(keep)):
             found = [page_elements(x)[0] for x in b.column(len(keep)).to_pylist()]
             row = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
             if len(row):
@@ -110,7 +128,7 @@ def page_errors(pages: DataFrame, keep: list[str], html: str = "html") -> DataFr
     new = T._parse_datatype_string("error string, elements int").fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches, len(keep)):
             bad = [(i, error, len(rows)) for i, x in enumerate(b.column(len(keep)).to_pylist()) for rows, error in [page_elements(x)] if error is not None]
             if bad:
                 at, errors, n = (pa.array(c) for c in zip(*bad, strict=True))
@@ -125,7 +143,7 @@ def sitemap_rows(bodies: DataFrame, keep: list[str], body: str = "body") -> Data
     new = T._parse_datatype_string(LOC).fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches, len(keep)):
             rows = []
             for i, x in enumerate(b.column(len(keep)).to_pylist()):
                 root, locs, error = sitemap_of(x)

@@ -1,10 +1,11 @@
 """Captured pages, sitemaps and URLs: literal inputs and what they must give."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import keys, names
-from latticework.sources import captures, pages, records
+from latticework.sources import captures, markup, pages, records
 from latticework.sources.markup import sitemap_of
 
 
@@ -148,3 +149,12 @@ def test_an_unreadable_page_gives_an_error_row(spark, monkeypatch):
     monkeypatch.setattr(markup._Page, "handle_starttag", broken)
     rows, error = markup.page_elements("<a href='/a'>x</a><a href='/bad'>y</a><a href='/c'>z</a>")
     assert [r["href"] for r in rows] == ["/a", "/bad"] and error == "AssertionError: no such thing"
+
+
+def test_few_bodies_at_once():
+    """A worker parses a batch of very many or very long bodies in slices; none is lost, nulls and a body beyond the bound included."""
+    bodies = ["x" * 10] * 1000 + [None, "y" * (2 * markup.BYTES), ""] + ["z" * (markup.BYTES // 3)] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(bodies))), pa.array(bodies)], names=["page_id", "html"])
+    parts = list(markup.few(iter([batch, batch.slice(0, 0)]), 1))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == bodies
+    assert all(p.num_rows == 1 or p.num_rows <= markup.ROWS and sum(len(x or "") for x in p.column(1).to_pylist()) <= markup.BYTES for p in parts)
