@@ -45,6 +45,8 @@ NO_ID = (1 << 63) - 1
 #: Cost of a word between two matches on either side; words beyond a chain's ends that alignment may add; words that one difference may span
 #: (those that a passage of LEAST words may have unmatched).
 GAP, MARGIN, BRIDGE = 0.1, 64, 10
+#: Words of texts whose seeds are taken at once.
+TOGETHER = 1 << 16
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-"
 
 
@@ -66,34 +68,51 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(words: np.ndarray, seed: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the seeds kept."""
-    n = len(words) - seed + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(seed):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    wide = min(window, n)
-    view = np.lib.stride_tricks.sliding_window_view(h, wide)
-    at = np.unique(view.argmin(1) + np.arange(len(view)))
-    return at, h[at]
+def _least(h: np.ndarray, window: int) -> np.ndarray:
+    """The place of the smallest value in each run of ``window``, the first of equal ones: runs of twice the length from those before."""
+    value, at, wide = h, np.arange(len(h)), 1
+    while wide < window:
+        step = min(wide, window - wide)
+        right = value[step:]
+        at = np.where(right < value[:-step], at[step:], at[:-step])
+        value = np.minimum(value[:-step], right)
+        wide += step
+    return at
 
 
-def sides(words: np.ndarray, at: np.ndarray, seed: int, window: int) -> np.ndarray:
-    """For each place of a seed 16 bits of a hash of the words before it (low) and of those after it (high), so many on either side that of a
-    common stretch of ``seed + window - 1`` words one side at least lies in it whole."""
+def many_seeds(texts: list[np.ndarray], seed: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as hashes of their words, at once: text, place, hash and side of the seeds kept, in order.
+
+    A side is 16 bits of a hash of the words before the seed (low) and of those after it (high), so many that of a common stretch of
+    ``seed + window - 1`` words one side at least lies in it whole; beyond a text's ends stand zeros.
+    """
     reach = window // 2
-    wide = np.concatenate([np.zeros(reach, np.uint64), words, np.zeros(reach, np.uint64)])
-    out = np.zeros(len(at), np.uint64)
-    for shift, begin in ((0, at), (16, at + reach + seed)):
-        h = np.zeros(len(at), np.uint64)
+    gap = np.zeros(max(reach, 1), np.uint64)
+    flat = np.concatenate([gap, *(x for t in texts for x in (t, gap)), np.zeros(max(seed, window), np.uint64)])
+    n = np.array([len(t) for t in texts], np.int64)
+    begin = len(gap) + np.append(0, np.cumsum(n + len(gap))[:-1])
+    n = n - seed + 1
+    h = np.zeros(len(flat) - seed + 1, np.uint64)
+    for j in range(seed):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + len(h)]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    runs = np.where(n >= window, n - window + 1, 0)  # windows that lie in their text
+    first = np.repeat(begin - np.append(0, np.cumsum(runs)[:-1]), runs) + np.arange(runs.sum())
+    kept = _least(h, window)[first] if len(first) else first
+    kept = kept[np.append(True, kept[1:] != kept[:-1])] if len(kept) else kept
+    short = np.flatnonzero((n > 0) & (n < window))
+    if len(short):
+        kept = np.sort(np.append(kept, [b + int(h[b : b + m].argmin()) for b, m in zip(begin[short].tolist(), n[short].tolist(), strict=True)]))
+    kept = kept.astype(np.int64)
+    side = np.zeros(len(kept), np.uint64)
+    for shift, at in ((0, kept - reach), (16, kept + seed)):
+        x = np.zeros(len(kept), np.uint64)
         for j in range(reach):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + wide[begin + j]
-        out |= ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)) << np.uint64(shift)
-    return out.astype(np.uint32).view(np.int32)
+            x = x * np.uint64(0x9E3779B97F4A7C15) + flat[at + j]
+        side |= ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)) << np.uint64(shift)
+    text = np.searchsorted(begin, kept, "right") - 1
+    return text, kept - begin[text], h[kept], side.astype(np.uint32).view(np.int32)
 
 
 def chains(x: list[int], y: list[int], seed: int = SEED) -> list[list[int]]:
@@ -234,15 +253,16 @@ def _ident(text: str) -> list[Column]:
 def _seed_rows(docs: DataFrame, text: str, seed: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for t in b.column(2).to_pylist():
-                w = word_hashes(t)
-                at, h = seeds(w, seed, window)
-                found.append((at, h, sides(w, at, seed, window)))
-            row = pa.array(np.repeat(np.arange(len(found)), [len(p) for p, *_ in found]))
-            if len(row):
-                at, h, side = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(at.astype(np.int32)), pa.array(side)], names=["seed", *PLACE])
+            texts, start, size = [], 0, 0
+            for i, t in enumerate(b.column(2).to_pylist()):
+                texts.append(word_hashes(t))
+                size += len(texts[-1])
+                if size >= TOGETHER or i + 1 == b.num_rows:
+                    row, at, h, side = many_seeds(texts, seed, window)
+                    if len(row):
+                        row = pa.array(row + start)
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(at.astype(np.int32)), pa.array(side)], names=["seed", *PLACE])
+                    texts, start, size = [], i + 1, 0
 
     return docs.select(*_ident(text), text).mapInArrow(run, "seed bigint, d bigint, k bigint, pos int, side int")
 
@@ -444,6 +464,19 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column without nulls, as views."""
+    values, at = column.values.to_numpy(), column.offsets.to_pylist()
+    return [values[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
+def _ranges_of(column: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """The lists of a column of (s, e) without nulls."""
+    s, e = (column.values.field(n).to_pylist() for n in ("s", "e"))
+    at = column.offsets.to_pylist()
+    return [list(zip(s[i:j], e[i:j], strict=True)) for i, j in zip(at, at[1:], strict=False)]
+
+
 def _with_texts(docs: DataFrame, ranges: DataFrame, text: str) -> DataFrame:
     """d, k, t (the text, null as empty) and r (its ranges) of the rows that have some of ``ranges`` (d, k, s, e); rows that repeat lend their text once."""
     wanted = ranges.distinct().groupBy("d", "k").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("r"))
@@ -457,13 +490,13 @@ def _slices(docs: DataFrame, ranges: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, s, e, got = [], [], [], []
-            for i, (t, r) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            for i, (t, r) in enumerate(zip(b.column(2).to_pylist(), _ranges_of(b.column(3)), strict=True)):
                 w = word_hashes(t).astype(np.uint32).view(np.int32)
-                for x in r:
+                for lo, hi in r:
                     row.append(i)
-                    s.append(x["s"])
-                    e.append(x["e"])
-                    got.append(w[x["s"] : x["e"]])
+                    s.append(lo)
+                    e.append(hi)
+                    got.append(w[lo:hi])
             if row:
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(s, pa.int32()), pa.array(e, pa.int32()), list_array(np.concatenate(got), [len(g) for g in got], pa.int32())], names=["d", "k", "s", "e", "w"])
@@ -477,12 +510,12 @@ def _windows(docs: DataFrame, ranges: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, at, got = [], [], []
-            for i, (t, r) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            for i, (t, r) in enumerate(zip(b.column(2).to_pylist(), _ranges_of(b.column(3)), strict=True)):
                 w = word_hashes(t)
-                for x in r:
-                    h = window_hashes(w[x["s"] : x["e"]])
+                for lo, hi in r:
+                    h = window_hashes(w[lo:hi])
                     row.append(np.full(len(h), i))
-                    at.append(np.arange(x["s"], x["s"] + len(h), dtype=np.int32))
+                    at.append(np.arange(lo, lo + len(h), dtype=np.int32))
                     got.append(h)
             if got and sum(map(len, got)):
                 own = pa.array(np.concatenate(row))
@@ -545,11 +578,12 @@ def _aligned(passages: DataFrame, words: DataFrame, reach: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, s, e = [], [], []
-            w1, w2 = b.column(8), b.column(9)
-            for i, (s1, s2, x, y, n, own) in enumerate(zip(*(b.column(j).to_pylist() for j in range(2, 8)), strict=True)):
-                one, two, at = w1[i].values.to_numpy(), w2[i].values.to_numpy(), 0
+            s1_, s2_, own_ = (b.column(j).to_pylist() for j in (2, 3, 7))
+            x_, y_, n_, w1, w2 = (_lists(b.column(j)) for j in (4, 5, 6, 8, 9))
+            for i, (s1, s2, x, y, n, own, one, two) in enumerate(zip(s1_, s2_, x_, y_, n_, own_, w1, w2, strict=True)):
+                x, y, at = x.tolist(), y.tolist(), 0
                 gone: list[tuple[int, int]] = []
-                for size in n:
+                for size in n.tolist():
                     mine, at = [p - s1 for p in x[at : at + size]], at + size
                     low, high = max(0, mine[0] - reach), min(len(one), mine[-1] + reach)
                     if any(lo <= low and high <= hi for lo, hi in gone):

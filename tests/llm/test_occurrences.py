@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from latticework.llm import passage_dedup as P
@@ -53,3 +54,19 @@ def test_removed_words_do_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(r[2] for r in results[0]) > 1000 and all(r == results[0] for r in results[1:])
+
+
+def test_seeds_of_texts_at_once():
+    """Texts taken together keep the seeds, hashes and sides that each keeps alone, as a plain window by window choice does."""
+    rng, one = np.random.default_rng(1), lambda t, *x: P.many_seeds([t], *x)
+    texts = [rng.integers(0, 3 if n % 2 else 1 << 40, n).astype(np.uint64) for n in (0, 1, 4, 5, 6, 23, 24, 25, 60, 300, 0)]
+    for seed, window in ((5, 20), (4, 6), (3, 1)):
+        row, at, h, side = P.many_seeds(texts, seed, window)
+        alone = [one(t, seed, window) for t in texts]
+        assert np.array_equal(row, np.repeat(np.arange(len(texts)), [len(x[1]) for x in alone]))
+        for i, got in ((1, at), (2, h), (3, side)):
+            assert np.array_equal(got, np.concatenate([x[i] for x in alone]))
+        for t, (_, places, _, _) in zip(texts, alone, strict=True):
+            every = [int(one(t[i : i + seed], seed, window)[2][0]) for i in range(len(t) - seed + 1)]
+            wide = min(window, len(every))
+            assert places.tolist() == sorted({min(range(i, i + wide), key=lambda j: (every[j], j)) for i in range(len(every) - wide + 1)} if every else [])
